@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 CHUNK_BYTES = 8 << 20
@@ -35,7 +36,7 @@ def n_partitions(spark: SparkSession) -> int:
 def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that ``column`` holds about ``limit`` bytes a chunk; a longer row is alone."""
     for batch in batches:
-        lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
+        lengths = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
         start = total = 0
         for i, n in enumerate(lengths):
             if i > start and total + n > limit:
@@ -49,7 +50,6 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BY
 def texts_of(batch: pa.RecordBatch, column: str) -> tuple[memoryview, "object"]:
     """The UTF-8 bytes of a string column as one array, and its offsets (n + 1); null is empty."""
     import numpy as np
-    import pyarrow.compute as pc
 
     col = pc.fill_null(batch.column(column), "").cast(pa.large_binary())
     if isinstance(col, pa.ChunkedArray):
@@ -57,3 +57,28 @@ def texts_of(batch: pa.RecordBatch, column: str) -> tuple[memoryview, "object"]:
     offsets = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
     data = np.frombuffer(col.buffers()[2], np.uint8) if col.buffers()[2] is not None and offsets[-1] else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def pack(*values: object) -> bytes:
+    """Compressed bytes of numpy arrays and plain values, for binary columns between our own stages."""
+    import pickle
+
+    import zstandard
+
+    return zstandard.compress(pickle.dumps(values, 5), 1)
+
+
+def unpack(data: bytes) -> tuple:
+    import pickle
+
+    import zstandard
+
+    return pickle.loads(zstandard.decompress(data))
+
+
+def narrow(values):
+    """The same whole numbers (none negative) in the smallest unsigned type."""
+    import numpy as np
+
+    values = np.asarray(values)
+    return values.astype(np.min_scalar_type(int(values.max()) if len(values) else 0))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat, urlrules
+from . import chat, decontam, tokencount, urlrules
 
 QUERIES = {
     "op3_chat_formatting": chat.op3_chat_formatting,
+    "op4_token_counts": tokencount.op4_token_counts,
     "op7_url_filters": urlrules.op7_url_filters,
+    "op8_benchmark_decontamination": decontam.op8_benchmark_decontamination,
 }
 
 SQL = {
     "op3_chat_formatting": chat.SQL,
     "op7_url_filters": urlrules.SQL,
+    "op8_benchmark_decontamination": decontam.SQL,
 }
