@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, tokencount, urlrules
+from . import chat, decontam, tokencount, topk, urlrules
 
 QUERIES = {
+    "op1_exact_top_k": topk.op1_exact_top_k,
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op4_token_counts": tokencount.op4_token_counts,
     "op7_url_filters": urlrules.op7_url_filters,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_exact_top_k": topk.SQL,
     "op3_chat_formatting": chat.SQL,
     "op7_url_filters": urlrules.SQL,
     "op8_benchmark_decontamination": decontam.SQL,
