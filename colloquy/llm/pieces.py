@@ -144,33 +144,35 @@ def segment(units: list[str], variant: np.ndarray, pieces: Pieces, dropout: floa
         done.append((np.full(len(ids), u), at, ids))
     keep = sizes[unit] <= LONG
     unit, sym, left = unit[keep], char[keep], (np.arange(len(points)) - starts[unit])[keep]
-    while len(unit):
-        pair = np.flatnonzero(unit[1:] == unit[:-1])
-        right = np.append(left[1:], 0)
-        right = np.where(np.append(unit[1:] != unit[:-1], True), sizes[unit], right)
-        new = pieces.merged(sym[pair], sym[pair + 1])
-        pair, new = pair[new >= 0], new[new >= 0]
+    new, key = np.full(len(unit), -1, np.int32), np.full(len(unit), NONE)
+
+    def propose(at: np.ndarray) -> None:
+        """Works out the merges of the symbols at these places with the next ones."""
+        new[at], key[at] = -1, NONE
+        at = at[at + 1 < len(unit)]
+        at = at[unit[at] == unit[at + 1]]
+        to = pieces.merged(sym[at], sym[at + 1])
+        at, to = at[to >= 0], to[to >= 0]
         if dropout:
-            on = ~skipped(salt[unit[pair]], left[pair], left[pair + 1], right[pair + 1], dropout)
-            pair, new = pair[on], new[on]
-        if not len(pair):
-            done.append((unit, left, sym))
-            break
-        key = pieces.rank[new] * (LONG + 1) + left[pair]
-        head = np.flatnonzero(np.append(True, unit[pair][1:] != unit[pair][:-1]))
-        best = np.minimum.reduceat(key, head)
-        chosen = key == np.repeat(best, np.diff(np.append(head, len(pair))))
-        at, new = pair[chosen], new[chosen]
-        sym = sym.copy()
-        sym[at] = new
-        going = np.zeros(len(units), bool)
-        going[unit[at]] = True
-        going = going[unit]
-        left_out = np.ones(len(unit), bool)
-        left_out[at + 1] = False
+            inside = np.minimum(at + 2, len(unit) - 1)
+            right = np.where((at + 2 < len(unit)) & (unit[inside] == unit[at]), left[inside], sizes[unit[at]])
+            on = ~skipped(salt[unit[at]], left[at], left[at + 1], right, dropout)
+            at, to = at[on], to[on]
+        new[at], key[at] = to, pieces.rank[to] * (LONG + 1) + left[at]
+
+    propose(np.arange(len(unit)))
+    while len(unit):
+        head = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
+        best = np.repeat(np.minimum.reduceat(key, head), np.diff(np.append(head, len(unit))))
+        going = best < NONE
+        at = np.flatnonzero(going & (key == best))
         done.append((unit[~going], left[~going], sym[~going]))
-        on = going & left_out
-        unit, left, sym = unit[on], left[on], sym[on]
+        sym[at] = new[at]
+        going[at + 1] = False
+        place = (np.cumsum(going) - 1)[at]
+        unit, left, sym, new, key = unit[going], left[going], sym[going], new[going], key[going]
+        former = place[place > 0] - 1
+        propose(np.concatenate((place, former[unit[former] == unit[former + 1]])))
     unit, left, sym = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, np.int64),) * 3
     order = np.argsort(starts[unit] + left, kind="stable")
     unit, left, sym = unit[order], left[order], sym[order]
