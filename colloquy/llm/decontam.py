@@ -17,7 +17,6 @@ counted. Words are told apart by 64-bit hashes. Other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator

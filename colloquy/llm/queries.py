@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, pieces, tokencount, topk, urlrules
+from . import chat, decontam, pieces, pii, quality, tokencount, topk, urlrules
 
 QUERIES = {
     "op1_exact_top_k": topk.op1_exact_top_k,
     "op2_sentencepiece_dropout": pieces.op2_sentencepiece_dropout,
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op4_token_counts": tokencount.op4_token_counts,
+    "op5_quality_classifier": quality.op5_quality_classifier,
     "op7_url_filters": urlrules.op7_url_filters,
     "op8_benchmark_decontamination": decontam.op8_benchmark_decontamination,
+    "op9_pii": pii.op9_pii,
 }
 
 SQL = {
