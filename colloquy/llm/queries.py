@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, pieces, pii, quality, tokencount, topk, urlrules
+from . import chat, decontam, pieces, pii, quality, substrings, tokencount, topk, urlrules
 
 QUERIES = {
     "op1_exact_top_k": topk.op1_exact_top_k,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_url_filters": urlrules.op7_url_filters,
     "op8_benchmark_decontamination": decontam.op8_benchmark_decontamination,
     "op9_pii": pii.op9_pii,
+    "op10_suffix_dedup": substrings.op10_suffix_dedup,
 }
 
 SQL = {
