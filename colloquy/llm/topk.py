@@ -35,9 +35,9 @@ from .common import materialize, pack, unpack
 K = 5
 PIVOTS = 64
 SAMPLE = 1024
-TREE = 4096
-PAGE = 64
-FANOUT = 8
+TREE = 8192
+PAGE = 512
+FANOUT = 16
 BLOCK = 1024
 LEAST, NO_ID = -(2**63), 2**63 - 1
 
@@ -147,14 +147,28 @@ class MTree:
                     if not might.size:
                         continue
                     taken += int(might.sum())
-                    s = np.where(might, products(queries[q], self.vectors[at]), LEAST)
-                    ids = np.where(might, self.ids[at], NO_ID)
-                    s, ids = np.hstack([scores[q], s]), np.hstack([found[q], ids])
-                    best = np.lexsort((ids, -(s + 1)), axis=-1)[:, :k]
-                    scores[q], found[q] = np.take_along_axis(s, best, 1), np.take_along_axis(ids, best, 1)
+                    s = products(queries[q], self.vectors[at])
+                    might &= s >= np.maximum(scores[q, -1], floor[q])[:, None]
+                    new, entry = np.nonzero(might)
+                    merge_best(scores, found, q[new], s[new, entry], self.ids[at[entry]])
         return scores, found, taken
 
 
+def merge_best(scores: np.ndarray, found: np.ndarray, q: np.ndarray, s: np.ndarray, ids: np.ndarray) -> None:
+    """Puts new (query, score, id) entries into the queries' best lists, in place."""
+    if not len(q):
+        return
+    k = scores.shape[1]
+    own = np.flatnonzero(np.bincount(q, minlength=len(scores)))
+    q = np.concatenate((np.repeat(own, k), q))
+    s, ids = np.concatenate((scores[own].ravel(), s)), np.concatenate((found[own].ravel(), ids))
+    order = np.lexsort((ids, -(s + 1), q))
+    q, s, ids = q[order], s[order], ids[order]
+    first = np.searchsorted(q, own)
+    at = first[:, None] + np.arange(k)
+    scores[own], found[own] = s[at], ids[at]
+
+
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(((a - b) ** 2).sum(-1))
 
