@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import chunks, texts_of
 
@@ -37,7 +38,7 @@ BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 #: Bytes of words after A-Z are lower-cased (fixed values): digits, a-z and all of non-ASCII characters.
 WORD = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 WORD_PATTERN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-RAW = "key long, doc_id long, n_words long, ends array<int>, hits array<int>, items array<string>"
+FOUND = "key long, n_words long, ends array<int>, hits array<int>, items array<string>"
 
 
 def byte_codes(seed: int) -> np.ndarray:
@@ -241,8 +242,8 @@ def shard_hits(data: np.ndarray, offsets: np.ndarray, patterns: Patterns) -> tup
     return starts, ends, doc, np.cumsum(depth[:-1]) > 0, pairs // len(patterns.rows), pairs % len(patterns.rows)
 
 
-def find_hits(patterns):
-    """patterns: a broadcast variable."""
+def find_hits(patterns, keep: list[str]):
+    """patterns: a broadcast variable. keep: columns to carry along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, done = TaskContext.get().partitionId() << 36, 0
@@ -260,9 +261,9 @@ def find_hits(patterns):
                 own = slice(cuts[d], cuts[d + 1])
                 words[d] = np.flatnonzero(hit[own]).astype(np.int32)
                 bounds[d] = (np.stack([starts[own], ends[own]], 1)[words[d]].ravel() - offsets[d]).astype(np.int32)
-            out = ([task + done + i for i in range(n)], batch.column("doc_id"), n_words, bounds, words, [sorted(items.get(d, ())) for d in range(n)])
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([c.cast(t) if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(out, types, strict=True)], ["key", "doc_id", "n_words", "ends", "hits", "items"])
+            out = ([task + done + i for i in range(n)], n_words, bounds, words, [sorted(items.get(d, ())) for d in range(n)])
+            types = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], [*keep, "key", "n_words", "ends", "hits", "items"])
             done += n
 
     return run
@@ -276,22 +277,25 @@ def merge_hits(table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist([one], table.schema)
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 16 << 20) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_hit, items (sorted ids), spans (byte ranges to remove), contaminated."""
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 16 << 20, keep: list[str] | None = None) -> DataFrame:
+    """Per row of ``docs``: the columns in ``keep`` (doc_id), n_words, n_hit, items (sorted ids), spans (byte ranges to remove), contaminated."""
     spark = docs.sparkSession
     bench = benchmark.select("item_id", "text")
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + total // block_bytes
+    keep = keep or ["doc_id"]
+    rows = docs.select(*dict.fromkeys([*keep, "text"]))
+    schema = StructType([*docs.select(*keep).schema.fields, *StructType.fromDDL(FOUND).fields])
     parts = []
     for i in range(blocks):
         own = bench if blocks == 1 else bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i)
         patterns = spark.sparkContext.broadcast(Patterns([tuple(r) for r in own.collect()], window))
-        parts.append(docs.select("doc_id", "text").mapInArrow(find_hits(patterns), RAW))
+        parts.append(rows.mapInArrow(find_hits(patterns, keep), schema))
     raw = parts[0]
     for part in parts[1:]:
         raw = raw.unionByName(part)
     if blocks > 1:
-        raw = raw.groupBy("key").applyInArrow(merge_hits, RAW)
+        raw = raw.groupBy("key").applyInArrow(merge_hits, schema)
     n_hit = F.size("hits").cast("long")
     # a span goes on while the next hit word is the next word
     spans = F.expr(
@@ -303,7 +307,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     )
     none = F.array().cast("array<struct<start:int,end:int>>")
     return raw.select(
-        "doc_id",
+        *keep,
         "n_words",
         n_hit.alias("n_hit"),
         "items",

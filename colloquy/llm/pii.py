@@ -304,6 +304,18 @@ def mask(text: str | None, spans: str) -> str | None:
     return "".join([*parts, text[at:]])
 
 
+def mask_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [mask(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
+        batch = batch.drop_columns(["spans"])
+        yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+
+
+def mask_pii(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+    """``docs`` with personal data in text masked."""
+    return find_pii(docs, weights).select(*docs.columns, "spans").mapInArrow(mask_rows, docs.schema)
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = find_pii(docs, fit_pii(docs))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, pieces, pii, quality, substrings, tokencount, topk, urlrules
+from . import chat, decontam, neardup, pieces, pii, quality, substrings, tokencount, topk, urlrules
 
 QUERIES = {
     "op1_exact_top_k": topk.op1_exact_top_k,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op4_token_counts": tokencount.op4_token_counts,
     "op5_quality_classifier": quality.op5_quality_classifier,
+    "op6_minhash_near_dedup": neardup.op6_minhash_near_dedup,
     "op7_url_filters": urlrules.op7_url_filters,
     "op8_benchmark_decontamination": decontam.op8_benchmark_decontamination,
     "op9_pii": pii.op9_pii,
