@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import conversation
+from . import conversation, metrics
 
-MODULES = (conversation,)
+MODULES = (conversation, metrics)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
 FLAGSHIP = "conversation_efficiency"
