@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import chunks, materialize, n_partitions, pack, texts_of, unpack
 from .pieces import mixed
 
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 LENGTH = 400
 BASE = 0x9E3779B97F4A7C15
 REQUEST = "block long, bucket int, data binary"
@@ -85,14 +85,15 @@ class Block:
         self.data, self.offsets, self.length = data, offsets, length
         self.v, self.cover = difference_cover(length)
         n = len(data)
-        codes, up, self.down = powers(1 << (n + 1).bit_length())
+        codes, up, self.down = powers((n >> 18) + 1 << 18)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(codes[data] * up[:n], out=self.sums[1:])
+        np.take(codes, data, out=self.sums[1:])
+        self.sums[1:] *= up[:n]
+        np.cumsum(self.sums, out=self.sums)
         sizes = np.diff(offsets)
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        self.left = offsets[1:][doc] - np.arange(n)
-        self.place = np.arange(n) - offsets[:-1][doc]
-        self.doc = doc
+        self.doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.place = np.arange(n, dtype=np.int32) - np.repeat(offsets[:-1], sizes).astype(np.int32)
+        self.left = np.repeat(sizes, sizes).astype(np.int32) - self.place
 
     def fingerprints(self, at: np.ndarray, size: int) -> np.ndarray:
         return mixed((self.sums[at + size] - self.sums[at]) * self.down[at])[:, None]
@@ -105,9 +106,9 @@ class Block:
 
     def remaining(self, active: np.ndarray, samples: np.ndarray, shared: np.ndarray) -> np.ndarray:
         """Starts of whole strings in active texts, one of whose first v places is a sample of a shared name."""
-        seen = np.zeros(len(self.data) + 1, np.int64)
+        seen = np.zeros(len(self.data) + 1, np.int32)
         seen[samples[shared] + 1] = 1
-        seen = np.cumsum(seen)
+        np.cumsum(seen, out=seen)
         at = np.flatnonzero(self.left >= self.length)
         at = at[active[self.doc[at]]]
         return at[seen[at + self.v] > seen[at]]

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import conversation, history, metrics
+from . import content, conversation, history, metrics
 
-MODULES = (conversation, metrics, history)
+MODULES = (conversation, metrics, history, content)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
 FLAGSHIP = "conversation_efficiency"
