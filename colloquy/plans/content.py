@@ -52,7 +52,7 @@ def feature_maps(spark, sf_dir):
     """Named values of each order line against those of the one before: what changed, as text."""
     rows = table(spark, sf_dir, "lineitem")
     now = features.named_values(F.array(F.lit("flag"), F.lit("status"), F.lit("tax")), F.array("l_returnflag", "l_linestatus", F.round("l_tax", 2).cast("string")))
-    rows = rows.select("l_orderkey", "l_linenumber", now.alias("now"))
+    rows = rows.select("l_orderkey", *LINE, now.alias("now"))
     rows = rows.withColumn("before", F.lag("now").over(Window.partitionBy("l_orderkey").orderBy(*LINE))).filter("before is not null")
     changed = F.array_sort(F.map_keys(features.map_changes(F.col("before"), F.col("now"))))
     return rows.select("l_orderkey", "l_linenumber", F.array_join(changed, ",").alias("changed"))
