@@ -23,7 +23,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -246,7 +245,6 @@ def find_hits(patterns, keep: list[str]):
     """patterns: a broadcast variable. keep: columns to carry along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, done = TaskContext.get().partitionId() << 36, 0
         for batch in chunks(batches, "text", SHARD_BYTES):
             data, offsets = texts_of(batch, "text")
             starts, ends, doc, hit, hit_doc, window = shard_hits(data, offsets, patterns.value)
@@ -261,10 +259,9 @@ def find_hits(patterns, keep: list[str]):
                 own = slice(cuts[d], cuts[d + 1])
                 words[d] = np.flatnonzero(hit[own]).astype(np.int32)
                 bounds[d] = (np.stack([starts[own], ends[own]], 1)[words[d]].ravel() - offsets[d]).astype(np.int32)
-            out = ([task + done + i for i in range(n)], n_words, bounds, words, [sorted(items.get(d, ())) for d in range(n)])
-            types = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], [*keep, "key", "n_words", "ends", "hits", "items"])
-            done += n
+            out = (n_words, bounds, words, [sorted(items.get(d, ())) for d in range(n)])
+            types = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), batch.column("row of the scan"), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], [*keep, "key", "n_words", "ends", "hits", "items"])
 
     return run
 
@@ -284,7 +281,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + total // block_bytes
     keep = keep or ["doc_id"]
-    rows = docs.select(*dict.fromkeys([*keep, "text"]))
+    rows = docs.select(*dict.fromkeys([*keep, "text"]), F.monotonically_increasing_id().alias("row of the scan"))
     schema = StructType([*docs.select(*keep).schema.fields, *StructType.fromDDL(FOUND).fields])
     parts = []
     for i in range(blocks):

@@ -254,23 +254,37 @@ def written(spans: dict[str, list[Span]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for kind in KINDS for a, b in sorted(spans[kind]))
 
 
+def all_spans(text: str | None, weights: np.ndarray) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
+    """Base spans and all spans of a text."""
+    if not text or not HINT.search(text):
+        return {k: [] for k in KINDS}, {k: [] for k in KINDS}
+    base = base_spans(text)
+    every = {k: list(v) for k, v in base.items()}
+    for a, b, kind in field_spans(text, base, weights):
+        every[kind].append((a, b))
+    return base, every
+
+
 def find_rows(weights: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text in batch.column("text").to_pylist():
-                if not text or not HINT.search(text):
-                    rows.append((0, 0, 0, 0, "", ""))
-                    continue
-                base = base_spans(text)
-                every = {k: list(v) for k, v in base.items()}
-                for a, b, kind in field_spans(text, base, weights):
-                    every[kind].append((a, b))
+                base, every = all_spans(text, weights)
                 rows.append((*(len(base[k]) for k in KINDS), written(base), written(every)))
             columns = list(zip(*rows, strict=True)) or [()] * 6
             types = [pa.int64()] * 4 + [pa.string()] * 2
             names = [f"n_{k}" for k in KINDS] + ["base", "spans"]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], [*batch.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", *names])
+
+    return run
+
+
+def mask_rows(weights: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [mask(t, written(all_spans(t, weights)[1])) for t in batch.column("text").to_pylist()]
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
 
     return run
 
@@ -282,14 +296,9 @@ def fit_pii(docs: DataFrame, sample: int = 300, max_bytes: int = 1 << 15) -> np.
 
 
 def find_pii(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """The columns of ``docs`` with n_email, n_ip, n_card, n_phone (base spans), base and spans (texts of all)."""
-    from pyspark.sql.types import LongType, StringType, StructType
-
-    schema = StructType([*docs.schema.fields])
-    for k in KINDS:
-        schema = schema.add(f"n_{k}", LongType())
-    schema = schema.add("base", StringType()).add("spans", StringType())
-    return docs.mapInArrow(find_rows(weights), schema)
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base and spans (texts of all) of every row of ``docs``."""
+    counts = ", ".join(f"n_{k} long" for k in KINDS)
+    return docs.select("doc_id", "text").mapInArrow(find_rows(weights), f"doc_id long, {counts}, base string, spans string")
 
 
 def mask(text: str | None, spans: str) -> str | None:
@@ -304,16 +313,9 @@ def mask(text: str | None, spans: str) -> str | None:
     return "".join([*parts, text[at:]])
 
 
-def mask_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [mask(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
-        batch = batch.drop_columns(["spans"])
-        yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
-
-
 def mask_pii(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """``docs`` with personal data in text masked."""
-    return find_pii(docs, weights).select(*docs.columns, "spans").mapInArrow(mask_rows, docs.schema)
+    return docs.mapInArrow(mask_rows(weights), docs.schema)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

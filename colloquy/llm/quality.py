@@ -169,7 +169,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 3000, max_byte
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.select(F.col("doc_id").alias("id"), F.col("quality").alias("label")).orderBy(F.xxhash64("id"), "id", "label").limit(sample)
     # at most ``sample`` rows of two numbers
-    rows = docs.filter(F.octet_length("text") <= max_bytes).join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("label", "text").limit(2 * sample)
+    rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= max_bytes).join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("label", "text").limit(2 * sample)
     found = rows.mapInArrow(train_rows, "label int, x binary").collect()
     found.sort(key=lambda r: (r.label, bytes(r.x)))
     parts = [unpack(r.x)[0] for r in found]
