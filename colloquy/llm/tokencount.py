@@ -2,13 +2,16 @@
 
 1. Documents are taken in blocks of about ``BLOCK_BYTES``. A block splits its texts at the added
    tokens and into pre-tokens, and counts each pre-token per document. The distinct pre-tokens with
-   their (document, frequency) lists are dealt by a hash of the pre-token to ``buckets``.
-2. A bucket encodes each distinct pre-token once, multiplies its number of pieces into the frequency
-   lists of all blocks and returns a partial sum for each document.
+   their (document, frequency) lists are dealt by a hash of the pre-token to ``buckets``. A slice is a
+   run of at most ``SLICE_TASKS * SLICE_BLOCKS`` blocks (8 GB of text).
+2. A bucket of a slice encodes each distinct pre-token once, multiplies its number of pieces into the
+   frequency lists of the slice's blocks and returns a partial sum for each document.
 3. The partial sums are added up by block.
 
-What is shuffled is one compressed value for each block and bucket, not one row a word; a pre-token
-that is in every document has one list a block, so it is no hot key.
+What is shuffled is one compressed value for each block and bucket, not one row a word. A pre-token
+that is in every document has one list a block and lies in one bucket of every slice, so no group
+grows with the corpus. Sending the pieces of a pre-token from one place to all slices would cost the
+rows that encoding it once a slice saves.
 
 Cases: null text counts as empty (0 bytes, 0 tokens); repeated rows and repeated or null ids stay
 rows of their own; other columns are ignored.
@@ -28,9 +31,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, n_partitions, narrow, pack, unpack
+from .common import chunks, narrow, pack, unpack
 
 BLOCK_BYTES = 16 << 20
+BUCKETS = 64
+SLICE_TASKS, SLICE_BLOCKS = 64, 8
 #: The byte-level pre-tokenizer's pattern (a fixed value of the vocabulary file).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -62,14 +67,15 @@ def load(name: str):
 def split_blocks(name: str, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, words, added = load(name)
-        task = TaskContext.get().partitionId() << 32
+        task = TaskContext.get().partitionId()
         for i, batch in enumerate(chunks(batches, "text", BLOCK_BYTES)):
-            yield from block_rows(task + i, batch, words, added, buckets)
+            slice_ = (task // SLICE_TASKS << 32) + i // SLICE_BLOCKS
+            yield from block_rows((task << 32) + i, slice_, batch, words, added, buckets)
 
     return run
 
 
-def block_rows(block: int, batch: pa.RecordBatch, words, added, buckets: int) -> Iterator[pa.RecordBatch]:
+def block_rows(block: int, slice_: int, batch: pa.RecordBatch, words, added, buckets: int) -> Iterator[pa.RecordBatch]:
     import numpy as np
 
     local: dict = defaultdict(count().__next__)
@@ -90,12 +96,12 @@ def block_rows(block: int, batch: pa.RecordBatch, words, added, buckets: int) ->
     order = np.lexsort((doc, token, bucket[token])) if len(token) else np.zeros(0, np.int64)
     token, freq, doc = token[order], freq[order], doc[order]
     cuts = np.searchsorted(bucket[token], np.arange(buckets + 1))
-    rows = [(block, block % buckets, True, pack(batch.column("doc_id").to_pylist(), np.array(n_bytes), np.array(extra)))]
+    rows = [(block, slice_, block % buckets, True, pack(batch.column("doc_id").to_pylist(), np.array(n_bytes), np.array(extra)))]
     for b in np.unique(bucket).tolist():
         lo, hi = cuts[b], cuts[b + 1]
         ids, uses = np.unique(token[lo:hi], return_counts=True)
-        rows.append((block, b, False, pack([names[t] for t in ids.tolist()], narrow(uses), narrow(doc[lo:hi]), narrow(freq[lo:hi]), len(sizes))))
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.bool_(), pa.binary()), strict=True)], ["block", "bucket", "head", "data"])
+        rows.append((block, slice_, b, False, pack([names[t] for t in ids.tolist()], narrow(uses), narrow(doc[lo:hi]), narrow(freq[lo:hi]), len(sizes))))
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()), strict=True)], ["block", "slice", "bucket", "head", "data"])
 
 
 def count_bucket(name: str):
@@ -135,13 +141,12 @@ def sum_block(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(n_bytes, pa.int64()), "n_tokens": pa.array(total, pa.int64())})
 
 
-def token_counts(docs: DataFrame, name: str = "byte_bpe_50k.json", limit: int = 512, buckets: int | None = None) -> DataFrame:
+def token_counts(docs: DataFrame, name: str = "byte_bpe_50k.json", limit: int = 512, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row of ``docs`` (doc_id, text)."""
-    buckets = buckets or n_partitions(docs.sparkSession)
     return (
         docs.select("doc_id", "text")
-        .mapInArrow(split_blocks(name, buckets), "block long, bucket int, head boolean, data binary")
-        .groupBy("bucket")
+        .mapInArrow(split_blocks(name, buckets), "block long, slice long, bucket int, head boolean, data binary")
+        .groupBy("slice", "bucket")
         .applyInArrow(count_bucket(name), "block long, head boolean, data binary")
         .groupBy("block")
         .applyInArrow(sum_block, "doc_id long, n_bytes long, n_tokens long")
