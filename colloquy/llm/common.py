@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 8 << 20
 
@@ -33,6 +34,14 @@ def n_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def lowest(rows: DataFrame, *hashed: str, k: int, n: int | None = None) -> list:
+    """The k rows of the lowest hashes of the columns ``hashed``. About 4 k rows go to the driver, however many tasks read them."""
+    n = rows.count() if n is None else n
+    key = F.xxhash64(*hashed)
+    some = rows.filter(key <= int(-(2**63) + 2**64 * (4 * k / n))) if n > 4 * k else rows
+    return some.orderBy(key, *hashed).limit(k).collect()
+
+
 def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that ``column`` holds about ``limit`` bytes a chunk; a longer row is alone."""
     for batch in batches:

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import lowest
+
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 #: The base patterns (fixed values). A run of digits is entered at its start only: an inner start
@@ -290,9 +292,8 @@ def mask_rows(weights: np.ndarray):
 
 
 def fit_pii(docs: DataFrame, sample: int = 300, max_bytes: int = 1 << 15) -> np.ndarray:
-    rows = docs.filter(F.col("text").rlike("[0-9@]") & (F.octet_length("text") <= max_bytes)).select("text")
-    texts = [r[0] for r in rows.orderBy(F.xxhash64("text"), "text").limit(sample).collect()]
-    return fit_field(texts)
+    rows = docs.filter(F.col("text").rlike("[0-9@]") & (F.octet_length("text") <= max_bytes)).select("doc_id", "text")
+    return fit_field([r.text for r in lowest(rows, "doc_id", "text", k=sample)])
 
 
 def find_pii(docs: DataFrame, weights: np.ndarray) -> DataFrame:
