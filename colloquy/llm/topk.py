@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, pack, unpack
+from .common import lowest, materialize, pack, unpack
 
 K = 5
 PIVOTS = 64
@@ -256,7 +256,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """
     rows = materialize(candidates.groupBy("vec_id", "vec").agg(F.count("*").alias("copies")))
     n = rows.count()
-    sample = rows.orderBy(F.xxhash64("vec_id", "vec"), "vec_id").limit(SAMPLE).collect()
+    sample = lowest(rows, "vec_id", "vec", k=SAMPLE, n=n)
     vectors = matrix([r.vec for r in sample])
     parts = max(1, -(-n // TREE))
     trees = materialize(
