@@ -146,7 +146,7 @@ def failure_heat_map(spark, sf_dir):
 
 
 def cluster_coverage(spark, sf_dir):
-    return r6(Q.coverage_entropy(vectors(spark, sf_dir).filter("vec_id % 7 < 5"), "grp", "label"), "coverage", "entropy")
+    return r6(Q.coverage_entropy(vectors(spark, sf_dir), "grp", "label"), "coverage", "entropy")
 
 
 def cluster_shares(spark, sf_dir):

@@ -23,3 +23,17 @@ def test_document_numbers_reads_whole_texts_of_all_documents(spark, saved):
     got = content.document_numbers(spark, saved("documents", rows, "doc_id long, text string")).collect()
     assert {r.doc_id: (r.number, r.currency) for r in got} == {1: (1234.5, "EUR"), 2: (None, "EUR"), 3: (None, "JPY"), 4: (None, "INR"), 5: (None, None), 6: (None, None), 7: (None, None), 8: (-3.5, None)}
     assert len(got) == len(rows)
+
+
+def test_cluster_coverage_counts_all_vectors(spark, saved):
+    # groups are vec_id % 3; vectors 5, 6, 12 and 13 have vec_id % 7 of 5 and 6
+    rows = [(0, 1), (1, 1), (2, 1), (5, 2), (6, 2), (12, 2), (13, 3)]
+    got = metrics.cluster_coverage(spark, saved("embeddings", rows, "vec_id long, label int")).collect()
+    third = pytest.approx(100 / 3 * 2, abs=1e-6)
+    assert {r.grp: r.coverage for r in got} == {0: third, 1: third, 2: third}
+    assert all(r.coverage < 100 for r in got)
+
+
+def test_cluster_coverage_equals_whole_sql(spark):
+    sql = metrics.V + ", k AS (SELECT count(DISTINCT label) AS k FROM v), n AS (SELECT grp, label, count(*) AS n FROM v GROUP BY ALL), q AS (SELECT grp, n / sum(n) OVER (PARTITION BY grp) AS p FROM n) SELECT grp, round(100.0 * count(*) / k, 6) AS coverage, round(100 * sum(-p * log2(p)) / log2(k), 6) AS entropy FROM q, k GROUP BY grp, k"
+    assert_same(metrics.cluster_coverage(spark, DATA), sql, DATA)
