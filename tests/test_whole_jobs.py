@@ -37,3 +37,14 @@ def test_cluster_coverage_counts_all_vectors(spark, saved):
 def test_cluster_coverage_equals_whole_sql(spark):
     sql = metrics.V + ", k AS (SELECT count(DISTINCT label) AS k FROM v), n AS (SELECT grp, label, count(*) AS n FROM v GROUP BY ALL), q AS (SELECT grp, n / sum(n) OVER (PARTITION BY grp) AS p FROM n) SELECT grp, round(100.0 * count(*) / k, 6) AS coverage, round(100 * sum(-p * log2(p)) / log2(k), 6) AS entropy FROM q, k GROUP BY grp, k"
     assert_same(metrics.cluster_coverage(spark, DATA), sql, DATA)
+
+
+def test_uncovered_pairs_takes_all_parts(spark, saved):
+    rows = [(1, 1, "a"), (2, 2, "b"), (151, 1, "b"), (900, 3, "c")]
+    got = searching.uncovered_pairs(spark, saved("part", rows, "p_partkey long, p_size int, p_brand string")).collect()
+    assert {(r.p_size, r.p_brand) for r in got} == {(2, "a"), (3, "a"), (3, "b"), (1, "c"), (2, "c")}
+
+
+def test_uncovered_pairs_equals_whole_sql(spark):
+    sql = "SELECT * FROM (SELECT DISTINCT p_size FROM part), (SELECT DISTINCT p_brand FROM part) EXCEPT SELECT p_size, p_brand FROM part"
+    assert_same(searching.uncovered_pairs(spark, DATA), sql, DATA)
