@@ -61,8 +61,8 @@ def best_outputs(spark, sf_dir):
 
 
 def date_steps(spark, sf_dir):
-    """For each order of a status: its date, five dates at even steps of 30 days, and seconds of a time text."""
-    rows = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'")
+    """For each order: its date, five dates at even steps of 30 days, and seconds of a time text."""
+    rows = table(spark, sf_dir, "orders")
     day = F.to_date("o_orderdate")
     dates = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.date_format(F.date_add(day, i * 30), "yyyy-MM-dd")), ",")
     text = F.format_string("%02d:%02d:%02d", (F.col("o_orderkey") % 24).cast("int"), (F.col("o_orderkey") % 60).cast("int"), (F.col("o_orderkey") % 7).cast("int"))

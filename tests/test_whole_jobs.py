@@ -48,3 +48,8 @@ def test_uncovered_pairs_takes_all_parts(spark, saved):
 def test_uncovered_pairs_equals_whole_sql(spark):
     sql = "SELECT * FROM (SELECT DISTINCT p_size FROM part), (SELECT DISTINCT p_brand FROM part) EXCEPT SELECT p_size, p_brand FROM part"
     assert_same(searching.uncovered_pairs(spark, DATA), sql, DATA)
+
+
+def test_date_steps_has_every_order(spark):
+    sql = "SELECT o_orderkey, array_to_string(list_transform(range(5), lambda i: strftime(CAST(o_orderdate AS DATE) + CAST(i * 30 AS INTEGER), '%Y-%m-%d')), ',') AS dates, CAST(o_orderkey % 24 * 3600 + o_orderkey % 60 * 60 + o_orderkey % 7 AS INTEGER) AS seconds FROM orders"
+    assert_same(searching.date_steps(spark, DATA), sql, DATA)
