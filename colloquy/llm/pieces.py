@@ -3,10 +3,9 @@
 A text is cut into units that no piece of the vocabulary crosses: white space marks followed by other
 characters. A unit's agenda always takes the pair of neighbouring symbols that merges to the piece
 of the best score (leftmost of equals). Each candidate merge is skipped for good if a hash keyed by
-(seed, variant, unit, left, middle and right end) falls under ``dropout``. The variant is itself a
-keyed hash of document and place, modulo ``variants``, so a word is segmented in up to ``variants``
-ways over a corpus and each way is worked out once a chunk. All units of a chunk run their agendas
-side by side in arrays; units over ``LONG`` characters use a heap. With dropout 0 the ids are the
+(seed, document, place, unit, left, middle and right end) falls under ``dropout``: each occurrence of
+a word draws for itself. ``SLICE`` occurrences at a time run their agendas side by side in arrays;
+units over ``LONG`` characters use a heap. With dropout 0 each distinct unit of a chunk runs once and the ids are the
 library's, but for U+2581 in a text: the library decodes that to a space; here it is written in byte
 pieces, so every text decodes to itself.
 
@@ -35,9 +34,9 @@ SPACE = "▁"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 CHUNK = 4 << 20
 LONG = 48
-VARIANTS = 16
+SLICE = 1 << 15
 SHARE = np.uint64(0xD6E8FEB86659FD93)
-NONE = np.int64(1 << 40)
+NONE = np.int32((1 << 31) - 1)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -63,7 +62,7 @@ class Pieces:
         # rank 0 is the best score; equal scores share a rank
         scores = sorted({sp.get_score(i) for i in normal}, reverse=True)
         ranks = {s: r for r, s in enumerate(scores)}
-        self.rank = np.full(n + 1, NONE)
+        self.rank = np.full(n + 1, NONE, np.int32)
         for i in normal:
             self.rank[i] = ranks[sp.get_score(i)]
         chars = {ord(p): i for p, i in self.id_of.items() if len(p) == 1}
@@ -121,30 +120,51 @@ def skipped(salt: np.ndarray, left: np.ndarray, middle: np.ndarray, right: np.nd
     return (mixed(salt ^ mixed(spans)) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < dropout
 
 
-def salts(units: list[str], variant: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A hash key for each (unit, variant); the units' code points and where each unit starts."""
-    points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
-    starts = np.cumsum([0, *map(len, units)])
-    place = np.arange(len(points)) - np.repeat(starts[:-1], np.diff(starts))
-    each = mixed((points.astype(np.uint64) << np.uint64(32)) ^ place.astype(np.uint64))
-    with np.errstate(over="ignore"):
-        total = np.add.reduceat(each, starts[:-1]) if len(units) else each
-        return mixed(total + mixed(variant.astype(np.uint64) + np.uint64(seed % 2**64) * SHARE)), points, starts
+class Units:
+    """What distinct units start with: code points, symbols, candidate merges of each symbol with the next and their order, a hash."""
+
+    def __init__(self, units: list[str], pieces: Pieces) -> None:
+        self.points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
+        self.starts = np.cumsum([0, *map(len, units)])
+        self.sizes = np.diff(self.starts)
+        place = np.arange(len(self.points)) - np.repeat(self.starts[:-1], self.sizes)
+        each = mixed((self.points.astype(np.uint64) << np.uint64(32)) ^ place.astype(np.uint64))
+        self.hash = np.add.reduceat(each, self.starts[:-1]) if len(units) else each
+        self.left = place.astype(np.int32)
+        self.sym = pieces.char_ids[np.minimum(self.points, len(pieces.char_ids) - 1)]
+        self.new, self.key = np.full(len(place), -1, np.int32), np.full(len(place), NONE)
+        if len(place):
+            self.new[:-1] = pieces.merged(self.sym[:-1], self.sym[1:])
+            self.new[self.starts[1:] - 1] = -1
+            at = np.flatnonzero(self.new >= 0)
+            self.key[at] = pieces.rank[self.new[at]] * (LONG + 1) + self.left[at]
+
 
+def segment(units: list[str], drawn: np.ndarray, pieces: Pieces, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all units one after the other, and the units' bounds (n + 1). drawn: a whole number that each unit's skips are keyed by."""
+    return segment_of(Units(units, pieces), np.arange(len(units)), drawn, pieces, dropout, seed)
 
-def segment(units: list[str], variant: np.ndarray, pieces: Pieces, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all units one after the other, and the units' bounds (n + 1)."""
-    salt, points, starts = salts(units, variant, seed)
-    sizes = np.diff(starts)
-    char = pieces.char_ids[np.minimum(points, len(pieces.char_ids) - 1)]
-    unit = np.repeat(np.arange(len(units)), sizes)
+
+def segment_of(units: Units, which: np.ndarray, drawn: np.ndarray, pieces: Pieces, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """segment() of occurrences of distinct units."""
+    with np.errstate(over="ignore"):
+        salt = mixed(units.hash[which] + mixed(drawn.astype(np.uint64) + np.uint64(seed % 2**64) * SHARE))
+    sizes = units.sizes[which].astype(np.int32)
+    starts = np.append(0, np.cumsum(sizes, dtype=np.int64))
+    own = np.repeat(np.arange(len(which), dtype=np.int32), sizes)
+    from_ = np.repeat(units.starts[:-1][which] - starts[:-1], sizes) + np.arange(starts[-1])
     done: list = []
-    for u in np.flatnonzero(sizes > LONG).tolist():
-        ids, at = agenda(char[starts[u] : starts[u + 1]], int(salt[u]), pieces, dropout)
-        done.append((np.full(len(ids), u), at, ids))
-    keep = sizes[unit] <= LONG
-    unit, sym, left = unit[keep], char[keep], (np.arange(len(points)) - starts[unit])[keep]
-    new, key = np.full(len(unit), -1, np.int32), np.full(len(unit), NONE)
+    far = np.flatnonzero(sizes > LONG)
+    for u in far.tolist():
+        ids, at = agenda(units.sym[from_[starts[u] : starts[u + 1]]], int(salt[u]), pieces, dropout)
+        done.append((np.full(len(ids), u, np.int32), np.array(at, np.int32), np.array(ids, np.int32)))
+    keep = sizes[own] <= LONG if len(far) else slice(None)
+    unit, at = own[keep], from_[keep]
+    sym, left, new, key = units.sym[at], units.left[at], units.new[at], units.key[at]
+    if dropout:
+        at = np.flatnonzero(new >= 0)
+        off = at[skipped(salt[unit[at]], left[at], left[at] + 1, left[at] + 2, dropout)]
+        new[off], key[off] = -1, NONE
 
     def propose(at: np.ndarray) -> None:
         """Works out the merges of the symbols at these places with the next ones."""
@@ -160,7 +180,6 @@ def segment(units: list[str], variant: np.ndarray, pieces: Pieces, dropout: floa
             at, to = at[on], to[on]
         new[at], key[at] = to, pieces.rank[to] * (LONG + 1) + left[at]
 
-    propose(np.arange(len(unit)))
     while len(unit):
         head = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
         best = np.repeat(np.minimum.reduceat(key, head), np.diff(np.append(head, len(unit))))
@@ -173,20 +192,22 @@ def segment(units: list[str], variant: np.ndarray, pieces: Pieces, dropout: floa
         unit, left, sym, new, key = unit[going], left[going], sym[going], new[going], key[going]
         former = place[place > 0] - 1
         propose(np.concatenate((place, former[unit[former] == unit[former + 1]])))
-    unit, left, sym = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, np.int64),) * 3
-    order = np.argsort(starts[unit] + left, kind="stable")
-    unit, left, sym = unit[order], left[order], sym[order]
+    unit, left, sym = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, np.int32),) * 3
+    whole = np.full(starts[-1], -2, np.int32)
+    whole[starts[unit] + left] = sym
+    at = np.flatnonzero(whole > -2)
+    unit, sym = own[at], whole[at]
     # symbols that are no pieces are single characters: their bytes
     lost = np.flatnonzero(sym < 0)
     if len(lost):
-        raw = ["".join(map(chr, [points[p]])).encode() for p in (starts[unit[lost]] + left[lost]).tolist()]
+        raw = [chr(p).encode() for p in units.points[from_[at[lost]]].tolist()]
         n = np.ones(len(sym), np.int64)
         n[lost] = list(map(len, raw))
         first = np.cumsum(n) - n
         sym, unit = np.repeat(sym, n), np.repeat(unit, n)
         for at, some in zip(first[lost].tolist(), raw, strict=True):
             sym[at : at + len(some)] = pieces.byte_ids[list(some)]
-    return sym.astype(np.int32), np.searchsorted(unit, np.arange(len(units) + 1))
+    return sym, np.append(0, np.cumsum(np.bincount(unit, minlength=len(which))))
 
 
 def agenda(char: np.ndarray, salt: int, pieces: Pieces, dropout: float) -> tuple[list[int], list[int]]:
@@ -229,7 +250,7 @@ def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
     return values[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def encode_texts(texts: list[str], keys: np.ndarray, pieces: Pieces, dropout: float = 0.1, seed: int = 0, variants: int = VARIANTS) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(texts: list[str], keys: np.ndarray, pieces: Pieces, dropout: float = 0.1, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after the other and the texts' bounds. keys: a whole number for each text."""
     local: dict = defaultdict(count().__next__)
     index: list[int] = []
@@ -241,26 +262,30 @@ def encode_texts(texts: list[str], keys: np.ndarray, pieces: Pieces, dropout: fl
                 if i:
                     index.append(local[None])
                 marked = part.replace(" ", SPACE)
-                index.extend([local[u] for u in UNIT.findall(marked if i else SPACE + marked)])
+                index.extend(map(local.__getitem__, UNIT.findall(marked if i else SPACE + marked)))
         sizes.append(len(index) - before)
-    place = np.arange(len(index)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    # a U+2581 of the text itself stands in for no unit
+    units, mark = Units([n or SPACE for n in local], pieces), local.get(None, -1)
+    which, ends = np.array(index, np.int64), np.append(0, np.cumsum(sizes))
+    if not dropout:
+        ids, bounds = segment_some(units, np.arange(len(local)), mark, np.zeros(len(local), np.uint64), pieces, dropout, seed)
+        n = np.diff(bounds)[which]
+        return gather(ids, bounds[:-1][which], n), np.append(0, np.cumsum(n))[ends]
+    place = np.arange(len(which)) - np.repeat(ends[:-1], sizes)
     doc = np.repeat(mixed(np.asarray(keys).astype(np.uint64)), sizes)
-    variant = (mixed(doc ^ mixed(place.astype(np.uint64) ^ np.uint64(seed % 2**64))) % np.uint64(variants)).astype(np.int64) if dropout else np.zeros(len(index), np.int64)
-    some, which = np.unique(np.array(index, np.int64) * variants + variant, return_inverse=True)
-    names = [n if n is not None else "" for n in local]
-    ids, bounds = segment_some([names[i] for i in (some // variants).tolist()], some % variants, pieces, dropout, seed)
-    n = np.diff(bounds)[which]
-    flat = gather(ids, bounds[:-1][which], n)
-    return flat, np.append(0, np.cumsum(n))[np.append(0, np.cumsum(sizes))]
-
-
-def segment_some(units: list[str], variant: np.ndarray, pieces: Pieces, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """segment(), where an empty unit stands for a U+2581 of the text itself."""
-    full = np.array([bool(u) for u in units], bool)
-    ids, bounds = segment([u for u in units if u], variant[full], pieces, dropout, seed)
+    drawn = mixed(doc ^ mixed(place.astype(np.uint64) ^ np.uint64(seed % 2**64)))
+    some = [segment_some(units, which[a : a + SLICE], mark, drawn[a : a + SLICE], pieces, dropout, seed) for a in range(0, max(len(which), 1), SLICE)]
+    n = np.concatenate([np.diff(bounds) for _, bounds in some])
+    return np.concatenate([ids for ids, _ in some]), np.append(0, np.cumsum(n))[ends]
+
+
+def segment_some(units: Units, which: np.ndarray, mark: int, drawn: np.ndarray, pieces: Pieces, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """segment_of(), where the unit ``mark`` stands for a U+2581 of the text itself."""
+    full = which != mark
+    ids, bounds = segment_of(units, which[full], drawn[full], pieces, dropout, seed)
     if full.all():
         return ids, bounds
-    sizes = np.full(len(units), 3)
+    sizes = np.full(len(which), 3)
     sizes[full] = np.diff(bounds)
     out = np.zeros(sizes.sum(), np.int32)
     mine = np.repeat(full, sizes)
@@ -281,12 +306,12 @@ def decode_ids(ids: np.ndarray, bounds: np.ndarray, pieces: Pieces) -> tuple[np.
     return data[keep], ends - np.append(0, np.cumsum(np.diff(ends) > 0))
 
 
-def encode_batches(name: str, dropout: float, seed: int, variants: int):
+def encode_batches(name: str, dropout: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(name)
         for batch in chunks(batches, "text", CHUNK):
             keys = np.array(batch.column("doc_id").fill_null(-1).to_pylist(), np.int64)
-            ids, bounds = encode_texts(batch.column("text").to_pylist(), keys, pieces, dropout, seed, variants)
+            ids, bounds = encode_texts(batch.column("text").to_pylist(), keys, pieces, dropout, seed)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))], ["doc_id", "ids"])
 
     return run
@@ -304,9 +329,9 @@ def decode_batches(name: str):
     return run
 
 
-def check_batches(name: str, dropout: float, seed: int, variants: int):
+def check_batches(name: str, dropout: float, seed: int):
     """Encodes, decodes the ids and compares with the text."""
-    encode = encode_batches(name, dropout, seed, variants)
+    encode = encode_batches(name, dropout, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", CHUNK):
@@ -318,9 +343,9 @@ def check_batches(name: str, dropout: float, seed: int, variants: int):
     return run
 
 
-def encode(docs: DataFrame, dropout: float = 0.1, seed: int = 0, name: str = MODEL, variants: int = VARIANTS) -> DataFrame:
+def encode(docs: DataFrame, dropout: float = 0.1, seed: int = 0, name: str = MODEL) -> DataFrame:
     """doc_id, ids of every row of ``docs`` (doc_id, text)."""
-    return docs.select("doc_id", "text").mapInArrow(encode_batches(name, dropout, seed, variants), "doc_id long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(encode_batches(name, dropout, seed), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, name: str = MODEL) -> DataFrame:
@@ -328,9 +353,9 @@ def decode(encoded: DataFrame, name: str = MODEL) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(decode_batches(name), "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, dropout: float = 0.1, seed: int = 0, name: str = MODEL, variants: int = VARIANTS) -> DataFrame:
+def round_trip(docs: DataFrame, dropout: float = 0.1, seed: int = 0, name: str = MODEL) -> DataFrame:
     """doc_id, ids, n_ids, and lossless: whether decoding the ids gave the text."""
-    return docs.select("doc_id", "text").mapInArrow(check_batches(name, dropout, seed, variants), "doc_id long, ids array<int>, n_ids long, lossless boolean")
+    return docs.select("doc_id", "text").mapInArrow(check_batches(name, dropout, seed), "doc_id long, ids array<int>, n_ids long, lossless boolean")
 
 
 def op2_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
