@@ -17,7 +17,9 @@ base spans of different kinds may.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 HINT = re.compile(r"[0-9@]")
 TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\s\w]|_|\S")
 LONGEST = 14
+#: Most characters of a candidate; tokens that are scored at a time.
+REACH = 64
+BLOCK = 400
 CLEAR = 2.0
 
 Span = tuple[int, int]
@@ -122,40 +127,38 @@ def features(text: str, start: int, end: int) -> list[int]:
 N_FEATURES = 18 + 19
 
 
-def windows(text: str) -> list[list[Span]]:
-    """Token spans around digits and at signs; windows are LONGEST tokens apart or more."""
-    out: list[list[Span]] = []
+def windows(text: str) -> Iterator[list[Span]]:
+    """Token spans around digits and at signs. No candidate crosses from a window to the next: they are more than REACH apart from
+    each other's digits and signs or, after BLOCK tokens, end at white space of two characters or more."""
     done = 0
     for m in HINT.finditer(text):
         if m.start() < done:
             continue
-        start = max(done, m.start() - 64)
         tokens, last = [], m.start()
-        for t in TOKEN.finditer(text, start):
-            if t.start() > last + 64:
+        for t in TOKEN.finditer(text, max(done, m.start() - REACH)):
+            if t.start() > last + 2 * REACH or (len(tokens) >= BLOCK and t.start() - tokens[-1][1] > 1):
                 break
             tokens.append(t.span())
             if HINT.search(t.group()):
                 last = t.end()
-            if len(tokens) >= 400:
-                last = t.end()
-                break
-        done = max(last, tokens[-1][1] if tokens else last)
-        out.append(tokens)
-    return out
+        while tokens[-1][0] > last + REACH:
+            tokens.pop()
+        done = tokens[-1][1]
+        yield tokens
 
 
-def candidates(text: str, tokens: list[Span], taken: list[Span]) -> list[tuple[int, int]]:
-    """Token ranges that may be entities: with a digit or at sign, clear of ``taken``, no white space but single spaces."""
+def candidates(text: str, tokens: list[Span], taken: list[Span], most: int | None = None) -> list[tuple[int, int]]:
+    """Token ranges that may be entities, of the first ``most`` starts: with a digit or at sign, clear of ``taken`` (in order), no white space but single spaces."""
     hint = [bool(HINT.search(text[a:b])) for a, b in tokens]
-    free = [not any(a < y and x < b for x, y in taken) for a, b in tokens]
+    first, until = [x for x, _ in taken], [0, *accumulate((y for _, y in taken), max)]
+    free = [until[bisect_left(first, b)] <= a for a, b in tokens]
     out = []
-    for i, (a, _) in enumerate(tokens):
+    for i, (a, _) in enumerate(tokens[:most]):
         if not free[i] or not (text[a].isalnum() or text[a] in "+("):
             continue
         any_hint = False
         for j in range(i, min(i + LONGEST, len(tokens))):
-            if not free[j] or (j > i and tokens[j][0] - tokens[j - 1][1] > 1) or (tokens[j][1] - a > 64):
+            if not free[j] or (j > i and tokens[j][0] - tokens[j - 1][1] > 1) or (tokens[j][1] - a > REACH):
                 break
             any_hint = any_hint or hint[j]
             if any_hint and text[tokens[j][1] - 1].isalnum():
@@ -165,25 +168,36 @@ def candidates(text: str, tokens: list[Span], taken: list[Span]) -> list[tuple[i
 
 def best_segments(n: int, ranges: list[tuple[int, int]], scores: np.ndarray) -> list[tuple[int, int, int]]:
     """Viterbi over segmentations of n tokens: chosen (start, end, kind)."""
-    ending: dict[int, list[int]] = {}
-    for c, (_, j) in enumerate(ranges):
-        ending.setdefault(j, []).append(c)
-    best, back = [0.0] * (n + 1), [None] * (n + 1)
-    for j in range(1, n + 1):
-        best[j] = best[j - 1]
-        for c in ending.get(j, ()):
-            kind = int(scores[c].argmax())
-            value = best[ranges[c][0]] + float(scores[c, kind])
-            if value > best[j]:
-                best[j], back[j] = value, (c, kind)
+    return best_of_blocks(n, [(ranges, scores)])
+
+
+def best_of_blocks(n: int, blocks: Iterable[tuple[list[tuple[int, int]], np.ndarray]]) -> list[tuple[int, int, int]]:
+    """best_segments() of ranges that come in blocks, by start; for each end only the best one is kept."""
+    best, start, kinds = [0.0] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
+    at = 0
+
+    def move(to: int) -> None:
+        """Makes best[: to + 1] final: leaving a token out counts 0."""
+        nonlocal at
+        for j in range(at + 1, to + 1):
+            if start[j] < 0 or best[j] <= best[j - 1]:
+                best[j], start[j] = best[j - 1], -1
+        at = max(at, to)
+
+    for ranges, scores in blocks:
+        for (i, j), kind, score in zip(ranges, scores.argmax(1).tolist(), scores.max(1).tolist(), strict=True):
+            move(i)
+            value = best[i] + score
+            if start[j] < 0 or value > best[j]:
+                best[j], start[j], kinds[j] = value, i, kind
+    move(n)
     out, j = [], n
     while j > 0:
-        if back[j] is None:
+        if start[j] < 0:
             j -= 1
         else:
-            c, kind = back[j]
-            out.append((ranges[c][0], ranges[c][1], kind))
-            j = ranges[c][0]
+            out.append((start[j], j, kinds[j]))
+            j = start[j]
     return out[::-1]
 
 
@@ -218,8 +232,8 @@ def fit_field(texts: list[str], passes: int = 8, rate: float = 0.3, most: int =
     for text in texts:
         gold = {span: k for k, spans in enumerate(base_spans(text).values()) for span in spans}
         for tokens in windows(text):
-            ranges = candidates(text, tokens, [])
-            if not ranges or len(tokens) > 60:
+            ranges = candidates(text, tokens, []) if len(tokens) <= 60 else []
+            if not ranges:
                 continue
             y = np.zeros((len(ranges), len(KINDS)))
             for c, (i, j) in enumerate(ranges):
@@ -239,17 +253,17 @@ def fit_field(texts: list[str], passes: int = 8, rate: float = 0.3, most: int =
 
 def field_spans(text: str, base: dict[str, list[Span]], weights: np.ndarray) -> list[tuple[int, int, str]]:
     """What the field adds: (start, end, kind) clear of the base spans."""
-    taken = [s for spans in base.values() for s in spans]
-    out = []
-    for tokens in windows(text):
-        if not tokens:
-            continue
-        lo, hi = tokens[0][0], tokens[-1][1]
-        ranges = candidates(text, tokens, [s for s in taken if s[0] < hi and lo < s[1]])
-        if ranges:
-            scores = design(text, tokens, ranges) @ weights.T - CLEAR
-            out += [(tokens[i][0], tokens[j - 1][1], KINDS[k]) for i, j, k in best_segments(len(tokens), ranges, scores)]
-    return out
+    taken = sorted(s for spans in base.values() for s in spans)
+    first, until = [x for x, _ in taken], list(accumulate((y for _, y in taken), max))
+
+    def scored(tokens: list[Span]) -> Iterator[tuple[list[tuple[int, int]], np.ndarray]]:
+        for at in range(0, len(tokens), BLOCK):
+            some = tokens[at : at + BLOCK + LONGEST - 1]
+            ranges = candidates(text, some, taken[bisect_right(until, some[0][0]) : bisect_left(first, some[-1][1])], BLOCK)
+            if ranges:
+                yield [(at + i, at + j) for i, j in ranges], design(text, some, ranges) @ weights.T - CLEAR
+
+    return [(tokens[i][0], tokens[j - 1][1], KINDS[k]) for tokens in windows(text) for i, j, k in best_of_blocks(len(tokens), scored(tokens))]
 
 
 def written(spans: dict[str, list[Span]]) -> str:

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from colloquy.llm import pieces
+from colloquy.llm import pieces, pii
 
 MANY = 20000
 
@@ -27,3 +27,44 @@ def test_draws_are_the_same_in_any_slices(monkeypatch):
     assert [x.tolist() for x in pieces.encode_texts(texts, np.arange(4), m, 0.3)] == want
     alone = [pieces.encode_texts([t], np.array([i]), m, 0.3)[0].tolist() for i, t in enumerate(texts)]
     assert sum(alone, []) == want[0]
+
+
+def numbers(n):
+    """Single digits apart from each other, of which none is an entity by itself."""
+    return " ".join("7" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def weights():
+    """A field that takes what starts with a plus sign and has 9 to 11 digits, and nothing else."""
+    w = np.full((len(pii.KINDS), pii.N_FEATURES), 0.0)
+    w[:, 0] = -50
+    w[pii.KINDS.index("phone"), [0, 4, 18]] = -25, 20, 20
+    return w
+
+
+@pytest.mark.parametrize("before", [*range(380, 404), 790, 797, 4000])
+def test_spans_over_any_place_of_long_windows_are_whole(weights, before):
+    number = "+49 30 1234567"
+    text = f"{numbers(before)} {number} {numbers(30)}"
+    a = text.index("+")
+    found = pii.field_spans(text, {k: [] for k in pii.KINDS}, weights)
+    assert found == [(a, a + len(number), "phone")]
+
+
+@pytest.mark.parametrize("gap", range(40, 140, 7))
+def test_no_candidate_crosses_windows(gap):
+    """All candidates of the text's tokens, without windows, are candidates of some window."""
+    text = f"no 1 {'word ' * 40}"[:gap] + " some.long.name.of.some.one@mail.example.org " + "a 1 " * 900 + " b@c.de  " + "4 a " * 10
+    tokens = [t.span() for t in pii.TOKEN.finditer(text)]
+    every = {(tokens[i][0], tokens[j - 1][1]) for i, j in pii.candidates(text, tokens, [])}
+    assert {(w[i][0], w[j - 1][1]) for w in pii.windows(text) for i, j in pii.candidates(text, w, [])} == every
+
+
+def test_taken_spans_of_any_order_are_kept_clear():
+    text = "12 34 56 78 90"
+    tokens = [t.span() for t in pii.TOKEN.finditer(text)]
+    for taken in ([], [(0, 8), (3, 5)], [(3, 5), (9, 11)], [(2, 3)]):
+        free = [not any(a < y and x < b for x, y in taken) for a, b in tokens]
+        want = {(i, j) for i in range(5) for j in range(i + 1, 6) if all(free[i:j])}
+        assert set(pii.candidates(text, tokens, taken)) == want
