@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -106,16 +108,23 @@ def mean_dissimilarity(vectors: DataFrame, by: str, vec: str) -> DataFrame:
 
 
 def novelty_archive(rows: DataFrame, by: str, order: str, vec: str, threshold: float) -> DataFrame:
-    """Keeps, in order, each row farther than ``threshold`` from every row kept before it: a fold over the group's batches, of which only the kept vectors are held."""
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order)
-        points, kept = np.array(frame[vec].tolist(), float), []
-        for i, p in enumerate(points):
-            if not kept or np.sqrt(((points[kept] - p) ** 2).sum(1)).min() > threshold:
-                kept.append(i)
-        return frame.iloc[kept]
-
-    return rows.groupBy(by).applyInPandas(fold, rows.schema)
+    """Keeps, in order, each row farther than ``threshold`` from every row kept before it: a fold over sorted batches, of which only the group's kept vectors are held."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, kept, n = None, np.zeros((0, 0)), 0
+        for batch in batches:
+            stay = []
+            for i, (g, v) in enumerate(zip(batch.column(by).to_pylist(), batch.column(vec).to_pylist(), strict=True)):
+                p = np.array(v, float)
+                if not n or not (g == group or (g != g and group != group)):
+                    group, kept, n = g, np.zeros((16, len(p))), 0
+                if not n or np.sqrt(((kept[:n] - p) ** 2).sum(1)).min() > threshold:
+                    if n == len(kept):
+                        kept = np.concatenate((kept, np.zeros_like(kept)))
+                    kept[n], n = p, n + 1
+                    stay.append(i)
+            yield batch.take(pa.array(stay, pa.int64()))
+
+    return rows.repartition(by).sortWithinPartitions(by, F.asc_nulls_last(order)).mapInArrow(fold, rows.schema)
 
 

@@ -1,7 +1,12 @@
 """Queries on small tables of which a part would give another result, and against whole-table SQL of the tests' own."""
 
+import math
+import random
+
+import numpy as np
 import pytest
 
+from colloquy.operators import quality
 from colloquy.plans import content, metrics, searching
 
 from duck import assert_same
@@ -53,3 +58,24 @@ def test_uncovered_pairs_equals_whole_sql(spark):
 def test_date_steps_has_every_order(spark):
     sql = "SELECT o_orderkey, array_to_string(list_transform(range(5), lambda i: strftime(CAST(o_orderdate AS DATE) + CAST(i * 30 AS INTEGER), '%Y-%m-%d')), ',') AS dates, CAST(o_orderkey % 24 * 3600 + o_orderkey % 60 * 60 + o_orderkey % 7 AS INTEGER) AS seconds FROM orders"
     assert_same(searching.date_steps(spark, DATA), sql, DATA)
+
+
+def test_novelty_archive_takes_groups_in_batches(spark):
+    rng = np.random.default_rng(4)
+    rows = [(g, i, rng.uniform(0, 10, 2).tolist()) for g in (None, "a", "b", "c") for i in range(200)]
+    want = set()
+    for g in (None, "a", "b", "c"):
+        kept = []
+        for _, i, v in (r for r in rows if r[0] == g):
+            if all(math.dist(v, w) > 1.0 for w in kept):
+                kept.append(v)
+                want.add((g, i))
+    frame = spark.createDataFrame(random.Random(5).sample(rows, len(rows)), "g string, i int, v array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = quality.novelty_archive(frame, "g", "i", "v", 1.0)
+        assert {(r.g, r.i) for r in out.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # no operator takes a whole group as one frame
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
