@@ -1,4 +1,4 @@
-"""Exact repeated-substring removal by a distributed difference-cover sort.
+"""Repeated-substring removal by fingerprints at difference-cover places, in ranges over the cluster; not a suffix sort.
 
 Two equal strings of ``length`` bytes at any places i and j have an offset d < v with i + d and
 j + d both in a difference cover D modulo v (q + 1 residues of v = q^2 + q + 1). So:
