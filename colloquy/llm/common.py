@@ -1,8 +1,7 @@
-"""Shared helpers: materialised intermediates and bounded Arrow chunks."""
+"""Shared helpers: materialised intermediates, joins with hot keys and bounded Arrow chunks."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -14,20 +13,57 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 8 << 20
 
 
+#: A key is hot with over this many rows and over one of HOT_KEYS parts of all; so fewer than HOT_KEYS keys are.
+HOT_ROWS, HOT_KEYS = 256, 2048
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where it is unset (tests) a local one."""
+    """The folder named by spark.checkpoint.dir, which driver and executors share."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="colloquy-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    # one process on one machine: the warehouse is as good
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: writes ``df`` as a Parquet table in the shared folder and reads it back."""
-    path = f"{shared_dir(df.sparkSession)}/colloquy-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cuts the lineage: writes ``df`` as a Parquet table in the shared folder and reads it back. Its shuffle files go once it is written."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/colloquy-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialised tables that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.written)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def skew_join(big: DataFrame, small: DataFrame, keys: list[str], rows: str) -> DataFrame:
+    """Inner join on keys that are unique in ``small`` and never null; ``rows`` is small's column of how many rows of ``big`` have the key.
+
+    Hot keys go to every task: there are fewer than ``HOT_KEYS``. All others are shuffled, and none has more
+    than one of ``HOT_KEYS`` parts of the rows.
+    """
+    total = small.agg(F.sum(rows)).first()[0] or 0
+    hot = small.filter(F.col(rows) > max(HOT_ROWS, total // HOT_KEYS))
+    if hot.isEmpty():
+        return big.join(small, keys)
+    rest = big.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(small, keys)
+    return big.join(F.broadcast(hot), keys).unionByName(rest)
 
 
 def n_partitions(spark: SparkSession) -> int:

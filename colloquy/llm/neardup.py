@@ -1,8 +1,9 @@
-"""Near-duplicate classes of documents by DartMinHash, banding and exact checks.
+"""Near-duplicate classes of documents by weighted DartMinHash, banding and exact checks.
 
-Documents are sets of ``SHINGLE``-word shingles (a-z lower-cased words; fewer words make one shingle), each with
-a weight: 1, or its number of occurrences with ``weights="counts"``. Two documents are linked if the
-Jaccard similarity of their sets is at least 0.8; classes are the connected components of all links.
+Documents are multisets of ``SHINGLE``-word shingles (a-z lower-cased words; fewer words make one shingle): the weight of
+a shingle is how often it occurs, or 1 with ``weights="distinct"``. Two documents are linked if their weighted
+Jaccard similarity (sum of least weights over sum of greatest weights) is at least 0.8; classes are the connected
+components of all links.
 
 1. Texts of equal words are one node (a 128-bit digest).
 2. Signatures: hashed darts fall on (weight, rank) regions of each element, the same for every
@@ -16,11 +17,13 @@ Jaccard similarity of their sets is at least 0.8; classes are the connected comp
    of chunks of bounded size. So no link between two members of a bucket is lost, and equal or
    connected ones are never expanded into pairs.
 
-Shingle sets are made only for nodes in checks; a bit filter of fixed size keeps others from being shuffled.
-At similarity 0.8 a pair shares a bucket with probability 1 - (1 - 0.8^4)^16 > 0.9997.
+Checks compare 64-bit names of (shingle, which occurrence it is), distinct within a document, so that a count of equal names is
+the sum of least weights. They are made only for nodes in checks; a bit filter of bounded size keeps others from being shuffled.
+At similarity 0.8 a pair shares a bucket with probability 1 - (1 - 0.8^4)^16 > 0.9997. Keys that hold many rows (a text,
+bucket, class or centre of a star) are joined apart from the others or dealt in chunks (``skew_join``, ``MEMBERS``).
 
 Cases: texts without words are linked only to equal texts (null counts as empty); a repeated row is a
-copy; the class id is the least doc_id (null only if all are); other columns are ignored.
+copy; the class id is the least doc_id (null only if all are); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,17 +35,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import chunks, materialize, texts_of
+from .common import chunks, discard, materialize, skew_join, texts_of
 from .decontam import byte_codes, words_of
 from .pieces import mixed
 
 SHINGLE = 5
 COORDS, BANDS = 64, 16
 CHUNK_BYTES = 4 << 20
+#: Sets compared with each other or with one more set in a group of a task.
 MEMBERS = 128
-FILTER_BITS = 1 << 24
+#: Bits of the filter for each wanted node, and most bits in all (16 MB); a fuller filter lets more sets be shuffled.
+NODE_BITS, FILTER_BITS = 16, 1 << 27
+#: Rows that leave_one() may broadcast (17 bytes each).
+SMALL = 2_000_000
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
@@ -146,17 +152,28 @@ def sign(weights: str):
     return run
 
 
-def sets_of(bits):
-    """Sorted shingle sets (32-bit) of texts whose node may be wanted. bits: broadcast bit filter."""
+def occurrences(element: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Sorted distinct names of the occurrences: of an element with weight c, c names."""
+    which = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    names = np.repeat(element, count)
+    more = which > 0
+    names[more] = mixed(names[more] ^ mixed(which[more].astype(np.uint64)))
+    return np.unique(names)
+
+
+def sets_of(bits, weights: str):
+    """Names of the occurrences in texts whose node may be wanted. bits: broadcast bit filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted_bits = bits.value
         for batch in chunks(batches, "text", CHUNK_BYTES):
-            doc, element, _, keys = shingles(*texts_of(batch, "text"))
-            slots = np.frombuffer(b"".join(keys), np.uint64)[::2] % np.uint64(FILTER_BITS)
-            wanted = np.flatnonzero(np.unpackbits(bits.value)[slots.astype(np.int64)])
+            doc, element, count, keys = shingles(*texts_of(batch, "text"))
+            slots = (np.frombuffer(b"".join(keys), np.uint64)[::2] % np.uint64(len(wanted_bits) * 8)).astype(np.int64)
+            wanted = np.flatnonzero(wanted_bits[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1)
             cuts = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-            rows = [np.sort((element[cuts[d] : cuts[d + 1]] >> np.uint64(32)).astype(np.uint32)).tobytes() for d in wanted.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array([keys[d] for d in wanted.tolist()], pa.binary()), pa.array(rows, pa.binary())], ["node", "shingles"])
+            parts = [slice(cuts[d], cuts[d + 1]) for d in wanted.tolist()]
+            rows = [occurrences(element[p], count[p] if weights == "counts" else np.ones(p.stop - p.start, np.int64)).tobytes() for p in parts]
+            yield pa.RecordBatch.from_arrays([pa.array([keys[d] for d in wanted.tolist()], pa.binary()), pa.array(rows, pa.binary())], ["node", "names"])
 
     return run
 
@@ -170,10 +187,17 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * shared >= 4 * (len(a) + len(b) - shared)
 
 
-def check_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def check_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of rows (a, chunk, side, node, names) sorted by these: side 0 is the centre a itself, side 1 what to check against it."""
+    key = centre = None
     for batch in batches:
-        keep = [similar(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        found = []
+        for a, chunk, side, node, names in zip(*(batch.column(c).to_pylist() for c in ("a", "chunk", "side", "node", "names")), strict=True):
+            if side == 0:
+                key, centre = (a, chunk), np.frombuffer(names, np.uint64)
+            elif key == (a, chunk) and similar(centre, np.frombuffer(names, np.uint64)):
+                found.append((a, node))
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)], ["a", "b"])
 
 
 def check_chunks(table: pa.Table) -> pa.Table:
@@ -189,7 +213,7 @@ def check_chunks(table: pa.Table) -> pa.Table:
         return x
 
     out = []
-    sets = {r["node"]: np.frombuffer(r["shingles"], np.uint32) for r in rows.values()}
+    sets = {r["node"]: np.frombuffer(r["names"], np.uint64) for r in rows.values()}
     for x in left:
         for y in right:
             a, b = find(x["comp"]), find(y["comp"])
@@ -199,93 +223,122 @@ def check_chunks(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([o[0] for o in out], pa.binary()), "b": pa.array([o[1] for o in out], pa.binary())})
 
 
-def bit_filter(nodes: DataFrame) -> np.ndarray:
-    """A filter of FILTER_BITS bits (2 MB) for the nodes; it only ever lets too many through."""
-    part = lambda i: F.conv(F.substring(F.hex("node"), 1 + 2 * i, 2), 16, 10).cast("long")
-    slot = part(0) + part(1) * 256 + part(2) * 65536
+def bit_filter(nodes: DataFrame, n: int) -> np.ndarray:
+    """A filter of at most FILTER_BITS bits for n nodes; it only ever lets too many through."""
+    size = min(FILTER_BITS, max(1 << 16, 1 << (NODE_BITS * n).bit_length()))
+    byte = lambda i: F.conv(F.substring(F.hex("node"), 1 + 2 * i, 2), 16, 10).cast("long")
+    slot = F.pmod(byte(0) + byte(1) * 256 + byte(2) * 65536 + byte(3) * 16777216, F.lit(size))
     rows = nodes.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / 32768).alias("part")).agg(F.bitmap_construct_agg((F.col("slot") % 32768)).alias("bits")).collect()
-    bits = np.zeros((FILTER_BITS // 32768, 32768), np.uint8)
+    bits = np.zeros((size // 32768, 4096), np.uint8)
     for r in rows:
-        bits[r.part] = np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), bitorder="little")
-    return np.packbits(bits.ravel())
+        bits[r.part] = np.packbits(np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), bitorder="little"))
+    return bits.ravel()
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, root (the least node of its component) for the links (a, b), a < b, by alternating large and small stars."""
     edges = materialize(links.select("a", "b").distinct())
-    if edges.isEmpty():
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    while True:
+    done = edges.isEmpty()
+    while not done:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: greater neighbours of a node are linked to its least neighbour
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("m").alias("a"), "b").filter("a < b").distinct()
+        least = materialize(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m")))
+        large = materialize(skew_join(both, least, ["a"], "n").filter("b > a").select(F.col("m").alias("a"), "b").filter("a < b").distinct())
         # small star: a node and its lesser neighbours are linked to the least of them
-        small = large.groupBy(F.col("b").alias("n")).agg(F.min("a").alias("m"))
-        linked = large.join(small, large.b == small.n)
+        small = materialize(large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n")))
+        linked = skew_join(large, small, ["b"], "n")
         new = linked.select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(linked.select(F.col("m").alias("a"), "b")).filter("a < b").distinct()
         new = materialize(new)
-        if new.join(edges, ["a", "b"], "left_anti").isEmpty() and edges.join(new, ["a", "b"], "left_anti").isEmpty():
-            return new.select(F.col("b").alias("node"), F.col("a").alias("root"))
+        done = new.join(edges, ["a", "b"], "left_anti").isEmpty() and edges.join(new, ["a", "b"], "left_anti").isEmpty()
+        discard(edges, least, large, small)
         edges = new
+    out = edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    out.written = edges.written
+    return out
 
 
-def near_duplicates(docs: DataFrame, weights: str = "distinct") -> DataFrame:
+def near_duplicates(docs: DataFrame, weights: str = "counts") -> DataFrame:
     """doc_id, fp (xxhash64 of the text), class_id, class_size, kept for every row of ``docs`` (doc_id, text); one row of each class is kept."""
-    spark = docs.sparkSession
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("fp"))
-    signed = materialize(texts.mapInArrow(sign(weights), "doc_id long, fp long, node binary, bands array<long>"))
-    nodes = signed.groupBy("node").agg(F.first("bands").alias("bands"))
-    members = materialize(nodes.select("node", F.posexplode("bands").alias("band", "hash")))
-    buckets = members.groupBy("band", "hash").agg(F.min("node").alias("least"), F.count("*").alias("size")).filter("size > 1")
-    members = materialize(members.join(buckets, ["band", "hash"]))
-
-    pairs = members.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    sets = set_table(texts, members.select("node").distinct(), spark)
-    links = materialize(checked(pairs, sets))
+    signed = texts.mapInArrow(sign(weights), "doc_id long, fp long, node binary, bands array<long>").withColumn("row", F.monotonically_increasing_id())
+    signed = materialize(signed)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    nodes = materialize(signed.groupBy("node").agg(F.first("bands").alias("bands"), F.count("*").alias("copies"), first))
+    members = nodes.select("node", F.posexplode("bands").alias("band", "hash"))
+    buckets = materialize(members.groupBy("band", "hash").agg(F.min("node").alias("least"), F.count("*").alias("size")).filter("size > 1"))
+    members = materialize(skew_join(members, buckets, ["band", "hash"], "size"))
+
+    wanted = materialize(members.select("node").distinct())
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted, wanted.count()))
+    sets = texts.mapInArrow(sets_of(bits, weights), "node binary, names binary").groupBy("node").agg(F.first("names").alias("names"))
+    sets = materialize(sets)
+    links = star_checked(members.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), sets)
     found = components(links)
 
     # buckets of three or more that still have several components
-    comp = F.coalesce("root", "node").alias("comp")
-    placed = members.filter("size > 2").join(found, "node", "left").select("band", "hash", "node", comp)
+    placed = members.filter("size > 2").select("band", "hash", "node").join(found, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    placed = materialize(placed)
     per = placed.groupBy("band", "hash", "comp").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("s"))
-    open_ = per.groupBy("band", "hash").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("n").alias("n"), F.sum("s").alias("s")).filter("comps > 1")
+    open_ = per.groupBy("band", "hash").agg(F.max(F.struct("n", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("n").alias("n"), F.sum("s").alias("s")).filter("comps > 1")
     # buckets of the same members are checked once
-    open_ = open_.groupBy("n", "s").agg(F.min(F.struct("band", "hash", "main")).alias("one")).select("one.*", "n")
-    placed = materialize(placed.join(open_, ["band", "hash"]).withColumn("minor", F.col("comp") != F.col("main")))
-    more = cross_checked(placed, sets)
-    found = components(links.unionByName(more)) if not more.isEmpty() else found
-
-    classed = signed.select("doc_id", "fp", "node").join(found, "node", "left").select("doc_id", "fp", F.coalesce("root", "node").alias("root"))
-    classed = classed.withColumn("row", F.monotonically_increasing_id())
-    classed = materialize(classed)
-    first = classed.groupBy("root").agg(F.min_by(F.struct("doc_id", "row"), F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"), F.count("*").alias("class_size"))
-    return classed.join(first, "root").select("doc_id", "fp", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("first.row")).alias("kept"))
-
-
-def set_table(texts: DataFrame, nodes: DataFrame, spark: SparkSession) -> DataFrame:
-    bits = spark.sparkContext.broadcast(bit_filter(nodes))
-    return materialize(texts.mapInArrow(sets_of(bits), "node binary, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")))
-
-
-def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check_pairs, "a binary, b binary")
-
-
-def cross_checked(placed: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links among the members (band, hash, node, comp, minor) of open buckets."""
+    open_ = materialize(open_.groupBy("n", "s").agg(F.min(F.struct("band", "hash", "main")).alias("one")).select("one.band", "one.hash", "one.main", "n"))
+    more = materialize(cross_checked(placed, open_, sets))
+    if not more.isEmpty():
+        discard(found)
+        found = components(links.unionByName(more))
+
+    of = materialize(nodes.select("node", "copies", "first").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    roots = materialize(of.groupBy("root").agg(F.min("first").alias("least"), F.sum("copies").alias("class_size"), F.count("*").alias("n")))
+    of = materialize(skew_join(of.select("node", "root", "copies"), roots, ["root"], "n").select("node", "copies", "least", "class_size"))
+    discard(nodes, buckets, members, wanted, sets, links, found, placed, open_, more, roots)
+    rows = skew_join(signed.select("doc_id", "fp", "row", "node"), of, ["node"], "copies")
+    return rows.select("doc_id", "fp", F.col("least.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("least.row")).alias("kept"))
+
+
+def dealt(column: str, n: str) -> F.Column:
+    """Which of the chunks of about MEMBERS a row of a group of n is in."""
+    return F.pmod(F.xxhash64(column), F.ceil(F.col(n) / MEMBERS))
+
+
+def star_checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that are similar. The pairs of a node a are dealt in chunks, each with a's set."""
+    pairs = materialize(pairs)
+    degrees = materialize(pairs.groupBy("a").agg(F.count("*").alias("n")))
+    placed = materialize(skew_join(pairs, degrees, ["a"], "n").select("a", dealt("b", "n").alias("chunk"), "b"))
+    centres = placed.select("a", "chunk", F.lit(0).alias("side"), F.col("a").alias("node")).distinct()
+    both = centres.unionByName(placed.select("a", "chunk", F.lit(1).alias("side"), F.col("b").alias("node"))).join(sets, "node")
+    links = materialize(both.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "side").select("a", "chunk", "side", "node", "names").mapInArrow(check_stars, "a binary, b binary"))
+    discard(pairs, degrees, placed)
+    return links
+
+
+def cross_checked(placed: DataFrame, open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links among the members (band, hash, node, comp) of open buckets (band, hash, main, n) outside of the largest component, and between these and all others."""
     key = ["band", "hash"]
-    # members are dealt to chunks by a hash; their number follows from the bucket's size
-    chunk = lambda n, name: F.pmod(F.xxhash64("node"), F.ceil(F.col(n) / MEMBERS)).alias(name)
-    sizes = placed.groupBy(*key).agg(F.count_if("minor").alias("n_minor"))
-    rows = placed.join(sizes, key)
-    cut = lambda n: F.sequence(F.lit(0), F.ceil(F.col(n) / MEMBERS) - 1)
-    left = rows.filter("minor").select(*key, "node", "comp", chunk("n_minor", "i"), F.explode(cut("n")).alias("j"), F.lit(0).alias("side"))
-    right = rows.select(*key, "node", "comp", F.explode(cut("n_minor")).alias("i"), chunk("n", "j"), F.lit(1).alias("side"))
+    rows = skew_join(placed, open_, key, "n").withColumn("n_minor", F.col("n") - F.col("main.n"))
+    cut = lambda n: F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / MEMBERS) - 1)
+    left = rows.filter("comp <> main.comp").select(*key, "node", "comp", dealt("node", "n_minor").alias("i"), F.explode(cut("n")).alias("j"), F.lit(0).alias("side"))
+    right = rows.select(*key, "node", "comp", F.explode(cut("n_minor")).alias("i"), dealt("node", "n").alias("j"), F.lit(1).alias("side"))
     both = left.unionByName(right).join(sets, "node")
-    return materialize(both.groupBy(*key, "i", "j").applyInArrow(check_chunks, "a binary, b binary").distinct())
+    return both.groupBy(*key, "i", "j").applyInArrow(check_chunks, "a binary, b binary").distinct()
+
+
+def leave_one(docs: DataFrame, marked: DataFrame, small: int = SMALL) -> DataFrame:
+    """The rows of ``docs`` that ``marked`` (near_duplicates of them) keeps.
+
+    Only the keys of rows that go (and of those that are there twice, of which one stays) meet the texts: they are broadcast
+    up to ``small`` of them, else the texts are shuffled once.
+    """
+    keys = marked.groupBy("doc_id", "fp").agg(F.max("kept").alias("stays"), F.count("*").alias("n")).filter("not stays or n > 1")
+    keys = materialize(keys.select(F.col("doc_id").alias("of_id"), F.col("fp").alias("of_fp"), "stays"))
+    side = (lambda df: F.broadcast(df)) if keys.count() <= small else (lambda df: df)
+    rows = docs.withColumn("of", F.xxhash64("text"))
+    same = rows["doc_id"].eqNullSafe(F.col("of_id")) & (rows["of"] == F.col("of_fp"))
+    out = rows.join(side(keys), same, "left_anti")
+    twice = keys.filter("stays")
+    if not twice.isEmpty():
+        out = out.unionByName(rows.join(side(twice), same, "left_semi").dropDuplicates(["doc_id", "of"]))
+    return out.select(docs.columns)
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

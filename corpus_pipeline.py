@@ -23,10 +23,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves one document of each class of near duplicates."""
-    kept = neardup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("id"), F.col("fp").alias("of")).distinct()
-    rows = docs.select(*COLUMNS, F.xxhash64("text").alias("fp"))
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("fp") == F.col("of")))
-    return rows.dropDuplicates(["doc_id", "fp"]).select(COLUMNS)
+    docs = docs.select(COLUMNS)
+    return neardup.leave_one(docs, neardup.near_duplicates(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

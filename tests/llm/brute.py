@@ -30,13 +30,15 @@ def repeats(texts, size):
     return out
 
 
-def classes(rows, least=0.8):
-    """Class (least id) of each id by five-word shingles, all pairs; texts without words are equal only to themselves."""
-    sets = {}
+def classes(rows, least=0.8, weighted=True):
+    """Class (least id) of each id by weighted Jaccard of five-word shingles, all pairs; texts without words are equal only to themselves."""
+    bags = {}
     for i, t in rows:
         w = words(t)
-        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset([("", t or "")])
-    root = {i: i for i in sets}
+        bags[i] = Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter([("", t or "")])
+        if not weighted:
+            bags[i] = Counter(set(bags[i]))
+    root = {i: i for i in bags}
 
     def find(x):
         while root[x] != x:
@@ -44,15 +46,16 @@ def classes(rows, least=0.8):
         return x
 
     having = defaultdict(list)
-    for i, s in sets.items():
+    for i, s in bags.items():
         for x in s:
             having[x].append(i)
-    for i, s in sets.items():
-        for j, n in Counter(j for x in s for j in having[x] if j > i).items():
-            if n >= least * (len(s) + len(sets[j]) - n):
+    for i, s in bags.items():
+        for j in {j for x in s for j in having[x] if j > i}:
+            n = (s & bags[j]).total()
+            if n >= least * (s.total() + bags[j].total() - n):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
-    return {i: find(i) for i in sets}
+    return {i: find(i) for i in bags}
 
 
 def personal(text):

@@ -160,11 +160,39 @@ def test_near_duplicates_equal_brute_force(spark):
     want[len(rows) - 7] = len(rows) - 8
     assert {r.doc_id: r.class_id for r in got} == want
     assert sum(r.kept for r in got) == len(set(want.values()))
+    plain = neardup.near_duplicates(docs(spark, rows).repartition(3), weights="distinct").collect()
+    assert len({r.class_id for r in plain}) == len(set(brute.classes(rows, weighted=False).values()))
     again = neardup.near_duplicates(docs(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (None, None)])).collect()
     assert sorted((str(r.class_id), r.class_size, r.kept) for r in again) == [("1", 2, False), ("1", 2, True), ("None", 1, True)]
     assert neardup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_weights_tell_repeated_lines_apart(spark):
+    """Equal sets of shingles, unlike numbers of them."""
+    line = "one two three four five six seven "
+    rows = [(i, line * n + "and that is the end of it") for i, n in enumerate([3, 3, 30, 31, 200, 300])]
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs(spark, rows)).collect()}
+    assert got == brute.classes(rows) == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 5}
+    assert {r.class_id for r in neardup.near_duplicates(docs(spark, rows[2:]), weights="distinct").collect()} == {2}
+    assert len(neardup.occurrences(np.array([5, 9], np.uint64), np.array([3, 1]))) == 4
+
+
+@pytest.mark.parametrize("small", [0, 100])
+def test_one_row_of_each_class_stays(spark, monkeypatch, small):
+    from colloquy.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(common, "HOT_KEYS", 5)
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, text) for i in range(9)] + [(i, f"{text} z{i}") for i in range(20, 32)] + [(40, "alone"), (40, "alone"), (None, None), (None, ""), (None, None), (41, "")]
+    table = docs(spark, rows)
+    left = neardup.leave_one(table, neardup.near_duplicates(table), small)
+    assert left.columns == table.columns
+    assert sorted((str(r.doc_id), r.text) for r in left.collect()) == [("0", text), ("40", "alone"), ("41", "")]
+    empty = docs(spark, [])
+    assert neardup.leave_one(empty, neardup.near_duplicates(empty), small).count() == 0
+
+
 def test_open_buckets_lose_no_link(spark, monkeypatch):
     """A chain: neighbours are similar, the ends aren't; with few members a chunk the pairs are split."""
     monkeypatch.setattr(neardup, "MEMBERS", 2)
