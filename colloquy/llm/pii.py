@@ -1,15 +1,18 @@
 """Personal data: fixed base patterns, and more spans by a semi-Markov conditional random field.
 
 Base spans are those of the fixed patterns (email, ip, card, phone); they always stay. The field works on
-windows of tokens around digits and at signs: a segment of at most ``LONGEST`` tokens is scored as a
-whole (its digits, signs, shape, check digit, what stands before and after it) for each kind, tokens
+windows of tokens around digits, at signs and written-out ones ("joe at x.org"): a segment of at most ``LONGEST`` tokens is
+scored as a whole (its digits, signs, shape, check digit, what stands before and after it, cue words) for each kind, tokens
 outside of entities score 0, and dynamic programming chooses boundaries and kinds jointly. Segments
-that would touch a base span are left out, so the field only adds spans.
+that would touch a base span are left out, so the field only adds spans: local telephone numbers, cards in
+groups of other signs, masked addresses. A candidate has at most ``LONGEST`` tokens and ``REACH`` characters and no white space but
+single spaces; windows of any length are searched whole.
 
-The field is fitted on the driver on a bounded sample: windows of at most ``sample`` documents with
-digits or at signs, lowest hashes first, with the base spans as entities. Every text is searched, whole.
+The field is fitted on the driver: windows of at most ``sample`` documents with digits or at signs, lowest hashes first, with the
+base spans as entities, and ``made`` sentences of words of these documents with invented entities in many formats, or
+with dates, amounts, versions, times and the like, which are none. Every text is searched, whole.
 
-Cases: null and empty texts have no spans; repeated rows and ids stay rows of their own; other
+Cases: null and empty texts have no spans; repeated rows and ids stay rows of their own; an empty table gives no rows; other
 columns are ignored. Positions are code points, ends exclusive. Spans of one kind don't overlap;
 base spans of different kinds may.
 """
@@ -36,13 +39,14 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-HINT = re.compile(r"[0-9@]")
+#: What a candidate has: a digit, an at sign, or "at" between what may be a name and a host.
+HINT = re.compile(r"[0-9@aA](?:(?<=[0-9@])|(?<=[\w ][ (\[][aA])[tT](?=[ )\]] ?[A-Za-z0-9-]+(?:\.| (?:dot|DOT) | ?[\[(](?:dot|DOT|\.)[\])] ?)[A-Za-z0-9]))")
 TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\s\w]|_|\S")
-LONGEST = 14
+LONGEST = 16
 #: Most characters of a candidate; tokens that are scored at a time.
 REACH = 64
 BLOCK = 400
-CLEAR = 2.0
+CLEAR = 1.0
 
 Span = tuple[int, int]
 
@@ -89,6 +93,36 @@ def bucket(n: int, bounds: tuple[int, ...]) -> int:
     return sum(n >= b for b in bounds)
 
 
+#: Words before an entity that tell of its kind (fixed values), and how far before it they are looked for.
+CUES = {
+    "email": ("mail", "contact", "write to"),
+    "ip": ("ip", "host", "server", "address"),
+    "card": ("card", "visa", "credit", "account"),
+    "phone": ("tel", "phone", "call", "fax", "mobile"),
+}
+CUE_REACH = 16
+CUE = [re.compile(r"\b(?:" + "|".join(words) + r")", re.I) for words in CUES.values()]
+#: Whole shapes of spans: telephone numbers, cards, addresses, and what is none of these.
+SHAPES = [
+    re.compile(p, re.I)
+    for p in (
+        r"(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}",
+        r"(?:\+|00)[1-9][0-9]{0,2}(?:[ ./-]\(?[0-9]+\)?)+",
+        r"\(?0[1-9][0-9]{1,4}\)?(?:[ /.-][0-9]{2,})+",
+        r"0[0-9](?:[ .-][0-9]{2}){4}",
+        r"[0-9]{4}(?:([ ./-])[0-9]{4})(?:\1[0-9]{4}){2}|[0-9]{4}([ ./-])[0-9]{6}\2[0-9]{5}",
+        r"[0-9]{1,3}(?: ?[\[(](?:dot|\.)[\])] ?[0-9]{1,3}){3}|[0-9]{1,3}(?: dot [0-9]{1,3}){3}",
+        r"[a-z0-9._%+-]+(?: ?[\[(] ?(?:at|@) ?[\])] ?| at | @ |@)[a-z0-9-]+(?:(?:\.| dot | ?[\[(](?:dot|\.)[\])] ?)[a-z0-9-]+)+",
+        r"(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{2,4})(?: .*)?",
+        r"v?[0-9]{1,3}(?:[.:][0-9]{1,3}){1,2}",
+        r"[0-9]{1,3}(?:[,. ][0-9]{3})+(?:[.,][0-9]{1,2})?",
+        r"[0-9]{3,4}-[0-9]{2,4}",
+        r"[0-9a-f]{2,}(?:[:-][0-9a-f]{2,})+",
+    )
+]
+OTHER_SIGNS = re.compile(r"[^0-9A-Za-z@._%+() \[\]/-]")
+
+
 def features(text: str, start: int, end: int) -> list[int]:
     """Indexes of the features that a whole candidate span has (of N_FEATURES)."""
     s = text[start:end]
@@ -96,11 +130,12 @@ def features(text: str, start: int, end: int) -> list[int]:
     n = len(digits)
     before = text[start - 1] if start else " "
     after = text[end] if end < len(text) else " "
+    follows = text[end + 1] if end + 1 < len(text) else " "
     letters = any(c.isalpha() for c in s)
     rest = re.sub(r"[0-9]", "", s)
     tests = (
         s[0] == "+",
-        s[0] == "(" or s[:3] == "+1 ",
+        s[0] == "(",
         "@" in s[1:-1],
         "@" in s and "." in s[s.index("@") :],
         letters,
@@ -110,21 +145,37 @@ def features(text: str, start: int, end: int) -> list[int]:
         " " in s,
         "-" in s,
         "(" in s and ")" in s,
+        ("(" in s) != (")" in s) or ("[" in s) != ("]" in s),
         not rest,
         before.isalnum() or before in "=_\"'/",
         after.isalnum() or after in "=_\"'/",
-        before in "+.@-" or after in "@-",
-        any(c in s for c in "=\"'/:#%&*"),
+        before in "+.@-:$€£#" or after in "@-:%",
+        after in ".," and follows.isalnum(),
+        OTHER_SIGNS.search(s) is not None,
         s[-1] in ".,-)" or s[0] in ".,-)",
-        "  " in s or "\n" in s,
-        re.fullmatch(r"\+?[0-9]{0,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-][0-9]{2,4}){1,3}", s) is not None,
+        "\n" in s or "\t" in s,
+        n > 0 and not letters and len({c for c in rest}) > 3,
     )
     out = [0, 1 + bucket(n, (1, 7, 9, 12, 13, 20)), 8 + bucket(s.count("."), (1, 2, 3, 4)), 13 + bucket(len(s), (7, 12, 20, 32))]
     out += [18 + i for i, t in enumerate(tests) if t]
+    at = 18 + len(tests)
+    fits = [at + i for i, shape in enumerate(SHAPES) if shape.fullmatch(s)]
+    out += fits or [at + len(SHAPES)]
+    at += len(SHAPES) + 1
+    near = text[max(0, start - CUE_REACH) : start]
+    # cue words count beside a shape
+    out += [at + i + len(CUE) * bool(fits) for i, cue in enumerate(CUE) if cue.search(near)]
+    if 13 <= n <= 19 and not letters:
+        out.append(at + 2 * len(CUE) + luhn(s))
     return out
 
 
-N_FEATURES = 18 + 19
+N_FEATURES = 18 + 21 + len(SHAPES) + 1 + 2 * len(CUES) + 2
+
+
+def hinted(text: str, start: int, end: int) -> bool:
+    """Whether a token has a digit, is an at sign or stands for one."""
+    return text[start].isdigit() or HINT.match(text, start) is not None
 
 
 def windows(text: str) -> Iterator[list[Span]]:
@@ -139,7 +190,7 @@ def windows(text: str) -> Iterator[list[Span]]:
             if t.start() > last + 2 * REACH or (len(tokens) >= BLOCK and t.start() - tokens[-1][1] > 1):
                 break
             tokens.append(t.span())
-            if HINT.search(t.group()):
+            if HINT.search(t.group()) or HINT.match(text, t.start()):
                 last = t.end()
         while tokens[-1][0] > last + REACH:
             tokens.pop()
@@ -149,7 +200,7 @@ def windows(text: str) -> Iterator[list[Span]]:
 
 def candidates(text: str, tokens: list[Span], taken: list[Span], most: int | None = None) -> list[tuple[int, int]]:
     """Token ranges that may be entities, of the first ``most`` starts: with a digit or at sign, clear of ``taken`` (in order), no white space but single spaces."""
-    hint = [bool(HINT.search(text[a:b])) for a, b in tokens]
+    hint = [hinted(text, a, b) for a, b in tokens]
     first, until = [x for x, _ in taken], [0, *accumulate((y for _, y in taken), max)]
     free = [until[bisect_left(first, b)] <= a for a, b in tokens]
     out = []
@@ -224,13 +275,78 @@ def design(text: str, tokens: list[Span], ranges: list[tuple[int, int]]) -> np.n
     return x
 
 
-def fit_field(texts: list[str], passes: int = 8, rate: float = 0.3, most: int = 500) -> np.ndarray:
-    """Weights (kinds x features) of greatest likelihood of the texts' base spans, by stochastic gradient."""
+def invented(random: np.random.Generator) -> tuple[str, str | None]:
+    """An entity in one of its formats and its kind, or something that is none."""
+    d = lambda n: "".join(map(str, random.integers(0, 10, n)))
+    pick = lambda *xs: xs[int(random.integers(len(xs)))]
+    area, line = str(random.integers(200, 1000)), str(random.integers(200, 1000))
+    kind = pick(*KINDS, None, None)
+    if kind == "phone":
+        return (
+            pick(
+                f"+1 ({area}) {line}-{d(4)}", f"({area}) {line}-{d(4)}", f"{area}-{line}-{d(4)}", f"{area}.{line}.{d(4)}", f"{area} {line} {d(4)}", f"1-{area}-{line}-{d(4)}",
+                f"00{random.integers(30, 99)} {random.integers(10, 999)} {d(int(random.integers(5, 9)))}", f"+{random.integers(20, 99)} {random.integers(1, 999)} {d(int(random.integers(5, 9)))}",
+                f"0{random.integers(20, 999)} {d(int(random.integers(6, 9)))}", f"0{random.integers(20, 9999)}/{d(int(random.integers(5, 9)))}", f"0{random.integers(1, 9)} {d(2)} {d(2)} {d(2)} {d(2)}", f"020 {d(4)} {d(4)}",
+            ),
+            kind,
+        )
+    if kind == "card":
+        body = pick("4", "5", "37", "6")
+        size = 15 if body == "37" else 16
+        body += d(size - 1 - len(body))
+        body += next(c for c in "0123456789" if luhn(body + c))
+        sign = pick(" ", "-", ".", "/", "")
+        cuts = (0, 4, 10, 15) if size == 15 else (0, 4, 8, 12, 16)
+        return sign.join(body[x:y] for x, y in zip(cuts, cuts[1:])), kind
+    if kind == "ip":
+        return pick(".", ".", "[.]", "(.)", "[dot]", " dot ").join(str(random.integers(pick(10, 100, 256, 256))) for _ in range(4)), kind
+    if kind == "email":
+        name = lambda: "".join(map(chr, random.integers(97, 123, int(random.integers(1, 9)))))
+        local = pick(name(), f"{name()}.{name()}", f"{name()}{d(2)}", f"{name()}_{name()}")
+        host = pick([name(), pick("com", "org", "net", "de")], [name(), name(), pick("com", "example")])
+        return local + pick("@", "@", " @ ", " at ", "(at)", " (at) ", "[at]", " [at] ") + pick(".", ".", " dot ", "[dot]", " [dot] ").join(host), kind
+    year, month, day = random.integers(1900, 2100), random.integers(1, 13), random.integers(1, 29)
+    other = d(15)
+    other += next(c for c in "0123456789" if not luhn(other + c))
+    return (
+        pick(
+            f"{year}-{month:02}-{day:02}", f"{day}.{month}.{year}", f"{month}/{day}/{year}", f"{year}-{month:02}-{day:02} {random.integers(24):02}:{d(2)}", f"{random.integers(24)}:{d(2)}", str(year), f"{year}-{year + 1}",
+            f"v{random.integers(9)}.{random.integers(20)}.{random.integers(9)}", f"{random.integers(9)}.{random.integers(20)}", f"${random.integers(1000)}.{d(2)}", f"{random.integers(1, 999)},{d(3)},{d(3)}", f"{random.integers(1, 999)} {d(3)} {d(3)}",
+            d(int(random.integers(1, 13))), other, f"{d(4)}-{d(4)}", f"#{d(6)}", f"{d(3)}-{d(2)}", f"{random.integers(100)}%", "token = \"" + "".join(pick(*"0123456789abcdef") for _ in range(40)) + '"', f"p. {d(3)}-{d(3)}", f"ISBN 978-{d(1)}-{d(4)}-{d(4)}-{d(1)}",
+            f"looking at {d(1)}.{d(1)}", f"{random.integers(300, 999)}.{random.integers(300, 999)}.{d(3)}.{d(3)}", f"{random.integers(99)} x {random.integers(99)}", f"{d(2)}.{d(3)}.{d(3)}",
+        ),
+        None,
+    )
+
+
+def sentences(texts: list[str], random: np.random.Generator, made: int) -> Iterator[tuple[str, dict[Span, int]]]:
+    """Texts of a few words of ``texts`` around invented entities, and which spans are of which kind."""
+    for _ in range(made):
+        words = re.findall(r"[^\W\d_]+[.,;]?", texts[int(random.integers(len(texts)))][:4096]) if texts else []
+        text, gold = "", {}
+        for _ in range(int(random.integers(1, 3))):
+            at = int(random.integers(len(words) + 1))
+            text += "".join(w + " " for w in words[at : at + int(random.integers(0, 7))])
+            entity, kind = invented(random)
+            if kind and random.random() < 0.3:
+                cues = CUES[kind]
+                text += cues[int(random.integers(len(cues)))] + (": ", " ", ". ")[int(random.integers(3))]
+            if kind:
+                gold[len(text), len(text) + len(entity)] = KINDS.index(kind)
+            text += entity + (" ", ". ", ", ", "\n")[int(random.integers(4))]
+        at = int(random.integers(len(words) + 1))
+        text += " ".join(words[at : at + int(random.integers(0, 7))])
+        yield text.strip(), gold
+
+
+def fit_field(texts: list[str], passes: int = 8, rate: float = 0.3, most: int = 500, made: int = 1200) -> np.ndarray:
+    """Weights (kinds x features) of greatest likelihood of at most ``most`` texts' base spans and of ``made`` sentences' entities, by stochastic gradient."""
     weights = np.zeros((len(KINDS), N_FEATURES))
     weights[:, 0] = -4
+    random = np.random.Generator(np.random.PCG64(9))
     data = []
-    for text in texts:
-        gold = {span: k for k, spans in enumerate(base_spans(text).values()) for span in spans}
+
+    def learn(text: str, gold: dict[Span, int]) -> None:
         for tokens in windows(text):
             ranges = candidates(text, tokens, []) if len(tokens) <= 60 else []
             if not ranges:
@@ -241,9 +357,13 @@ def fit_field(texts: list[str], passes: int = 8, rate: float = 0.3, most: int =
                 if kind is not None:
                     y[c, kind] = 1
             data.append((len(tokens), ranges, design(text, tokens, ranges), y))
+
+    for text in texts:
+        learn(text, {span: k for k, spans in enumerate(base_spans(text).values()) for span in spans})
         if len(data) >= most:
             break
-    random = np.random.Generator(np.random.PCG64(9))
+    for text, gold in sentences(texts, random, made):
+        learn(text, gold)
     for p in range(passes):
         for d in random.permutation(len(data)).tolist():
             n, ranges, x, y = data[d]
@@ -287,10 +407,11 @@ def find_rows(weights: np.ndarray):
             rows = []
             for text in batch.column("text").to_pylist():
                 base, every = all_spans(text, weights)
-                rows.append((*(len(base[k]) for k in KINDS), written(base), written(every)))
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            types = [pa.int64()] * 4 + [pa.string()] * 2
-            names = [f"n_{k}" for k in KINDS] + ["base", "spans"]
+                spans = written(every)
+                rows.append((*(len(base[k]) for k in KINDS), written(base), spans, mask(text, spans)))
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            types = [pa.int64()] * 4 + [pa.string()] * 3
+            names = [f"n_{k}" for k in KINDS] + ["base", "spans", "text"]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", *names])
 
     return run
@@ -311,9 +432,9 @@ def fit_pii(docs: DataFrame, sample: int = 300, max_bytes: int = 1 << 15) -> np.
 
 
 def find_pii(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base and spans (texts of all) of every row of ``docs``."""
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base and spans (all, written), text (masked) of every row of ``docs``."""
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return docs.select("doc_id", "text").mapInArrow(find_rows(weights), f"doc_id long, {counts}, base string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(find_rows(weights), f"doc_id long, {counts}, base string, spans string, text string")
 
 
 def mask(text: str | None, spans: str) -> str | None:
@@ -336,4 +457,4 @@ def mask_pii(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = find_pii(docs, fit_pii(docs))
-    return found.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans", "text")
