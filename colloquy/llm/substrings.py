@@ -1,25 +1,30 @@
-"""Repeated-substring removal by fingerprints at difference-cover places, in ranges over the cluster; not a suffix sort.
-
-Two equal strings of ``length`` bytes at any places i and j have an offset d < v with i + d and
-j + d both in a difference cover D modulo v (q + 1 residues of v = q^2 + q + 1). So:
-
-0. Equal whole texts are found by a digest; one of each stays in play, the rest are known.
-1. The sampled suffixes (positions in D modulo v, about 8 in 100) are named by a fingerprint of their first
-   length - v + 1 bytes. Names are sorted in ranges over the cluster; adjacent equal ones are shared.
-   A sampled suffix whose name nobody shares is discarded, and with it every suffix that has no other.
-2. The remaining suffixes (those with a sample of a shared name among their first v places) are named by
-   ``length`` bytes, sorted and compared with their neighbours in the order in the same way: equal ones
-   start repeated strings.
-3. Bytes covered by repeated strings are removed.
-
-Only equality of prefixes is needed, so suffixes are sorted by 64-bit fingerprints of prefixes instead of by the
-bytes (digests of whole texts have 128 bits). Texts are packed in blocks that stay where they are
-(kept on disk by Spark, recomputed if lost); per step a block sends each distinct name once to the name's
-range and gets back one bit, so a name that occurs everywhere is no hot key.
+"""Repeated-substring removal by a distributed difference-cover suffix sort of bounded depth.
+
+A byte goes if a string of ``length`` bytes that covers it starts anywhere else, too; so only the order of suffixes by their
+first ``length`` bytes matters, and equal prefixes stand next to each other in it.
+
+1. Equal whole texts are found by a 128-bit digest; one of each stays in play, the rest are known.
+2. A filter: two equal strings have an offset d < v at which both have a place of a difference cover modulo v (q + 1
+   residues of v = q^2 + q + 1). Samples at these places are named by a 64-bit fingerprint of the length - v + 1 bytes that
+   equal strings then share; a suffix stays in play if one of its first v places has a name that occurs elsewhere. Chance equals
+   only keep more in play.
+3. Of the suffixes in play those at places 1 and 2 modulo 3 (the difference cover of triples) are sorted: first by a triple of words
+   of 8 bytes, in ranges between sampled bounds; the rank among distinct triples is the suffix's name. Then names are recursed
+   on: triples of names, a name's reach apart, are sorted and named again, so names stand for 24, 72, 216, ... bytes, up
+   to the last multiple of 6 that is 2 or more below ``length``. All are exact ranks; no two strings share one.
+4. The remaining suffixes (places 0 modulo 3) are merged with them: any two kinds have a distance of 1 or 2 at which both are
+   at a sorted place, so bytes up to there, the rank there and the bytes after its reach decide. In each range the three sorted
+   lists are merged, and adjacent prefixes are compared in the same terms, which is equality of their bytes.
+5. Bytes covered by repeated strings are removed.
+
+Texts are packed in blocks. Per step a block sends each distinct key once to the key's range and gets back its rank or one
+bit, so a string that occurs everywhere is no hot key; there are as many ranges as bytes ask for. Every step is a table in the shared folder,
+deleted when the next is written.
 
 Cases: null and empty texts have no bytes and keep nothing (the digest of the empty string); texts
 shorter than ``length`` lose nothing; repeated rows are copies of each other; null and repeated ids
-stay rows of their own; other columns are ignored.
+stay rows of their own; an empty table gives no rows; other columns are ignored. The text that is left is without characters of
+which only a part is left.
 """
 
 from __future__ import annotations
@@ -30,18 +35,24 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import chunks, materialize, n_partitions, pack, texts_of, unpack
+from .common import chunks, discard, lowest, materialize, n_partitions, narrow, pack, texts_of, unpack
 from .pieces import mixed
 
 BLOCK = 2 << 20
 LENGTH = 400
 BASE = 0x9E3779B97F4A7C15
-REQUEST = "block long, bucket int, data binary"
-REPLY = "block long, step int, bucket int, data binary"
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+#: Bytes of text, and suffixes in play, for each range of names.
+RANGE_BYTES, RANGE_SUFFIXES = 32 << 20, 1 << 20
+#: Rows of 16 keys each that bound the ranges (at most about four times as many go to the driver).
+BOUNDS = 2048
+#: Rows between steps: bucket -1 is what a block keeps, -2 its sample of keys, others are requests or replies of a range.
+ROWS = "block long, bucket int, n long, data binary"
+KEEPS, SAMPLES = -1, -2
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
 
 
 @lru_cache
@@ -79,24 +90,24 @@ def digests(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """The texts of a block and what is known of them so far."""
+    """The texts of a block."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int) -> None:
         self.data, self.offsets, self.length = data, offsets, length
         self.v, self.cover = difference_cover(length)
-        n = len(data)
-        codes, up, self.down = powers((n >> 18) + 1 << 18)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.take(codes, data, out=self.sums[1:])
-        self.sums[1:] *= up[:n]
-        np.cumsum(self.sums, out=self.sums)
         sizes = np.diff(offsets)
         self.doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-        self.place = np.arange(n, dtype=np.int32) - np.repeat(offsets[:-1], sizes).astype(np.int32)
+        self.place = np.arange(len(data), dtype=np.int32) - np.repeat(offsets[:-1], sizes).astype(np.int32)
         self.left = np.repeat(sizes, sizes).astype(np.int32) - self.place
 
     def fingerprints(self, at: np.ndarray, size: int) -> np.ndarray:
-        return mixed((self.sums[at + size] - self.sums[at]) * self.down[at])[:, None]
+        n = len(self.data)
+        codes, up, down = powers((n >> 18) + 1 << 18)
+        sums = np.zeros(n + 1, np.uint64)
+        np.take(codes, self.data, out=sums[1:])
+        sums[1:] *= up[:n]
+        np.cumsum(sums, out=sums)
+        return mixed((sums[at + size] - sums[at]) * down[at])[:, None]
 
     def samples(self, active: np.ndarray) -> np.ndarray:
         sampled = np.zeros(self.v, bool)
@@ -104,7 +115,7 @@ class Block:
         at = np.flatnonzero(sampled[self.place % self.v] & (self.left >= self.length - self.v + 1))
         return at[active[self.doc[at]]]
 
-    def remaining(self, active: np.ndarray, samples: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    def in_play(self, active: np.ndarray, samples: np.ndarray, shared: np.ndarray) -> np.ndarray:
         """Starts of whole strings in active texts, one of whose first v places is a sample of a shared name."""
         seen = np.zeros(len(self.data) + 1, np.int32)
         seen[samples[shared] + 1] = 1
@@ -113,6 +124,20 @@ class Block:
         at = at[active[self.doc[at]]]
         return at[seen[at + self.v] > seen[at]]
 
+    def numbers(self, size: int) -> np.ndarray:
+        """At each place the next ``size`` (at most 8) bytes as a number, in the order of the bytes."""
+        out = np.zeros(len(self.data) + size, np.uint64)
+        padded = np.append(self.data, np.zeros(size, np.uint8))
+        for i in range(size):
+            out[: len(out) - i] <<= np.uint64(8)
+            out[: len(out) - i] |= padded[i:]
+        return out
+
+    def words(self, at: np.ndarray) -> np.ndarray:
+        size = reach(self.length)[0] // 3
+        numbers = self.numbers(size)
+        return np.stack([numbers[at + i * size] for i in range(3)], 1)
+
     def spans(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bounds of the maximal runs of bytes that strings at these (sorted) starts cover."""
         if not len(starts):
@@ -122,74 +147,135 @@ class Block:
         return starts[new], starts[last] + self.length
 
 
-def grouped(names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order of the names, which of them in that order differ from the one before, and the number of its group for each name."""
-    order = np.lexsort(names.T[::-1])
-    s = names[order]
+@lru_cache
+def reach(length: int) -> list[int]:
+    """How many bytes the names of each level stand for: multiples of 6, so that triples stay at places of the same kind."""
+    last = (length - 2) // 6 * 6
+    out = [3 * min(8, last // 3)]
+    while out[-1] < last:
+        out.append(min(3 * out[-1], last))
+    return out
+
+
+def sorted_places(starts: np.ndarray, offsets: np.ndarray, level: int, length: int) -> np.ndarray:
+    """Places 1 and 2 modulo 3 whose names of ``level`` the names of the last level at the starts, or 1 or 2 after them, are made of."""
+    n, depths = int(offsets[-1]), reach(length)
+    need = np.zeros(n + 2, bool)
+    for i in range(3):
+        need[starts + i] = True
+    need = need[:n]
+    sizes = np.diff(offsets)
+    need &= (np.arange(n) - np.repeat(offsets[:-1], sizes)) % 3 != 0
+    for k in range(len(depths) - 1, level, -1):
+        step = (depths[k] - depths[k - 1]) // 2
+        wider = need.copy()
+        for i in (1, 2):
+            wider[i * step :] |= need[: max(n - i * step, 0)]
+        need = wider
+    return np.flatnonzero(need)
+
+
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the keys (rows), which of them in that order differ from the one before, and the rank among distinct keys of each."""
+    order = np.lexsort(keys.T[::-1])
+    s = keys[order]
     new = np.append(True, (s[1:] != s[:-1]).any(1))[: len(s)]
     group = np.empty(len(s), np.int64)
     group[order] = np.cumsum(new) - 1
     return order, new, group
 
 
-def squeezed(names: np.ndarray) -> np.ndarray:
-    """Sorted names as byte planes of their differences, which compress (two-word names as they are)."""
-    if names.shape[1] > 1:
-        return names
-    steps = np.diff(names[:, 0], prepend=np.uint64(0))
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T)
+def squeezed(keys: np.ndarray) -> list[np.ndarray]:
+    """Sorted keys as byte planes, which compress; of the first column those of its differences."""
+    columns = [np.diff(keys[:, 0], prepend=np.uint64(0)), *keys.T[1:]]
+    return [np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T) for c in columns]
+
+
+def unsqueezed(planes: list[np.ndarray]) -> np.ndarray:
+    columns = [np.ascontiguousarray(p.T).view(np.uint64).ravel() for p in planes]
+    return np.stack([np.cumsum(columns[0], dtype=np.uint64), *columns[1:]], 1)
 
 
-def unsqueezed(planes: np.ndarray) -> np.ndarray:
-    if planes.dtype != np.uint8:
-        return planes
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)[:, None]
+def table(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
+    return pa.table({name.split()[0]: pa.array([r[i] for r in rows], t) for i, (name, t) in enumerate(zip(ROWS.split(", "), types, strict=True))})
 
 
-def requests(block: int, names: np.ndarray, buckets: int) -> pa.Table:
-    """Each distinct name once, with a flag if the block has it twice, in ranges of names."""
-    order, new, _ = grouped(names)
+def cuts_of(keys: np.ndarray, bounds: np.ndarray | int) -> np.ndarray:
+    """Where in sorted distinct keys the ranges start and end: between ``bounds`` (keys), or of as many even ranges of the first column's hashes."""
+    if isinstance(bounds, int):
+        number = ((keys[:, 0] >> np.uint64(32)) * np.uint64(bounds) >> np.uint64(32)).astype(np.int64)
+        return np.searchsorted(number, np.arange(bounds + 1))
+    low, high = (np.searchsorted(keys[:, 0], bounds[:, 0], side) for side in ("left", "right"))
+    for i in np.flatnonzero(low < high).tolist():
+        a, b = low[i], high[i]
+        for c in (1, 2):
+            part = keys[a:b, c]
+            a, b = a + np.searchsorted(part, bounds[i, c], "left"), a + np.searchsorted(part, bounds[i, c], "right")
+        low[i] = a
+    return np.concatenate(([0], low, [len(keys)]))
+
+
+def ask(block: int, keys: np.ndarray, bounds: np.ndarray | int | None) -> tuple[list[tuple], np.ndarray]:
+    """Requests with each distinct key once and a flag if the block has it twice, by ranges, and the number of its distinct key for each key.
+
+    Without ``bounds`` the keys are names, which have their range in the upper half.
+    """
+    order, new, group = grouped(keys)
     first = np.flatnonzero(new)
-    some, twice = names[order[first]], np.diff(np.append(first, len(order))) > 1
-    bucket = ((some[:, 0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-    rows = [(b, pack(squeezed(some[cuts[b] : cuts[b + 1]]), np.packbits(twice[cuts[b] : cuts[b + 1]]))) for b in np.flatnonzero(np.diff(cuts)).tolist()]
-    return pa.table({"block": pa.array([block] * len(rows), pa.int64()), "bucket": pa.array([r[0] for r in rows], pa.int32()), "data": pa.array([r[1] for r in rows], pa.binary())})
-
-
-def resolve(step: int):
-    """Sorts a range of names and compares neighbours. Bits for each name: it is elsewhere or twice; the block is the first that has it."""
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table["block"].to_pylist(), table["bucket"].to_pylist(), table["data"].to_pylist(), strict=True))
-        parts = [(unsqueezed(planes), bits) for planes, bits in (unpack(data) for _, _, data in rows)]
-        sizes = [len(names) for names, _ in parts]
-        twice = np.concatenate([np.unpackbits(bits, count=n).astype(bool) for (_, bits), n in zip(parts, sizes, strict=True)])
-        order, new, group = grouped(np.concatenate([names for names, _ in parts]))
-        shared = (np.bincount(group) > 1) | (np.bincount(group, twice) > 0)
-        first = np.zeros(len(group), bool)
-        first[order[new]] = True  # the sort is stable and blocks come in order
-        cuts = np.cumsum([0, *sizes])
-        bits = [pack(np.packbits(shared[group[a:b]]), np.packbits(first[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "step": pa.array([step] * len(rows), pa.int32()), "bucket": pa.array([r[1] for r in rows], pa.int32()), "data": pa.array(bits, pa.binary())})
+    some, twice = keys[order[first]], np.diff(np.append(first, len(order))) > 1
+    if bounds is None:
+        number, at = np.unique(some[:, 0] >> np.uint64(32), return_index=True)
+        parts = list(zip(number.tolist(), at.tolist(), [*at.tolist()[1:], len(some)]))
+    else:
+        cuts = cuts_of(some, bounds)
+        parts = [(r, cuts[r], cuts[r + 1]) for r in np.flatnonzero(np.diff(cuts)).tolist()]
+    return [(block, r, int(z - a), pack(squeezed(some[a:z]), np.packbits(twice[a:z]))) for r, a, z in parts], narrow(group)
 
-    return run
+
+def gathered(requests: pa.Table) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray, np.ndarray]:
+    """The requests (block, range), in order, their keys and flags in one, and where each begins and ends."""
+    rows = sorted(zip(requests["block"].to_pylist(), requests["bucket"].to_pylist(), requests["data"].to_pylist(), strict=True))
+    parts = [(unsqueezed(planes), bits) for planes, bits in (unpack(data) for _, _, data in rows)]
+    twice = np.concatenate([np.unpackbits(bits, count=len(keys)).astype(bool) for keys, bits in parts])
+    return [r[:2] for r in rows], np.concatenate([keys for keys, _ in parts]), twice, np.cumsum([0, *(len(keys) for keys, _ in parts)])
+
+
+def shared_keys(requests: pa.Table) -> pa.Table:
+    """Bits for each key of a range: it is elsewhere or twice; the block is the first that has it."""
+    rows, keys, twice, cuts = gathered(requests)
+    order, new, group = grouped(keys)
+    shared = (np.bincount(group) > 1) | (np.bincount(group, twice) > 0)
+    first = np.zeros(len(group), bool)
+    first[order[new]] = True  # the sort is stable and blocks come in order
+    return table([(*row, int(b - a), pack(np.packbits(shared[group[a:b]]), np.packbits(first[a:b]))) for row, a, b in zip(rows, cuts[:-1], cuts[1:], strict=True)])
 
 
-def answers(names: np.ndarray, replies: dict[int, bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each of a block's names: shared, and the first (here and elsewhere) to have it."""
-    order, new, group = grouped(names)
-    index = np.flatnonzero(new)
-    some = names[order[index]]
-    bucket = ((some[:, 0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    sizes = np.bincount(bucket, minlength=buckets)
-    shared, first = [np.zeros(0, bool)], [np.zeros(0, bool)]
-    for b in np.flatnonzero(sizes).tolist():
-        for out, bits in zip((shared, first), unpack(replies[b]), strict=True):
-            out.append(np.unpackbits(bits, count=sizes[b]).astype(bool))
-    here = np.zeros(len(names), bool)
-    here[order[index]] = np.concatenate(first)
-    return np.concatenate(shared)[group], here
+def ranked_keys(requests: pa.Table) -> pa.Table:
+    """The rank of each triple among the distinct ones of its range, after the number of the range."""
+    rows, keys, _, cuts = gathered(requests)
+    names = (np.uint64(rows[0][1]) << np.uint64(32)) + grouped(keys)[2].astype(np.uint64)
+    return table([(*row, int(b - a), pack(squeezed(names[a:b, None]))) for row, a, b in zip(rows, cuts[:-1], cuts[1:], strict=True)])
+
+
+def answers(rows: pa.Table) -> list[tuple]:
+    """The replies to a block, by range: how many keys, and what of each."""
+    found = sorted(zip(rows["bucket"].to_pylist(), rows["n"].to_pylist(), rows["data"].to_pylist(), strict=True))
+    return [(n, *unpack(data)) for r, n, data in found if r >= 0]
+
+
+def bits_of(rows: pa.Table, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of a block's keys: shared, and its block is the first to have it."""
+    bits = [[np.zeros(0, np.uint8)] + [np.unpackbits(x[i], count=x[0]) for x in answers(rows)] for i in (1, 2)]
+    return tuple(np.concatenate(b).astype(bool)[group] for b in bits)
+
+
+def names_of(rows: pa.Table, group: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *(unsqueezed(planes)[:, 0] for _, planes in answers(rows))])[group]
+
+
+def kept_of(rows: pa.Table) -> tuple:
+    return unpack(next(data for r, data in zip(rows["bucket"].to_pylist(), rows["data"].to_pylist(), strict=True) if r == KEEPS))
 
 
 def pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,40 +283,194 @@ def pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for i, batch in enumerate(chunks(batches, "text", BLOCK)):
         data, offsets = texts_of(batch, "text")
         texts = pack(batch.column("doc_id").to_pylist(), data, offsets)
-        yield pa.RecordBatch.from_arrays([pa.array([task + i], pa.int64()), pa.array([texts], pa.binary())], ["block", "texts"])
+        yield pa.RecordBatch.from_arrays([pa.array([task + i], pa.int64()), pa.array([len(data)], pa.int64()), pa.array([texts], pa.binary())], ["block", "bytes", "texts"])
+
 
+def ask_copies(ranges: int):
+    """Step 1: the texts by their digests."""
 
-def digest_requests(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, texts in zip(batch.column("block").to_pylist(), batch.column("texts").to_pylist(), strict=True):
+            for number, texts in zip(batch.column("block").to_pylist(), batch.column("texts").to_pylist(), strict=True):
                 _, data, offsets = unpack(texts)
-                yield from requests(block, digests(data, offsets), buckets).to_batches()
+                rows, group = ask(number, digests(data, offsets), ranges)
+                yield from table([(number, KEEPS, 0, pack(group)), *rows]).to_batches()
+
+    return run
+
+
+def opened(blocks: pa.Table, length: int) -> tuple[int, list, Block]:
+    ids, data, offsets = unpack(blocks["texts"][0].as_py())
+    return blocks["block"][0].as_py(), ids, Block(data, offsets, length)
+
+
+def ask_samples(ranges: int, length: int):
+    """Step 2: a block's samples by their fingerprints."""
+
+    def run(blocks: pa.Table, rows: pa.Table) -> pa.Table:
+        number, _, block = opened(blocks, length)
+        copied, first = bits_of(rows, *kept_of(rows))
+        asked, group = ask(number, block.fingerprints(block.samples(first), length - block.v + 1), ranges)
+        return table([(number, KEEPS, 0, pack(copied, first, group)), *asked])
+
+    return run
+
+
+def keep_in_play(length: int):
+    """After step 2: the starts in play, and some of their keys."""
+
+    def run(blocks: pa.Table, rows: pa.Table) -> pa.Table:
+        number, _, block = opened(blocks, length)
+        copied, first, group = kept_of(rows)
+        starts = block.in_play(first, block.samples(first), bits_of(rows, group)[0])
+        play = np.zeros(len(block.data), bool)
+        play[starts] = True
+        kept = (number, KEEPS, len(starts), pack(copied, block.offsets, np.packbits(play)))
+        if not len(starts):
+            return table([kept])
+        some = mixed(np.arange(16, dtype=np.uint64) + np.uint64(number << 8)) % np.uint64(len(starts))
+        return table([kept, (number, SAMPLES, 0, pack(block.words(starts[some.astype(np.int64)])))])
+
+    return run
+
+
+def starts_of(offsets: np.ndarray, play: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(play, count=int(offsets[-1])))
+
+
+def ask_words(bounds: np.ndarray, length: int):
+    """Step 3: the triples of words at the sorted places."""
+
+    def run(blocks: pa.Table, rows: pa.Table) -> pa.Table:
+        number, _, block = opened(blocks, length)
+        copied, offsets, play = kept_of(rows)
+        places = sorted_places(starts_of(offsets, play), offsets, 0, length)
+        asked, group = ask(number, block.words(places), bounds)
+        return table([(number, KEEPS, 0, pack(copied, offsets, play, group)), *asked])
 
     return run
 
 
-def next_step(step: int, buckets: int, length: int):
-    """Joins a block with the replies so far: asks on (step 1 and 2) or gives the documents (step 3)."""
-
-    def run(blocks: pa.Table, replies: pa.Table) -> pa.Table:
-        asked: dict[int, dict[int, bytes]] = {0: {}, 1: {}, 2: {}}
-        for s, b, data in zip(replies["step"].to_pylist(), replies["bucket"].to_pylist(), replies["data"].to_pylist(), strict=True):
-            asked[s][b] = data
-        number = blocks["block"][0].as_py()
-        ids, data, offsets = unpack(blocks["texts"][0].as_py())
-        copied, first = answers(digests(data, offsets), asked[0], buckets)
-        block = Block(data, offsets, length)
-        samples = block.samples(first)
-        names = block.fingerprints(samples, length - block.v + 1)
-        if step == 1:
-            return requests(number, names, buckets)
-        shared, _ = answers(names, asked[1], buckets)
-        starts = block.remaining(first, samples, shared)
-        names = block.fingerprints(starts, length)
-        if step == 2:
-            return requests(number, names, buckets)
-        hit, _ = answers(names, asked[2], buckets)
+def ask_names(level: int, length: int):
+    """Step 3, recursion: triples of the names of the level before, which come as replies."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        number = rows["block"][0].as_py()
+        copied, offsets, play, group = kept_of(rows)
+        depths, starts = reach(length), starts_of(offsets, play)
+        places, names = sorted_places(starts, offsets, level - 1, length), names_of(rows, group)
+        after, step = sorted_places(starts, offsets, level, length), (depths[level] - depths[level - 1]) // 2
+        keys = np.stack([names[np.searchsorted(places, after + i * step)] for i in range(3)], 1)
+        asked, group = ask(number, keys, None)
+        return table([(number, KEEPS, 0, pack(copied, offsets, play, group)), *asked])
+
+    return run
+
+
+def ask_merge(bounds: np.ndarray, length: int):
+    """Step 4: the suffixes in play of each kind (place modulo 3): their first 2 bytes, the 2 names at sorted places among these and
+    the next, and the bytes after the reach of a name at their start, as sorted distinct lists in ranges."""
+
+    def run(blocks: pa.Table, rows: pa.Table) -> pa.Table:
+        number, _, block = opened(blocks, length)
+        copied, offsets, play, group = kept_of(rows)
+        starts, last = starts_of(offsets, play), len(reach(length)) - 1
+        places, names = sorted_places(starts, offsets, last, length), names_of(rows, group)
+        depth = reach(length)[-1]
+        two, after = block.numbers(2), block.numbers(length - depth)
+        groups, parts = [], {}
+        for kind, (a, b) in enumerate(NAMED):
+            own = starts[block.place[starts] % 3 == kind]
+            r = [names[np.searchsorted(places, own + i)] for i in (a, b)]
+            columns = (two[own], r[0], r[1], after[own + depth])
+            keys = merge_keys(kind, columns, OWN[kind], length)
+            order, new, group = grouped(keys)
+            one = order[new]
+            twice = np.bincount(group, minlength=len(one)) > 1
+            # kinds 1 and 2 are in the range of their own name, kind 0 in that of their words
+            if kind:
+                number_of = (r[0][one] >> np.uint64(32)).astype(np.int64)
+            else:
+                words = block.words(own[one])
+                number_of = np.repeat(np.arange(len(bounds) + 1), np.diff(cuts_of(words, bounds)))
+            groups.append(narrow(group))
+            which, at = np.unique(number_of, return_index=True)
+            for n, x, y in zip(which.tolist(), at.tolist(), [*at.tolist()[1:], len(one)]):
+                some = one[x:y]
+                parts.setdefault(n, {})[kind] = (*(c[some] for c in columns), twice[x:y])
+        asked = []
+        for n, lists in parts.items():
+            lists = [lists.get(kind, (*(np.zeros(0, np.uint64),) * 4, np.zeros(0, bool))) for kind in range(3)]
+            asked.append((number, n, sum(len(x[4]) for x in lists), pack(*((squeezed(np.stack(x[:4], 1)), np.packbits(x[4]), len(x[4])) for x in lists))))
+        return table([(number, KEEPS, 0, pack(copied, offsets, play, *groups)), *asked])
+
+    return run
+
+
+#: For each kind of place (modulo 3), how far behind a start its two names are, and with which kind a kind shares the distance that orders its own list.
+NAMED = ((1, 2), (0, 1), (0, 2))
+OWN = (1, 2, 1)
+
+
+def merge_keys(kind: int, columns: tuple, other: int, length: int) -> np.ndarray:
+    """Of suffixes of a kind, what orders them among themselves and those of another kind by their first ``length`` bytes."""
+    two, near, far, after = columns
+    distance = {(0, 1): 1, (0, 2): 2, (1, 2): 0}[min(kind, other), max(kind, other)]
+    name = near if NAMED[kind][0] == distance else far
+    first = (two >> np.uint64(8), two)[distance - 1] if distance else np.zeros(len(two), np.uint64)
+    size = length - reach(length)[-1] - distance
+    return np.stack([first, name, after & np.uint64((1 << 8 * size) - 1)], 1)
+
+
+def merged(length: int):
+    """Step 4: merges a range's three sorted lists and compares neighbours. Bits for each suffix: another one, of any kind, has the same first bytes."""
+
+    def run(requests: pa.Table) -> pa.Table:
+        rows = sorted(zip(requests["block"].to_pylist(), requests["bucket"].to_pylist(), requests["data"].to_pylist(), strict=True))
+        lists = [unpack(data) for _, _, data in rows]
+        kinds, shared, groups = [], [], []
+        for kind in range(3):
+            columns = np.concatenate([unsqueezed(x[kind][0]) for x in lists]).T
+            twice = np.concatenate([np.unpackbits(x[kind][1], count=x[kind][2]) for x in lists])
+            order, new, group = grouped(merge_keys(kind, columns, OWN[kind], length))
+            kinds.append(tuple(c[order[new]] for c in columns))
+            shared.append((np.bincount(group) > 1) | (np.bincount(group, twice) > 0) if len(group) else np.zeros(0, bool))
+            groups.append(group)
+        place, ranks = [np.arange(len(s)) for s in shared], {}
+        for x, y in ((0, 1), (0, 2), (1, 2)):
+            both = np.concatenate((merge_keys(x, kinds[x], y, length), merge_keys(y, kinds[y], x, length)))
+            a, b = np.split(grouped(both)[2], [len(shared[x])])
+            place[x] += np.searchsorted(b, a, "left")
+            place[y] += np.searchsorted(a, b, "right")
+            ranks[x, y] = a, b
+        kind, index = np.zeros(sum(map(len, shared)), np.int8), np.zeros(sum(map(len, shared)), np.int64)
+        for k in range(3):
+            kind[place[k]], index[place[k]] = k, np.arange(len(place[k]))
+        for (x, y), (a, b) in ranks.items():
+            at = np.flatnonzero((kind[:-1] == x) & (kind[1:] == y))
+            at = at[a[index[at]] == b[index[at + 1]]]
+            shared[x][index[at]] = shared[y][index[at + 1]] = True
+        out, cuts = [], [np.cumsum([0, *(x[k][2] for x in lists)]) for k in range(3)]
+        for i, (number, r, _) in enumerate(rows):
+            bits = [np.packbits(shared[k][groups[k][cuts[k][i] : cuts[k][i + 1]]]) for k in range(3)]
+            out.append((number, r, 0, pack(*((b, lists[i][k][2]) for k, b in enumerate(bits)))))
+        return table(out)
+
+    return run
+
+
+def cut_texts(length: int):
+    """Step 5."""
+
+    def run(blocks: pa.Table, rows: pa.Table) -> pa.Table:
+        _, ids, block = opened(blocks, length)
+        copied, offsets, play, *groups = kept_of(rows)
+        starts = starts_of(offsets, play)
+        hit = np.zeros(len(starts), bool)
+        replies = [x[1:] for x in answers(rows)]
+        for kind, group in enumerate(groups):
+            bits = np.concatenate([np.zeros(0, np.uint8), *(np.unpackbits(x[kind][0], count=x[kind][1]) for x in replies)]).astype(bool)
+            hit[block.place[starts] % 3 == kind] = bits[group]
         return documents(block, ids, copied, starts[hit])
 
     return run
@@ -246,28 +486,64 @@ def documents(block: Block, ids: list, copied: np.ndarray, starts: np.ndarray) -
     whole = copied & (sizes >= block.length)
     raw, kept = block.data.tobytes(), []
     for d in range(len(sizes)):
-        digest, at = hashlib.sha256(), int(block.offsets[d])
+        at, parts = int(block.offsets[d]), []
         if not whole[d]:
             for a, b in zip(first[cuts[d] : cuts[d + 1]].tolist(), last[cuts[d] : cuts[d + 1]].tolist(), strict=True):
-                digest.update(raw[at:a])
+                parts.append(raw[at:a])
                 at = b
-            digest.update(raw[at : int(block.offsets[d + 1])])
-        kept.append(digest.hexdigest())
-    columns = (ids, sizes, np.where(whole, sizes, removed), np.where(whole, 1, np.diff(cuts)), kept)
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+            parts.append(raw[at : int(block.offsets[d + 1])])
+        kept.append(b"".join(parts))
+    columns = (
+        ids, sizes, np.where(whole, sizes, removed), np.where(whole, 1, np.diff(cuts)),
+        [hashlib.sha256(k).hexdigest() for k in kept], [k.decode(errors="ignore") for k in kept],
+    )
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
     return pa.table({n.split()[0]: pa.array(c, t) for n, c, t in zip(RESULT.split(", "), columns, types, strict=True)})
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs`` (doc_id, text)."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and text (what is left) of every row of ``docs`` (doc_id, text). ``length`` is 8 or more."""
     spark = docs.sparkSession
-    buckets = n_partitions(spark)
-    blocks = docs.select("doc_id", "text").mapInArrow(pack_blocks, "block long, texts binary").repartition(buckets, "block").persist(StorageLevel.DISK_ONLY)
-    replies = materialize(blocks.mapInArrow(digest_requests(buckets), REQUEST).groupBy("bucket").applyInArrow(resolve(0), REPLY))
-    for step in (1, 2):
-        asked = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(next_step(step, buckets, length), REQUEST)
-        replies = replies.unionByName(materialize(asked.groupBy("bucket").applyInArrow(resolve(step), REPLY)))
-    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(next_step(3, buckets, length), RESULT)
+    blocks = materialize(docs.select("doc_id", "text").mapInArrow(pack_blocks, "block long, bytes long, texts binary"))
+    total = blocks.agg(F.sum("bytes")).first()[0] or 0
+    ranges = max(n_partitions(spark), -(-total // RANGE_BYTES))
+    per_block = lambda rows, step: blocks.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(step, ROWS)
+
+    def replied(asked: DataFrame, step) -> DataFrame:
+        """What the blocks keep, and the replies to what they ask."""
+        replies = materialize(asked.filter("bucket >= 0").groupBy("bucket").applyInArrow(step, ROWS))
+        return asked.filter(F.col("bucket") == KEEPS).unionByName(replies), (asked, replies)
+
+    def advanced(rows: DataFrame, old: tuple) -> DataFrame:
+        out = materialize(rows)
+        discard(*old)
+        return out
+
+    asked = materialize(blocks.mapInArrow(ask_copies(ranges), ROWS))
+    rows, old = replied(asked, shared_keys)
+    asked = advanced(per_block(rows, ask_samples(ranges, length)), old)
+    rows, old = replied(asked, shared_keys)
+    play = advanced(per_block(rows, keep_in_play(length)), old)
+    in_play = play.agg(F.sum("n")).first()[0] or 0
+    samples = [unpack(r.data)[0] for r in lowest(play.filter(F.col("bucket") == SAMPLES).select("block", "data"), "block", k=BOUNDS)]
+    some = grouped_rows(samples)
+    ranges = max(n_partitions(spark), -(-in_play // RANGE_SUFFIXES))
+    bounds = some[np.unique(np.arange(1, ranges) * len(some) // ranges)] if len(some) else some
+    asked = advanced(per_block(play.filter(F.col("bucket") == KEEPS), ask_words(bounds, length)), (play,))
+    for level in range(1, len(reach(length))):
+        rows, old = replied(asked, ranked_keys)
+        asked = advanced(rows.groupBy("block").applyInArrow(ask_names(level, length), ROWS), old)
+    rows, old = replied(asked, ranked_keys)
+    asked = advanced(per_block(rows, ask_merge(bounds, length)), old)
+    rows, old = replied(asked, merged(length))
+    return blocks.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(cut_texts(length), RESULT)
+
+
+def grouped_rows(samples: list[np.ndarray]) -> np.ndarray:
+    """The distinct keys, in order."""
+    keys = np.concatenate([np.zeros((0, 3), np.uint64), *samples])
+    order, new, _ = grouped(keys)
+    return keys[order[new]]
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
