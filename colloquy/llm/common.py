@@ -29,14 +29,14 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Cuts the lineage: writes ``df`` as a Parquet table in the shared folder and reads it back. Its shuffle files go once it is written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/colloquy-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", codec).parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     table = spark.read.schema(df.schema).parquet(path)

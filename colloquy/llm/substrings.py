@@ -18,8 +18,9 @@ first ``length`` bytes matters, and equal prefixes stand next to each other in i
 5. Bytes covered by repeated strings are removed.
 
 Texts are packed in blocks. Per step a block sends each distinct key once to the key's range and gets back its rank or one
-bit, so a string that occurs everywhere is no hot key; there are as many ranges as bytes ask for. Every step is a table in the shared folder,
-deleted when the next is written.
+bit, so a string that occurs everywhere is no hot key; there are as many ranges as bytes ask for. From step 3 on ranges take turns, so that only
+a part of the keys is on disk at a time, and a suffix goes out of play once none of its names is shared. Every step is a table in
+the shared folder, deleted when the next is written.
 
 Cases: null and empty texts have no bytes and keep nothing (the digest of the empty string); texts
 shorter than ``length`` lose nothing; repeated rows are copies of each other; null and repeated ids
@@ -31,7 +32,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,9 +50,11 @@ BASE = 0x9E3779B97F4A7C15
 RANGE_BYTES, RANGE_SUFFIXES = 32 << 20, 1 << 20
 #: Rows of 16 keys each that bound the ranges (at most about four times as many go to the driver).
 BOUNDS = 2048
-#: Rows between steps: bucket -1 is what a block keeps, -2 its sample of keys, others are requests or replies of a range.
+#: In how many turns ranges are taken.
+TURNS = 2
+#: Rows between steps: what a block keeps, its texts in play, its sample of keys, or (bucket 0 and on) requests or replies of a range.
 ROWS = "block long, bucket int, n long, data binary"
-KEEPS, SAMPLES = -1, -2
+KEEPS, TEXTS, SAMPLES = -1, -2, -3
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
 
 
@@ -124,20 +127,6 @@ class Block:
         at = at[active[self.doc[at]]]
         return at[seen[at + self.v] > seen[at]]
 
-    def numbers(self, size: int) -> np.ndarray:
-        """At each place the next ``size`` (at most 8) bytes as a number, in the order of the bytes."""
-        out = np.zeros(len(self.data) + size, np.uint64)
-        padded = np.append(self.data, np.zeros(size, np.uint8))
-        for i in range(size):
-            out[: len(out) - i] <<= np.uint64(8)
-            out[: len(out) - i] |= padded[i:]
-        return out
-
-    def words(self, at: np.ndarray) -> np.ndarray:
-        size = reach(self.length)[0] // 3
-        numbers = self.numbers(size)
-        return np.stack([numbers[at + i * size] for i in range(3)], 1)
-
     def spans(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bounds of the maximal runs of bytes that strings at these (sorted) starts cover."""
         if not len(starts):
@@ -157,34 +146,66 @@ def reach(length: int) -> list[int]:
     return out
 
 
-def sorted_places(starts: np.ndarray, offsets: np.ndarray, level: int, length: int) -> np.ndarray:
-    """Places 1 and 2 modulo 3 whose names of ``level`` the names of the last level at the starts, or 1 or 2 after them, are made of."""
-    n, depths = int(offsets[-1]), reach(length)
+def thirds(offsets: np.ndarray) -> np.ndarray:
+    """Each byte's place in its text modulo 3."""
+    return (np.arange(offsets[-1], dtype=np.int32) - np.repeat(offsets[:-1], np.diff(offsets)).astype(np.int32)) % 3
+
+
+def sorted_places(starts: np.ndarray, sampled: np.ndarray, level: int, length: int) -> np.ndarray:
+    """Which places (``sampled``: 1 and 2 modulo 3) have a name of ``level`` that the names of the last level at the starts, or 1 or 2 after them, are made of."""
+    n, depths = len(sampled), reach(length)
     need = np.zeros(n + 2, bool)
     for i in range(3):
         need[starts + i] = True
-    need = need[:n]
-    sizes = np.diff(offsets)
-    need &= (np.arange(n) - np.repeat(offsets[:-1], sizes)) % 3 != 0
+    need = need[:n] & sampled
     for k in range(len(depths) - 1, level, -1):
         step = (depths[k] - depths[k - 1]) // 2
         wider = need.copy()
         for i in (1, 2):
             wider[i * step :] |= need[: max(n - i * step, 0)]
         need = wider
-    return np.flatnonzero(need)
+    return need
 
 
-def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order of the keys (rows), which of them in that order differ from the one before, and the rank among distinct keys of each."""
-    order = np.lexsort(keys.T[::-1])
-    s = keys[order]
-    new = np.append(True, (s[1:] != s[:-1]).any(1))[: len(s)]
-    group = np.empty(len(s), np.int64)
+def numbers(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """The ``size`` (at most 8) bytes at each of these places as a number, in the order of the bytes."""
+    out = np.zeros(len(at), np.uint64)
+    for i in range(size):
+        out <<= np.uint64(8)
+        out |= data[at + i]
+    return out
+
+
+def words(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    size = reach(length)[0] // 3
+    return np.stack([numbers(data, at + i * size, size) for i in range(3)], 1)
+
+
+def ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the values, which of them in that order differ from the one before, and the rank among distinct values of each."""
+    order = np.argsort(values)
+    s = values[order]
+    new = np.append(True, s[1:] != s[:-1])[: len(s)]
+    group = np.empty(len(s), np.uint64)
     group[order] = np.cumsum(new) - 1
     return order, new, group
 
 
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ranked() of keys (rows): columns are packed in one number, as ranks where they are too wide."""
+    width = lambda c: int(c.max()).bit_length() if len(c) else 0
+    columns = list(keys.T)
+    if sum(map(width, columns)) > 64:
+        columns = [ranked(c)[2] for c in columns]
+    out = columns[0]
+    for c in columns[1:]:
+        if width(out) + width(c) > 64:
+            out = ranked(out)[2]
+        out = (out << np.uint64(width(c))) | c
+    order, new, group = ranked(out)
+    return order, new, group.astype(np.int64)
+
+
 def squeezed(keys: np.ndarray) -> list[np.ndarray]:
     """Sorted keys as byte planes, which compress; of the first column those of its differences."""
     columns = [np.diff(keys[:, 0], prepend=np.uint64(0)), *keys.T[1:]]
@@ -216,21 +237,27 @@ def cuts_of(keys: np.ndarray, bounds: np.ndarray | int) -> np.ndarray:
     return np.concatenate(([0], low, [len(keys)]))
 
 
-def ask(block: int, keys: np.ndarray, bounds: np.ndarray | int | None) -> tuple[list[tuple], np.ndarray]:
+def ask(block: int, keys: np.ndarray, bounds: np.ndarray | int | None, names: np.ndarray | None = None, turn: int | None = None) -> tuple[list[tuple], np.ndarray]:
     """Requests with each distinct key once and a flag if the block has it twice, by ranges, and the number of its distinct key for each key.
 
-    Without ``bounds`` the keys are names, which have their range in the upper half.
+    Keys of ``names`` (in order) are given by number; their range is the upper half of the name.
     """
     order, new, group = grouped(keys)
     first = np.flatnonzero(new)
     some, twice = keys[order[first]], np.diff(np.append(first, len(order))) > 1
-    if bounds is None:
-        number, at = np.unique(some[:, 0] >> np.uint64(32), return_index=True)
-        parts = list(zip(number.tolist(), at.tolist(), [*at.tolist()[1:], len(some)]))
+    if names is not None:
+        some = names[some.astype(np.int64)]
+        parts = slices(some[:, 0] >> np.uint64(32))
     else:
         cuts = cuts_of(some, bounds)
         parts = [(r, cuts[r], cuts[r + 1]) for r in np.flatnonzero(np.diff(cuts)).tolist()]
-    return [(block, r, int(z - a), pack(squeezed(some[a:z]), np.packbits(twice[a:z]))) for r, a, z in parts], narrow(group)
+    return [(block, r, int(z - a), pack(squeezed(some[a:z]), np.packbits(twice[a:z]))) for r, a, z in parts if turn is None or r % TURNS == turn], narrow(group)
+
+
+def slices(number: np.ndarray) -> list[tuple[int, int, int]]:
+    """Each of the (sorted) numbers and where its run begins and ends."""
+    which, at = np.unique(number, return_index=True)
+    return list(zip(which.tolist(), at.tolist(), [*at.tolist()[1:], len(number)]))
 
 
 def gathered(requests: pa.Table) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray, np.ndarray]:
@@ -247,15 +274,17 @@ def shared_keys(requests: pa.Table) -> pa.Table:
     order, new, group = grouped(keys)
     shared = (np.bincount(group) > 1) | (np.bincount(group, twice) > 0)
     first = np.zeros(len(group), bool)
-    first[order[new]] = True  # the sort is stable and blocks come in order
+    if len(order):
+        first[np.minimum.reduceat(order, np.flatnonzero(new))] = True  # blocks come in order
     return table([(*row, int(b - a), pack(np.packbits(shared[group[a:b]]), np.packbits(first[a:b]))) for row, a, b in zip(rows, cuts[:-1], cuts[1:], strict=True)])
 
 
 def ranked_keys(requests: pa.Table) -> pa.Table:
-    """The rank of each triple among the distinct ones of its range, after the number of the range."""
-    rows, keys, _, cuts = gathered(requests)
-    names = (np.uint64(rows[0][1]) << np.uint64(32)) + grouped(keys)[2].astype(np.uint64)
-    return table([(*row, int(b - a), pack(squeezed(names[a:b, None]))) for row, a, b in zip(rows, cuts[:-1], cuts[1:], strict=True)])
+    """The rank of each triple among the distinct ones of its range, after the number of the range, and whether it is elsewhere or twice."""
+    rows, keys, twice, cuts = gathered(requests)
+    group = grouped(keys - np.append(keys[:, 0].min(), np.zeros(2, np.uint64)))[2]
+    names, shared = (np.uint64(rows[0][1]) << np.uint64(32)) + group.astype(np.uint64), ((np.bincount(group) > 1) | (np.bincount(group, twice) > 0))[group]
+    return table([(*row, int(b - a), pack(squeezed(names[a:b, None]), np.packbits(shared[a:b]))) for row, a, b in zip(rows, cuts[:-1], cuts[1:], strict=True)])
 
 
 def answers(rows: pa.Table) -> list[tuple]:
@@ -270,12 +299,15 @@ def bits_of(rows: pa.Table, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate(b).astype(bool)[group] for b in bits)
 
 
-def names_of(rows: pa.Table, group: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.uint64), *(unsqueezed(planes)[:, 0] for _, planes in answers(rows))])[group]
+def names_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The names of a block's distinct keys, in order, and which of them are shared."""
+    found = answers(rows)
+    names = np.concatenate([np.zeros(0, np.uint64), *(unsqueezed(planes)[:, 0] for _, planes, _ in found)])
+    return names, np.concatenate([np.zeros(0, np.uint8), *(np.unpackbits(bits, count=n) for n, _, bits in found)]).astype(bool)
 
 
-def kept_of(rows: pa.Table) -> tuple:
-    return unpack(next(data for r, data in zip(rows["bucket"].to_pylist(), rows["data"].to_pylist(), strict=True) if r == KEEPS))
+def kept_of(rows: pa.Table, bucket: int = KEEPS) -> tuple:
+    return unpack(next(data for r, data in zip(rows["bucket"].to_pylist(), rows["data"].to_pylist(), strict=True) if r == bucket))
 
 
 def pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,92 +349,113 @@ def ask_samples(ranges: int, length: int):
 
 
 def keep_in_play(length: int):
-    """After step 2: the starts in play, and some of their keys."""
+    """After step 2: the starts in play, their texts (other bytes are 0), and some of their keys."""
 
     def run(blocks: pa.Table, rows: pa.Table) -> pa.Table:
         number, _, block = opened(blocks, length)
         copied, first, group = kept_of(rows)
         starts = block.in_play(first, block.samples(first), bits_of(rows, group)[0])
-        play = np.zeros(len(block.data), bool)
-        play[starts] = True
-        kept = (number, KEEPS, len(starts), pack(copied, block.offsets, np.packbits(play)))
+        kept = (number, KEEPS, len(starts), pack(copied, block.offsets, mask_of(starts, block.offsets)))
         if not len(starts):
             return table([kept])
+        until = np.zeros(len(block.data) + 1, np.int32)
+        until[starts] += 1
+        np.subtract.at(until, starts + length, 1)
+        texts = np.where(np.cumsum(until[:-1]) > 0, block.data, np.uint8(0))
         some = mixed(np.arange(16, dtype=np.uint64) + np.uint64(number << 8)) % np.uint64(len(starts))
-        return table([kept, (number, SAMPLES, 0, pack(block.words(starts[some.astype(np.int64)])))])
+        return table([kept, (number, TEXTS, 0, pack(texts)), (number, SAMPLES, 0, pack(words(block.data, starts[some.astype(np.int64)], length)))])
 
     return run
 
 
+def mask_of(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    mask = np.zeros(int(offsets[-1]), bool)
+    mask[starts] = True
+    return np.packbits(mask)
+
+
 def starts_of(offsets: np.ndarray, play: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(play, count=int(offsets[-1])))
 
 
-def ask_words(bounds: np.ndarray, length: int):
-    """Step 3: the triples of words at the sorted places."""
+def has_texts(rows: pa.Table) -> bool:
+    return TEXTS in rows["bucket"].to_pylist()
 
-    def run(blocks: pa.Table, rows: pa.Table) -> pa.Table:
-        number, _, block = opened(blocks, length)
+
+def ask_words(bounds: np.ndarray, length: int, turn: int | None):
+    """Step 3: the triples of words at the sorted places; without a turn, what a block keeps of this step."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        number = rows["block"][0].as_py()
         copied, offsets, play = kept_of(rows)
-        places = sorted_places(starts_of(offsets, play), offsets, 0, length)
-        asked, group = ask(number, block.words(places), bounds)
-        return table([(number, KEEPS, 0, pack(copied, offsets, play, group)), *asked])
+        if not has_texts(rows):
+            return table([(number, KEEPS, 0, pack(copied, offsets, play, np.zeros(0, np.uint8)))] if turn is None else [])
+        places = np.flatnonzero(sorted_places(starts_of(offsets, play), thirds(offsets) > 0, 0, length))
+        asked, group = ask(number, words(kept_of(rows, TEXTS)[0], places, length), bounds, turn=-1 if turn is None else turn)
+        return table([(number, KEEPS, 0, pack(copied, offsets, play, group))] if turn is None else asked)
 
     return run
 
 
-def ask_names(level: int, length: int):
+def alive(starts: np.ndarray, places: np.ndarray, shared: np.ndarray, n: int) -> np.ndarray:
+    """Starts with a shared name at or right after them; without one no other suffix has the same first bytes."""
+    hit = np.zeros(n, bool)
+    hit[places[shared]] = True
+    return starts[hit[starts] | hit[starts + 1] | hit[starts + 2]]
+
+
+def ask_names(level: int, length: int, turn: int | None):
     """Step 3, recursion: triples of the names of the level before, which come as replies."""
 
     def run(rows: pa.Table) -> pa.Table:
         number = rows["block"][0].as_py()
         copied, offsets, play, group = kept_of(rows)
-        depths, starts = reach(length), starts_of(offsets, play)
-        places, names = sorted_places(starts, offsets, level - 1, length), names_of(rows, group)
-        after, step = sorted_places(starts, offsets, level, length), (depths[level] - depths[level - 1]) // 2
-        keys = np.stack([names[np.searchsorted(places, after + i * step)] for i in range(3)], 1)
-        asked, group = ask(number, keys, None)
-        return table([(number, KEEPS, 0, pack(copied, offsets, play, group)), *asked])
+        depths, starts, sampled = reach(length), starts_of(offsets, play), thirds(offsets) > 0
+        names, shared = names_of(rows)
+        before = sorted_places(starts, sampled, level - 1, length)
+        starts = alive(starts, np.flatnonzero(before), shared[group], len(before))
+        index, after = np.cumsum(before, dtype=np.int32) - 1, np.flatnonzero(sorted_places(starts, sampled, level, length))
+        step = (depths[level] - depths[level - 1]) // 2
+        keys = np.stack([group[index[after + i * step]].astype(np.uint64) for i in range(3)], 1)
+        asked, group = ask(number, keys, None, names, turn=-1 if turn is None else turn)
+        return table([(number, KEEPS, 0, pack(copied, offsets, mask_of(starts, offsets), group))] if turn is None else asked)
 
     return run
 
 
-def ask_merge(bounds: np.ndarray, length: int):
+def ask_merge(bounds: np.ndarray, length: int, turn: int | None):
     """Step 4: the suffixes in play of each kind (place modulo 3): their first 2 bytes, the 2 names at sorted places among these and
     the next, and the bytes after the reach of a name at their start, as sorted distinct lists in ranges."""
 
-    def run(blocks: pa.Table, rows: pa.Table) -> pa.Table:
-        number, _, block = opened(blocks, length)
+    def run(rows: pa.Table) -> pa.Table:
+        number = rows["block"][0].as_py()
         copied, offsets, play, group = kept_of(rows)
-        starts, last = starts_of(offsets, play), len(reach(length)) - 1
-        places, names = sorted_places(starts, offsets, last, length), names_of(rows, group)
-        depth = reach(length)[-1]
-        two, after = block.numbers(2), block.numbers(length - depth)
+        starts, third = starts_of(offsets, play), thirds(offsets)
+        names, shared = names_of(rows)
+        before = sorted_places(starts, third > 0, len(reach(length)) - 1, length)
+        starts = alive(starts, np.flatnonzero(before), shared[group], len(before))
+        texts = kept_of(rows, TEXTS)[0] if has_texts(rows) else np.zeros(0, np.uint8)
+        index, depth = np.cumsum(before, dtype=np.int32) - 1, reach(length)[-1]
         groups, parts = [], {}
         for kind, (a, b) in enumerate(NAMED):
-            own = starts[block.place[starts] % 3 == kind]
-            r = [names[np.searchsorted(places, own + i)] for i in (a, b)]
-            columns = (two[own], r[0], r[1], after[own + depth])
-            keys = merge_keys(kind, columns, OWN[kind], length)
-            order, new, group = grouped(keys)
+            own = starts[third[starts] == kind]
+            columns = (numbers(texts, own, 2), *(names[group[index[own + i]]] for i in (a, b)), numbers(texts, own + depth, length - depth))
+            order, new, number_of = grouped(merge_keys(kind, columns, OWN[kind], length))
             one = order[new]
-            twice = np.bincount(group, minlength=len(one)) > 1
+            twice = np.bincount(number_of, minlength=len(one)) > 1
+            groups.append(narrow(number_of))
             # kinds 1 and 2 are in the range of their own name, kind 0 in that of their words
-            if kind:
-                number_of = (r[0][one] >> np.uint64(32)).astype(np.int64)
-            else:
-                words = block.words(own[one])
-                number_of = np.repeat(np.arange(len(bounds) + 1), np.diff(cuts_of(words, bounds)))
-            groups.append(narrow(group))
-            which, at = np.unique(number_of, return_index=True)
-            for n, x, y in zip(which.tolist(), at.tolist(), [*at.tolist()[1:], len(one)]):
-                some = one[x:y]
-                parts.setdefault(n, {})[kind] = (*(c[some] for c in columns), twice[x:y])
+            at = columns[1][one] >> np.uint64(32) if kind else np.repeat(np.arange(len(bounds) + 1), np.diff(cuts_of(words(texts, own[one], length), bounds)))
+            for r, x, y in slices(at):
+                parts.setdefault(r, {})[kind] = (*(c[one[x:y]] for c in columns), twice[x:y])
+        if turn is None:
+            return table([(number, KEEPS, 0, pack(copied, offsets, mask_of(starts, offsets), *groups))])
         asked = []
-        for n, lists in parts.items():
-            lists = [lists.get(kind, (*(np.zeros(0, np.uint64),) * 4, np.zeros(0, bool))) for kind in range(3)]
-            asked.append((number, n, sum(len(x[4]) for x in lists), pack(*((squeezed(np.stack(x[:4], 1)), np.packbits(x[4]), len(x[4])) for x in lists))))
-        return table([(number, KEEPS, 0, pack(copied, offsets, play, *groups)), *asked])
+        for r, lists in parts.items():
+            if r % TURNS == turn:
+                lists = [lists.get(kind, (*(np.zeros(0, np.uint64),) * 4, np.zeros(0, bool))) for kind in range(3)]
+                asked.append((number, r, 0, pack(*((squeezed(np.stack(x[:4], 1)), np.packbits(x[4]), len(x[4])) for x in lists))))
+        return table(asked)
 
     return run
 
@@ -466,11 +519,11 @@ def cut_texts(length: int):
         _, ids, block = opened(blocks, length)
         copied, offsets, play, *groups = kept_of(rows)
         starts = starts_of(offsets, play)
-        hit = np.zeros(len(starts), bool)
+        hit, third = np.zeros(len(starts), bool), thirds(offsets)[starts]
         replies = [x[1:] for x in answers(rows)]
         for kind, group in enumerate(groups):
             bits = np.concatenate([np.zeros(0, np.uint8), *(np.unpackbits(x[kind][0], count=x[kind][1]) for x in replies)]).astype(bool)
-            hit[block.place[starts] % 3 == kind] = bits[group]
+            hit[third == kind] = bits[group]
         return documents(block, ids, copied, starts[hit])
 
     return run
@@ -504,39 +557,39 @@ def documents(block: Block, ids: list, copied: np.ndarray, starts: np.ndarray) -
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and text (what is left) of every row of ``docs`` (doc_id, text). ``length`` is 8 or more."""
     spark = docs.sparkSession
-    blocks = materialize(docs.select("doc_id", "text").mapInArrow(pack_blocks, "block long, bytes long, texts binary"))
+    written = lambda rows: materialize(rows, "uncompressed")  # noqa: E731  (the data are compressed)
+    blocks = written(docs.select("doc_id", "text").mapInArrow(pack_blocks, "block long, bytes long, texts binary"))
     total = blocks.agg(F.sum("bytes")).first()[0] or 0
     ranges = max(n_partitions(spark), -(-total // RANGE_BYTES))
-    per_block = lambda rows, step: blocks.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(step, ROWS)
-
-    def replied(asked: DataFrame, step) -> DataFrame:
-        """What the blocks keep, and the replies to what they ask."""
-        replies = materialize(asked.filter("bucket >= 0").groupBy("bucket").applyInArrow(step, ROWS))
-        return asked.filter(F.col("bucket") == KEEPS).unionByName(replies), (asked, replies)
-
-    def advanced(rows: DataFrame, old: tuple) -> DataFrame:
-        out = materialize(rows)
+    with_texts = lambda rows, step, schema=ROWS: blocks.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(step, schema)
+    resolved = lambda asked, step: asked.filter("bucket >= 0").groupBy("bucket").applyInArrow(step, ROWS)
+    kept = lambda rows, kind=KEEPS: rows.filter(F.col("bucket") == kind)
+
+    def in_turns(rows: DataFrame, old: list[DataFrame], step, resolve) -> tuple[DataFrame, list[DataFrame]]:
+        """What the blocks keep of a step and the replies to its requests, of one part of the ranges after the other."""
+        out = [written(rows.groupBy("block").applyInArrow(step(None), ROWS))]
+        for turn in range(TURNS):
+            out.append(written(resolved(rows.groupBy("block").applyInArrow(step(turn), ROWS), resolve)))
         discard(*old)
-        return out
+        return reduce(DataFrame.unionByName, out), out
+
+    asked = written(blocks.mapInArrow(ask_copies(ranges), ROWS))
+    replies = written(resolved(asked, shared_keys))
+    more = written(with_texts(kept(asked).unionByName(replies), ask_samples(ranges, length)))
+    discard(asked, replies)
+    replies = written(resolved(more, shared_keys))
+    play = written(with_texts(kept(more).unionByName(replies), keep_in_play(length)))
+    discard(more, replies)
 
-    asked = materialize(blocks.mapInArrow(ask_copies(ranges), ROWS))
-    rows, old = replied(asked, shared_keys)
-    asked = advanced(per_block(rows, ask_samples(ranges, length)), old)
-    rows, old = replied(asked, shared_keys)
-    play = advanced(per_block(rows, keep_in_play(length)), old)
     in_play = play.agg(F.sum("n")).first()[0] or 0
-    samples = [unpack(r.data)[0] for r in lowest(play.filter(F.col("bucket") == SAMPLES).select("block", "data"), "block", k=BOUNDS)]
-    some = grouped_rows(samples)
+    some = grouped_rows([unpack(r.data)[0] for r in lowest(kept(play, SAMPLES).select("block", "data"), "block", k=BOUNDS)])
     ranges = max(n_partitions(spark), -(-in_play // RANGE_SUFFIXES))
     bounds = some[np.unique(np.arange(1, ranges) * len(some) // ranges)] if len(some) else some
-    asked = advanced(per_block(play.filter(F.col("bucket") == KEEPS), ask_words(bounds, length)), (play,))
+    rows, old = in_turns(play.filter(F.col("bucket") != SAMPLES), [], lambda turn: ask_words(bounds, length, turn), ranked_keys)
     for level in range(1, len(reach(length))):
-        rows, old = replied(asked, ranked_keys)
-        asked = advanced(rows.groupBy("block").applyInArrow(ask_names(level, length), ROWS), old)
-    rows, old = replied(asked, ranked_keys)
-    asked = advanced(per_block(rows, ask_merge(bounds, length)), old)
-    rows, old = replied(asked, merged(length))
-    return blocks.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(cut_texts(length), RESULT)
+        rows, old = in_turns(rows, old, lambda turn, level=level: ask_names(level, length, turn), ranked_keys)
+    rows, old = in_turns(rows.unionByName(kept(play, TEXTS)), [*old, play], lambda turn: ask_merge(bounds, length, turn), merged(length))
+    return with_texts(rows, cut_texts(length), RESULT)
 
 
 def grouped_rows(samples: list[np.ndarray]) -> np.ndarray:
