@@ -18,9 +18,8 @@ first ``length`` bytes matters, and equal prefixes stand next to each other in i
 5. Bytes covered by repeated strings are removed.
 
 Texts are packed in blocks. Per step a block sends each distinct key once to the key's range and gets back its rank or one
-bit, so a string that occurs everywhere is no hot key; there are as many ranges as bytes ask for. From step 3 on ranges take turns, so that only
-a part of the keys is on disk at a time, and a suffix goes out of play once none of its names is shared. Every step is a table in
-the shared folder, deleted when the next is written.
+bit, so a string that occurs everywhere is no hot key; there are as many ranges as bytes ask for. A suffix goes out of play once none
+of its names is shared. Every step is a table in the shared folder, deleted when the next is written.
 
 Cases: null and empty texts have no bytes and keep nothing (the digest of the empty string); texts
 shorter than ``length`` lose nothing; repeated rows are copies of each other; null and repeated ids
@@ -32,7 +31,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,11 +46,9 @@ BLOCK = 2 << 20
 LENGTH = 400
 BASE = 0x9E3779B97F4A7C15
 #: Bytes of text, and suffixes in play, for each range of names.
-RANGE_BYTES, RANGE_SUFFIXES = 32 << 20, 1 << 20
+RANGE_BYTES, RANGE_SUFFIXES = 32 << 20, 3 << 20
 #: Rows of 16 keys each that bound the ranges (at most about four times as many go to the driver).
 BOUNDS = 2048
-#: In how many turns ranges are taken.
-TURNS = 2
 #: Rows between steps: what a block keeps, its texts in play, its sample of keys, or (bucket 0 and on) requests or replies of a range.
 ROWS = "block long, bucket int, n long, data binary"
 KEEPS, TEXTS, SAMPLES = -1, -2, -3
@@ -146,9 +143,16 @@ def reach(length: int) -> list[int]:
     return out
 
 
+@lru_cache(2)
+def counted(n: int) -> np.ndarray:
+    return (np.arange(n) % 3).astype(np.uint8)
+
+
 def thirds(offsets: np.ndarray) -> np.ndarray:
     """Each byte's place in its text modulo 3."""
-    return (np.arange(offsets[-1], dtype=np.int32) - np.repeat(offsets[:-1], np.diff(offsets)).astype(np.int32)) % 3
+    n = int(offsets[-1])
+    back = np.repeat((-offsets[:-1] % 3).astype(np.uint8), np.diff(offsets))
+    return np.array([0, 1, 2, 0, 1], np.uint8)[counted((n >> 18) + 1 << 18)[:n] + back]
 
 
 def sorted_places(starts: np.ndarray, sampled: np.ndarray, level: int, length: int) -> np.ndarray:
@@ -237,7 +241,7 @@ def cuts_of(keys: np.ndarray, bounds: np.ndarray | int) -> np.ndarray:
     return np.concatenate(([0], low, [len(keys)]))
 
 
-def ask(block: int, keys: np.ndarray, bounds: np.ndarray | int | None, names: np.ndarray | None = None, turn: int | None = None) -> tuple[list[tuple], np.ndarray]:
+def ask(block: int, keys: np.ndarray, bounds: np.ndarray | int | None, names: np.ndarray | None = None) -> tuple[list[tuple], np.ndarray]:
     """Requests with each distinct key once and a flag if the block has it twice, by ranges, and the number of its distinct key for each key.
 
     Keys of ``names`` (in order) are given by number; their range is the upper half of the name.
@@ -251,7 +255,7 @@ def ask(block: int, keys: np.ndarray, bounds: np.ndarray | int | None, names: np
     else:
         cuts = cuts_of(some, bounds)
         parts = [(r, cuts[r], cuts[r + 1]) for r in np.flatnonzero(np.diff(cuts)).tolist()]
-    return [(block, r, int(z - a), pack(squeezed(some[a:z]), np.packbits(twice[a:z]))) for r, a, z in parts if turn is None or r % TURNS == turn], narrow(group)
+    return [(block, r, int(z - a), pack(squeezed(some[a:z]), np.packbits(twice[a:z]))) for r, a, z in parts], narrow(group)
 
 
 def slices(number: np.ndarray) -> list[tuple[int, int, int]]:
@@ -359,8 +363,8 @@ def keep_in_play(length: int):
         if not len(starts):
             return table([kept])
         until = np.zeros(len(block.data) + 1, np.int32)
-        until[starts] += 1
-        np.subtract.at(until, starts + length, 1)
+        until[starts] = 1
+        until[starts + length] -= 1
         texts = np.where(np.cumsum(until[:-1]) > 0, block.data, np.uint8(0))
         some = mixed(np.arange(16, dtype=np.uint64) + np.uint64(number << 8)) % np.uint64(len(starts))
         return table([kept, (number, TEXTS, 0, pack(texts)), (number, SAMPLES, 0, pack(words(block.data, starts[some.astype(np.int64)], length)))])
@@ -382,17 +386,17 @@ def has_texts(rows: pa.Table) -> bool:
     return TEXTS in rows["bucket"].to_pylist()
 
 
-def ask_words(bounds: np.ndarray, length: int, turn: int | None):
-    """Step 3: the triples of words at the sorted places; without a turn, what a block keeps of this step."""
+def ask_words(bounds: np.ndarray, length: int):
+    """Step 3: the triples of words at the sorted places."""
 
     def run(rows: pa.Table) -> pa.Table:
         number = rows["block"][0].as_py()
         copied, offsets, play = kept_of(rows)
         if not has_texts(rows):
-            return table([(number, KEEPS, 0, pack(copied, offsets, play, np.zeros(0, np.uint8)))] if turn is None else [])
+            return table([(number, KEEPS, 0, pack(copied, offsets, play, np.zeros(0, np.uint8)))])
         places = np.flatnonzero(sorted_places(starts_of(offsets, play), thirds(offsets) > 0, 0, length))
-        asked, group = ask(number, words(kept_of(rows, TEXTS)[0], places, length), bounds, turn=-1 if turn is None else turn)
-        return table([(number, KEEPS, 0, pack(copied, offsets, play, group))] if turn is None else asked)
+        asked, group = ask(number, words(kept_of(rows, TEXTS)[0], places, length), bounds)
+        return table([(number, KEEPS, 0, pack(copied, offsets, play, group)), *asked])
 
     return run
 
@@ -404,7 +408,7 @@ def alive(starts: np.ndarray, places: np.ndarray, shared: np.ndarray, n: int) ->
     return starts[hit[starts] | hit[starts + 1] | hit[starts + 2]]
 
 
-def ask_names(level: int, length: int, turn: int | None):
+def ask_names(level: int, length: int):
     """Step 3, recursion: triples of the names of the level before, which come as replies."""
 
     def run(rows: pa.Table) -> pa.Table:
@@ -417,13 +421,13 @@ def ask_names(level: int, length: int, turn: int | None):
         index, after = np.cumsum(before, dtype=np.int32) - 1, np.flatnonzero(sorted_places(starts, sampled, level, length))
         step = (depths[level] - depths[level - 1]) // 2
         keys = np.stack([group[index[after + i * step]].astype(np.uint64) for i in range(3)], 1)
-        asked, group = ask(number, keys, None, names, turn=-1 if turn is None else turn)
-        return table([(number, KEEPS, 0, pack(copied, offsets, mask_of(starts, offsets), group))] if turn is None else asked)
+        asked, group = ask(number, keys, None, names)
+        return table([(number, KEEPS, 0, pack(copied, offsets, mask_of(starts, offsets), group)), *asked])
 
     return run
 
 
-def ask_merge(bounds: np.ndarray, length: int, turn: int | None):
+def ask_merge(bounds: np.ndarray, length: int):
     """Step 4: the suffixes in play of each kind (place modulo 3): their first 2 bytes, the 2 names at sorted places among these and
     the next, and the bytes after the reach of a name at their start, as sorted distinct lists in ranges."""
 
@@ -448,13 +452,10 @@ def ask_merge(bounds: np.ndarray, length: int, turn: int | None):
             at = columns[1][one] >> np.uint64(32) if kind else np.repeat(np.arange(len(bounds) + 1), np.diff(cuts_of(words(texts, own[one], length), bounds)))
             for r, x, y in slices(at):
                 parts.setdefault(r, {})[kind] = (*(c[one[x:y]] for c in columns), twice[x:y])
-        if turn is None:
-            return table([(number, KEEPS, 0, pack(copied, offsets, mask_of(starts, offsets), *groups))])
-        asked = []
+        asked = [(number, KEEPS, 0, pack(copied, offsets, mask_of(starts, offsets), *groups))]
         for r, lists in parts.items():
-            if r % TURNS == turn:
-                lists = [lists.get(kind, (*(np.zeros(0, np.uint64),) * 4, np.zeros(0, bool))) for kind in range(3)]
-                asked.append((number, r, 0, pack(*((squeezed(np.stack(x[:4], 1)), np.packbits(x[4]), len(x[4])) for x in lists))))
+            lists = [lists.get(kind, (*(np.zeros(0, np.uint64),) * 4, np.zeros(0, bool))) for kind in range(3)]
+            asked.append((number, r, 0, pack(*((squeezed(np.stack(x[:4], 1)), np.packbits(x[4]), len(x[4])) for x in lists))))
         return table(asked)
 
     return run
@@ -565,13 +566,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     resolved = lambda asked, step: asked.filter("bucket >= 0").groupBy("bucket").applyInArrow(step, ROWS)
     kept = lambda rows, kind=KEEPS: rows.filter(F.col("bucket") == kind)
 
-    def in_turns(rows: DataFrame, old: list[DataFrame], step, resolve) -> tuple[DataFrame, list[DataFrame]]:
-        """What the blocks keep of a step and the replies to its requests, of one part of the ranges after the other."""
-        out = [written(rows.groupBy("block").applyInArrow(step(None), ROWS))]
-        for turn in range(TURNS):
-            out.append(written(resolved(rows.groupBy("block").applyInArrow(step(turn), ROWS), resolve)))
+    def stepped(rows: DataFrame, old: list[DataFrame], step, resolve) -> tuple[DataFrame, list[DataFrame]]:
+        """What the blocks keep of a step and the replies to its requests."""
+        asked = written(rows.groupBy("block").applyInArrow(step, ROWS))
         discard(*old)
-        return reduce(DataFrame.unionByName, out), out
+        replies = written(resolved(asked, resolve))
+        return kept(asked).unionByName(replies), [asked, replies]
 
     asked = written(blocks.mapInArrow(ask_copies(ranges), ROWS))
     replies = written(resolved(asked, shared_keys))
@@ -585,10 +585,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     some = grouped_rows([unpack(r.data)[0] for r in lowest(kept(play, SAMPLES).select("block", "data"), "block", k=BOUNDS)])
     ranges = max(n_partitions(spark), -(-in_play // RANGE_SUFFIXES))
     bounds = some[np.unique(np.arange(1, ranges) * len(some) // ranges)] if len(some) else some
-    rows, old = in_turns(play.filter(F.col("bucket") != SAMPLES), [], lambda turn: ask_words(bounds, length, turn), ranked_keys)
+    rows, old = stepped(play.filter(F.col("bucket") != SAMPLES), [], ask_words(bounds, length), ranked_keys)
     for level in range(1, len(reach(length))):
-        rows, old = in_turns(rows, old, lambda turn, level=level: ask_names(level, length, turn), ranked_keys)
-    rows, old = in_turns(rows.unionByName(kept(play, TEXTS)), [*old, play], lambda turn: ask_merge(bounds, length, turn), merged(length))
+        rows, old = stepped(rows, old, ask_names(level, length), ranked_keys)
+    rows, _ = stepped(rows.unionByName(kept(play, TEXTS)), [*old, play], ask_merge(bounds, length), merged(length))
     return with_texts(rows, cut_texts(length), RESULT)
 
 
