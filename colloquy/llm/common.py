@@ -16,6 +16,8 @@ CHUNK_BYTES = 8 << 20
 #: A key is hot with over this many rows and over one of HOT_KEYS parts of all; so fewer than HOT_KEYS keys are.
 HOT_ROWS, HOT_KEYS = 256, 2048
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+READ_ROWS = "spark.sql.parquet.columnarReaderBatchSize"
+BLOB_GROUP = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,16 +31,23 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
 
 
-def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Cuts the lineage: writes ``df`` as a Parquet table in the shared folder and reads it back. Its shuffle files go once it is written."""
+def materialize(df: DataFrame, blobs: bool = False) -> DataFrame:
+    """Cuts the lineage: writes ``df`` as a Parquet table in the shared folder and reads it back. Its shuffle files go once it is written.
+
+    ``blobs``: rows hold up to some MB that are compressed already, so fewer of them are read and written at a time.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/colloquy-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    conf = {CLEANUP: "true"} | ({READ_ROWS: "128"} if blobs else {})
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
     try:
-        df.write.option("compression", codec).parquet(path)
+        writer = df.write.option("compression", "uncompressed").option("parquet.block.size", BLOB_GROUP) if blobs else df.write.option("compression", "zstd")
+        writer.parquet(path)
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     table = spark.read.schema(df.schema).parquet(path)
     table.written = path
     return table

@@ -558,17 +558,19 @@ def documents(block: Block, ids: list, copied: np.ndarray, starts: np.ndarray) -
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and text (what is left) of every row of ``docs`` (doc_id, text). ``length`` is 8 or more."""
     spark = docs.sparkSession
-    written = lambda rows: materialize(rows, "uncompressed")  # noqa: E731  (the data are compressed)
+    written = lambda rows: materialize(rows, blobs=True)
     blocks = written(docs.select("doc_id", "text").mapInArrow(pack_blocks, "block long, bytes long, texts binary"))
     total = blocks.agg(F.sum("bytes")).first()[0] or 0
     ranges = max(n_partitions(spark), -(-total // RANGE_BYTES))
+    tasks = max(n_partitions(spark), -(-total // (8 * BLOCK)))
     with_texts = lambda rows, step, schema=ROWS: blocks.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(step, schema)
     resolved = lambda asked, step: asked.filter("bucket >= 0").groupBy("bucket").applyInArrow(step, ROWS)
     kept = lambda rows, kind=KEEPS: rows.filter(F.col("bucket") == kind)
 
     def stepped(rows: DataFrame, old: list[DataFrame], step, resolve) -> tuple[DataFrame, list[DataFrame]]:
         """What the blocks keep of a step and the replies to its requests."""
-        asked = written(rows.groupBy("block").applyInArrow(step, ROWS))
+        # what a block keeps is small, but takes long
+        asked = written(rows.repartition(tasks, "block").groupBy("block").applyInArrow(step, ROWS))
         discard(*old)
         replies = written(resolved(asked, resolve))
         return kept(asked).unionByName(replies), [asked, replies]
