@@ -9,9 +9,9 @@ first ``length`` bytes matters, and equal prefixes stand next to each other in i
    equal strings then share; a suffix stays in play if one of its first v places has a name that occurs elsewhere. Chance equals
    only keep more in play.
 3. Of the suffixes in play those at places 1 and 2 modulo 3 (the difference cover of triples) are sorted: first by a triple of words
-   of 8 bytes, in ranges between sampled bounds; the rank among distinct triples is the suffix's name. Then names are recursed
-   on: triples of names, a name's reach apart, are sorted and named again, so names stand for 24, 72, 216, ... bytes, up
-   to the last multiple of 6 that is 2 or more below ``length``. All are exact ranks; no two strings share one.
+   of 6 bytes, in ranges between sampled bounds; the rank among distinct triples is the suffix's name. Then names are recursed
+   on: triples of names, at most a name's reach apart, are sorted and named again, so names stand for 18, 54, 162 and 396 bytes (in
+   general, up to the last multiple of 6 that is 2 or more below ``length``). All are exact ranks; no two strings share one.
 4. The remaining suffixes (places 0 modulo 3) are merged with them: any two kinds have a distance of 1 or 2 at which both are
    at a sorted place, so bytes up to there, the rank there and the bytes after its reach decide. In each range the three sorted
    lists are merged, and adjacent prefixes are compared in the same terms, which is equality of their bytes.
@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +47,8 @@ LENGTH = 400
 BASE = 0x9E3779B97F4A7C15
 #: Bytes of text, and suffixes in play, for each range of names.
 RANGE_BYTES, RANGE_SUFFIXES = 32 << 20, 3 << 20
+#: Ranges are resolved in so many turns, so that only a part of the requests is shuffled at a time.
+TURNS = 2
 #: Rows of 16 keys each that bound the ranges (at most about four times as many go to the driver).
 BOUNDS = 2048
 #: Rows between steps: what a block keeps, its texts in play, its sample of keys, or (bucket 0 and on) requests or replies of a range.
@@ -137,7 +139,9 @@ class Block:
 def reach(length: int) -> list[int]:
     """How many bytes the names of each level stand for: multiples of 6, so that triples stay at places of the same kind."""
     last = (length - 2) // 6 * 6
-    out = [3 * min(8, last // 3)]
+    levels = next(k for k in range(99) if 24 * 3**k >= last)
+    # the shortest words, of at most 8 bytes, that need no more levels
+    out = [-(-last // (6 * 3**levels)) * 6]
     while out[-1] < last:
         out.append(min(3 * out[-1], last))
     return out
@@ -564,24 +568,26 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     ranges = max(n_partitions(spark), -(-total // RANGE_BYTES))
     tasks = max(n_partitions(spark), -(-total // (8 * BLOCK)))
     with_texts = lambda rows, step, schema=ROWS: blocks.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(step, schema)
-    resolved = lambda asked, step: asked.filter("bucket >= 0").groupBy("bucket").applyInArrow(step, ROWS)
     kept = lambda rows, kind=KEEPS: rows.filter(F.col("bucket") == kind)
 
+    def resolved(asked: DataFrame, resolve) -> tuple[DataFrame, list[DataFrame]]:
+        """What the blocks keep and the replies to what they ask, and the tables that hold it."""
+        parts = [asked.filter((F.col("bucket") >= 0) & (F.col("bucket") % TURNS == turn)) for turn in range(TURNS)]
+        replies = [written(part.groupBy("bucket").applyInArrow(resolve, ROWS)) for part in parts]
+        return reduce(DataFrame.unionByName, [kept(asked), *replies]), [asked, *replies]
+
     def stepped(rows: DataFrame, old: list[DataFrame], step, resolve) -> tuple[DataFrame, list[DataFrame]]:
-        """What the blocks keep of a step and the replies to its requests."""
         # what a block keeps is small, but takes long
         asked = written(rows.repartition(tasks, "block").groupBy("block").applyInArrow(step, ROWS))
         discard(*old)
-        replies = written(resolved(asked, resolve))
-        return kept(asked).unionByName(replies), [asked, replies]
-
-    asked = written(blocks.mapInArrow(ask_copies(ranges), ROWS))
-    replies = written(resolved(asked, shared_keys))
-    more = written(with_texts(kept(asked).unionByName(replies), ask_samples(ranges, length)))
-    discard(asked, replies)
-    replies = written(resolved(more, shared_keys))
-    play = written(with_texts(kept(more).unionByName(replies), keep_in_play(length)))
-    discard(more, replies)
+        return resolved(asked, resolve)
+
+    rows, old = resolved(written(blocks.mapInArrow(ask_copies(ranges), ROWS)), shared_keys)
+    asked = written(with_texts(rows, ask_samples(ranges, length)))
+    discard(*old)
+    rows, old = resolved(asked, shared_keys)
+    play = written(with_texts(rows, keep_in_play(length)))
+    discard(*old)
 
     in_play = play.agg(F.sum("n")).first()[0] or 0
     some = grouped_rows([unpack(r.data)[0] for r in lowest(kept(play, SAMPLES).select("block", "data"), "block", k=BOUNDS)])
