@@ -31,10 +31,11 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
 
 
-def materialize(df: DataFrame, blobs: bool = False) -> DataFrame:
+def materialize(df: DataFrame, blobs: bool = False, by: str | None = None) -> DataFrame:
     """Cuts the lineage: writes ``df`` as a Parquet table in the shared folder and reads it back. Its shuffle files go once it is written.
 
     ``blobs``: rows hold up to some MB that are compressed already, so fewer of them are read and written at a time.
+    ``by``: a column whose values have folders of their own, which discard() can delete one by one.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/colloquy-{uuid.uuid4().hex}"
@@ -44,7 +45,7 @@ def materialize(df: DataFrame, blobs: bool = False) -> DataFrame:
         spark.conf.set(k, v)
     try:
         writer = df.write.option("compression", "uncompressed").option("parquet.block.size", BLOB_GROUP) if blobs else df.write.option("compression", "zstd")
-        writer.parquet(path)
+        (writer.partitionBy(by) if by else writer).parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
@@ -53,11 +54,11 @@ def materialize(df: DataFrame, blobs: bool = False) -> DataFrame:
     return table
 
 
-def discard(*tables: DataFrame) -> None:
-    """Deletes materialised tables that nothing reads any more."""
+def discard(*tables: DataFrame, part: str = "") -> None:
+    """Deletes materialised tables (or one folder of each) that nothing reads any more."""
     for table in tables:
         spark = table.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(table.written)
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{table.written}/{part}")
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 

@@ -114,17 +114,15 @@ class Block:
     def samples(self, active: np.ndarray) -> np.ndarray:
         sampled = np.zeros(self.v, bool)
         sampled[list(self.cover)] = True
-        at = np.flatnonzero(sampled[self.place % self.v] & (self.left >= self.length - self.v + 1))
-        return at[active[self.doc[at]]]
+        return np.flatnonzero(sampled[self.place % self.v] & (self.left >= self.length - self.v + 1) & active[self.doc])
 
     def in_play(self, active: np.ndarray, samples: np.ndarray, shared: np.ndarray) -> np.ndarray:
         """Starts of whole strings in active texts, one of whose first v places is a sample of a shared name."""
-        seen = np.zeros(len(self.data) + 1, np.int32)
+        n = len(self.data)
+        seen = np.zeros(n + self.v + 1, np.int32)
         seen[samples[shared] + 1] = 1
         np.cumsum(seen, out=seen)
-        at = np.flatnonzero(self.left >= self.length)
-        at = at[active[self.doc[at]]]
-        return at[seen[at + self.v] > seen[at]]
+        return np.flatnonzero((self.left >= self.length) & (seen[self.v : n + self.v] > seen[:n]) & active[self.doc])
 
     def spans(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bounds of the maximal runs of bytes that strings at these (sorted) starts cover."""
@@ -570,20 +568,25 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     with_texts = lambda rows, step, schema=ROWS: blocks.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(step, schema)
     kept = lambda rows, kind=KEEPS: rows.filter(F.col("bucket") == kind)
 
+    def asking(rows: DataFrame) -> DataFrame:
+        return materialize(rows.withColumn("turn", F.when(F.col("bucket") >= 0, F.col("bucket") % TURNS).otherwise(KEEPS)), blobs=True, by="turn")
+
     def resolved(asked: DataFrame, resolve) -> tuple[DataFrame, list[DataFrame]]:
         """What the blocks keep and the replies to what they ask, and the tables that hold it."""
-        parts = [asked.filter((F.col("bucket") >= 0) & (F.col("bucket") % TURNS == turn)) for turn in range(TURNS)]
-        replies = [written(part.groupBy("bucket").applyInArrow(resolve, ROWS)) for part in parts]
-        return reduce(DataFrame.unionByName, [kept(asked), *replies]), [asked, *replies]
+        replies = []
+        for turn in range(TURNS):
+            replies.append(written(asked.filter(F.col("turn") == turn).drop("turn").groupBy("bucket").applyInArrow(resolve, ROWS)))
+            discard(asked, part=f"turn={turn}")
+        return reduce(DataFrame.unionByName, [asked.filter(F.col("turn") == KEEPS).drop("turn"), *replies]), [asked, *replies]
 
     def stepped(rows: DataFrame, old: list[DataFrame], step, resolve) -> tuple[DataFrame, list[DataFrame]]:
         # what a block keeps is small, but takes long
-        asked = written(rows.repartition(tasks, "block").groupBy("block").applyInArrow(step, ROWS))
+        asked = asking(rows.repartition(tasks, "block").groupBy("block").applyInArrow(step, ROWS))
         discard(*old)
         return resolved(asked, resolve)
 
-    rows, old = resolved(written(blocks.mapInArrow(ask_copies(ranges), ROWS)), shared_keys)
-    asked = written(with_texts(rows, ask_samples(ranges, length)))
+    rows, old = resolved(asking(blocks.mapInArrow(ask_copies(ranges), ROWS)), shared_keys)
+    asked = asking(with_texts(rows, ask_samples(ranges, length)))
     discard(*old)
     rows, old = resolved(asked, shared_keys)
     play = written(with_texts(rows, keep_in_play(length)))
