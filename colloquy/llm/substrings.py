@@ -51,7 +51,7 @@ RANGE_BYTES, RANGE_SUFFIXES = 32 << 20, 3 << 20
 TURNS = 2
 #: Rows of 16 keys each that bound the ranges (at most about four times as many go to the driver).
 BOUNDS = 2048
-#: Rows between steps: what a block keeps, its texts in play, its sample of keys, or (bucket 0 and on) requests or replies of a range.
+#: Rows between steps: what a block keeps, its runs of bytes in play, its sample of keys, or (bucket 0 and on) requests or replies of a range.
 ROWS = "block long, bucket int, n long, data binary"
 KEEPS, TEXTS, SAMPLES = -1, -2, -3
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
@@ -97,10 +97,14 @@ class Block:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int) -> None:
         self.data, self.offsets, self.length = data, offsets, length
         self.v, self.cover = difference_cover(length)
-        sizes = np.diff(offsets)
-        self.doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-        self.place = np.arange(len(data), dtype=np.int32) - np.repeat(offsets[:-1], sizes).astype(np.int32)
-        self.left = np.repeat(sizes, sizes).astype(np.int32) - self.place
+
+    def docs_of(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.offsets, at, "right") - 1
+
+    def texts_of(self, active: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
+        """Where the active texts of ``least`` bytes or more begin and end."""
+        own = np.flatnonzero(active & (np.diff(self.offsets) >= least))
+        return zip(self.offsets[own].tolist(), self.offsets[own + 1].tolist(), strict=True)
 
     def fingerprints(self, at: np.ndarray, size: int) -> np.ndarray:
         n = len(self.data)
@@ -112,9 +116,14 @@ class Block:
         return mixed((sums[at + size] - sums[at]) * down[at])[:, None]
 
     def samples(self, active: np.ndarray) -> np.ndarray:
-        sampled = np.zeros(self.v, bool)
-        sampled[list(self.cover)] = True
-        return np.flatnonzero(sampled[self.place % self.v] & (self.left >= self.length - self.v + 1) & active[self.doc])
+        size = self.length - self.v + 1
+        tile = np.zeros(len(self.data) + self.v, bool)
+        for c in self.cover:
+            tile[c :: self.v] = True
+        out = np.zeros(len(self.data), bool)
+        for a, b in self.texts_of(active, size):
+            out[a : b - size + 1] = tile[: b - size + 1 - a]
+        return np.flatnonzero(out)
 
     def in_play(self, active: np.ndarray, samples: np.ndarray, shared: np.ndarray) -> np.ndarray:
         """Starts of whole strings in active texts, one of whose first v places is a sample of a shared name."""
@@ -122,13 +131,17 @@ class Block:
         seen = np.zeros(n + self.v + 1, np.int32)
         seen[samples[shared] + 1] = 1
         np.cumsum(seen, out=seen)
-        return np.flatnonzero((self.left >= self.length) & (seen[self.v : n + self.v] > seen[:n]) & active[self.doc])
+        out = np.zeros(n, bool)
+        for a, b in self.texts_of(active, self.length):
+            c = b - self.length + 1
+            np.greater(seen[a + self.v : c + self.v], seen[a:c], out=out[a:c])
+        return np.flatnonzero(out)
 
     def spans(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bounds of the maximal runs of bytes that strings at these (sorted) starts cover."""
         if not len(starts):
             return starts, starts
-        new = np.append(True, (starts[1:] > starts[:-1] + self.length) | (self.doc[starts[1:]] != self.doc[starts[:-1]]))
+        new = np.append(True, (starts[1:] > starts[:-1] + self.length) | (np.diff(self.docs_of(starts)) != 0))
         last = np.append(np.flatnonzero(new)[1:] - 1, len(starts) - 1)
         return starts[new], starts[last] + self.length
 
@@ -151,7 +164,7 @@ def counted(n: int) -> np.ndarray:
 
 
 def thirds(offsets: np.ndarray) -> np.ndarray:
-    """Each byte's place in its text modulo 3."""
+    """Each byte's place in its run modulo 3."""
     n = int(offsets[-1])
     back = np.repeat((-offsets[:-1] % 3).astype(np.uint8), np.diff(offsets))
     return np.array([0, 1, 2, 0, 1], np.uint8)[counted((n >> 18) + 1 << 18)[:n] + back]
@@ -355,21 +368,22 @@ def ask_samples(ranges: int, length: int):
 
 
 def keep_in_play(length: int):
-    """After step 2: the starts in play, their texts (other bytes are 0), and some of their keys."""
+    """After step 2: the starts in play in the runs of bytes that their strings cover, these runs (texts of their own from here on), and some keys."""
 
     def run(blocks: pa.Table, rows: pa.Table) -> pa.Table:
         number, _, block = opened(blocks, length)
         copied, first, group = kept_of(rows)
         starts = block.in_play(first, block.samples(first), bits_of(rows, group)[0])
-        kept = (number, KEEPS, len(starts), pack(copied, block.offsets, mask_of(starts, block.offsets)))
+        begin, end = block.spans(starts)
+        offsets = np.append(0, np.cumsum(end - begin))
+        moved = begin - offsets[:-1]
+        here = starts - moved[np.searchsorted(begin, starts, "right") - 1]
+        kept = (number, KEEPS, len(starts), pack((copied, moved), offsets, mask_of(here, offsets)))
         if not len(starts):
             return table([kept])
-        until = np.zeros(len(block.data) + 1, np.int32)
-        until[starts] = 1
-        until[starts + length] -= 1
-        texts = np.where(np.cumsum(until[:-1]) > 0, block.data, np.uint8(0))
+        texts = block.data[np.arange(offsets[-1]) + np.repeat(moved, end - begin)]
         some = mixed(np.arange(16, dtype=np.uint64) + np.uint64(number << 8)) % np.uint64(len(starts))
-        return table([kept, (number, TEXTS, 0, pack(texts)), (number, SAMPLES, 0, pack(words(block.data, starts[some.astype(np.int64)], length)))])
+        return table([kept, (number, TEXTS, 0, pack(texts)), (number, SAMPLES, 0, pack(words(texts, here[some.astype(np.int64)], length)))])
 
     return run
 
@@ -393,12 +407,12 @@ def ask_words(bounds: np.ndarray, length: int):
 
     def run(rows: pa.Table) -> pa.Table:
         number = rows["block"][0].as_py()
-        copied, offsets, play = kept_of(rows)
+        of, offsets, play = kept_of(rows)
         if not has_texts(rows):
-            return table([(number, KEEPS, 0, pack(copied, offsets, play, np.zeros(0, np.uint8)))])
+            return table([(number, KEEPS, 0, pack(of, offsets, play, np.zeros(0, np.uint8)))])
         places = np.flatnonzero(sorted_places(starts_of(offsets, play), thirds(offsets) > 0, 0, length))
         asked, group = ask(number, words(kept_of(rows, TEXTS)[0], places, length), bounds)
-        return table([(number, KEEPS, 0, pack(copied, offsets, play, group)), *asked])
+        return table([(number, KEEPS, 0, pack(of, offsets, play, group)), *asked])
 
     return run
 
@@ -415,7 +429,7 @@ def ask_names(level: int, length: int):
 
     def run(rows: pa.Table) -> pa.Table:
         number = rows["block"][0].as_py()
-        copied, offsets, play, group = kept_of(rows)
+        of, offsets, play, group = kept_of(rows)
         depths, starts, sampled = reach(length), starts_of(offsets, play), thirds(offsets) > 0
         names, shared = names_of(rows)
         before = sorted_places(starts, sampled, level - 1, length)
@@ -424,7 +438,7 @@ def ask_names(level: int, length: int):
         step = (depths[level] - depths[level - 1]) // 2
         keys = np.stack([group[index[after + i * step]].astype(np.uint64) for i in range(3)], 1)
         asked, group = ask(number, keys, None, names)
-        return table([(number, KEEPS, 0, pack(copied, offsets, mask_of(starts, offsets), group)), *asked])
+        return table([(number, KEEPS, 0, pack(of, offsets, mask_of(starts, offsets), group)), *asked])
 
     return run
 
@@ -435,7 +449,7 @@ def ask_merge(bounds: np.ndarray, length: int):
 
     def run(rows: pa.Table) -> pa.Table:
         number = rows["block"][0].as_py()
-        copied, offsets, play, group = kept_of(rows)
+        of, offsets, play, group = kept_of(rows)
         starts, third = starts_of(offsets, play), thirds(offsets)
         names, shared = names_of(rows)
         before = sorted_places(starts, third > 0, len(reach(length)) - 1, length)
@@ -454,7 +468,7 @@ def ask_merge(bounds: np.ndarray, length: int):
             at = columns[1][one] >> np.uint64(32) if kind else np.repeat(np.arange(len(bounds) + 1), np.diff(cuts_of(words(texts, own[one], length), bounds)))
             for r, x, y in slices(at):
                 parts.setdefault(r, {})[kind] = (*(c[one[x:y]] for c in columns), twice[x:y])
-        asked = [(number, KEEPS, 0, pack(copied, offsets, mask_of(starts, offsets), *groups))]
+        asked = [(number, KEEPS, 0, pack(of, offsets, mask_of(starts, offsets), *groups))]
         for r, lists in parts.items():
             lists = [lists.get(kind, (*(np.zeros(0, np.uint64),) * 4, np.zeros(0, bool))) for kind in range(3)]
             asked.append((number, r, 0, pack(*((squeezed(np.stack(x[:4], 1)), np.packbits(x[4]), len(x[4])) for x in lists))))
@@ -520,23 +534,24 @@ def cut_texts(length: int):
 
     def run(blocks: pa.Table, rows: pa.Table) -> pa.Table:
         _, ids, block = opened(blocks, length)
-        copied, offsets, play, *groups = kept_of(rows)
+        (copied, moved), offsets, play, *groups = kept_of(rows)
         starts = starts_of(offsets, play)
         hit, third = np.zeros(len(starts), bool), thirds(offsets)[starts]
         replies = [x[1:] for x in answers(rows)]
         for kind, group in enumerate(groups):
             bits = np.concatenate([np.zeros(0, np.uint8), *(np.unpackbits(x[kind][0], count=x[kind][1]) for x in replies)]).astype(bool)
             hit[third == kind] = bits[group]
-        return documents(block, ids, copied, starts[hit])
+        found = starts[hit]
+        return documents(block, ids, copied, found + moved[np.searchsorted(offsets, found, "right") - 1])
 
     return run
 
 
 def documents(block: Block, ids: list, copied: np.ndarray, starts: np.ndarray) -> pa.Table:
     sizes = np.diff(block.offsets)
-    starts = starts[~copied[block.doc[starts]]]
+    starts = starts[~copied[block.docs_of(starts)]]
     first, last = block.spans(starts)
-    of = block.doc[first] if len(first) else first
+    of = block.docs_of(first)
     cuts = np.searchsorted(of, np.arange(len(sizes) + 1))
     removed = np.bincount(of, last - first, len(sizes)).astype(np.int64)
     whole = copied & (sizes >= block.length)
