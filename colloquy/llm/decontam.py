@@ -7,8 +7,8 @@ sorted by prefix doubling in which only still tied suffixes go on; the Burrows-W
 is held in a wavelet matrix. Benchmark windows are searched backwards, all at once; occurrences are
 located by walking to a sampled suffix position. Overlapping occurrences merge into removal spans.
 
-The benchmark is sent to the tasks in blocks of at most ``block_bytes`` of text (a checked size);
-with more than one block the documents are indexed for each, and hits are merged by document.
+The benchmark is sent to the tasks in blocks of about ``block_bytes`` of text (a checked size; the windows of a block take some 18 times
+as much, and a longer item is a block by itself); with more than one block the documents are indexed for each, and hits are merged by document.
 
 Cases: null text has no words, null or wordless items no windows; repeated rows and ids stay rows of
 their own; an item id that occurs twice counts once; null item ids match but are not listed or
@@ -117,7 +117,7 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     zeros = np.cumsum(text == 0)
     rank = np.where(text == 0, zeros - 1, text + zeros[-1])
     bits = max(1, int(rank.max()).bit_length())
-    step = max(1, 63 // bits)
+    step = min(n, max(1, 63 // bits))
     key = np.zeros(n, np.int64)
     for i in range(step):
         key <<= bits
@@ -274,7 +274,7 @@ def merge_hits(table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist([one], table.schema)
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 16 << 20, keep: list[str] | None = None) -> DataFrame:
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 1 << 20, keep: list[str] | None = None) -> DataFrame:
     """Per row of ``docs``: the columns in ``keep`` (doc_id), n_words, n_hit, items (sorted ids), spans (byte ranges to remove), contaminated."""
     spark = docs.sparkSession
     bench = benchmark.select("item_id", "text")

@@ -122,7 +122,8 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", salts
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    rows = F.array(*(F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict")) for h, p, v in RULES))
+    rules = spark.range(1).select(F.inline(rows))
     return url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
 
 

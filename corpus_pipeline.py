@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next one's docs; all but the last return the columns of ``documents``.
+
+Cases, in every stage: a null text counts as empty (and stays null), null and repeated ids and repeated rows are rows of their own
+(near duplicates: copies, of which one row stays), long texts are taken whole, an empty table gives an empty table, and
+columns beside those of ``documents`` are left out.
 """
 
 from __future__ import annotations

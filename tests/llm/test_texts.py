@@ -4,6 +4,7 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from colloquy.llm import decontam, neardup, pieces, pii, quality, substrings, tokencount
 
@@ -317,3 +318,49 @@ def test_pipeline_stages(spark):
     assert all("@" not in r.text or not any(brute.personal(r.text).values()) for r in masked.collect())
     out = p.run(spark, d)
     assert out.count() == clean.count() and out.filter("not lossless").count() == 0
+
+
+def odd_documents(spark):
+    """Nulls, empty and very long texts, repeated rows and ids, and columns that clash with the operators' own."""
+    long = " ".join(f"word{i} +1 (269) 555-{i % 9000 + 1000}" for i in range(60_000))
+    rows = [(None, None), (None, None), (1, None), (2, ""), (2, ""), (3, "one text that is here twice, word for word and more"), (3, "one text that is here twice, word for word and more"), (3, "another text of the same id, quite unlike the first one"), (4, long), (5, "x" * 5_000_000), (6, "a@b.example and 10.1.2.3")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, node string, row string, turn int, of string"
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "s", "n", "r", 1, "o") for i, t in rows], schema), rows
+
+
+def test_pipeline_on_odd_documents(spark):
+    import corpus_pipeline as p
+
+    d = "/root/testdata/sf0.001"
+    table, rows = odd_documents(spark)
+    for _, stage in p.STAGES[:-1]:
+        assert stage(spark, table, d).columns == p.COLUMNS
+        assert stage(spark, table.limit(0), d).count() == 0
+    kept = p.near_dedup(spark, table, d).collect()
+    assert sorted((str(r.doc_id), len(r.text or "")) for r in kept) == sorted([("1", 0), ("3", 51), ("3", 55), ("4", len(rows[8][1])), ("5", 5_000_000), ("6", 24)]) or sorted((str(r.doc_id), len(r.text or "")) for r in kept) == sorted([("2", 0), ("3", 51), ("3", 55), ("4", len(rows[8][1])), ("5", 5_000_000), ("6", 24)])
+    assert p.decontaminate(spark, table, d).count() == len(rows)
+    masked = p.mask_personal_data(spark, table, d).collect()
+    assert len(masked) == len(rows) and all(r.n_chars == (None if r.text is None else len(r.text)) for r in masked)
+    assert [r.text for r in masked if r.doc_id == 6] == ["<EMAIL> and <IP>"] and "555-" not in next(r.text for r in masked if r.doc_id == 4)
+    out = p.encode(spark, table, d).select("doc_id", "lossless").collect()
+    assert len(out) == len(rows) and all(r.lossless for r in out)
+    assert p.encode(spark, table.limit(0), d).count() == 0
+
+
+def test_quality_rows_of_odd_ids(spark):
+    table, rows = odd_documents(spark)
+    labels = spark.createDataFrame([(3, 1), (6, 0), (4, 0)], "doc_id long, quality int")
+    scored = quality.score_quality(table, quality.fit_quality(table, labels))
+    assert scored.columns.count("score") == 1 and scored.count() == len(rows)
+    flags = spark.createDataFrame([(None,), (1,)], "doc_id long").select(quality.held_out(F.col("doc_id"))).collect()
+    assert flags[0][0] is True and flags[1][0] is not None
+
+
+def test_long_texts_through_every_operator(spark):
+    table, rows = odd_documents(spark)
+    got = {(r.doc_id, r.n_words): r for r in decontam.benchmark_hits(table, spark.createDataFrame([(1, " ".join(f"word{i} 1 269 555 {i % 9000 + 1000}" for i in range(100, 110)))], "item_id long, text string")).collect()}
+    assert len([r for r in got.values() if r.n_hit]) == 1
+    counts = tokencount.token_counts(table).collect()
+    assert len(counts) == len(rows)
+    repeats = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans) for r in substrings.remove_repeats(table).collect())
+    assert ("5", 5_000_000, 5_000_000, 1) in repeats and len(repeats) == len(rows)
