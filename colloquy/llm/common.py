@@ -103,10 +103,11 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BY
 
 
 def texts_of(batch: pa.RecordBatch, column: str) -> tuple[memoryview, "object"]:
-    """The UTF-8 bytes of a string column as one array, and its offsets (n + 1); null is empty."""
+    """The bytes of a string or binary column as one array, and its offsets (n + 1); null is empty."""
     import numpy as np
 
-    col = pc.fill_null(batch.column(column), "").cast(pa.large_binary())
+    col = batch.column(column)
+    col = pc.fill_null(col, b"" if pa.types.is_binary(col.type) or pa.types.is_large_binary(col.type) else "").cast(pa.large_binary())
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     offsets = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]

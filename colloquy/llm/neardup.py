@@ -42,7 +42,7 @@ from .pieces import mixed
 
 SHINGLE = 5
 COORDS, BANDS = 64, 16
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Sets compared with each other or with one more set in a group of a task.
 MEMBERS = 128
 #: Bits of the filter for each wanted node, and most bits in all (16 MB); a fuller filter lets more sets be shuffled.
@@ -192,10 +192,13 @@ def check_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key = centre = None
     for batch in batches:
         found = []
-        for a, chunk, side, node, names in zip(*(batch.column(c).to_pylist() for c in ("a", "chunk", "side", "node", "names")), strict=True):
+        # the sets are views of the batch's own bytes
+        data, offsets = texts_of(batch, "names")
+        for i, (a, chunk, side, node) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "chunk", "side", "node")), strict=True)):
+            names = data[offsets[i] : offsets[i + 1]].view(np.uint64)
             if side == 0:
-                key, centre = (a, chunk), np.frombuffer(names, np.uint64)
-            elif key == (a, chunk) and similar(centre, np.frombuffer(names, np.uint64)):
+                key, centre = (a, chunk), names.copy()
+            elif key == (a, chunk) and similar(centre, names):
                 found.append((a, node))
         yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)], ["a", "b"])
 

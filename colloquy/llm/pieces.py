@@ -32,7 +32,7 @@ from .common import chunks
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 LONG = 48
 SLICE = 1 << 15
 SHARE = np.uint64(0xD6E8FEB86659FD93)
