@@ -100,6 +100,8 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             total += n
         if start < batch.num_rows:
             yield batch.slice(start)
+        # a worker lives on through many stages
+        pa.default_memory_pool().release_unused()
 
 
 def texts_of(batch: pa.RecordBatch, column: str) -> tuple[memoryview, "object"]:

@@ -29,7 +29,7 @@ from pyspark.sql.types import StructType
 
 from .common import chunks, texts_of
 
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 WINDOW = 13
 SAMPLE = 16
 BASE = np.uint64(0x9E3779B97F4A7C15)

@@ -42,7 +42,7 @@ from .pieces import mixed
 
 SHINGLE = 5
 COORDS, BANDS = 64, 16
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Sets compared with each other or with one more set in a group of a task.
 MEMBERS = 128
 #: Bits of the filter for each wanted node, and most bits in all (16 MB); a fuller filter lets more sets be shuffled.

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks, pack, texts_of, unpack
 
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 LOWER, UPPER, DIGIT, SPACE, STOP, SHOUT, PIPE, SIGN, REST = range(9)
 KIND = np.full(256, REST, np.uint8)
 KIND[[*range(97, 123), *range(128, 256)]] = LOWER
