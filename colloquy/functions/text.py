@@ -11,8 +11,8 @@ from pyspark.sql.types import DoubleType
 
 from .features import keyed_uniform
 
-#: Currency signs, codes and names, in order of precedence.
-CURRENCIES = [("$", "USD", "dollar"), ("€", "EUR", "euro"), ("£", "GBP", "pound"), ("¥", "JPY", "yen"), ("₹", "INR", "rupee")]
+#: Currency signs, codes and names.
+CURRENCIES = [("$", "USD", "dollars"), ("€", "EUR", "euros"), ("£", "GBP", "pounds"), ("¥", "JPY", "yen"), ("₹", "INR", "rupees")]
 FUNCTION_WORDS = ["a", "an", "and", "at", "for", "in", "is", "of", "on", "the", "to", "with"]
 
 
@@ -43,21 +43,28 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def first_float(text: Column) -> Column:
-    """The first number, thousands commas taken out."""
-    plain = F.regexp_replace(text, r"(?<=\d),(?=\d{3})", "")
-    return F.nullif(F.regexp_extract(plain, r"(-?\d+(?:\.\d+)?)", 1), F.lit("")).try_cast("double")
+    """The first number of the whole text, commas between digits taken out; a sign counts only before a number with a point, null without a number."""
+    plain = F.regexp_replace(text, r"(?<=\d),(?=\d)", "")
+    return F.nullif(F.regexp_extract(plain, r"([-+]?\d*\.\d+|\d+)", 1), F.lit("")).try_cast("double")
 
 
 def currency(text: Column) -> Column:
-    """Code of the first kind of mention that is found: sign, then code, then name."""
-    found = F.lit(None).cast("string")
-    for sign, code, name in reversed(CURRENCIES):
-        found = F.when(F.lower(text).contains(name), code).otherwise(found)
-    for sign, code, name in reversed(CURRENCIES):
-        found = F.when(text.contains(code), code).otherwise(found)
-    for sign, code, name in reversed(CURRENCIES):
-        found = F.when(text.contains(sign), code).otherwise(found)
-    return found
+    """Code of the first sign in the text; without signs of the first code, without codes of the first name (whole words, names in any case)."""
+
+    def first(pattern: str, known: dict[str, str]) -> Column:
+        found = F.lower(F.regexp_extract(text, pattern, 1))
+        out = F.lit(None).cast("string")
+        for word, code in known.items():
+            out = F.when(found == word.lower(), code).otherwise(out)
+        return out
+
+    whole = "(?<![\\p{L}\\p{N}_])(%s)(?![\\p{L}\\p{N}_])"
+    signs, codes, names = zip(*CURRENCIES, strict=True)
+    return F.coalesce(
+        first(f"([{''.join(signs)}])", dict(zip(signs, codes, strict=True))),
+        first(whole % "|".join(codes), dict(zip(codes, codes, strict=True))),
+        first("(?i)" + whole % "|".join(names), dict(zip(names, codes, strict=True))),
+    )
 
 
 def as_bool(text: Column) -> Column:

@@ -64,6 +64,33 @@ def krippendorff_alpha(ratings: DataFrame, level: str = "nominal") -> DataFrame:
     return seen.join(F.broadcast(whole)).select(F.when(F.col("dt") == 0, 1.0).otherwise(1 - (F.col("do") / F.col("t")) / (F.col("dt") / (F.col("t") * (F.col("t") - 1)))).alias("alpha"))
 
 
+def krippendorff_ordinal(ratings: DataFrame) -> DataFrame:
+    """One row: alpha with ordinal differences (ratings up to and between two labels, less half of theirs, squared).
+
+    Labels are a scale of a few values; items go through counts of (label, label) cells, not through pairs of ratings.
+    """
+    unit = counts(ratings).withColumn("m", F.sum("n").over(Window.partitionBy("item"))).filter("m > 1")
+    scale = unit.groupBy("label").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy("label")))
+    x = scale.select(F.col("label").alias("x"), F.col("n").alias("nx"), F.col("upto").alias("ux"))
+    y = scale.select(F.col("label").alias("y"), F.col("n").alias("ny"), F.col("upto").alias("uy"))
+    between = F.col("uy") - F.col("ux") + F.col("nx") - (F.col("nx") + F.col("ny")) / 2
+    differ = x.join(y, F.col("x") < F.col("y")).select("x", "y", "nx", "ny", F.pow(between, 2).alias("d"))
+    left = unit.select("item", "m", F.col("label").alias("x"), F.col("n").alias("a"))
+    right = unit.select("item", F.col("label").alias("y"), F.col("n").alias("b"))
+    cells = left.join(right, "item").filter("x < y").groupBy("x", "y").agg(F.sum(2 * F.col("a") * F.col("b") / (F.col("m") - 1)).alias("w"))
+    whole = differ.join(cells, ["x", "y"], "left").agg(F.sum(F.coalesce("w", F.lit(0.0)) * F.col("d")).alias("do"), F.sum(2 * F.col("nx") * F.col("ny") * F.col("d")).alias("de"))
+    total = scale.agg(F.sum("n").alias("t"))
+    return whole.join(F.broadcast(total)).select(F.when(F.col("de").isNull() | (F.col("de") == 0), 1.0).otherwise(1 - (F.col("do") / F.col("t")) / (F.col("de") / (F.col("t") * (F.col("t") - 1)))).alias("alpha"))
+
+
+def majority_or_mean(ratings: DataFrame) -> DataFrame:
+    """item, label of most votes (where several have most: the mean of all votes, rounded half to even), tied."""
+    by = counts(ratings)
+    per = by.groupBy("item").agg(F.max("n").alias("top"), F.bround(F.sum(F.col("label") * F.col("n")) / F.sum("n"), 0).cast("int").alias("mean"))
+    best = by.join(per, "item").filter("n = top").groupBy("item", "mean").agg(F.count("*").alias("k"), F.min("label").alias("label"))
+    return best.select("item", F.when(F.col("k") == 1, F.col("label")).otherwise(F.col("mean")).cast("int").alias("label"), (F.col("k") > 1).alias("tied"))
+
+
 def class_scores(pairs: DataFrame) -> DataFrame:
     """One row for columns expected and produced: accuracy, precision, recall and F1 weighted by expected labels, macro F1 (0 where undefined)."""
     cells = pairs.groupBy("expected", "produced").agg(F.count("*").alias("n"))

@@ -67,14 +67,30 @@ def crowding(rows: DataFrame, by: str, objectives: list[str]) -> DataFrame:
 
 
 def spread(front: DataFrame, by: str, x: str, y: str) -> DataFrame:
-    """Mean and relative mean deviation of the distances between neighbours on a front (1 with fewer than three points)."""
-    order = Window.partitionBy(by).orderBy(x, y)
-    gap = F.sqrt(F.pow(F.lead(x).over(order) - F.col(x), 2) + F.pow(F.lead(y).over(order) - F.col(y), 2))
-    rows = front.withColumn("gap", gap)
-    rows = rows.withColumn("mean_gap", F.avg("gap").over(Window.partitionBy(by)))
-    return rows.groupBy(by).agg(
-        F.count("*").alias("n"), F.when(F.count("*") < 3, 1.0).otherwise(F.sum(F.abs(F.col("gap") - F.col("mean_gap"))) / F.nullif(F.sum("gap"), F.lit(0.0))).alias("spread")
-    )
+    """n, Deb's spread of the distances between neighbours on a front (the outermost ones count as those to its ends), and ``spread_ref``: the
+    same with signed deviations and each objective sorted by itself, which literal comparisons need. Both are 1 with fewer than three points."""
+    rows = front.withColumn("i", F.row_number().over(Window.partitionBy(by).orderBy(x, y))).withColumn("j", F.row_number().over(Window.partitionBy(by).orderBy(y, x)))
+    cut = rows.select(by, F.col("j").alias("i"), F.col(y).alias("cut"))
+    order, whole = Window.partitionBy(by).orderBy("i"), Window.partitionBy(by)
+    gap = lambda c: F.sqrt(F.pow(F.lead(x).over(order) - F.col(x), 2) + F.pow(F.lead(c).over(order) - F.col(c), 2))
+    rows = rows.join(cut, [by, "i"]).withColumn("d", gap(y)).withColumn("e", gap("cut")).withColumn("n", F.count("*").over(whole))
+    rows = rows.withColumns({"md": F.avg("d").over(whole), "me": F.avg("e").over(whole)})
+    outer, inner = F.col("i").isin(1) | (F.col("i") == F.col("n") - 1), (F.col("i") > 1) & (F.col("i") < F.col("n") - 1)
+
+    def delta(d: str, mean: str, off: Column) -> Column:
+        ends = F.sum(F.when(outer, F.col(d)))
+        value = (ends + F.sum(F.when(inner, off).otherwise(0.0))) / (ends + (F.count("*") - 1) * F.max(mean))
+        return F.when(F.count("*") < 3, 1.0).otherwise(value)
+
+    return rows.groupBy(by).agg(F.count("*").alias("n"), delta("d", "md", F.abs(F.col("d") - F.col("md"))).alias("spread"), delta("e", "me", F.col("e") - F.col("me")).alias("spread_ref"))
+
+
+def cluster_gini(rows: DataFrame, by: str, cluster: str) -> DataFrame:
+    """Gini coefficient of the cluster sizes of each group, from their order: no pairs of clusters are made."""
+    sizes = rows.groupBy(by, cluster).agg(F.count("*").alias("n"))
+    placed = sizes.withColumn("i", F.row_number().over(Window.partitionBy(by).orderBy("n", cluster)))
+    k = F.count("*")
+    return placed.groupBy(by).agg((2 * F.sum(F.col("i") * F.col("n")) / (k * F.sum("n")) - (k + 1) / k).alias("gini"))
 
 
 def grid_cells(rows: DataFrame, by: str, columns: dict[str, tuple[float, float]], bins: int = 10) -> DataFrame:

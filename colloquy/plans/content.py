@@ -155,7 +155,14 @@ SELECT w.w AS want_id, count(id) AS n, count(id) > 0 AS poi_exists, coalesce(max
     "dimension_scores": "SELECT l_linestatus, round(avg((l_linenumber % 3 * 0.5 + l_orderkey % 3 * 0.5) / 2), 6) AS score, round(avg(1 / (1 + exp(l_tax - l_discount))), 6) AS yes FROM lineitem GROUP BY 1",
     "content_match": "WITH l AS (SELECT *, l_returnflag AS f, l_linestatus AS s, CASE WHEN l_tax > 0 THEN CAST(round(l_tax * 100) AS INTEGER) END AS t FROM lineitem), w AS (SELECT *, first_value(f) OVER o AS wf, first_value(s) OVER o AS ws, first_value(t) OVER o AS wt FROM l WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate)) SELECT l_orderkey, l_linenumber, round((CASE WHEN f = wf THEN 0.5 ELSE 0 END + CASE WHEN s = ws THEN 0.2 ELSE 0 END + CASE WHEN t = wt THEN 0.3 ELSE 0 END) / (0.7 + CASE WHEN wt IS NULL THEN 0 ELSE 0.3 END), 6) AS score FROM w",
     "document_words": "SELECT doc_id, coalesce(len(regexp_extract_all(text, '[A-Za-z0-9]+')), -1) AS n_words, length(regexp_replace(lower(text), '[^A-Za-z0-9_\\s]', '', 'g')) AS n_plain FROM documents",
-    "document_numbers": "WITH d AS (SELECT doc_id, text FROM documents WHERE regexp_matches(text, '[0-9$€£]')) SELECT doc_id, TRY_CAST(nullif(regexp_extract(regexp_replace(substr(text, 1, 2000), '([0-9]),([0-9]{3})', '\\1\\2', 'g'), '(-?[0-9]+(?:\\.[0-9]+)?)', 1), '') AS DOUBLE) AS number, CASE WHEN contains(text, '$') THEN 'USD' WHEN contains(text, '€') THEN 'EUR' WHEN contains(text, '£') THEN 'GBP' WHEN contains(text, '¥') THEN 'JPY' WHEN contains(text, '₹') THEN 'INR' WHEN contains(text, 'USD') THEN 'USD' WHEN contains(text, 'EUR') THEN 'EUR' WHEN contains(text, 'GBP') THEN 'GBP' WHEN contains(text, 'JPY') THEN 'JPY' WHEN contains(text, 'INR') THEN 'INR' WHEN contains(lower(text), 'dollar') THEN 'USD' WHEN contains(lower(text), 'euro') THEN 'EUR' WHEN contains(lower(text), 'pound') THEN 'GBP' WHEN contains(lower(text), 'yen') THEN 'JPY' WHEN contains(lower(text), 'rupee') THEN 'INR' END AS currency FROM d",
+    "document_numbers": r"""
+WITH d AS (SELECT doc_id, text, regexp_replace(regexp_replace(text, '([0-9]),([0-9])', '\1\2', 'g'), '([0-9]),([0-9])', '\1\2', 'g') AS plain FROM documents),
+f AS (SELECT doc_id, nullif(regexp_extract(plain, '[-+]?[0-9]*\.[0-9]+|[0-9]+'), '') AS n, nullif(regexp_extract(text, '[$€£¥₹]'), '') AS s,
+  nullif(regexp_extract(text, '(?:^|[^\p{L}\p{N}_])(USD|EUR|GBP|JPY|INR)(?:[^\p{L}\p{N}_]|$)', 1), '') AS c,
+  lower(nullif(regexp_extract(text, '(?i)(?:^|[^\p{L}\p{N}_])(dollars|euros|pounds|yen|rupees)(?:[^\p{L}\p{N}_]|$)', 1), '')) AS w FROM d)
+SELECT doc_id, TRY_CAST(n AS DOUBLE) AS number, coalesce(
+  CASE s WHEN '$' THEN 'USD' WHEN '€' THEN 'EUR' WHEN '£' THEN 'GBP' WHEN '¥' THEN 'JPY' WHEN '₹' THEN 'INR' END, c,
+  CASE w WHEN 'dollars' THEN 'USD' WHEN 'euros' THEN 'EUR' WHEN 'pounds' THEN 'GBP' WHEN 'yen' THEN 'JPY' WHEN 'rupees' THEN 'INR' END) AS currency FROM f""",
     "perturbed_items": "WITH w AS (SELECT item_id, text, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) - 1 AS i FROM benchmark), k AS (SELECT item_id, string_agg(w, ' ' ORDER BY i) FILTER (NOT (lower(w) IN ('a', 'an', 'and', 'at', 'for', 'in', 'is', 'of', 'on', 'the', 'to', 'with') AND ('0x' || substr(md5(item_id || ':' || i), 1, 8))::UBIGINT / 4294967296.0" + " < 0.4)) AS t FROM w GROUP BY item_id) SELECT item_id, 'leet' AS kind, translate(text, 'aeioAEIO', '43104310') AS text FROM benchmark UNION ALL SELECT item_id, 'delete_words', coalesce(t, '') FROM k UNION ALL SELECT item_id, 'none', text FROM benchmark",
     "item_similarity": "WITH l AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) AS a, list_distinct(list_filter(regexp_split_to_array(lower(lag(text) OVER (PARTITION BY item_id % 4 ORDER BY item_id)), '\\s+'), lambda w: w <> '')) AS b FROM benchmark) SELECT item_id, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS jaccard FROM l WHERE b IS NOT NULL",
     "listed_flags": "WITH f AS (SELECT l_orderkey, list_sort(list_distinct(list(l_returnflag))) AS f FROM lineitem GROUP BY 1) SELECT l_orderkey, CASE len(f) WHEN 1 THEN f[1] ELSE array_to_string(f[1:len(f) - 1], ', ') || ' and ' || f[len(f)] END AS flags, 'order ' || l_orderkey || ': ' || len(f) AS phrase FROM f",

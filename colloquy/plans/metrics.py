@@ -127,7 +127,21 @@ def crowding(spark, sf_dir):
 
 def front_spread(spark, sf_dir):
     front = Q.pareto_front(points(spark, sf_dir), "g", "x", "y").select("g", "x", "y").distinct()
-    return r6(Q.spread(front, "g", "x", "y"), "spread")
+    return r6(Q.spread(front, "g", "x", "y"), "spread", "spread_ref")
+
+
+def cluster_gini(spark, sf_dir):
+    """Gini coefficient of the sizes of the clusters that each group hits."""
+    return r6(Q.cluster_gini(vectors(spark, sf_dir), "grp", "label"), "gini")
+
+
+def vote_majority(spark, sf_dir):
+    """The label of most votes; the rounded mean of the votes where several have most."""
+    return A.majority_or_mean(ratings(spark, sf_dir))
+
+
+def krippendorff_ordinal(spark, sf_dir):
+    return r6(A.krippendorff_ordinal(ratings(spark, sf_dir)), "alpha")
 
 
 def survivors(spark, sf_dir):
@@ -195,7 +209,7 @@ def near_equal_variables(spark, sf_dir):
     return dedup.near_pairs(rows, ["id"], "key", {"x": 0.05, "y": 0.05})
 
 
-QUERIES = {f.__name__: f for f in (rating_majority, rating_complete, fleiss_kappa, cohen_kappa, krippendorff_nominal, krippendorff_interval, judge_scores, vote_rounding, judge_auc, effect_sizes, dominance_a12, signed_rank, pareto_front, combined_front, front_ranks, hypervolume, generational_distance, crowding, front_spread, survivors, critical_cells, failure_heat_map, cluster_coverage, cluster_shares, cluster_samples, mean_dissimilarity, vector_functions, poi_top_k, rounded_duplicates, near_equal_variables)}
+QUERIES = {f.__name__: f for f in (rating_majority, rating_complete, fleiss_kappa, cohen_kappa, krippendorff_nominal, krippendorff_interval, judge_scores, vote_rounding, judge_auc, effect_sizes, dominance_a12, signed_rank, pareto_front, combined_front, front_ranks, hypervolume, generational_distance, crowding, front_spread, cluster_gini, vote_majority, krippendorff_ordinal, survivors, critical_cells, failure_heat_map, cluster_coverage, cluster_shares, cluster_samples, mean_dissimilarity, vector_functions, poi_top_k, rounded_duplicates, near_equal_variables)}
 
 R = """
 WITH l AS (SELECT doc_id AS item, CAST(quality + toxic AS INTEGER) AS label FROM labels),
@@ -228,11 +242,24 @@ SELECT round(sum(tp) / sum(s), 6) AS accuracy, round(sum(s * pr) / sum(s), 6) AS
     "hypervolume": P + ", u AS (SELECT DISTINCT g, x, y FROM f), a AS (SELECT g, (coalesce(lead(x) OVER (PARTITION BY g ORDER BY x), 1.01) - x) * (1.01 - y) AS area FROM u) SELECT g, round(sum(area), 6) AS hypervolume FROM a GROUP BY g",
     "generational_distance": P + ", d AS (SELECT g, sqrt(x * x + y * y) AS a, sqrt(x * x + (y - 0.05) ** 2) AS b, sqrt((x - 0.1) ** 2 + (y - 0.02) ** 2) AS c FROM p) SELECT g, round(avg(least(a, b, c)), 6) AS gd, round((min(a) + min(b) + min(c)) / 3, 6) AS igd FROM d GROUP BY g",
     "crowding": "WITH r AS (SELECT p_size, min(p_retailprice) AS x, max(p_retailprice) AS y, p_size % 3 AS q FROM part GROUP BY p_size), g AS (SELECT *, (lead(x) OVER wx - lag(x) OVER wx) / (max(x) OVER w - min(x) OVER w) AS gx, (lead(y) OVER wy - lag(y) OVER wy) / (max(y) OVER w - min(y) OVER w) AS gy FROM r WINDOW w AS (PARTITION BY q), wx AS (PARTITION BY q ORDER BY x, y), wy AS (PARTITION BY q ORDER BY y, x)) SELECT p_size, x, y, round((gx + gy) / 2, 6) AS crowding, gx IS NULL OR gy IS NULL AS ends FROM g",
-    "front_spread": P + ", u AS (SELECT DISTINCT g, x, y FROM f), k AS (SELECT *, sqrt((lead(x) OVER w - x) ** 2 + (lead(y) OVER w - y) ** 2) AS gap FROM u WINDOW w AS (PARTITION BY g ORDER BY x, y)), m AS (SELECT *, avg(gap) OVER (PARTITION BY g) AS mg FROM k) SELECT g, count(*) AS n, round(CASE WHEN count(*) < 3 THEN 1.0 ELSE sum(abs(gap - mg)) / sum(gap) END, 6) AS spread FROM m GROUP BY g",
+    "front_spread": P + """, u AS (SELECT DISTINCT g, x, y FROM f),
+o AS (SELECT g, x, y, row_number() OVER (PARTITION BY g ORDER BY x) AS i, row_number() OVER (PARTITION BY g ORDER BY y) AS j, count(*) OVER (PARTITION BY g) AS n FROM u),
+c AS (SELECT a.g, a.n, a.i, a.x, a.y AS own, b.y AS cut FROM o a JOIN o b ON a.g = b.g AND a.i = b.j),
+k AS (SELECT g, n, i, sqrt((lead(x) OVER w - x) ** 2 + (lead(own) OVER w - own) ** 2) AS d, sqrt((lead(x) OVER w - x) ** 2 + (lead(cut) OVER w - cut) ** 2) AS e FROM c WINDOW w AS (PARTITION BY g ORDER BY i)),
+m AS (SELECT *, avg(d) OVER (PARTITION BY g) AS md, avg(e) OVER (PARTITION BY g) AS me FROM k),
+s AS (SELECT g, n, sum(CASE WHEN i IN (1, n - 1) THEN d END) AS ends, sum(CASE WHEN i > 1 AND i < n - 1 THEN abs(d - md) ELSE 0 END) AS inner_, max(md) AS md,
+  sum(CASE WHEN i IN (1, n - 1) THEN e END) AS ends_r, sum(CASE WHEN i > 1 AND i < n - 1 THEN e - me ELSE 0 END) AS inner_r, max(me) AS me FROM m GROUP BY g, n)
+SELECT g, n, round(CASE WHEN n < 3 THEN 1.0 ELSE (ends + inner_) / (ends + (n - 1) * md) END, 6) AS spread, round(CASE WHEN n < 3 THEN 1.0 ELSE (ends_r + inner_r) / (ends_r + (n - 1) * me) END, 6) AS spread_ref FROM s""",
+    "cluster_gini": V + ", n AS (SELECT grp, label, count(*) AS n FROM v GROUP BY ALL), p AS (SELECT a.grp, sum(abs(a.n - b.n)) AS d, count(*) AS kk FROM n a JOIN n b USING (grp) GROUP BY a.grp) SELECT grp, round(d / (2 * kk * avg(n)), 6) AS gini FROM p JOIN n USING (grp) GROUP BY grp, d, kk",
+    "vote_majority": R + ", t AS (SELECT item, max(n) AS top FROM c GROUP BY item), w AS (SELECT item, count(*) AS k, min(label) AS l FROM c JOIN t USING (item) WHERE n = top GROUP BY item) SELECT item, CAST(CASE WHEN k = 1 THEN l ELSE (SELECT round_even(avg(label), 0) FROM r WHERE r.item = w.item) END AS INTEGER) AS label, k > 1 AS tied FROM w",
+    "krippendorff_ordinal": R + """, h AS (SELECT label, count(*) AS n FROM r GROUP BY label),
+d AS (SELECT a.label AS x, b.label AS y, ((SELECT sum(n) FROM h WHERE label BETWEEN least(a.label, b.label) AND greatest(a.label, b.label)) - (a.n + b.n) / 2.0) ** 2 AS d, a.n AS nx, b.n AS ny FROM h a JOIN h b ON a.label <> b.label),
+o AS (SELECT sum(d / 2.0) AS s FROM r a JOIN r b ON a.item = b.item AND a.rater <> b.rater JOIN d ON a.label = x AND b.label = y), e AS (SELECT sum(nx * ny * d) AS e FROM d), t AS (SELECT count(*) AS t FROM r)
+SELECT round(1 - (s / t) / (e / (t * (t - 1))), 6) AS alpha FROM o, e, t""",
     "survivors": P + "SELECT id, line, CAST(row_number() OVER (PARTITION BY id ORDER BY x, y DESC, line) AS INTEGER) AS place FROM p QUALIFY place <= 2",
     "critical_cells": P + "SELECT g, count(DISTINCT (least(floor(x / 0.5 * 10), 9), least(floor(y / 0.1 * 10), 9))) AS cells FROM p WHERE y >= 0.05 GROUP BY g",
     "failure_heat_map": P + "SELECT CAST(least(floor(x * 2 * 5), 4) AS BIGINT) AS i, CAST(least(floor(y * 10 * 5), 4) AS BIGINT) AS j, count(*) AS total, count_if(id % 4 = 0) AS failures FROM p GROUP BY 1, 2",
-    "cluster_coverage": V + ", s AS (SELECT * FROM v WHERE vec_id % 7 < 5), k AS (SELECT count(DISTINCT label) AS k FROM s), n AS (SELECT grp, label, count(*) AS n FROM s GROUP BY ALL), q AS (SELECT grp, n / sum(n) OVER (PARTITION BY grp) AS p FROM n) SELECT grp, round(100.0 * count(*) / k, 6) AS coverage, round(100 * sum(-p * log2(p)) / log2(k), 6) AS entropy FROM q, k GROUP BY grp, k",
+    "cluster_coverage": V + ", k AS (SELECT count(DISTINCT label) AS k FROM v), n AS (SELECT grp, label, count(*) AS n FROM v GROUP BY ALL), q AS (SELECT grp, n / sum(n) OVER (PARTITION BY grp) AS p FROM n) SELECT grp, round(100.0 * count(*) / k, 6) AS coverage, round(100 * sum(-p * log2(p)) / log2(k), 6) AS entropy FROM q, k GROUP BY grp, k",
     "cluster_shares": V + ", n AS (SELECT label, grp, count(*) AS n FROM v GROUP BY ALL) SELECT label, grp, n, round(n / sum(n) OVER (PARTITION BY grp), 6) AS share FROM n",
     "cluster_samples": V + "SELECT label, CAST(row_number() OVER (PARTITION BY label ORDER BY ('0x' || substr(md5('pick:' || vec_id), 1, 8))::UBIGINT, vec_id) AS INTEGER) AS pick, vec_id FROM v QUALIFY pick <= 2",
     "mean_dissimilarity": "WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS d FROM embeddings) SELECT label, round(coalesce(avg((1 - list_cosine_similarity(a.d, b.d)) / 2), -1), 6) AS dissimilarity FROM e a JOIN e b USING (label) WHERE a.vec_id < b.vec_id GROUP BY label",

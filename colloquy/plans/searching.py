@@ -110,7 +110,7 @@ QUERIES = {f.__name__: f for f in (constrained_fields, uncovered_pairs, tourname
 R = "WITH l AS (SELECT doc_id AS item, CAST(quality + toxic AS INTEGER) AS label FROM labels), r AS (SELECT item, 0 AS rater, label FROM l UNION ALL SELECT item, 1, CASE WHEN item % 7 = 0 THEN (label + 1) % 3 ELSE label END FROM l UNION ALL SELECT item, 2, CASE WHEN item % 5 = 0 THEN (label + 2) % 3 ELSE label END FROM l), c AS (SELECT item, label, count(*) AS n FROM r GROUP BY ALL), m AS (SELECT item, arg_max(label, n * 10 - label) AS e FROM c GROUP BY item)\n"
 SQL = {
     "constrained_fields": "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS o_orderpriority, CASE WHEN o_orderstatus NOT IN ('F', 'P') THEN o_totalprice END AS o_totalprice FROM orders",
-    "uncovered_pairs": "WITH p AS (SELECT p_size, p_brand FROM part WHERE p_partkey <= 150) SELECT * FROM (SELECT DISTINCT p_size FROM p), (SELECT DISTINCT p_brand FROM p) EXCEPT SELECT * FROM p",
+    "uncovered_pairs": "WITH p AS (SELECT p_size, p_brand FROM part) SELECT * FROM (SELECT DISTINCT p_size FROM p), (SELECT DISTINCT p_brand FROM p) EXCEPT SELECT * FROM p",
     "tournament": "WITH o AS (SELECT *, floor((row_number() OVER (PARTITION BY p_brand ORDER BY ('0x' || substr(md5('t:' || p_partkey), 1, 8))::UBIGINT, p_partkey) - 1) / 2) AS m FROM part) SELECT p_brand, CAST(m AS BIGINT) AS match, first(p_partkey ORDER BY p_size % 5, p_retailprice DESC, p_partkey) AS winner FROM o GROUP BY p_brand, m",
     "next_intents": PAIRS
     + ", s AS (SELECT *, lag(intent) OVER w AS before, count_if(intent = 'followup') OVER b AS repeats, coalesce(max(CAST(intent = 'failure' AS INTEGER)) OVER b, 0) = 1 AS confirmed FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn_idx), b AS (PARTITION BY conv_id ORDER BY turn_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT conv_id, turn_idx, CASE WHEN turn_idx = 0 THEN 'start' WHEN intent = 'stop' THEN 'none' WHEN confirmed THEN 'stop' WHEN repeats >= 2 THEN 'stop' WHEN intent = before THEN 'other' WHEN intent IS NULL THEN 'repeat' ELSE 'any' END AS next FROM s",
@@ -118,7 +118,7 @@ SQL = {
     + ", q AS (SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair, conv_id % 2 AS h, turn_idx, coalesce(intent, 'none') AS i FROM t), j AS (SELECT coalesce(a.pair, b.pair) AS pair, a.i AS x, b.i AS y FROM (SELECT * FROM q WHERE h = 0) a FULL JOIN (SELECT * FROM q WHERE h = 1) b ON a.pair = b.pair AND a.turn_idx = b.turn_idx), n AS (SELECT pair, count(x) AS a, count(y) AS b, count_if(x = y) AS s FROM j GROUP BY pair) SELECT pair, round(CASE WHEN least(a, b) = 0 THEN 0 ELSE 0.7 * s / least(a, b) + 0.3 * least(a, b) / greatest(a, b) END, 6) AS similarity FROM n",
     "replayed_state": "WITH s AS (SELECT *, count_if(event_type = 'signup') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM events) SELECT event_id, round(sum(CASE WHEN event_type IN ('signup', 'click') THEN value ELSE 0 END) OVER (PARTITION BY user_id, g ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS state FROM s",
     "best_outputs": "SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY ('0x' || substr(md5(l_partkey || ':' || l_suppkey), 1, 8))::UBIGINT DESC, l_partkey, l_suppkey) = 1",
-    "date_steps": "SELECT o_orderkey, array_to_string(list_transform(range(5), lambda i: strftime(CAST(o_orderdate AS DATE) + CAST(i * 30 AS INTEGER), '%Y-%m-%d')), ',') AS dates, CAST(o_orderkey % 24 * 3600 + o_orderkey % 60 * 60 + o_orderkey % 7 AS INTEGER) AS seconds FROM orders WHERE o_orderstatus = 'P'",
+    "date_steps": "SELECT o_orderkey, array_to_string(list_transform(range(5), lambda i: strftime(CAST(o_orderdate AS DATE) + CAST(i * 30 AS INTEGER), '%Y-%m-%d')), ',') AS dates, CAST(o_orderkey % 24 * 3600 + o_orderkey % 60 * 60 + o_orderkey % 7 AS INTEGER) AS seconds FROM orders",
     "judge_ranking": R + ", s AS (SELECT rater, avg(CAST(label = e AS INTEGER)) AS accuracy, count(*) AS n FROM r JOIN m USING (item) GROUP BY rater) SELECT rater, round(accuracy, 6) AS accuracy, n, round(accuracy / (rater + 1), 6) AS value, CAST(rank() OVER (ORDER BY accuracy DESC) AS INTEGER) AS rank FROM s",
     "tf_idf_pairs": "WITH l AS (SELECT item_id, text AS a, lag(text) OVER (PARTITION BY item_id % 4 ORDER BY item_id) AS b FROM benchmark), w AS (SELECT item_id, 0 AS s, unnest(regexp_extract_all(lower(a), '[a-z0-9_]{2,}')) AS w FROM l WHERE b IS NOT NULL UNION ALL SELECT item_id, 1, unnest(regexp_extract_all(lower(b), '[a-z0-9_]{2,}')) FROM l WHERE b IS NOT NULL), n AS (SELECT item_id, w, count_if(s = 0) AS x, count_if(s = 1) AS y FROM w GROUP BY ALL), v AS (SELECT *, ln(3.0 / (1 + CAST(x > 0 AS INTEGER) + CAST(y > 0 AS INTEGER))) + 1 AS i FROM n) SELECT item_id, round(sum(x * i * y * i) / sqrt(sum(x * i * x * i) * sum(y * i * y * i)), 6) AS cosine FROM v GROUP BY item_id",
 }

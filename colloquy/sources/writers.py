@@ -34,8 +34,10 @@ def summary_csv(row: DataFrame, path: str) -> None:
 
 
 def latex_table(table: DataFrame) -> str:
-    """A small aggregate as a LaTeX tabular."""
-    rows = table.limit(1000).collect()
+    """A small aggregate as a LaTeX tabular; over 1,000 rows are an error, not a shorter table."""
+    rows = table.limit(1001).collect()
+    if len(rows) > 1000:
+        raise ValueError("a LaTeX table is for aggregates of at most 1,000 rows")
     lines = [" & ".join(table.columns), *(" & ".join("" if v is None else f"{v:.2f}" if isinstance(v, float) else str(v) for v in r) for r in rows)]
     return "\\begin{tabular}{" + "l" * len(table.columns) + "}\n" + " \\\\\n".join(lines) + " \\\\\n\\end{tabular}\n"
 

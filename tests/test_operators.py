@@ -125,3 +125,23 @@ def test_resampled_interpolates(spark):
     df = spark.createDataFrame([(1, "2024-01-01 00:10:00", 0), (1, "2024-01-01 02:05:00", 4)], "run int, ts string, v int").withColumn("ts", F.to_timestamp("ts"))
     assert [r.value for r in history.resampled(df, "run", "ts", "v").orderBy("bucket").collect()] == [0.0, 2.0, 4.0]
     assert [r.value for r in history.extrapolated(spark.createDataFrame([(1, 1, 2.0), (1, 2, 5.0)], "run int, s int, value double"), "run", "s", "value", 2).orderBy("s").collect()] == [8.0, 11.0]
+
+
+def test_numbers_and_currencies_by_their_rules(spark):
+    cases = [
+        ("-5", 5.0, None), (".5", 0.5, None), ("1,5", 15.0, None), ("+2.5 and 3", 2.5, None), ("1,2,3 euros", 123.0, "EUR"), ("Europe EUROPE", None, None), ("EUR then $", None, "USD"),
+        ("GBP before EUR", None, "GBP"), ("pounds, dollars", None, "GBP"), ("dollar", None, None), ("Yen", None, "JPY"), ("x" * 3000 + " 7 INR", 7.0, "INR"), ("", None, None), (None, None, None),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "i int, t string")
+    got = df.select(text.first_float(F.col("t")), text.currency(F.col("t"))).collect()
+    assert [tuple(r) for r in got] == [c[1:] for c in cases]
+
+
+def test_spread_by_hand(spark):
+    from colloquy.operators import quality
+
+    df = spark.createDataFrame([("a", 0.0, 4.0), ("a", 1.0, 3.0), ("a", 3.0, 1.0), ("a", 4.0, 0.0), ("b", 1.0, 1.0)], "g string, x double, y double")
+    got = {r.g: r for r in quality.spread(df, "g", "x", "y").collect()}
+    # gaps 1, 2, 1 (times root 2), mean 4/3
+    assert abs(got["a"].spread - (2 + 2 / 3) / (2 + 4)) < 1e-9 and abs(got["a"].spread_ref - (2 + 2 / 3) / (2 + 4)) < 1e-9
+    assert got["b"].spread == got["b"].spread_ref == 1.0
