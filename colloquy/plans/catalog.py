@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import content, conversation, history, metrics, searching
+from . import content, conversation, history, metrics, records, searching
 
-MODULES = (conversation, metrics, history, content, searching)
+MODULES = (conversation, metrics, history, content, searching, records)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
 FLAGSHIP = "conversation_efficiency"

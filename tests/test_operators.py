@@ -145,3 +145,20 @@ def test_spread_by_hand(spark):
     # gaps 1, 2, 1 (times root 2), mean 4/3
     assert abs(got["a"].spread - (2 + 2 / 3) / (2 + 4)) < 1e-9 and abs(got["a"].spread_ref - (2 + 2 / 3) / (2 + 4)) < 1e-9
     assert got["b"].spread == got["b"].spread_ref == 1.0
+
+
+def test_records(spark):
+    from colloquy.functions import records as R
+
+    texts = spark.createDataFrame([('so: {"a": {"b": 1}} end',), ("no } { json",), ("{broken",), ("[1, {\"x\": 2}] and",), (None,), ("",)], "t string")
+    got = [tuple(r) for r in texts.select(R.json_object(F.col("t")), R.json_list(F.col("t"))).collect()]
+    assert got == [('{"a": {"b": 1}}', None), (None, None), (None, None), ('{"x": 2}', '[1, {"x": 2}]'), (None, None), (None, None)]
+    slots = spark.sql("select map('a', 'x', 'b', null, 'c', 'None') as m union all select map('a', 'x') union all select map()")
+    assert [tuple(r) for r in slots.select(R.all_collected(F.col("m")), R.missing_slots(F.col("m"))).collect()] == [(False, ["b", "c"]), (True, []), (True, [])]
+    levels = F.array(F.lit(1.0), F.lit(2.0), F.lit(5.0))
+    row = one(spark.range(1).select(R.next_lower(F.lit(5.0), levels), R.next_lower(F.lit(1.0), levels), R.is_lowest(F.lit(1.0), levels), R.is_lowest(F.lit(2.0), levels)))
+    assert tuple(row) == (2.0, None, True, False)
+    picks = spark.range(4000).select(R.weighted_pick(F.array(F.lit("a"), F.lit("b")), F.create_map(F.lit("a"), F.lit(1.5)), F.col("id").cast("string")).alias("p")).groupBy("p").count().collect()
+    assert abs({r.p: r["count"] for r in picks}["a"] / 4000 - 0.75) < 0.03
+    flat = R.flattened(spark.sql("select 1 as k, struct(2 as a, struct(3 as c) as b) as s"), "s")
+    assert flat.columns == ["k", "s_a", "s_b_c"] and tuple(one(flat)) == (1, 2, 3)
