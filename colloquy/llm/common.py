@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -27,8 +28,10 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    # one process on one machine: the warehouse is as good
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    # one process on one machine, as in tests
+    found = "file://" + tempfile.mkdtemp(prefix="colloquy-")
+    spark.sparkContext.setCheckpointDir(found)
+    return found
 
 
 def materialize(df: DataFrame, blobs: bool = False, by: str | None = None) -> DataFrame:
