@@ -2,15 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def prefix_sums(rows: DataFrame, run: str, order: list[str], values: dict[str, Column], unit: str = "minute") -> DataFrame:
+    """Adds, for each of the values, its sum over the run's rows up to this one and (``name_all``) over all of them.
+
+    The first column of ``order`` is a time: rows are sorted within their time unit only, and the sums of the units before are carried
+    to them. So a run isn't sorted in one task; per run only one row a unit is. Nulls add nothing.
+    """
+    slot = F.struct(F.col(run).alias("run"), F.date_trunc(unit, order[0]).alias("unit"))
+    rows = rows.withColumn("_slot", slot).withColumns({f"_{n}": F.coalesce(v.cast("long"), F.lit(0)) for n, v in values.items()})
+    per = rows.groupBy("_slot").agg(*(F.sum(f"_{n}").alias(n) for n in values))
+    whole = Window.partitionBy("_slot.run")
+    before = whole.orderBy("_slot.unit").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("_slot", *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_{n}_before") for n in values), *(F.sum(n).over(whole).alias(f"{n}_all") for n in values))
+    so_far = Window.partitionBy("_slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(per, "_slot").withColumns({n: F.col(f"_{n}_before") + F.sum(f"_{n}").over(so_far) for n in values})
+    return rows.drop("_slot", *(f"_{n}" for n in values), *(f"_{n}_before" for n in values))
+
+
 def running_counts(rows: DataFrame, run: str, order: list[str], failed: str) -> DataFrame:
-    """test_size, failures and critical_ratio after each test of a run."""
-    so_far = Window.partitionBy(run).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("test_size", F.count("*").over(so_far)).withColumn("failures", F.sum(F.col(failed).cast("long")).over(so_far))
+    """test_size, failures and critical_ratio after each test of a run; ``order`` starts with a time."""
+    rows = prefix_sums(rows, run, order, {"test_size": F.lit(1), "failures": F.col(failed)}).drop("test_size_all", "failures_all")
     return rows.withColumn("critical_ratio", F.col("failures") / F.col("test_size"))
 
 
@@ -51,12 +67,26 @@ def first_critical(rows: DataFrame, run: str, gen: str, failed: str) -> DataFram
 
 
 def equal_parts(rows: DataFrame, run: str, order: list[str], parts: int) -> DataFrame:
-    """A pseudo history: each run's tests in ``parts`` equal parts, the remainder left out."""
-    n = F.count("*").over(Window.partitionBy(run))
-    size = F.floor(n / parts)
-    place = F.row_number().over(Window.partitionBy(run).orderBy(*order)) - 1
-    rows = rows.withColumn("part", F.when(size > 0, F.floor(place / size))).filter(F.col("part") < parts)
-    return rows
+    """A pseudo history: each run's tests in ``parts`` equal parts, the remainder left out; ``order`` starts with a time."""
+    rows = prefix_sums(rows, run, order, {"_place": F.lit(1)})
+    size = F.floor(F.col("_place_all") / parts)
+    rows = rows.withColumn("part", F.when(size > 0, F.floor((F.col("_place") - 1) / size))).filter(F.col("part") < parts)
+    return rows.drop("_place", "_place_all")
+
+
+def failures_over_time(counts: DataFrame, run: str, seconds: float, interval: float) -> DataFrame:
+    """Failures found at each ``interval`` of a search of ``seconds``, and the share of the budget in percent.
+
+    ``counts`` (running_counts of tests without duplicates) are taken as found at even steps; between two tests the
+    number is interpolated, before the first it is that of the first.
+    """
+    points = F.explode(F.transform(F.sequence(F.lit(0), F.ceil(F.lit(seconds) / interval).cast("int")), lambda i: i * F.lit(float(interval))))
+    grid = counts.groupBy(run).agg(F.max("test_size").alias("n")).withColumn("time", points)
+    at = F.least(F.greatest(F.col("time") * F.col("n") / seconds, F.lit(1.0)), F.col("n").cast("double"))
+    grid = grid.withColumn("at", at).withColumn("test_size", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))))
+    found = grid.join(counts.select(run, "test_size", "failures"), [run, "test_size"])
+    share = F.when(F.floor("at") == F.ceil("at"), 1.0).when(F.col("test_size") == F.floor("at"), F.ceil("at") - F.col("at")).otherwise(F.col("at") - F.floor("at"))
+    return found.groupBy(run, "time").agg((F.max("time") / seconds * 100).alias("budget"), F.sum(F.col("failures") * share).alias("failures"))
 
 
 def curve(rows: DataFrame, group: str, step: str, value: str) -> DataFrame:

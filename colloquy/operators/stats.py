@@ -11,10 +11,10 @@ from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 
-def average_rank(by: list[str], value: str) -> Column:
-    """Rank from 1 with ties sharing their mean."""
-    ties = Window.partitionBy(*by, value)
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(ties) - 1) / 2
+def average_ranks(values: DataFrame, by: list[str], value: str, n: str) -> DataFrame:
+    """Rank from 1 (``rank``), with ties sharing their mean, of the distinct values of each group, of which there are ``n`` each."""
+    below = F.sum(n).over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+    return values.withColumn("rank", F.coalesce(below, F.lit(0)) + (F.col(n) + 1) / 2)
 
 
 def effect_class(size: Column, bounds: tuple[float, float, float]) -> Column:
@@ -57,13 +57,15 @@ def a12(rows: DataFrame, group: str, value: str) -> DataFrame:
 
 def signed_rank(pairs: DataFrame, by: list[str]) -> DataFrame:
     """Wilcoxon signed-rank of columns x and y in each group: n, w (lesser rank sum), z and two-sided p by the normal approximation with ties."""
-    d = pairs.withColumn("d", F.col("x") - F.col("y")).filter("d <> 0").withColumn("size", F.abs("d"))
-    d = d.withColumn("r", average_rank(by, "size")).withColumn("t", F.count("*").over(Window.partitionBy(*by, "size")))
-    out = d.groupBy(*by).agg(
-        F.count("*").alias("n"),
-        F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("plus"),
-        F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("minus"),
-        F.sum(F.col("t") * F.col("t") - 1).alias("ties"),
+    d = pairs.withColumn("d", F.col("x") - F.col("y")).filter("d <> 0")
+    # ranks are those of distinct sizes, so that no group's rows are sorted in one task
+    sizes = d.groupBy(*by, F.abs("d").alias("size")).agg(F.count("*").alias("t"), F.count_if(F.col("d") > 0).alias("up"))
+    t = F.col("t")
+    out = average_ranks(sizes, by, "size", "t").groupBy(*by).agg(
+        F.sum("t").alias("n"),
+        F.sum(F.col("rank") * F.col("up")).alias("plus"),
+        F.sum(F.col("rank") * (t - F.col("up"))).alias("minus"),
+        F.sum(t.cast("double") * (t * t - 1)).alias("ties"),
     )
     n, w = F.col("n"), F.least("plus", "minus")
     z = (w - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)

@@ -26,6 +26,13 @@ def hourly_failures(spark, sf_dir):
     return r6(H.resampled(rows, "run", "ts", "failures"), "value").withColumn("bucket", F.date_format("bucket", "yyyy-MM-dd HH"))
 
 
+def found_over_time(spark, sf_dir):
+    """Failures of tests without duplicates (the first of each type, user and day) at every 1,200 of 7,200 seconds."""
+    rows = tests(spark, sf_dir)
+    first = rows.groupBy("run", "event_type", "user_id", "gen").agg(F.min(F.struct("ts", "event_id", "failed")).alias("t")).select("run", "t.*")
+    return r6(H.failures_over_time(H.running_counts(first, "run", ["ts", "event_id"], "failed"), "run", 7200, 1200), "budget", "failures")
+
+
 def extrapolated_failures(spark, sf_dir):
     rows = H.cumulative_by_generation(tests(spark, sf_dir), "run", "gen", "failed").withColumn("failures", F.col("failures").cast("double"))
     return H.extrapolated(rows, "run", "gen", "failures", 3)
@@ -107,7 +114,7 @@ def rule_pairs(spark, sf_dir):
     return rules.pair_rule(tests(spark, sf_dir), ["user_id", "gen", "event_type"], "event_id", "b.ts >= a.ts", "b.event_id > a.event_id")
 
 
-QUERIES = {f.__name__: f for f in (running_failures, hourly_failures, extrapolated_failures, cumulative_generations, first_critical_generation, equal_parts, metric_curves, last_failures, run_summary, run_table, response_times, error_checks, token_costs, rule_statistics, rule_pairs)}
+QUERIES = {f.__name__: f for f in (running_failures, hourly_failures, found_over_time, extrapolated_failures, cumulative_generations, first_critical_generation, equal_parts, metric_curves, last_failures, run_summary, run_table, response_times, error_checks, token_costs, rule_statistics, rule_pairs)}
 
 T = """
 WITH t AS (SELECT user_id % 6 AS run, event_id, ts, CAST(day(ts) AS INTEGER) AS gen, event_type = 'error' AS failed, value, event_type, user_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events),
@@ -124,6 +131,11 @@ j AS (SELECT e.run, e.b, v, CASE WHEN v IS NOT NULL THEN epoch(e.b) END AS kt FR
 k AS (SELECT *, last_value(v IGNORE NULLS) OVER p AS pv, last_value(kt IGNORE NULLS) OVER p AS pt, first_value(v IGNORE NULLS) OVER n AS nv, first_value(kt IGNORE NULLS) OVER n AS nt FROM j
       WINDOW p AS (PARTITION BY run ORDER BY b ROWS UNBOUNDED PRECEDING), n AS (PARTITION BY run ORDER BY b ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
 SELECT run, strftime(b, '%Y-%m-%d %H') AS bucket, round(coalesce(CAST(v AS DOUBLE), pv + (nv - pv) * ((epoch(b) - pt) / (nt - pt))), 6) AS value FROM k""",
+    "found_over_time": T
+    + """, u AS (SELECT run, ts, event_id, failed FROM t QUALIFY row_number() OVER (PARTITION BY run, event_type, user_id, gen ORDER BY ts, event_id) = 1),
+q AS (SELECT run, row_number() OVER w AS i, sum(CAST(failed AS BIGINT)) OVER w AS f, count(*) OVER (PARTITION BY run) AS n FROM u WINDOW w AS (PARTITION BY run ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT run, n, k * 1200.0::DOUBLE AS time, least(greatest(k * 1200 * n / 7200, 1), n)::DOUBLE AS pos FROM (SELECT DISTINCT run, n FROM q), range(0, 7) t(k))
+SELECT p.run, time, round(time / 72, 6) AS budget, round(a.f + (b.f - a.f) * (pos - floor(pos)), 6) AS failures FROM p JOIN q a ON a.run = p.run AND a.i = floor(pos) JOIN q b ON b.run = p.run AND b.i = ceil(pos)""",
     "extrapolated_failures": T + ", s AS (SELECT run, gen, failures, failures - lag(failures) OVER (PARTITION BY run ORDER BY gen) AS slope, row_number() OVER (PARTITION BY run ORDER BY gen DESC) AS r FROM h) SELECT run, CAST(gen + k AS INTEGER) AS gen, CAST(failures + coalesce(slope, 0) * k AS DOUBLE) AS failures FROM s, range(1, 4) q(k) WHERE r = 1",
     "cumulative_generations": T + "SELECT run, gen, n_eval, failures FROM h",
     "first_critical_generation": T + "SELECT run, min(gen) AS gen, arg_min(f, gen) AS failures FROM g WHERE f > 0 GROUP BY run",
