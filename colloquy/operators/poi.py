@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions import vector
 
+FIELDS = ("category", "price_level", "rating", "parking", "radius_km", "now")
+
 
 def open_now(start: Column, end: Column, now: Column) -> Column:
     """Whether 'HH:mm' strings enclose the time; unknown hours are closed."""
@@ -21,25 +26,44 @@ def price_level(price: Column, bounds: tuple[float, ...]) -> Column:
     return out
 
 
-def matches(want: Column) -> Column:
-    """Conjunction of the constraints in the struct ``want``; a null constraint is met by all.
+def open_on(hours: Column, day: Column, now: Column) -> Column:
+    """Whether a map of weekdays to 'HH:mm-HH:mm' has the time; days without hours, or with others, are closed."""
+    ends = F.split(F.try_element_at(hours, day), "-")
+    return F.coalesce((F.size(ends) == 2) & (ends[0] <= now) & (now <= ends[1]), F.lit(False))
 
-    Rows have category, name, price_level, rating, lat, lng, parking, opens, closes.
-    """
 
-    def given(name: str, test: Column) -> Column:
-        return want[name].isNull() | F.coalesce(test, F.lit(False))
+def alike(wanted: Column, vec: Column, least: float = 0.8) -> Column:
+    """Category test by the cosine of two embeddings."""
+    return vector.cosine(wanted, vec) >= least
+
 
-    near = vector.haversine_km(F.col("lat"), F.col("lng"), want["lat"], want["lng"]) <= want["radius_km"]
+def matches(want: Column, fields: tuple[str, ...] = FIELDS) -> Column:
+    """Conjunction of the constraints in the struct ``want`` on the given fields; a null or empty constraint is met by all.
+
+    Rows have category, name, price_level, rating, lat, lng, parking, opens, closes, or (for the field day) hours by weekday.
+    """
+    near = lambda: vector.haversine_km(F.col("lat"), F.col("lng"), want["lat"], want["lng"]) <= want["radius_km"]
     text = F.lower(F.concat_ws(" ", "category", "name"))
-    return (
-        given("category", F.contains(text, F.lower(want["category"])))
-        & given("price_level", F.col("price_level") == want["price_level"])
-        & given("rating", F.col("rating") >= want["rating"])
-        & given("parking", F.col("parking") == want["parking"])
-        & given("radius_km", near)
-        & given("now", open_now(F.col("opens"), F.col("closes"), want["now"]))
-    )
+    tests = {
+        "category": lambda: F.contains(text, F.lower(want["category"])),
+        "name": lambda: F.contains(F.lower("name"), F.lower(want["name"])),
+        "cuisine": lambda: F.contains(text, F.lower(want["cuisine"])),
+        "price_level": lambda: F.col("price_level") == want["price_level"],
+        "rating": lambda: F.col("rating") >= want["rating"],
+        "parking": lambda: F.col("parking") == want["parking"],
+        "radius_km": near,
+        "now": lambda: open_now(F.col("opens"), F.col("closes"), want["now"]),
+        "day": lambda: open_on(F.col("hours"), want["day"], want["now"]),
+    }
+    given = (want[f].isNull() | (want[f].cast("string") == "") | F.coalesce(tests[f](), F.lit(False)) for f in fields)
+    return reduce(and_, given)
+
+
+def counted(pois: DataFrame, wants: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """want_id, n: how many points match each of a few wants."""
+    # every want meets every point, as each may match; only counts leave the join
+    n = pois.join(F.broadcast(wants), matches(F.col("want"), fields)).groupBy("want_id").agg(F.count("*").alias("n"))
+    return wants.select("want_id").join(n, "want_id", "left").na.fill(0, ["n"])
 
 
 def existence(pois: DataFrame, wants: DataFrame, k: int = 5) -> DataFrame:

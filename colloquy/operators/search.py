@@ -50,6 +50,34 @@ def allowed_intents(turns: DataFrame, max_repeats: int = 2) -> Column:
     )
 
 
+#: Intents that no longer make sense once a conversation is confirmed, and those that bring in a further feature (fixed values).
+BEFORE_CONFIRMATION = ["change_of_mind", "reject", "reject_clarify", "add_preferences"]
+NEEDS_FEATURE = ["add_preferences", "reject_clarify"]
+
+
+def candidate_intents(possible: Column, before: Column, unused: Column, may_stop: Column, may_repeat: Column, used: Column, confirmed: Column) -> Column:
+    """Those of the possible intents (an array) that may come next.
+
+    Never the start; a stop or a repeat only if allowed; a confirmation once, after two different intents of
+    BEFORE_CONFIRMATION (``used``), and none of these after it; none that needs a feature if no ``unused`` one is left (null: unknown);
+    the intent ``before`` only if nothing else is left; a stop if nothing at all is.
+    """
+
+    def fits(intent: Column) -> Column:
+        return (
+            (intent != "start")
+            & ((intent != "stop") | may_stop)
+            & ((intent != "repeat") | may_repeat)
+            & (~intent.isin(*BEFORE_CONFIRMATION, "confirmation") | ~confirmed)
+            & ((intent != "confirmation") | (F.size(F.array_distinct(used)) >= 2))
+            & (~intent.isin(*NEEDS_FEATURE) | (F.coalesce(unused, F.lit(1)) > 0))
+        )
+
+    allowed = F.filter(possible, fits)
+    other = F.filter(allowed, lambda i: ~i.eqNullSafe(before))
+    return F.when(F.size(other) > 0, other).when(F.size(allowed) > 0, allowed).otherwise(F.array(F.lit("stop")))
+
+
 def logistic_weights(rows: DataFrame, columns: list[str], label: str) -> DataFrame:
     """Score and label of each row by a logistic regression on the columns."""
     data = VectorAssembler(inputCols=columns, outputCol="_x").transform(rows.withColumn("_y", F.col(label).cast("double")))
