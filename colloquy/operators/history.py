@@ -104,3 +104,31 @@ def last_values(rows: DataFrame, group: str, run: str, step: str, value: str, gr
     """The last value of each run, one column a group."""
     last = rows.groupBy(group, run).agg(F.max_by(value, step).alias("v"))
     return last.groupBy(run).pivot(group, groups).agg(F.first("v"))
+
+
+def finished(tests: DataFrame, state: str, since: str | None = None) -> DataFrame:
+    """Tests of finished runs; with ``since`` (a SQL predicate on a run's columns) only of those that it holds for."""
+    out = tests.filter(F.col(state) == "finished")
+    return out if since is None else out.filter(since)
+
+
+def relabelled(tests: DataFrame, failed: str, oracle: str) -> DataFrame:
+    """The tests with another oracle (a SQL predicate; null is no failure) in place of the stored label."""
+    return tests.withColumn(failed, F.coalesce(F.expr(oracle), F.lit(False)))
+
+
+def algorithm_table(tests: DataFrame, algo: str, run: str, failed: str, same: Column) -> DataFrame:
+    """Per algorithm: runs, least, mean and most tests of a run, failures, and failures that differ in ``same`` within a run."""
+    runs = tests.groupBy(algo, run).agg(F.count("*").alias("n"), F.count_if(F.col(failed)).alias("f"), F.count_distinct(F.when(F.col(failed), same)).alias("d"))
+    return runs.groupBy(algo).agg(
+        F.count("*").alias("runs"), F.min("n").alias("min_tests"), F.avg("n").alias("mean_tests"), F.max("n").alias("max_tests"), F.sum("f").alias("failures"), F.sum("d").alias("distinct_failures")
+    )
+
+
+def costs(calls: DataFrame, model: str, read: str, written: str, prices: dict[str, tuple[float, float]]) -> DataFrame:
+    """Per model: calls, tokens read and written (a quarter of the characters each), and their cost at prices a million; models without a price cost nothing."""
+    tokens = lambda c: F.floor(F.length(F.coalesce(F.col(c), F.lit(""))) / 4)
+    per = calls.groupBy(model).agg(F.count("*").alias("calls"), F.sum(tokens(read)).alias("tokens_in"), F.sum(tokens(written)).alias("tokens_out"))
+    price = F.create_map(*(x for m, p in prices.items() for x in (F.lit(m), F.array(*map(F.lit, p)))))
+    of = lambda i: F.coalesce(F.try_element_at(price, F.col(model))[i], F.lit(0.0))
+    return per.withColumn("cost", F.col("tokens_in") / 1e6 * of(0) + F.col("tokens_out") / 1e6 * of(1))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from colloquy.functions import features
@@ -22,21 +22,51 @@ def pareto_front(rows: DataFrame, by: str, x: str, y: str) -> DataFrame:
     return rows.withColumn("beaten", F.coalesce(beaten, F.lit(False))).filter("not beaten").drop("beaten")
 
 
-def front_ranks(rows: DataFrame, by: str, objectives: list[str]) -> DataFrame:
-    """Front number (0 is the best) of each row within its group, any number of objectives; groups are generations of bounded size."""
-
-    def rank(frame: pd.DataFrame) -> pd.DataFrame:
-        points = frame[objectives].to_numpy(float)
-        out, left = np.zeros(len(points), np.int64), np.arange(len(points))
-        front = 0
-        while len(left):
-            p = points[left]
+#: Points of a group that are compared in one matrix.
+MATRIX = 512
+
+
+def _fronts(points: np.ndarray) -> np.ndarray:
+    """Front number of each point: those that no point left beats go, front by front."""
+    out, left, front = np.zeros(len(points), np.int64), np.arange(len(points)), 0
+    while len(left):
+        p = points[left]
+        if len(p) <= MATRIX:
+            lost = ((p[:, None] <= p).all(2) & (p[:, None] < p).any(2)).any(0)
+        else:
             lost = np.array([((p <= q).all(1) & (p < q).any(1)).any() for q in p])
-            out[left[~lost]] = front
-            left, front = left[lost], front + 1
-        return frame.assign(front=out)
+        out[left[~lost]] = front
+        left, front = left[lost], front + 1
+    return out
+
 
-    return rows.groupBy(by).applyInPandas(rank, rows.schema.simpleString()[7:-1] + ",front:bigint")
+def front_ranks(rows: DataFrame, by: str, objectives: list[str]) -> DataFrame:
+    """Front number (0 is the best) of each row within its group, any number of objectives; groups are generations of bounded size.
+
+    Groups are read in batches of many; of each batch the last group waits for the rows that the next one may hold.
+    """
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def ranked(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            points = np.stack([table.column(o).to_numpy().astype(float) for o in objectives], 1)
+            fronts = [_fronts(points[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield from table.append_column("front", pa.array(np.concatenate(fronts), pa.int64())).to_batches()
+
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            if not table.num_rows:
+                continue
+            codes = table.column(by).combine_chunks().dictionary_encode("encode").indices.to_numpy()
+            cuts = np.append(0, np.flatnonzero(codes[1:] != codes[:-1]) + 1)
+            held = table.slice(cuts[-1])
+            if len(cuts) > 1:
+                yield from ranked(table.slice(0, cuts[-1]), cuts)
+        if held is not None and held.num_rows:
+            yield from ranked(held, np.array([0, held.num_rows]))
+
+    return rows.repartition(by).sortWithinPartitions(by).mapInArrow(rank, StructType([*rows.schema.fields, StructField("front", LongType())]))
 
 
 def hypervolume(front: DataFrame, by: str, x: str, y: str, ref: tuple[float, float]) -> DataFrame:
@@ -54,11 +84,31 @@ def distances_to(rows: DataFrame, by: str, x: str, y: str, reference: list[tuple
     return rows.groupBy(by).agg(F.avg(nearest).alias("gd"), (sum(least[1:], least[0]) / len(d)).alias("igd"))
 
 
-def crowding(rows: DataFrame, by: str, objectives: list[str]) -> DataFrame:
-    """Crowding distance in each front: neighbour gaps over the range, infinite at the ends."""
+def survivors(rows: DataFrame, by: str, key: str, objectives: list[str], n: int) -> DataFrame:
+    """The first n rows of each generation by front, then larger crowding within it, then key; with front, crowding and place."""
+    ranked = crowding(front_ranks(rows, by, objectives), [by, "front"], objectives, key)
+    order = Window.partitionBy(by).orderBy("front", F.desc("crowding"), key)
+    return ranked.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
+
+
+def spacing(front: DataFrame, by: str, key: str, x: str, y: str) -> DataFrame:
+    """n and the deviation of the distances (by sums of gaps) of a front's points to the nearest other one; rows are the distinct points of a front.
+
+    On a front y falls as x grows, so the nearest point is a neighbour by x.
+    """
+    order = Window.partitionBy(by).orderBy(x, F.desc(y), key)
+    gap = F.abs(F.col(x) - F.lag(x).over(order)) + F.abs(F.col(y) - F.lag(y).over(order))
+    rows = front.withColumn("_before", gap)
+    rows = rows.withColumn("_d", F.least("_before", F.lead("_before").over(order)))
+    return rows.groupBy(by).agg(F.count("*").alias("n"), F.coalesce(F.stddev_pop("_d"), F.lit(0.0)).alias("spacing"))
+
+
+def crowding(rows: DataFrame, by: str | list[str], objectives: list[str], *ties: str) -> DataFrame:
+    """Crowding distance in each front: neighbour gaps over the range, infinite at the ends. ``ties`` order equal points."""
+    by = [by] if isinstance(by, str) else by
     total = F.lit(0.0)
     for f in objectives:
-        order, whole = Window.partitionBy(by).orderBy(f, *objectives), Window.partitionBy(by)
+        order, whole = Window.partitionBy(*by).orderBy(f, *objectives, *ties), Window.partitionBy(*by)
         gap = (F.lead(f).over(order) - F.lag(f).over(order)) / F.nullif(F.max(f).over(whole) - F.min(f).over(whole), F.lit(0.0))
         end = F.lag(f).over(order).isNull() | F.lead(f).over(order).isNull()
         rows = rows.withColumn(f"_{f}", F.when(end, float("inf")).otherwise(F.coalesce(gap, F.lit(0.0))))

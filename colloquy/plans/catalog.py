@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import content, contents, conversation, history, metrics, records, searching
+from . import content, contents, conversation, history, metrics, records, searching, variation
 
-MODULES = (conversation, metrics, history, content, searching, records, contents)
+MODULES = (conversation, metrics, history, content, searching, records, contents, variation)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
 FLAGSHIP = "conversation_efficiency"

@@ -145,9 +145,16 @@ def krippendorff_ordinal(spark, sf_dir):
 
 
 def survivors(spark, sf_dir):
-    """Two rows of each order by quantity, then discount (rank-wise selection with a tie-break)."""
-    order = Window.partitionBy("id").orderBy("x", F.desc("y"), "line")
-    return points(spark, sf_dir).withColumn("place", F.row_number().over(order)).filter("place <= 2").select("id", "line", "place")
+    """Three lines of each order by front, then crowding; line, part and supplier tell lines apart."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    rows = rows.select(F.col("l_orderkey").alias("id"), F.concat_ws("/", "l_linenumber", "l_partkey", "l_suppkey").alias("key"), (F.col("l_quantity") / 100).alias("x"), F.col("l_discount").alias("y"))
+    found = Q.survivors(rows, "id", "key", ["x", "y"], 3)
+    return r6(found.withColumn("crowding", F.when(F.col("crowding") < float("inf"), F.col("crowding"))).select("id", "key", "front", "crowding", "place"), "crowding")
+
+
+def front_spacing(spark, sf_dir):
+    front = Q.pareto_front(points(spark, sf_dir), "g", "x", "y").select("g", "x", "y").distinct()
+    return r6(Q.spacing(front, "g", "x", "x", "y"), "spacing")
 
 
 def critical_cells(spark, sf_dir):
@@ -209,7 +216,7 @@ def near_equal_variables(spark, sf_dir):
     return dedup.near_pairs(rows, ["id"], "key", {"x": 0.05, "y": 0.05})
 
 
-QUERIES = {f.__name__: f for f in (rating_majority, rating_complete, fleiss_kappa, cohen_kappa, krippendorff_nominal, krippendorff_interval, judge_scores, vote_rounding, judge_auc, effect_sizes, dominance_a12, signed_rank, pareto_front, combined_front, front_ranks, hypervolume, generational_distance, crowding, front_spread, cluster_gini, vote_majority, krippendorff_ordinal, survivors, critical_cells, failure_heat_map, cluster_coverage, cluster_shares, cluster_samples, mean_dissimilarity, vector_functions, poi_top_k, rounded_duplicates, near_equal_variables)}
+QUERIES = {f.__name__: f for f in (rating_majority, rating_complete, fleiss_kappa, cohen_kappa, krippendorff_nominal, krippendorff_interval, judge_scores, vote_rounding, judge_auc, effect_sizes, dominance_a12, signed_rank, pareto_front, combined_front, front_ranks, hypervolume, generational_distance, crowding, front_spread, front_spacing, cluster_gini, vote_majority, krippendorff_ordinal, survivors, critical_cells, failure_heat_map, cluster_coverage, cluster_shares, cluster_samples, mean_dissimilarity, vector_functions, poi_top_k, rounded_duplicates, near_equal_variables)}
 
 R = """
 WITH l AS (SELECT doc_id AS item, CAST(quality + toxic AS INTEGER) AS label FROM labels),
@@ -218,6 +225,11 @@ c AS (SELECT item, label, count(*) AS n FROM r GROUP BY ALL),
 m AS (SELECT item, arg_max(label, n * 10 - label) AS label, max(n) / sum(n) AS share, count(*) > 1 AS disagree FROM c GROUP BY item)
 """
 P = "WITH p AS (SELECT l_suppkey AS g, l_orderkey AS id, l_linenumber AS line, l_quantity / 100 AS x, l_discount AS y FROM lineitem), f AS (SELECT * FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.g = a.g AND b.x <= a.x AND b.y <= a.y AND (b.x < a.x OR b.y < a.y)))\n"
+#: The number of a front is the length of the longest chain of rows that each beat the next.
+FRONTS = """WITH RECURSIVE p AS (SELECT l_orderkey AS id, l_linenumber AS line, concat_ws('/', l_linenumber, l_partkey, l_suppkey) AS key, l_quantity / 100 AS x, l_discount AS y FROM lineitem),
+chain AS (SELECT id, x, y, 0 AS n FROM p UNION SELECT b.id, b.x, b.y, n + 1 FROM chain a JOIN p b ON a.id = b.id AND a.x <= b.x AND a.y <= b.y AND (a.x < b.x OR a.y < b.y)),
+ranked AS (SELECT p.*, front FROM p JOIN (SELECT id, x, y, CAST(max(n) AS BIGINT) AS front FROM chain GROUP BY ALL) USING (id, x, y))
+"""
 V = "WITH v AS (SELECT *, vec_id % 3 AS grp FROM embeddings)\n"
 SQL = {
     "rating_majority": R + "SELECT item, label, round(share, 6) AS share, disagree FROM m",
@@ -256,7 +268,15 @@ SELECT g, n, round(CASE WHEN n < 3 THEN 1.0 ELSE (ends + inner_) / (ends + (n -
 d AS (SELECT a.label AS x, b.label AS y, ((SELECT sum(n) FROM h WHERE label BETWEEN least(a.label, b.label) AND greatest(a.label, b.label)) - (a.n + b.n) / 2.0) ** 2 AS d, a.n AS nx, b.n AS ny FROM h a JOIN h b ON a.label <> b.label),
 o AS (SELECT sum(d / 2.0) AS s FROM r a JOIN r b ON a.item = b.item AND a.rater <> b.rater JOIN d ON a.label = x AND b.label = y), e AS (SELECT sum(nx * ny * d) AS e FROM d), t AS (SELECT count(*) AS t FROM r)
 SELECT round(1 - (s / t) / (e / (t * (t - 1))), 6) AS alpha FROM o, e, t""",
-    "survivors": P + "SELECT id, line, CAST(row_number() OVER (PARTITION BY id ORDER BY x, y DESC, line) AS INTEGER) AS place FROM p QUALIFY place <= 2",
+    "front_ranks": FRONTS + "SELECT id, line, x, y, front FROM ranked",
+    "survivors": FRONTS
+    + """, c AS (SELECT *, (lead(x) OVER wx - lag(x) OVER wx) / (max(x) OVER w - min(x) OVER w) AS gx, lead(x) OVER wx IS NULL OR lag(x) OVER wx IS NULL AS ex, (lead(y) OVER wy - lag(y) OVER wy) / (max(y) OVER w - min(y) OVER w) AS gy, lead(y) OVER wy IS NULL OR lag(y) OVER wy IS NULL AS ey
+  FROM ranked WINDOW w AS (PARTITION BY id, front), wx AS (PARTITION BY id, front ORDER BY x, y, key), wy AS (PARTITION BY id, front ORDER BY y, x, key)),
+d AS (SELECT *, CASE WHEN NOT ex AND NOT ey THEN (CASE WHEN isfinite(gx) THEN gx ELSE 0 END + CASE WHEN isfinite(gy) THEN gy ELSE 0 END) / 2 END AS crowding FROM c)
+SELECT id, key, front, round(crowding, 6) AS crowding, CAST(row_number() OVER (PARTITION BY id ORDER BY front, d.crowding DESC NULLS FIRST, key) AS INTEGER) AS place FROM d QUALIFY place <= 3""",
+    "front_spacing": P
+    + """, u AS (SELECT DISTINCT g, x, y FROM f), d AS (SELECT a.g, a.x, min(abs(a.x - b.x) + abs(a.y - b.y)) AS d FROM u a LEFT JOIN u b ON a.g = b.g AND a.x <> b.x GROUP BY ALL)
+SELECT g, count(*) AS n, round(coalesce(stddev_pop(d), 0), 6) AS spacing FROM d GROUP BY g""",
     "critical_cells": P + "SELECT g, count(DISTINCT (least(floor(x / 0.5 * 10), 9), least(floor(y / 0.1 * 10), 9))) AS cells FROM p WHERE y >= 0.05 GROUP BY g",
     "failure_heat_map": P + "SELECT CAST(least(floor(x * 2 * 5), 4) AS BIGINT) AS i, CAST(least(floor(y * 10 * 5), 4) AS BIGINT) AS j, count(*) AS total, count_if(id % 4 = 0) AS failures FROM p GROUP BY 1, 2",
     "cluster_coverage": V + ", k AS (SELECT count(DISTINCT label) AS k FROM v), n AS (SELECT grp, label, count(*) AS n FROM v GROUP BY ALL), q AS (SELECT grp, n / sum(n) OVER (PARTITION BY grp) AS p FROM n) SELECT grp, round(100.0 * count(*) / k, 6) AS coverage, round(100 * sum(-p * log2(p)) / log2(k), 6) AS entropy FROM q, k GROUP BY grp, k",
