@@ -15,9 +15,10 @@ def _stretch(u: Column, room: Column, eta: float) -> Column:
 def crossed(a: Column, b: Column, u: Column, eta: float, low: float = 0.0, high: float = 1.0) -> tuple[Column, Column]:
     """Simulated binary crossover within bounds: the lesser and the greater child; equal parents stay."""
     least, most = F.least(a, b), F.greatest(a, b)
+    # parents that are equal (or one of them unknown) have no gap
     gap = F.nullif(most - least, F.lit(0.0))
     child = lambda sign, room: F.least(F.greatest((least + most + sign * _stretch(u, room / gap, eta) * gap) / 2, F.lit(low)), F.lit(high))
-    return F.coalesce(child(-1, least - low), a), F.coalesce(child(1, high - most), b)
+    return F.when(gap.isNull(), a).otherwise(child(-1, least - low)), F.when(gap.isNull(), b).otherwise(child(1, high - most))
 
 
 def mutated(x: Column, u: Column, eta: float, low: float = 0.0, high: float = 1.0) -> Column:
