@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, neardup, pieces, pii, quality, substrings, tokencount, topk, urlrules
+from . import chat, decontam, filteraudit, neardup, negatives, pieces, pii, quality, spots, substrings, tokencount, topk, urlrules
 
 QUERIES = {
     "op1_exact_top_k": topk.op1_exact_top_k,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_benchmark_decontamination": decontam.op8_benchmark_decontamination,
     "op9_pii": pii.op9_pii,
     "op10_suffix_dedup": substrings.op10_suffix_dedup,
+    "op11_filter_audit": filteraudit.op11_filter_audit,
+    "op12_hard_negatives": negatives.op12_hard_negatives,
+    "op13_document_fingerprints": spots.op13_document_fingerprints,
 }
 
 SQL = {
@@ -22,4 +25,7 @@ SQL = {
     "op3_chat_formatting": chat.SQL,
     "op7_url_filters": urlrules.SQL,
     "op8_benchmark_decontamination": decontam.SQL,
+    "op11_filter_audit": filteraudit.SQL,
+    "op12_hard_negatives": negatives.SQL,
+    "op13_document_fingerprints": spots.SQL,
 }
