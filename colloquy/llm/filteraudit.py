@@ -67,7 +67,7 @@ def filter_audit(flags: DataFrame, letters: str = FILTERS) -> DataFrame:
     counts = materialize(flags.groupBy("part", "mask").agg(*(F.sum(c).alias(c) for c in SIZES)))
     single = [F.sum(F.when(F.col("mask") == 1 << i, F.col("n")).otherwise(0)).alias(c) for i, c in enumerate(letters)]
     parts = counts.groupBy("part").agg(F.sum("n").alias("total"), F.array(*single).alias("single"))
-    # a row for each end of an interval: bounded by the filters (for five, 2 x 2,700)
+    # a row for each end of an interval: bounded by the filters (for five, some 5,300)
     ends = [(m, s, first, at, sign) for m, s, first, lo, hi in mask_intervals(letters) for at, sign in ((lo, 1), (hi, -1)) if at < len(orders)]
     steps = spark.createDataFrame(ends, "mask int, step int, first boolean, rank int, sign long")
     change = [F.sum(F.when(F.col("first"), F.col("sign") * F.col(c)).otherwise(0)).alias(c) for c in SIZES]

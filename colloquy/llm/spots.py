@@ -21,6 +21,7 @@ last; one document is its own next one; two empty sets are of likeness 1; an emp
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -42,16 +43,24 @@ el los las lo un una unos unas y o pero no es son era eran ha han al del en con
 """.split()
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), for which value is worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def spots(text: Column, chain: int = CHAIN, skip: int = SKIP) -> Column:
     """Distinct signatures (16 hexadecimal digits) of a text that isn't null, in order."""
-    plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    # " #the word word #of word "
-    marked = F.regexp_replace(plain, f"(?<= )(?=(?:{'|'.join(sorted(set(ANCHORS)))}) )", "#")
     next_word = r"(?: #[^ ]++){0,%d}+ [^# ][^ ]*+" % skip
-    found = F.regexp_extract_all(marked, F.lit(f"(?=(#[^ ]++(?:{next_word}){{{chain}}}))#"), F.lit(1))
-    whole = F.when(plain != "  ", F.array(plain)).when(text != "", F.array(text)).otherwise(F.array().cast("array<string>"))
-    chains = F.when(F.size(found) > 0, F.transform(found, lambda c: F.regexp_replace(c, " #[^ ]+", ""))).otherwise(whole)
-    return F.array_sort(F.array_distinct(F.transform(chains, lambda c: F.substring(F.md5(c.cast("binary")), 1, 16))))
+
+    def chains(plain: Column) -> Column:
+        # " #the word word #of word "
+        marked = F.regexp_replace(plain, f"(?<= )(?=(?:{'|'.join(sorted(set(ANCHORS)))}) )", "#")
+        found = F.regexp_extract_all(marked, F.lit(f"(?=(#[^ ]++(?:{next_word}){{{chain}}}))#"), F.lit(1))
+        whole = F.when(plain != "  ", F.array(plain)).when(text != "", F.array(text)).otherwise(F.array().cast("array<string>"))
+        return let(found, lambda x: F.when(F.size(x) > 0, F.transform(x, lambda c: F.regexp_replace(c, " #[^ ]+", ""))).otherwise(whole))
+
+    plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    return F.array_sort(F.array_distinct(F.transform(let(plain, chains), lambda c: F.substring(F.md5(c.cast("binary")), 1, 16))))
 
 
 def partition_of(size: Column, least: float) -> Column:
@@ -66,9 +75,8 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
     apart = (small == 0) | (a[0] > b[m - 1]) | (b[0] > a[n - 1])
     if least > 0:
         apart = apart | (F.abs(partition_of(n, least) - partition_of(m, least)) > 1) | (small < least * large)
-    shared = F.size(F.array_intersect(a, b))
-    index = shared / (n + m - shared)
-    return F.when(a == b, 1.0).when(apart, 0.0).otherwise(F.when(index >= least, index).otherwise(0.0))
+    index = let(F.size(F.array_intersect(a, b)), lambda shared: shared / (n + m - shared))
+    return F.when(a == b, 1.0).when(apart, 0.0).otherwise(let(index, lambda x: F.when(x >= least, x).otherwise(0.0)))
 
 
 def first_above(bounds: list[Row], key: Column) -> Column:
@@ -84,7 +92,7 @@ def first_above(bounds: list[Row], key: Column) -> Column:
     return F.when(which == 0, 0).otherwise((which - 1) * width + over(F.element_at(F.array(*groups), F.greatest(which, F.lit(1)))))
 
 
-def with_next(docs: DataFrame, value, name: str = "next") -> DataFrame:
+def with_next(docs: DataFrame, value: Callable[[Column], Column], name: str = "next") -> DataFrame:
     """doc_id, text, value(text) of every row of ``docs`` (doc_id, text), and text and value of the next row by descending doc_id (after the last the first), as columns ``name``_text and ``name``_value."""
     tasks = n_partitions(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
