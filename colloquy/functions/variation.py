@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .features import keyed_uniform
+
 
 def _stretch(u: Column, room: Column, eta: float) -> Column:
     """Spread factor of simulated binary crossover for a draw u, where ``room`` is the free space over the parents' distance."""
@@ -43,3 +45,18 @@ def utterance_distance(question: Column, answer: Column, scores: tuple[Column, C
     far = F.sqrt(F.aggregate(F.zip_with(*scores, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
     differ = F.size(F.filter(F.zip_with(*choices, lambda x, y: ~x.eqNullSafe(y)), lambda d: d))
     return F.struct(apart(question).alias("question"), apart(answer).alias("answer"), per(far, n).alias("ordinal"), per(differ, k).alias("categorical"), per(far + differ, n + k).alias("combined"))
+
+
+def resampled(current: Column, allowed: Column, *key: Column) -> Column:
+    """Another choice (array of indexes) of the allowed ones of each feature (array of arrays) that differs from the current one wherever any may.
+
+    Each feature draws from its allowed indexes; if all drew what they had, a keyed one of those that have others takes one of these. So a
+    feature to keep has its index alone as allowed, and one that must not rise those up to it. A feature without allowed indexes keeps its own.
+    """
+    at = lambda name, values, *more: F.get(values, F.floor(keyed_uniform(F.lit(name), *key, *more) * F.size(values)).cast("int"))
+    drawn = F.transform(current, lambda c, i: F.coalesce(at("draw", F.get(allowed, i), i.cast("string")), c))
+    others = F.transform(current, lambda c, i: F.filter(F.get(allowed, i), lambda a: a != c))
+    free = F.filter(F.transform(others, lambda o, i: F.when(F.size(o) > 0, i)), lambda i: i.isNotNull())
+    one = at("pick", free)
+    moved = F.transform(drawn, lambda d, i: F.when(i == one, at("other", F.get(others, i))).otherwise(d))
+    return F.when((drawn == current) & (F.size(free) > 0), moved).otherwise(drawn)

@@ -38,6 +38,12 @@ def efficiency(turns: DataFrame) -> DataFrame:
     return turns.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.coalesce(1 - F.avg(failed), F.lit(1.0)).alias("efficiency"))
 
 
+def effectiveness(turns: DataFrame, relevant: Column, score: Column) -> DataFrame:
+    """conv_id, effectiveness: mean score of the turns whose intent counts, of which those without a score (nothing was asked for) count 1; 1 without any."""
+    counted = F.when(F.coalesce(relevant, F.lit(False)), F.coalesce(score, F.lit(1.0)))
+    return turns.groupBy("conv_id").agg(F.coalesce(F.avg(counted), F.lit(1.0)).alias("effectiveness"))
+
+
 def dialogue(log: DataFrame) -> DataFrame:
     """conv_id, dialogue: 'Role: text' lines in order of turns."""
     line = F.concat(F.initcap("role"), F.lit(": "), F.coalesce("text", F.lit("")))
@@ -85,6 +91,23 @@ def fallback_streaks(turns: DataFrame) -> DataFrame:
     return runs.groupBy("conv_id").agg(F.max("run").alias("longest_streak"))
 
 
+def fallback_counters(turns: DataFrame, fallback: Column, repeats: int = 3, limit: int = 9) -> DataFrame:
+    """Turns with two counters of fallbacks in a row: ``repeat_count``, which starts again after ``repeats``, and ``loop_count``; the ``action`` that they
+    call for (rephrase, change_topic, none); turns after the one at which loop_count reaches ``limit`` are gone, as the conversation has ended there.
+
+    Any other answer sets both to 0, so both follow from the place in a run of fallbacks.
+    """
+    order = Window.partitionBy("conv_id").orderBy("turn_idx")
+    rows = turns.withColumn("_f", F.coalesce(fallback, F.lit(False)))
+    rows = rows.withColumn("_island", F.sum((~F.col("_f")).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    part = Window.partitionBy("conv_id", "_island").orderBy("turn_idx").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("loop_count", F.sum(F.col("_f").cast("long")).over(part))
+    ended = F.coalesce(F.max(F.col("loop_count") >= limit).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    rows = rows.withColumn("_ended", ended).filter("not _ended").withColumn("repeat_count", F.col("loop_count") % repeats)
+    action = F.when(~F.col("_f"), "none").when(F.col("repeat_count") == 0, "change_topic").otherwise("rephrase")
+    return rows.withColumn("action", action).drop("_f", "_island", "_ended")
+
+
 def turn_state(turns: DataFrame, state: str) -> DataFrame:
     """The last non-null ``state`` up to each turn, started anew where ``reset`` is true."""
     order = Window.partitionBy("conv_id").orderBy("turn_idx").rowsBetween(Window.unboundedPreceding, 0)

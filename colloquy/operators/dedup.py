@@ -15,13 +15,51 @@ def keep_first(rows: DataFrame, keys: list[Column], order: str) -> DataFrame:
     return first.select("row.*")
 
 
-def near_pairs(rows: DataFrame, same: list[str], key: str, within: dict[str, float]) -> DataFrame:
-    """key and first: the least earlier row with the same ``same`` values and every column of ``within`` nearer than its bound."""
-    left = rows.select(*same, F.col(key).alias("first"), *(F.col(c).alias(f"{c}_a") for c in within))
+def near_links(rows: DataFrame, same: list[str], key: str, within: dict[str, float]) -> DataFrame:
+    """key and first of all pairs of rows with first < key, the same ``same`` values, and every column of ``within`` nearer than its bound.
+
+    Only rows of the same or neighbouring cells, as wide as the bounds, meet. Rows with a null or NaN in these columns are near none.
+    """
+    bounds = [b for b in within.values() if b <= 0]
+    if bounds:
+        raise ValueError("bounds are above 0")
+    for c in within:
+        rows = rows.filter(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")))
+    cells = {f"_c{i}": F.floor(F.col(c) / bound) for i, (c, bound) in enumerate(within.items())}
+    left = rows.select(*same, F.col(key).alias("first"), *(F.col(c).alias(f"{c}_a") for c in within), *(v.alias(n) for n, v in cells.items()))
+    for n in cells:
+        left = left.withColumn(n, F.explode(F.array(F.col(n) - 1, F.col(n), F.col(n) + 1)))
     near = F.col("first") < F.col(key)
     for c, bound in within.items():
         near = near & (F.abs(F.col(f"{c}_a") - F.col(c)) < bound)
-    return rows.join(left, same).filter(near).groupBy(key).agg(F.min("first").alias("first"))
+    return rows.withColumns(cells).join(left, [*same, *cells]).filter(near).select(key, "first")
+
+
+def near_pairs(rows: DataFrame, same: list[str], key: str, within: dict[str, float]) -> DataFrame:
+    """key and first: the least earlier row with the same ``same`` values and every column of ``within`` nearer than its bound."""
+    return near_links(rows, same, key, within).groupBy(key).agg(F.min("first").alias("first"))
+
+
+def keep_apart(rows: DataFrame, same: list[str], key: str, within: dict[str, float]) -> DataFrame:
+    """``rows`` (of different keys) taken in order of ``key``: one goes only if an earlier row that stays is near it (see ``near_links``).
+
+    Rounds: a row whose earlier near rows have all gone stays, one with an earlier near row that stays goes. Each round settles the least open
+    row of every chain, so there are as many rounds as the longest chain of near rows has links, and links of settled rows leave.
+    """
+    from .lineage import cut
+
+    links = cut(near_links(rows, same, key, within))
+    gone = None
+    while not links.isEmpty():
+        open_ = links.select(F.col(key).alias("first")).distinct()
+        # rows that nothing before them can remove
+        sure = links.join(open_, "first", "left_anti").select("first").distinct()
+        lost = cut(links.join(sure, "first", "left_semi").select(key).distinct())
+        gone = lost if gone is None else cut(gone.unionByName(lost))
+        # what is settled removes nothing any more: links of lost rows in either place, and those of rows that stay
+        left = links.join(lost, key, "left_anti").join(lost.withColumnRenamed(key, "first"), "first", "left_anti")
+        links = cut(left.select(key, "first"))
+    return rows if gone is None else rows.join(gone, key, "left_anti")
 
 
 def turnwise_equal(a: DataFrame, b: DataFrame, threshold: float = 0.9) -> DataFrame:

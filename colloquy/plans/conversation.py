@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.functions import features, text
+from colloquy.functions import text
 from colloquy.operators import conversation as C
 
+from . import contents
+
 #: Which user intents may follow a system intent (fixed values of these queries).
 EDGES = [("inform", "confirm"), ("inform", "refine"), ("followup", "answer"), ("reject", "refine"), ("reject", "stop"), ("failure", "repeat"), ("reject_and_followup", "answer")]
 
@@ -97,11 +99,11 @@ def parsed_dialogue(spark, sf_dir):
 
 
 def effectiveness(spark, sf_dir):
-    """Mean over relevant turns of the best score of three candidate contents; 1 without any."""
-    score = lambda i: features.keyed_uniform(F.col("conv_id").cast("string"), F.col("turn_idx").cast("string"), F.lit(str(i)))
-    rows = pairs(spark, sf_dir).withColumn("best", F.greatest(*(score(i) for i in range(3))))
-    relevant = F.when(F.col("intent") != "followup", F.col("best"))
-    return rows.groupBy("conv_id").agg(F.round(F.coalesce(F.avg(relevant), F.lit(1.0)), 6).alias("effectiveness"))
+    """Each turn asks for the content of a part (but for every ninth conversation); the scores are those of navigation_content."""
+    n = spark.read.parquet(f"{sf_dir}/part.parquet").count()
+    asked = F.when(F.col("conv_id") % 9 != 0, (F.col("conv_id") * 7 + F.col("turn_idx")) % n + 1)
+    rows = pairs(spark, sf_dir).withColumn("p_partkey", asked).join(contents.navigation_content(spark, sf_dir), "p_partkey", "left")
+    return C.effectiveness(rows, F.col("intent") != "followup", F.col("score")).withColumn("effectiveness", F.round("effectiveness", 6))
 
 
 PAIRS = """
@@ -114,7 +116,6 @@ e AS (SELECT conv_id, count(*) AS n_turns, 1 - avg(CAST(failed AS INTEGER)) AS e
 
 QUERIES = {f.__name__: f for f in (turn_pairs, conversation_efficiency, efficiency_summary, dialogue_text, intent_history, utterance_counts, role_lengths, phrase_lengths, unique_answers, repeated_answers, fallback_streaks, session_state, allowed_intents, pattern_check, parsed_dialogue, effectiveness)}
 
-U = "(('0x' || substr(md5(conv_id || ':' || turn_idx || ':{}'), 1, 8))::UBIGINT / 4294967296.0)"
 SQL = {
     "turn_pairs": PAIRS + "SELECT conv_id, turn, question, answer, turn_idx FROM p",
     "conversation_efficiency": PAIRS + "SELECT conv_id, n_turns, round(eff, 6) AS efficiency, eff < 0.65 AS is_critical FROM e",
@@ -133,5 +134,7 @@ SQL = {
     + f", g(intent, n) AS (VALUES {', '.join(map(str, EDGES))}) SELECT conv_id, turn_idx, coalesce(string_agg(DISTINCT n, ',' ORDER BY n), '') AS allowed FROM t LEFT JOIN g USING (intent) GROUP BY conv_id, turn_idx",
     "pattern_check": PAIRS + "SELECT conv_id, turn_idx, contains(answer, ' the ') AND NOT contains(substr(answer, strpos(answer, ' the ') + 5), '?') AS holds FROM p",
     "parsed_dialogue": PAIRS + "SELECT conv_id, CAST(turn_idx AS BIGINT) AS turn_idx, length(trim(question, ' ' || chr(10))) AS n_user, nullif(length(trim(answer, ' ' || chr(10))), 0) AS n_system FROM p",
-    "effectiveness": PAIRS + f"SELECT conv_id, round(coalesce(avg(CASE WHEN intent <> 'followup' THEN greatest({U.format(0)}, {U.format(1)}, {U.format(2)}) END), 1.0), 6) AS effectiveness FROM t GROUP BY conv_id",
+    "effectiveness": PAIRS
+    + f", n AS ({contents.SQL['navigation_content']}), a AS (SELECT *, CASE WHEN conv_id % 9 <> 0 THEN (conv_id * 7 + turn_idx) % (SELECT count(*) FROM part) + 1 END AS p_partkey FROM t)"
+    + " SELECT conv_id, round(coalesce(avg(CASE WHEN intent <> 'followup' THEN coalesce(score, 1.0) END), 1.0), 6) AS effectiveness FROM a LEFT JOIN n USING (p_partkey) GROUP BY conv_id",
 }

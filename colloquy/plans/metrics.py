@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from colloquy.functions import features, vector
 from colloquy.operators import agreement as A
-from colloquy.operators import dedup
+from colloquy.operators import dedup, fronts
 from colloquy.operators import quality as Q
 from colloquy.operators import stats as S
 
@@ -102,8 +102,7 @@ def pareto_front(spark, sf_dir):
 
 def combined_front(spark, sf_dir):
     """The front over groups of the groups' fronts."""
-    own = Q.pareto_front(points(spark, sf_dir), "g", "x", "y").withColumn("all", F.lit(0))
-    return Q.pareto_front(own, "all", "x", "y").drop("all")
+    return fronts.front(points(spark, sf_dir), [], ["x", "y"])
 
 
 def front_ranks(spark, sf_dir):

@@ -144,3 +144,34 @@ def conversation_logs(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.y*ml").load(path)
     return files.filter(~F.col("path").contains("__report__")).select("path", "content").mapInPandas(parse, LOG)
+
+
+def rule_fields(content: str) -> dict[str, str]:
+    """Fields of a flat rule file: "key: value" lines, quoted values, > and | blocks, comments."""
+    fields: dict[str, str] = {}
+    key, joint, lines = None, " ", []
+    for line in [*content.splitlines(), "end:"]:
+        found = re.match(r"([A-Za-z_]+):(?:\s+(.*))?$", line)
+        if not found:
+            if key is not None and (line.startswith(" ") or not line.strip()):
+                lines.append(line.strip())
+            continue
+        if key is not None:
+            fields[key] = joint.join(lines).strip()
+        key, value = found[1], (found[2] or "").strip()
+        quoted = re.match(r"""("(?:[^"\\]|\\.)*"|'(?:[^']|'')*')\s*(?:#.*)?$""", value)
+        if quoted:
+            value = quoted[1][1:-1].replace("''", "'") if quoted[1][0] == "'" else quoted[1][1:-1].replace('\\"', '"')
+        else:
+            value = re.sub(r"(^|\s)#.*$", "", value).strip()
+        joint = "\n" if value[:1] == "|" else " "
+        lines = [] if value[:1] in (">", "|") and len(value) < 3 else [value]
+    return fields
+
+
+def rules(spark: SparkSession, path: str) -> list:
+    """Rules of the .yaml and .yml files below a folder, by file name; they are few and small, and compiled on the driver."""
+    from colloquy.operators.rules import file_rule
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.y*ml").load(path)
+    return [file_rule(rule_fields(bytes(r.content).decode("utf-8", "replace"))) for r in files.select("path", "content").orderBy("path").collect()]
