@@ -7,8 +7,10 @@ sorted by prefix doubling in which only still tied suffixes go on; the Burrows-W
 is held in a wavelet matrix. Benchmark windows are searched backwards, all at once; occurrences are
 located by walking to a sampled suffix position. Overlapping occurrences merge into removal spans.
 
-The benchmark is sent to the tasks in blocks of about ``block_bytes`` of text (a checked size; the windows of a block take some 18 times
-as much, and a longer item is a block by itself); with more than one block the documents are indexed for each, and hits are merged by document.
+The benchmark goes to the tasks as numbers of words, in blocks of about ``block_bytes`` of text (an item that occurs twice once; a longer item is a
+block by itself), some 20 bytes for each of its words. A shard is indexed once and all blocks are searched on that index; their hits meet there, so no
+text is shuffled and no row needs a key, for one block as for many. Of a benchmark of more than ``PASS_BYTES`` so much is searched at a time: the
+documents and the hits so far are written between passes.
 
 Cases: null text has no words, null or wordless items no windows; repeated rows and ids stay rows of
 their own; an item id that occurs twice counts once; null item ids match but are not listed or
@@ -27,9 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import chunks, texts_of
+from .common import chunks, materialize, texts_of
 
 SHARD_BYTES = 2 << 20
+PASS_BYTES = 64 << 20
+#: Windows that are searched at a time.
+SEARCH = 1 << 16
 WINDOW = 13
 SAMPLE = 16
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -37,7 +42,7 @@ BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 #: Bytes of words after A-Z are lower-cased (fixed values): digits, a-z and all of non-ASCII characters.
 WORD = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 WORD_PATTERN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-FOUND = "key long, n_words long, ends array<int>, hits array<int>, items array<string>"
+FOUND = "n_words long, ends array<int>, hits array<int>, items array<string>"
 
 
 def byte_codes(seed: int) -> np.ndarray:
@@ -80,35 +85,59 @@ def inverse_power(at: np.ndarray) -> np.ndarray:
     return out
 
 
-class Patterns:
-    """Distinct windows of benchmark items as rows of symbols, right-aligned, and the items of each."""
+class Vocabulary:
+    """Numbers (from 1) of the benchmark's words, by their hashes."""
 
-    def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW) -> None:
-        codes = byte_codes(8)
-        upper = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-        of: dict = defaultdict(set)
-        vocabulary: dict = {}
-        for item, text in items:
-            words = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in WORD_PATTERN.findall((text or "").translate(upper))]
-            for i in range(max(1, len(words) - window + 1) if words else 0):
-                of[tuple(words[i : i + window])].add(item)
-        joined = "\n".join(vocabulary).encode()
-        _, _, hashes = words_of(np.frombuffer(joined, np.uint8), np.array([0, len(joined)]), codes)
+    def __init__(self, words: dict[str, int]) -> None:
+        self.codes = byte_codes(8)
+        joined = "\n".join(words).encode()
+        _, _, hashes = words_of(np.frombuffer(joined, np.uint8), np.array([0, len(joined)]), self.codes)
         order = np.argsort(hashes)
-        self.codes, self.hashes = codes, hashes[order]
-        self.symbols = order.astype(np.int64) + 1
-        self.n_symbols = len(vocabulary) + 1
-        self.sizes = np.array([len(w) for w in of], np.int64)
-        self.rows = np.zeros((len(of), window), np.int64)
-        for i, w in enumerate(of):
-            self.rows[i, window - len(w) :] = w
-        self.items = [sorted(str(x) for x in s if x is not None) for s in of.values()]
+        self.hashes = hashes[order]
+        self.symbols = (order + 1).astype(np.int32)
+        self.n_symbols = len(words) + 1
 
     def encode(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
             return np.zeros(len(hashes), np.int64)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.symbols[at], 0)
+        return np.where(self.hashes[at] == hashes, self.symbols[at], 0).astype(np.int64)
+
+
+class Patterns:
+    """The distinct windows of a block of benchmark items, as places in the items' words, and the items of each.
+
+    vocabulary: numbers of words, to which new words are added.
+    """
+
+    def __init__(self, items: list[tuple[object, str | None]], vocabulary: dict[str, int], window: int = WINDOW) -> None:
+        upper = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+        places: dict[tuple[int, ...], int] = {}
+        of: dict[int, set] = defaultdict(set)
+        flat: list[int] = []
+        for item, text in items:
+            words = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in WORD_PATTERN.findall((text or "").translate(upper))]
+            for i in range(max(1, len(words) - window + 1) if words else 0):
+                of[places.setdefault(tuple(words[i : i + window]), len(flat) + i)].add(item)
+            flat += words
+        self.window = window
+        self.flat = np.array(flat, np.int32)
+        self.starts = np.fromiter(places.values(), np.int32, len(places))
+        self.sizes = np.fromiter(map(len, places), np.int32, len(places))
+        listed = [sorted(str(x) for x in of[p] if x is not None) for p in self.starts.tolist()]
+        self.names = sorted({x for own in listed for x in own})
+        number = {x: i for i, x in enumerate(self.names)}
+        self.cuts = np.cumsum([0, *map(len, listed)]).astype(np.int32)
+        self.owners = np.array([number[x] for own in listed for x in own], np.int32)
+
+    def rows(self, lo: int, hi: int) -> np.ndarray:
+        """Windows lo to hi as rows of symbols, right-aligned."""
+        at = np.arange(self.window) - self.window + self.sizes[lo:hi, None]
+        return np.where(at >= 0, self.flat[np.maximum(self.starts[lo:hi, None] + at, 0)], 0).astype(np.int64)
+
+    def items(self, windows: np.ndarray) -> list[str]:
+        owners = np.unique(np.concatenate([self.owners[self.cuts[w] : self.cuts[w + 1]] for w in windows.tolist()]))
+        return [self.names[i] for i in owners.tolist()]
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
@@ -213,86 +242,91 @@ class FMIndex:
         return out
 
 
-def shard_hits(data: np.ndarray, offsets: np.ndarray, patterns: Patterns) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For the words of a shard: starts, ends, document and hit flag; and the (document, window) pairs that occur."""
-    starts, ends, hashes = words_of(data, offsets, patterns.codes)
-    doc = np.searchsorted(offsets, starts, "right") - 1
-    hit = np.zeros(len(starts), bool)
-    none = np.zeros(0, np.int64)
-    if not len(starts) or not len(patterns.rows):
-        return starts, ends, doc, hit, none, none
-    symbols = patterns.encode(hashes)
-    # a 0 stands after each document's last word
-    place = np.arange(len(starts)) + doc
-    text = np.zeros(place[-1] + 2, np.int64)
-    text[place] = symbols
-    index = FMIndex(text, patterns.n_symbols)
-    which, lo, hi = index.search(patterns.rows, patterns.sizes)
-    n = hi - lo
-    rows = np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-    at, window = index.locate(rows), np.repeat(which, n)
-    word_of = np.zeros(len(text), np.int64)
-    word_of[place] = np.arange(len(starts))
-    word = word_of[at]
-    depth = np.zeros(len(starts) + 1, np.int64)
-    np.add.at(depth, word, 1)
-    np.add.at(depth, word + patterns.sizes[window], -1)
-    pairs = np.unique(doc[word] * len(patterns.rows) + window)
-    return starts, ends, doc, np.cumsum(depth[:-1]) > 0, pairs // len(patterns.rows), pairs % len(patterns.rows)
-
-
-def find_hits(patterns, keep: list[str]):
-    """patterns: a broadcast variable. keep: columns to carry along."""
+class Shard:
+    """Words of some documents and their FM-index."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary) -> None:
+        self.starts, self.ends, hashes = words_of(data, offsets, vocabulary.codes)
+        self.doc = np.searchsorted(offsets, self.starts, "right") - 1
+        self.index = None
+        if len(self.starts) and vocabulary.n_symbols > 1:
+            # a 0 stands after each document's last word
+            place = np.arange(len(self.starts)) + self.doc
+            text = np.zeros(place[-1] + 2, np.int64)
+            text[place] = vocabulary.encode(hashes)
+            self.index = FMIndex(text, vocabulary.n_symbols)
+            self.word_of = np.zeros(len(text), np.int64)
+            self.word_of[place] = np.arange(len(self.starts))
+
+    def search(self, patterns: Patterns) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which words windows of a block hit, and the (document, window) pairs that occur."""
+        depth = np.zeros(len(self.starts) + 1, np.int64)
+        pairs = [np.zeros((0, 2), np.int64)]
+        for at in range(0, len(patterns.starts) if self.index else 0, SEARCH):
+            to = min(at + SEARCH, len(patterns.starts))
+            which, lo, hi = self.index.search(patterns.rows(at, to), patterns.sizes[at:to])
+            n = hi - lo
+            rows = np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+            word, window = self.word_of[self.index.locate(rows)], at + np.repeat(which, n)
+            np.add.at(depth, word, 1)
+            np.add.at(depth, word + patterns.sizes[window], -1)
+            found = np.unique(self.doc[word] * len(patterns.starts) + window)
+            pairs.append(np.stack([found // len(patterns.starts), found % len(patterns.starts)], 1))
+        found = np.concatenate(pairs)
+        return np.cumsum(depth[:-1]) > 0, found[:, 0], found[:, 1]
+
+
+def find_hits(vocabulary, blocks: list, keep: list[str], again: bool):
+    """vocabulary, blocks: broadcast variables. keep: columns to carry along. again: hits of an earlier pass are there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", SHARD_BYTES):
             data, offsets = texts_of(batch, "text")
-            starts, ends, doc, hit, hit_doc, window = shard_hits(data, offsets, patterns.value)
-            n = batch.num_rows
-            n_words = np.bincount(doc, minlength=n)
-            items: dict = defaultdict(set)
-            for d, w in zip(hit_doc.tolist(), window.tolist(), strict=True):
-                items[d].update(patterns.value.items[w])
-            cuts = np.searchsorted(doc, np.arange(n + 1))
+            shard, n = Shard(data, offsets, vocabulary.value), batch.num_rows
+            cuts = np.searchsorted(shard.doc, np.arange(n + 1))
+            hit, items = np.zeros(len(shard.starts), bool), [set() for _ in range(n)]
+            if again:
+                for d, (words, own) in enumerate(zip(batch.column("hits").to_pylist(), batch.column("items").to_pylist(), strict=True)):
+                    hit[cuts[d] + np.array(words, np.int64)] = True
+                    items[d].update(own)
+            for block in blocks:
+                found, docs, windows = shard.search(block.value)
+                hit |= found
+                for d in np.unique(docs).tolist():
+                    items[d].update(block.value.items(windows[docs == d]))
             bounds, words = [[]] * n, [[]] * n
-            for d in np.unique(doc[hit]).tolist():
+            for d in np.unique(shard.doc[hit]).tolist():
                 own = slice(cuts[d], cuts[d + 1])
                 words[d] = np.flatnonzero(hit[own]).astype(np.int32)
-                bounds[d] = (np.stack([starts[own], ends[own]], 1)[words[d]].ravel() - offsets[d]).astype(np.int32)
-            out = (n_words, bounds, words, [sorted(items.get(d, ())) for d in range(n)])
+                bounds[d] = (np.stack([shard.starts[own], shard.ends[own]], 1)[words[d]].ravel() - offsets[d]).astype(np.int32)
+            out = (np.diff(cuts), bounds, words, [sorted(x) for x in items])
             types = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), batch.column("row of the scan"), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], [*keep, "key", "n_words", "ends", "hits", "items"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], [*keep, "n_words", "ends", "hits", "items"])
 
     return run
 
 
-def merge_hits(table: pa.Table) -> pa.Table:
-    """One document's rows for several blocks of the benchmark as one row."""
-    rows = table.to_pylist()
-    bounds = {w: (r["ends"][2 * i], r["ends"][2 * i + 1]) for r in rows for i, w in enumerate(r["hits"])}
-    one = rows[0] | {"hits": sorted(bounds), "ends": [x for w in sorted(bounds) for x in bounds[w]], "items": sorted({x for r in rows for x in r["items"]})}
-    return pa.Table.from_pylist([one], table.schema)
-
-
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 1 << 20, keep: list[str] | None = None) -> DataFrame:
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 1 << 20, keep: list[str] | None = None, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """Per row of ``docs``: the columns in ``keep`` (doc_id), n_words, n_hit, items (sorted ids), spans (byte ranges to remove), contaminated."""
     spark = docs.sparkSession
-    bench = benchmark.select("item_id", "text")
+    bench = benchmark.select("item_id", "text").distinct()
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + total // block_bytes
     keep = keep or ["doc_id"]
-    rows = docs.select(*dict.fromkeys([*keep, "text"]), F.monotonically_increasing_id().alias("row of the scan"))
-    schema = StructType([*docs.select(*keep).schema.fields, *StructType.fromDDL(FOUND).fields])
-    parts = []
-    for i in range(blocks):
-        own = bench if blocks == 1 else bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i)
-        patterns = spark.sparkContext.broadcast(Patterns([tuple(r) for r in own.collect()], window))
-        parts.append(rows.mapInArrow(find_hits(patterns, keep), schema))
-    raw = parts[0]
-    for part in parts[1:]:
-        raw = raw.unionByName(part)
-    if blocks > 1:
-        raw = raw.groupBy("key").applyInArrow(merge_hits, schema)
+    carried = list(dict.fromkeys([*keep, "text"]))
+    raw, each = docs.select(*carried), max(1, pass_bytes // block_bytes)
+    for first in range(0, blocks, each):
+        words: dict[str, int] = {}
+        sent = []
+        for i in range(first, min(first + each, blocks)):
+            own = bench if blocks == 1 else bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i)
+            sent.append(spark.sparkContext.broadcast(Patterns([tuple(r) for r in own.collect()], words, window)))
+        last = first + each >= blocks
+        names = keep if last else carried
+        schema = StructType([*docs.select(*names).schema.fields, *StructType.fromDDL(FOUND).fields])
+        raw = raw.mapInArrow(find_hits(spark.sparkContext.broadcast(Vocabulary(words)), sent, names, first > 0), schema)
+        if not last:
+            raw = materialize(raw)
     n_hit = F.size("hits").cast("long")
     # a span goes on while the next hit word is the next word
     spans = F.expr(

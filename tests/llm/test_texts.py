@@ -75,8 +75,9 @@ def test_decontamination(spark):
     base = [f"w{i}" for i in range(40)]
     bench = spark.createDataFrame([(1, " ".join(base[:20]), 0), (2, "Short ITEM", 0), (2, "short item", 0), (3, None, 0), (4, "...", 0), (None, "nobody", 0)], "item_id long, text string, n_hit int")
     rows = [(1, "x " + ", ".join(base[2:17]).upper() + " y"), (1, " ".join(base[2:14])), (2, "a short item, a SHORT-item"), (3, None), (4, ""), (5, "nobody " + "z " * 30), (6, " ".join(base[:20] + ["q"] * 2000))]
-    for blocks in (1 << 20, 40):
-        got = {(r.doc_id, r.n_words): r for r in decontam.benchmark_hits(docs(spark, rows).repartition(2), bench, block_bytes=blocks).collect()}
+    for blocks, passes in ((1 << 20, 1 << 26), (40, 1 << 26), (40, 80), (3, 3)):
+        found = decontam.benchmark_hits(docs(spark, rows).repartition(2), bench, block_bytes=blocks, pass_bytes=passes)
+        got = {(r.doc_id, r.n_words): r for r in found.collect()}
         assert {k: (r.n_hit, r["items"], r.contaminated) for k, r in got.items()} == {
             (1, 17): (15, ["1"], True), (1, 12): (0, [], False), (2, 6): (4, ["2"], True), (3, 0): (0, [], False), (4, 0): (0, [], False), (5, 31): (1, [], False), (6, 2020): (20, ["1"], False),
         }
@@ -87,6 +88,16 @@ def test_decontamination(spark):
     assert decontam.benchmark_hits(docs(spark, []), bench).count() == 0
 
 
+def test_no_text_is_shuffled_for_many_blocks(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    one, many = (decontam.benchmark_hits(table, bench, block_bytes=b) for b in (1 << 20, 500))
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (one, many)]
+    assert all(p.count("MapInArrow") == 1 and "Exchange" not in p for p in plans)
+    columns = ["doc_id", "n_words", "n_hit", "items", "spans", "contaminated"]
+    assert sorted(map(str, one.select(columns).collect())) == sorted(map(str, many.select(columns).collect()))
+
+
 def test_suffix_order_and_search():
     rng = np.random.default_rng(3)
     text = np.append(rng.integers(0, 3, 500), 0)
