@@ -8,13 +8,16 @@ that would touch a base span are left out, so the field only adds spans: local t
 groups of other signs, masked addresses. A candidate has at most ``LONGEST`` tokens and ``REACH`` characters and no white space but
 single spaces; windows of any length are searched whole.
 
-The field is fitted on the driver: windows of at most ``sample`` documents with digits or at signs, lowest hashes first, with the
-base spans as entities, and ``made`` sentences of words of these documents with invented entities in many formats, or
-with dates, amounts, versions, times and the like, which are none. Every text is searched, whole.
+The field is fitted on the driver: at most ``most`` windows of at most ``longest`` tokens of at most ``sample`` documents with digits, at
+signs or "at" before a host, lowest hashes first, with the base spans as entities and all else as none, and ``made`` sentences of words of these
+documents with invented entities in many formats, or with what looks like them: people and things "at" a site, numbers of orders, pages and parcels,
+coordinates, ratios, bank accounts, dates, amounts, versions, times. So a shape alone doesn't decide: "name at host" needs a name-like
+left side or a word such as "mail" before it, digits in groups of blanks a word such as "call". Every text is searched, whole.
 
 Cases: null and empty texts have no spans; repeated rows and ids stay rows of their own; an empty table gives no rows; other
 columns are ignored. Positions are code points, ends exclusive. Spans of one kind don't overlap;
-base spans of different kinds may.
+base spans of different kinds may. Of segmentations with equal scores the one that leaves its last
+token out counts, then the one whose last span begins first.
 """
 
 from __future__ import annotations
@@ -93,15 +96,31 @@ def bucket(n: int, bounds: tuple[int, ...]) -> int:
     return sum(n >= b for b in bounds)
 
 
-#: Words before an entity that tell of its kind (fixed values), and how far before it they are looked for.
+#: Words before an entity that tell of its kind, or that a number or place follows which is none (fixed values), and how far before it they are looked for.
 CUES = {
-    "email": ("mail", "contact", "write to"),
-    "ip": ("ip", "host", "server", "address"),
-    "card": ("card", "visa", "credit", "account"),
-    "phone": ("tel", "phone", "call", "fax", "mobile"),
+    "email": ("mail", "e-mail", "contact", "write to", "reach", "send"),
+    "ip": ("ip", "host", "server", "address", "ping"),
+    "card": ("card", "visa", "credit", "account", "mastercard", "amex"),
+    "phone": ("tel", "phone", "call", "fax", "mobile", "cell", "dial", "whatsapp", "text me", "ring"),
 }
+NO_CUES = (
+    "order", "invoice", "ratio", "coordinates", "page", "pages", "part", "item", "serial", "ticket", "case", "iban", "isbn", "id", "ref", "reference", "version", "build", "room", "model",
+    "article", "lot", "sku", "tracking", "score", "figure", "table", "line", "number of", "sequence", "code", "range", "size", "section", "chapter", "volume", "issue", "grid", "batch", "parcel", "population", "total",
+)
+#: Words that stand before "at" in prose and are no names (fixed values); those that end in -ing or -ed count as such.
+ORDINARY = frozenset(
+    """i me my you your he him his she her it its we us our they them their who someone anyone everyone nobody people team staff all both each one ones
+    this that these those here there now today tonight tomorrow yesterday always only also more most less much data code docs page pages site sites website blog news list lists
+    file files version stuff work works look looks talk talks live lives stay stays sell sells buy shop store start starts end ends read write reads see saw seen sit sat met meet meets meeting
+    be is are was were been am not up down out over back home school lunch noon night event events conference office class course job jobs find found get got made sold held run ran runs
+    available online free open new best good hosts host server servers service services product products tickets information details info help support support order orders shown written taught won lost""".split()
+)
 CUE_REACH = 16
 CUE = [re.compile(r"\b(?:" + "|".join(words) + r")", re.I) for words in CUES.values()]
+NO_CUE = re.compile(r"\b(?:" + "|".join(NO_CUES) + r")\b[ #:.no]*$", re.I)
+#: "local at host" in its parts: sign or word, host.
+AT = re.compile(r"([A-Za-z0-9._%+-]*[A-Za-z0-9])( at | @ |@| ?[\[(] ?(?:at|@) ?[\])] ?)(.+[A-Za-z])", re.I)
+NANP = re.compile(r"(?:\+?1[ .-]?)?\(?[2-9][0-9]{2}\)?[ .-]?[2-9][0-9]{2}[ .-]?[0-9]{4}")
 #: Whole shapes of spans: telephone numbers, cards, addresses, and what is none of these.
 SHAPES = [
     re.compile(p, re.I)
@@ -155,22 +174,51 @@ def features(text: str, start: int, end: int) -> list[int]:
         s[-1] in ".,-)" or s[0] in ".,-)",
         "\n" in s or "\t" in s,
         n > 0 and not letters and len({c for c in rest}) > 3,
+        # a group of digits goes on before or behind it
+        before in " .-/" and start > 1 and text[start - 2].isdigit(),
+        after in " -/." and follows.isdigit(),
+        before == " " and start > 2 and text[start - 2].isdigit() and text[start - 3].isupper(),
+        not letters and NANP.fullmatch(s) is not None,
+        n > 0 and not rest.strip(" "),
     )
     out = [0, 1 + bucket(n, (1, 7, 9, 12, 13, 20)), 8 + bucket(s.count("."), (1, 2, 3, 4)), 13 + bucket(len(s), (7, 12, 20, 32))]
     out += [18 + i for i, t in enumerate(tests) if t]
-    at = 18 + len(tests)
+    at = 18 + N_TESTS
     fits = [at + i for i, shape in enumerate(SHAPES) if shape.fullmatch(s)]
     out += fits or [at + len(SHAPES)]
     at += len(SHAPES) + 1
     near = text[max(0, start - CUE_REACH) : start]
     # cue words count beside a shape
-    out += [at + i + len(CUE) * bool(fits) for i, cue in enumerate(CUE) if cue.search(near)]
+    cues = [i for i, cue in enumerate(CUE) if cue.search(near)]
+    out += [at + i + len(CUE) * bool(fits) for i in cues]
+    parts = AT.fullmatch(s) if letters else None
+    bare = parts is not None and parts[2] == " at " and not DOT.search(parts[3])
+    # "name at host" and numbers in groups of blanks need more than their shape
+    out += [at + 2 * len(CUE) + i for i in cues if bare or (fits and not letters and not rest.strip(" "))]
+    at += 3 * len(CUE)
     if 13 <= n <= 19 and not letters:
-        out.append(at + 2 * len(CUE) + luhn(s))
+        out.append(at + luhn(s))
+    at += 2
+    if parts:
+        local = parts[1]
+        plain = local.isalpha()
+        common = plain and (local.lower() in ORDINARY or local.lower().endswith(("ing", "ed")))
+        tests = (bare, bare and plain, bare and common, bare and not plain, not bare and parts[2] != " at ", DOT.search(parts[3]) is not None, parts[3].lower().startswith("www"), bare and plain and not common and 0 in cues)
+        out += [at + i for i, t in enumerate(tests) if t]
+    elif letters and not DOT.search(s):
+        out.append(at + N_AT - 1)
+    at += N_AT
+    numbered = NO_CUE.search(near) is not None
+    out += [at + i for i, t in enumerate((numbered, numbered and bool(fits), bool(fits) and not cues and not numbered)) if t]
     return out
 
 
-N_FEATURES = 18 + 21 + len(SHAPES) + 1 + 2 * len(CUES) + 2
+#: A dot that is written out.
+DOT = re.compile(r" dot | ?[\[(](?:dot|\.)[\])]", re.I)
+
+
+N_TESTS, N_AT = 26, 9
+N_FEATURES = 18 + N_TESTS + len(SHAPES) + 1 + 3 * len(CUES) + 2 + N_AT + 3
 
 
 def hinted(text: str, start: int, end: int) -> bool:
@@ -275,18 +323,26 @@ def design(text: str, tokens: list[Span], ranges: list[tuple[int, int]]) -> np.n
     return x
 
 
-def invented(random: np.random.Generator) -> tuple[str, str | None]:
-    """An entity in one of its formats and its kind, or something that is none."""
+def invented(random: np.random.Generator) -> tuple[str, str, str | None]:
+    """Words before it, an entity in one of its formats and its kind, or something that is none."""
     d = lambda n: "".join(map(str, random.integers(0, 10, n)))
     pick = lambda *xs: xs[int(random.integers(len(xs)))]
-    area, line = str(random.integers(200, 1000)), str(random.integers(200, 1000))
-    kind = pick(*KINDS, None, None)
+    cue = lambda kind: pick(*CUES[kind]) + pick(" ", ": ", " is ", " at ") if random.random() < 0.3 else ""
+    name = lambda: "".join(map(chr, random.integers(97, 123, int(random.integers(2, 9)))))
+    top = lambda: pick("com", "org", "net", "de", "io", "edu")
+    area, line = f"{random.integers(2, 10)}{d(2)}", f"{random.integers(2, 10)}{d(2)}"
+    kind = pick(*KINDS, *[None] * 4)
     if kind == "phone":
+        if random.random() < 0.3:
+            # in blanks alone or short: with a word that says so
+            number = pick(f"{area} {line} {d(4)}", f"0{random.integers(20, 9999)} {d(int(random.integers(5, 9)))}", f"020 {d(4)} {d(4)}", f"{line}-{d(4)}", f"0{random.integers(10, 99)} {d(3)} {d(2)} {d(2)}")
+            return pick(*CUES[kind]) + pick(" ", ": ", ". ", " me on ", " us at "), number, kind
         return (
+            cue(kind),
             pick(
-                f"+1 ({area}) {line}-{d(4)}", f"({area}) {line}-{d(4)}", f"{area}-{line}-{d(4)}", f"{area}.{line}.{d(4)}", f"{area} {line} {d(4)}", f"1-{area}-{line}-{d(4)}",
-                f"00{random.integers(30, 99)} {random.integers(10, 999)} {d(int(random.integers(5, 9)))}", f"+{random.integers(20, 99)} {random.integers(1, 999)} {d(int(random.integers(5, 9)))}",
-                f"0{random.integers(20, 999)} {d(int(random.integers(6, 9)))}", f"0{random.integers(20, 9999)}/{d(int(random.integers(5, 9)))}", f"0{random.integers(1, 9)} {d(2)} {d(2)} {d(2)} {d(2)}", f"020 {d(4)} {d(4)}",
+                f"+1 ({area}) {line}-{d(4)}", f"({area}) {line}-{d(4)}", f"({area}) {line} {d(4)}", f"{area}-{line}-{d(4)}", f"{area}.{line}.{d(4)}", f"1-{area}-{line}-{d(4)}",
+                f"00{random.integers(30, 99)} {random.integers(10, 999)} {d(int(random.integers(5, 9)))}", f"+{random.integers(20, 99)} {random.integers(1, 999)} {d(int(random.integers(5, 9)))}", f"00{random.integers(30, 99)} {random.integers(1, 9)} {d(2)} {d(2)} {d(2)} {d(2)}",
+                f"0{random.integers(20, 9999)}/{d(int(random.integers(5, 9)))}", f"0{random.integers(1, 9)} {d(2)} {d(2)} {d(2)} {d(2)}", f"0{random.integers(1, 9)}.{d(2)}.{d(2)}.{d(2)}.{d(2)}", f"(0{random.integers(20, 999)}) {d(int(random.integers(6, 9)))}",
             ),
             kind,
         )
@@ -297,25 +353,47 @@ def invented(random: np.random.Generator) -> tuple[str, str | None]:
         body += next(c for c in "0123456789" if luhn(body + c))
         sign = pick(" ", "-", ".", "/", "")
         cuts = (0, 4, 10, 15) if size == 15 else (0, 4, 8, 12, 16)
-        return sign.join(body[x:y] for x, y in zip(cuts, cuts[1:])), kind
+        return cue(kind), sign.join(body[x:y] for x, y in zip(cuts, cuts[1:])), kind
     if kind == "ip":
-        return pick(".", ".", "[.]", "(.)", "[dot]", " dot ").join(str(random.integers(pick(10, 100, 256, 256))) for _ in range(4)), kind
+        return cue(kind), pick(".", ".", "[.]", "(.)", "[dot]", " dot ", "(dot)").join(str(random.integers(pick(10, 100, 256, 256))) for _ in range(4)), kind
     if kind == "email":
-        name = lambda: "".join(map(chr, random.integers(97, 123, int(random.integers(1, 9)))))
-        local = pick(name(), f"{name()}.{name()}", f"{name()}{d(2)}", f"{name()}_{name()}")
-        host = pick([name(), pick("com", "org", "net", "de")], [name(), name(), pick("com", "example")])
-        return local + pick("@", "@", " @ ", " at ", "(at)", " (at) ", "[at]", " [at] ") + pick(".", ".", " dot ", "[dot]", " [dot] ").join(host), kind
+        handle = pick(f"{name()}.{name()}", f"{name()}{d(2)}", f"{name()}_{name()}", f"{name()}-{name()}")
+        host = pick([name(), top()], [name(), name(), top()])
+        if random.random() < 0.4:
+            # "name at host": a handle, or a word that says so
+            with_cue = random.random() < 0.6
+            return (pick(*CUES[kind]) + pick(" ", ": ", " is ", " to ") if with_cue else "", (name() if with_cue and random.random() < 0.7 else handle) + " at " + ".".join(host), kind)
+        local = pick(name(), handle, handle)
+        return cue(kind), local + pick("@", "@", " @ ", "(at)", " (at) ", "[at]", " [at] ", " at ") + (pick(" dot ", "[dot]", " [dot] ", "(dot)", "[.]") if random.random() < 0.5 else ".").join(host), kind
+    return (*no_entity(random, d, pick, name, top), None)
+
+
+def no_entity(random: np.random.Generator, d, pick, name, top) -> tuple[str, str]:
+    """Words before and a text that looks like an entity and is none."""
     year, month, day = random.integers(1900, 2100), random.integers(1, 13), random.integers(1, 29)
     other = d(15)
     other += next(c for c in "0123456789" if not luhn(other + c))
-    return (
-        pick(
-            f"{year}-{month:02}-{day:02}", f"{day}.{month}.{year}", f"{month}/{day}/{year}", f"{year}-{month:02}-{day:02} {random.integers(24):02}:{d(2)}", f"{random.integers(24)}:{d(2)}", str(year), f"{year}-{year + 1}",
-            f"v{random.integers(9)}.{random.integers(20)}.{random.integers(9)}", f"{random.integers(9)}.{random.integers(20)}", f"${random.integers(1000)}.{d(2)}", f"{random.integers(1, 999)},{d(3)},{d(3)}", f"{random.integers(1, 999)} {d(3)} {d(3)}",
-            d(int(random.integers(1, 13))), other, f"{d(4)}-{d(4)}", f"#{d(6)}", f"{d(3)}-{d(2)}", f"{random.integers(100)}%", "token = \"" + "".join(pick(*"0123456789abcdef") for _ in range(40)) + '"', f"p. {d(3)}-{d(3)}", f"ISBN 978-{d(1)}-{d(4)}-{d(4)}-{d(1)}",
-            f"looking at {d(1)}.{d(1)}", f"{random.integers(300, 999)}.{random.integers(300, 999)}.{d(3)}.{d(3)}", f"{random.integers(99)} x {random.integers(99)}", f"{d(2)}.{d(3)}.{d(3)}",
-        ),
-        None,
+    which = random.random()
+    if which < 0.35:
+        # somebody or something at a site
+        word = pick(*sorted(ORDINARY)) if random.random() < 0.6 else name() + pick("", "ing", "ed", "s")
+        word = word.capitalize() if random.random() < 0.2 else word
+        lead = pick("", "", "", "see ", "more ", "contact ", "reach ", "the ") if word.lower() in ORDINARY else pick("", "", "see ", "the ", "was ", "and ")
+        return lead, f"{word} at {pick('', '', 'www.', 'docs.', 'shop.')}{name()}.{top()}"
+    if which < 0.6:
+        # numbers of other things
+        word = pick(*NO_CUES, "") + pick(" ", " ", ": ", " no. ", " #")
+        return word.strip() + " " if word.strip() else "", pick(
+            f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)} {d(3)} {d(4)}", f"1{d(2)}-{d(3)}-{d(4)}", f"{d(3)}-1{d(2)}-{d(4)}", f"{d(3)}-{d(4)}", f"{d(2)}-{d(4)}-{d(4)}", f"0{d(2)} {d(3)} {d(3)}", f"{d(4)} {d(4)} {d(4)}", f"0{d(4)}", f"{d(4)}/{d(5)}", f"{d(2)}.{d(4)}, {d(2)}.{d(4)}",
+        )
+    if which < 0.7:
+        # account numbers of banks, groups that go on
+        return pick("", "IBAN ", "account "), pick("DE", "FR", "GB") + d(2) + " " + " ".join(d(4) for _ in range(int(random.integers(3, 5)))) + " " + d(int(random.integers(1, 4)))
+    return pick("", "", "looking at ", "at ", "about "), pick(
+        f"{year}-{month:02}-{day:02}", f"{day}.{month}.{year}", f"{month}/{day}/{year}", f"{year}-{month:02}-{day:02} {random.integers(24):02}:{d(2)}", f"{random.integers(24)}:{d(2)}", str(year), f"{year}-{year + 1}",
+        f"v{random.integers(9)}.{random.integers(20)}.{random.integers(9)}", f"{random.integers(9)}.{random.integers(20)}", f"${random.integers(1000)}.{d(2)}", f"{random.integers(1, 999)},{d(3)},{d(3)}", f"{random.integers(1, 999)} {d(3)} {d(3)}",
+        d(int(random.integers(1, 13))), other, f"{d(4)}-{d(4)}", f"#{d(6)}", f"{d(3)}-{d(2)}", f"{random.integers(100)}%", "token = \"" + "".join(pick(*"0123456789abcdef") for _ in range(40)) + '"', f"p. {d(3)}-{d(3)}", f"ISBN 978-{d(1)}-{d(4)}-{d(4)}-{d(1)}",
+        f"{d(1)}.{d(1)}", f"{random.integers(300, 999)}.{random.integers(300, 999)}.{d(3)}.{d(3)}", f"{random.integers(99)} x {random.integers(99)}", f"{d(2)}.{d(3)}.{d(3)}", f"{d(1)}.{d(2)}.{d(1)}.{d(4)}", f"{random.integers(24)}:{d(2)}:{d(2)}.{d(3)}",
     )
 
 
@@ -327,10 +405,8 @@ def sentences(texts: list[str], random: np.random.Generator, made: int) -> Itera
         for _ in range(int(random.integers(1, 3))):
             at = int(random.integers(len(words) + 1))
             text += "".join(w + " " for w in words[at : at + int(random.integers(0, 7))])
-            entity, kind = invented(random)
-            if kind and random.random() < 0.3:
-                cues = CUES[kind]
-                text += cues[int(random.integers(len(cues)))] + (": ", " ", ". ")[int(random.integers(3))]
+            lead, entity, kind = invented(random)
+            text += lead
             if kind:
                 gold[len(text), len(text) + len(entity)] = KINDS.index(kind)
             text += entity + (" ", ". ", ", ", "\n")[int(random.integers(4))]
@@ -339,8 +415,11 @@ def sentences(texts: list[str], random: np.random.Generator, made: int) -> Itera
         yield text.strip(), gold
 
 
-def fit_field(texts: list[str], passes: int = 8, rate: float = 0.3, most: int = 500, made: int = 1200) -> np.ndarray:
-    """Weights (kinds x features) of greatest likelihood of at most ``most`` texts' base spans and of ``made`` sentences' entities, by stochastic gradient."""
+def fit_field(texts: list[str], passes: int = 6, rate: float = 0.3, most: int = 500, made: int = 2000, longest: int = 60) -> np.ndarray:
+    """Weights (kinds x features) of greatest likelihood of texts' base spans and of ``made`` sentences' entities, by stochastic gradient.
+
+    Of the texts, windows of at most ``longest`` tokens are learned from, until there are ``most`` of them.
+    """
     weights = np.zeros((len(KINDS), N_FEATURES))
     weights[:, 0] = -4
     random = np.random.Generator(np.random.PCG64(9))
@@ -348,7 +427,7 @@ def fit_field(texts: list[str], passes: int = 8, rate: float = 0.3, most: int =
 
     def learn(text: str, gold: dict[Span, int]) -> None:
         for tokens in windows(text):
-            ranges = candidates(text, tokens, []) if len(tokens) <= 60 else []
+            ranges = candidates(text, tokens, []) if len(tokens) <= longest else []
             if not ranges:
                 continue
             y = np.zeros((len(ranges), len(KINDS)))
@@ -427,7 +506,7 @@ def mask_rows(weights: np.ndarray):
 
 
 def fit_pii(docs: DataFrame, sample: int = 300, max_bytes: int = 1 << 15) -> np.ndarray:
-    rows = docs.filter(F.col("text").rlike("[0-9@]") & (F.octet_length("text") <= max_bytes)).select("doc_id", "text")
+    rows = docs.filter(F.col("text").rlike(r"[0-9@]|\w at [\w-]+\.\w") & (F.octet_length("text") <= max_bytes)).select("doc_id", "text")
     return fit_field([r.text for r in lowest(rows, "doc_id", "text", k=sample)])
 
 

@@ -74,7 +74,7 @@ OUTSIDE = {
     "phone": ["(269) 555-3296", "269-555-3296", "0049 89 1234567", "269.555.3296", "06 12 34 56 78", "030/1234567"],
     "card": ["4111.1111.1111.1111", "3782.822463.10005", "4111/1111/1111/1111"],
     "ip": ["10[.]1[.]2[.]3", "192(.)168(.)0(.)1", "10 dot 1 dot 2 dot 3"],
-    "email": ["joe at x.org", "jane.doe (at) mail.example.com", "jane [at] example [dot] org", "a_b @ host.net"],
+    "email": ["joe.p at x.org", "jane.doe (at) mail.example.com", "jane [at] example [dot] org", "a_b @ host.net"],
 }
 NONE = ["2021-03-04", "10:30", "version 3.", "CC BY-NC 4.0.", "1,234,567", "$12.50", "1998-2004", "4111111111111112", "look at home. Then", "at 3.5 or so", "p. 123-456", 'token = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"', "Room 555", "10 000 000", "999.400.500.300"]
 AROUND = [("", ""), ("this is ", " of the thing"), ("The word. ", ". And so on"), ("ha, ", ", the\n"), ("x\n", "\nrest of it")]
