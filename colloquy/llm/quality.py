@@ -6,11 +6,11 @@ weights. In training all lines of a document have its label. The score of a docu
 its lines' forward-backward marginals of good, weighted by their lengths in bytes.
 
 The model is fitted on the driver on a bounded sample: at most ``sample`` labelled documents of at
-most ``max_bytes`` bytes and ``max_lines`` lines, lowest hashes first. Every document is scored, whole, where it is read.
+most ``max_bytes`` bytes and ``max_lines`` lines, lowest hashes first, as far as they have no more than ``all_lines`` lines together. Every document is scored, whole, where it is read.
 
 Cases: null and empty texts are one empty line with a score of its own; texts without a byte weigh
-their lines equally; with no labels every score is 0.5. Null labels and ids don't train; a doc_id
-labelled twice trains twice; of rows that share an id those of the lowest hashes train, ``sample`` at most. A null id counts as
+their lines equally; with no labels every score is 0.5. Null labels and ids don't train; equal labels of a
+doc_id train once, different ones once each; of rows that share an id those of the lowest hashes train, ``sample`` at most. A null id counts as
 held out. An empty table gives no rows; a column score of the input is replaced; other columns are ignored.
 """
 
@@ -165,17 +165,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 3000, max_bytes: int = 1 << 16, max_lines: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 3000, max_bytes: int = 1 << 16, max_lines: int = 2000, all_lines: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
     """The model, from labels (doc_id, quality) of documents that aren't held out."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.select(F.col("doc_id").alias("id"), F.col("quality").alias("label")).orderBy(F.xxhash64("id"), "id", "label").limit(sample)
     # at most ``sample`` rows of two numbers
     n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1
-    fits = docs.select("doc_id", "text").filter((F.octet_length("text") <= max_bytes) & (n_lines <= max_lines))
-    rows = fits.join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("label", "text", "id", F.xxhash64("id", "text").alias("key"))
+    fits = docs.select("doc_id", "text", n_lines.alias("n_lines")).filter((F.octet_length("text") <= max_bytes) & (F.col("n_lines") <= max_lines))
+    rows = fits.join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("label", "text", "id", "n_lines", F.xxhash64("id", "text").alias("key"))
     # where ids repeat there may be more rows than labels
-    last = rows.select("key").orderBy("key").limit(sample).agg(F.max("key")).first()[0]
-    rows = rows.filter(F.col("key") <= (last or 0)).dropDuplicates(["key", "label"]).select("label", "text")
+    total = last = 0
+    for r in rows.select("key", "n_lines").orderBy("key").limit(sample).collect():
+        total += r.n_lines
+        if total > max(all_lines, r.n_lines):
+            break
+        last = r.key
+    rows = rows.filter(F.col("key") <= last).dropDuplicates(["key", "label"]).select("label", "text")
     found = rows.mapInArrow(train_rows, "label int, x binary").collect()
     found.sort(key=lambda r: (r.label, bytes(r.x)))
     parts = [unpack(r.x)[0] for r in found]
