@@ -9,6 +9,8 @@ from operator import add
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .features import keyed_uniform
+
 #: Kinds of food, words of payment methods, and which fields each system of a car has.
 FOODS = ["german", "indian", "italian", "middle_eastern", "french", "chinese", "japanese", "thai", "mexican", "greek", "vietnamese", "turkish", "american"]
 PAYMENT_WORDS = {"CASH": ["cash"], "DEBIT": ["debit"], "CREDIT_CARD_MASTER": ["master"], "CREDIT_CARD_VISA": ["visa"], "CONTACTLESS": ["contactless"], "MOBILE_PAYMENT": ["mobile", "phone"]}
@@ -22,6 +24,17 @@ CAR_FIELDS = {
     "fan": ["onoff_state_target"],
     "seat_heating": ["seat_position", "seat_heating_level_target"],
 }
+#: Which fields a request to a car's system may have, and which states, each with a value to reach (_target) and one before (_initial) (fixed values).
+REQUEST_FIELDS = {
+    "windows": (["position"], ["window_state"]),
+    "fog_lights": (["fog_light_position"], ["onoff_state"]),
+    "ambient_lights": ([], ["onoff_state"]),
+    "head_lights": ([], ["onoff_state", "head_lights_mode"]),
+    "fan": ([], ["onoff_state"]),
+    "reading_lights": (["position"], ["onoff_state"]),
+    "climate": ([], ["onoff_state", "climate_temperature_value"]),
+    "seat_heating": (["seat_position"], ["onoff_state", "seat_heating_level"]),
+}
 #: Weights of a car's fields (fixed values): its system, and any other field.
 SYSTEM_WEIGHT, FIELD_WEIGHT = 0.5, 0.2
 #: What a rating that is one lower than asked for is divided by (fixed value).
@@ -157,6 +170,39 @@ def car_output(state: Column, want: Column) -> Column:
     return F.struct(*(fields[f].cast(t).alias(f) for f, t in CAR_TYPES.items()))
 
 
+def request_fields(system: str) -> set[str]:
+    fields, states = REQUEST_FIELDS[system]
+    return {*fields, *(f"{s}_{of}" for s in states for of in ("target", "initial"))}
+
+
+def car_request(want: Column, names: list[str], *key: Column) -> Column:
+    """A request to a car (a struct with the fields ``names``; those of a second system end in 2) with what its systems don't have set to null.
+
+    There is a second system only if there is no first one: by the key, any of the systems or none. What is switched off has no other
+    state to reach, but for windows.
+    """
+    every = {f for s in REQUEST_FIELDS for f in request_fields(s)}
+    drawn = F.element_at(F.array(*map(F.lit, REQUEST_FIELDS)), F.floor(keyed_uniform(F.lit("system2"), *key) * len(REQUEST_FIELDS)).cast("int") + 1)
+    systems = {"": want["system"], "2": F.when(want["system"].isNull(), drawn)}
+    out = {}
+    for name in names:
+        suffix = "2" if name.endswith("2") else ""
+        plain, system = name.removesuffix("2"), systems[suffix]
+        if plain == "system":
+            out[name] = system
+        elif plain not in every:
+            out[name] = want[name]
+        else:
+            value = F.when(system.isin(*(s for s in REQUEST_FIELDS if plain in request_fields(s))), want[name])
+            onoff = f"onoff_state_target{suffix}"
+            if plain.endswith("_target") and plain != "onoff_state_target" and onoff in names:
+                # what the systems that aren't windows would be switched to counts only where they have such a state
+                off = (want[onoff] == "off") & (system != "windows")
+                value = F.when(~F.coalesce(off, F.lit(False)), value)
+            out[name] = value
+    return F.struct(*(v.alias(n) for n, v in out.items()))
+
+
 def forgiven(fitness: Column, output: Column, exists: Column, best_value: float = 1.0) -> Column:
     """The fitness, or the best one where there is no output because nothing exists."""
     return F.when(output.isNull() & ~F.coalesce(exists, F.lit(False)), best_value).otherwise(fitness)

@@ -13,13 +13,23 @@ def counts(ratings: DataFrame) -> DataFrame:
 
 
 def majority(ratings: DataFrame, tie: str = "min") -> DataFrame:
-    """item, label (most votes; least or greatest of tied labels), share of votes, whether raters differ."""
+    """item, label (most votes; of tied labels the least for tie min, the greatest for max; for error a tie fails the query), share of votes, whether raters differ."""
+    if tie not in ("min", "max", "error"):
+        raise ValueError(f"ties go to min, max or error, not {tie}")
     by = counts(ratings)
-    order = F.struct("n", -F.col("label")) if tie == "min" else F.struct("n", F.col("label"))
-    out = by.groupBy("item").agg(F.max_by("label", order).alias("label"), F.max("n").alias("top"), F.sum("n").alias("votes"), F.count("*").alias("labels"))
+    least, most = F.max_by("label", F.struct("n", -F.col("label"))), F.max_by("label", F.struct("n", F.col("label")))
+    failed = F.raise_error(F.concat(F.lit("tie in the votes on item "), F.col("item").cast("string"))).cast(ratings.schema["label"].dataType)
+    label = {"min": least, "max": most, "error": F.when(least == most, least).otherwise(failed)}[tie]
+    out = by.groupBy("item").agg(label.alias("label"), F.max("n").alias("top"), F.sum("n").alias("votes"), F.count("*").alias("labels"))
     return out.select("item", "label", (F.col("top") / F.col("votes")).alias("share"), (F.col("labels") > 1).alias("disagree"))
 
 
+def with_label(rows: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
+    """``rows`` with the label of their key; a key without one fails the query, with its name."""
+    missing = F.raise_error(F.concat(F.lit("no label for "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast(labels.schema[label].dataType)
+    return rows.join(labels.select(key, F.col(label).alias("_label")), key, "left").withColumn(label, F.when(F.col("_label").isNull(), missing).otherwise(F.col("_label"))).drop("_label")
+
+
 def complete(ratings: DataFrame, raters: int) -> DataFrame:
     """Ratings of items that every rater has labelled (the inner merge of the raters' tables)."""
     have = ratings.filter("label is not null").groupBy("item").agg(F.count_distinct("rater").alias("n")).filter(F.col("n") == raters)

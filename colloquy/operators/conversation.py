@@ -51,6 +51,13 @@ def dialogue(log: DataFrame) -> DataFrame:
     return rows.select("conv_id", F.array_join(F.col("lines.line"), "\n").alias("dialogue"))
 
 
+def numbered_dialogue(log: DataFrame) -> DataFrame:
+    """conv_id, dialogue: "n - role : text" lines of all steps in order, numbered from 1."""
+    rows = log.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text")))).alias("steps"))
+    line = lambda s, i: F.concat((i + 1).cast("string"), F.lit(" - "), s["role"], F.lit(" : "), s["text"])
+    return rows.select("conv_id", F.array_join(F.transform("steps", line), "\n").alias("dialogue"))
+
+
 def intent_history(turns: DataFrame) -> DataFrame:
     """conv_id, history: map of T1, T2, ... to the intents of turns that have one."""
     entry = F.when(F.col("intent").isNotNull(), F.struct("turn_idx", F.struct(F.concat(F.lit("T"), F.col("turn_idx") + 1).alias("key"), F.col("intent").alias("value")).alias("e")))

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
+from pyspark.sql.window import Window
 
 #: Rows that are compared in one matrix.
 BLOCK = 256
@@ -178,8 +179,6 @@ def cumulative_fronts(rows: DataFrame, by: str, generation: str, objectives: lis
 
 def front_sizes(members: DataFrame, by: str, generation: str) -> DataFrame:
     """For each generation at which a group's cumulative front changes: rows that enter, rows that leave, and its size."""
-    from pyspark.sql.window import Window
-
     enter = members.groupBy(by, generation).agg(F.count("*").alias("entered"))
     leave = members.filter("left is not null").groupBy(by, F.col("left").alias(generation)).agg(F.count("*").alias("gone"))
     both = enter.join(leave, [by, generation], "full").fillna(0, ["entered", "gone"])
@@ -224,3 +223,30 @@ def normalised_hypervolume(rows: DataFrame, by: str, objectives: list[str], ref:
 
     schema = StructType([rows.schema[by], *StructType.fromDDL("n long, hypervolume double").fields])
     return front(rows, [by], objectives).groupBy(by).applyInArrow(run, schema)
+
+
+def plus_distances(rows: DataFrame, by: str, objectives: list[str], reference: DataFrame, most: int = 100_000) -> DataFrame:
+    """by, gd_plus and igd_plus of each group's front against a reference front, scaled by its least and largest values.
+
+    A point counts only by how much it is worse than a reference point. The reference goes to the tasks; one of over ``most`` rows is an error.
+    """
+    points = [[r[o] for o in objectives] for r in known(reference, objectives).select(*objectives).distinct().limit(most + 1).collect()]
+    if not points or len(points) > most:
+        raise ValueError(f"a reference front has 1 to {most} different points")
+    z = np.array(points, float)
+    z = z[first_front(z)]
+    low, high = z.min(0), z.max(0)
+    size = np.where(high > low, high - low, 1.0)
+    z = (z - low) / size
+
+    def run(table: pa.Table) -> pa.Table:
+        a = points_of(table, objectives)
+        a = (np.unique(a[first_front(a)], axis=0) - low) / size
+        nearest, back = np.full(len(a), np.inf), np.full(len(z), np.inf)
+        for at in range(0, len(z), BLOCK):
+            d = np.sqrt((np.maximum(a[:, None] - z[at : at + BLOCK], 0) ** 2).sum(2))
+            nearest, back[at : at + BLOCK] = np.minimum(nearest, d.min(1)), d.min(0)
+        return pa.table({by: table.column(by).slice(0, 1), "gd_plus": pa.array([nearest.mean()]), "igd_plus": pa.array([back.mean()])})
+
+    schema = StructType([rows.schema[by], *StructType.fromDDL("gd_plus double, igd_plus double").fields])
+    return front(rows, [by], objectives).groupBy(by).applyInArrow(run, schema)

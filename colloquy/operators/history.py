@@ -30,6 +30,12 @@ def running_counts(rows: DataFrame, run: str, order: list[str], failed: str) ->
     return rows.withColumn("critical_ratio", F.col("failures") / F.col("test_size"))
 
 
+def since_start(rows: DataFrame, run: str, ts: str) -> DataFrame:
+    """``rows`` with ``hours`` since the first event of their run."""
+    first = rows.groupBy(run).agg(F.min(ts).alias("_first"))
+    return rows.join(first, run).withColumn("hours", (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_first").cast("timestamp"))) / 3.6e9).drop("_first")
+
+
 def resampled(rows: DataFrame, run: str, ts: str, value: str, unit: str = "hour") -> DataFrame:
     """The value at the first event of each time bucket of a run, with buckets in between interpolated in time."""
     first = rows.groupBy(run, F.date_trunc(unit, ts).alias("bucket")).agg(F.min_by(value, F.struct(ts, value)).alias("value"))

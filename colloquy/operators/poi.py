@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from colloquy.functions import vector
 
@@ -67,14 +71,30 @@ def counted(pois: DataFrame, wants: DataFrame, fields: tuple[str, ...]) -> DataF
 
 
 def existence(pois: DataFrame, wants: DataFrame, k: int = 5) -> DataFrame:
-    """For each of a few wants (want_id, want): how many points match, and the k best rated (least id of equals)."""
-    found = pois.join(F.broadcast(wants), matches(F.col("want")))
-    order = F.sort_array(F.collect_list(F.struct((-F.col("rating")).alias("r"), "id")))
-    # counts and the first k of each partition are merged: no list is longer than k per task
-    from pyspark.sql.window import Window
-
-    top = found.withColumn("place", F.row_number().over(Window.partitionBy("want_id").orderBy(F.desc("rating"), "id"))).filter(F.col("place") <= k)
-    lists = top.groupBy("want_id").agg(order["id"].alias("ids"))
-    n = found.groupBy("want_id").agg(F.count("*").alias("n"))
-    out = wants.select("want_id").join(n, "want_id", "left").join(lists, "want_id", "left")
+    """For each of a few wants (want_id, want): how many points match, and the k best rated (unrated ones last, least id of equals).
+
+    Points meet the wants once; each task sends on a count and at most k points of a want.
+    """
+    found = pois.join(F.broadcast(wants), matches(F.col("want"))).select("want_id", F.coalesce(F.col("rating").cast("double"), F.lit(float("-inf"))).alias("rating"), "id")
+    key, number = wants.schema["want_id"], pois.schema["id"]
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            table = pa.Table.from_batches([batch]).sort_by([("want_id", "ascending"), ("rating", "descending"), ("id", "ascending")])
+            wanted = table.column("want_id").to_numpy()
+            cuts = [*np.flatnonzero(np.append(True, wanted[1:] != wanted[:-1])).tolist(), len(wanted)] if len(wanted) else []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                n, top = held.get(wanted[a], (0, []))
+                rows = table.slice(a, min(k, b - a))
+                top = sorted([*top, *zip(rows.column("rating").to_pylist(), rows.column("id").to_pylist())], key=lambda r: (-r[0], r[1]))[:k]
+                held[wanted[a]] = (n + b - a, top)
+        for want, (n, top) in held.items():
+            columns = ([want] * len(top), [n] + [0] * (len(top) - 1), *map(list, zip(*top)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.schema.field("want_id").type, pa.int64(), pa.float64(), batch.schema.field("id").type), strict=True)], ["want_id", "n", "rating", "id"])
+
+    parts = found.mapInArrow(best, StructType([key, StructField("n", LongType()), StructField("rating", DoubleType()), number]))
+    ordered = F.sort_array(F.collect_list(F.struct((-F.col("rating")).alias("r"), F.col("id"))))
+    merged = parts.groupBy("want_id").agg(F.sum("n").alias("n"), F.slice(ordered, 1, k)["id"].alias("ids"))
+    out = wants.select("want_id").join(merged, "want_id", "left")
     return out.select("want_id", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) > 0).alias("poi_exists"), F.coalesce(F.array_join(F.transform("ids", lambda x: x.cast("string")), ","), F.lit("")).alias("ids"))

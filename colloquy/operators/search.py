@@ -23,10 +23,19 @@ def constrained(rows: DataFrame, kind: str, fields: list[str], allowed: dict[str
     return rows.withColumns(out)
 
 
-def uncovered_pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """Pairs of values of two features (each of a few values) that no row has."""
-    left, right = rows.select(a).distinct(), rows.select(b).distinct()
-    return left.join(F.broadcast(right)).join(rows.select(a, b).distinct(), [a, b], "left_anti")
+def uncovered_pairs(rows: DataFrame, a: str, b: str, most: int = 10_000) -> DataFrame:
+    """Pairs of values of two features that no row has; nulls are no values. The second feature has at most ``most`` values, else the query fails.
+
+    Each value of the first feature has the set of values that it is seen with; what is missing from all of them leaves as rows.
+    """
+    known = rows.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    every = rows.agg(F.collect_set(b).alias("_all"))
+    every = every.select(F.when(F.size("_all") <= most, F.col("_all")).otherwise(F.raise_error(F.lit(f"{b} has over {most} values")).cast(every.schema["_all"].dataType)).alias("_all"))
+    seen = known.groupBy(a).agg(F.collect_set(b).alias("_seen"))
+    lone = rows.filter(F.col(a).isNotNull()).select(a).distinct()
+    # the side that is sent is one row
+    both = lone.join(seen, a, "left").join(F.broadcast(every))
+    return both.select(a, F.explode(F.array_except("_all", F.coalesce("_seen", F.array().cast(every.schema["_all"].dataType)))).alias(b))
 
 
 def grid(spark: SparkSession, bounds: dict[str, tuple[float, float]], n: int) -> DataFrame:
@@ -36,6 +45,19 @@ def grid(spark: SparkSession, bounds: dict[str, tuple[float, float]], n: int) ->
     return rows.select(*((F.lit(low) + at(i) * F.lit((high - low) / (n - 1))).alias(axis) for i, (axis, (low, high)) in enumerate(bounds.items())))
 
 
+def grid_between(rows: DataFrame, by: str, columns: list[str], n: int) -> DataFrame:
+    """Points at n (two or more) even steps between the least and the largest value of each column in each group, with their number: the digits of it are the steps."""
+    ends = rows.groupBy(by).agg(*(F.struct(F.min(c).cast("double").alias("low"), F.max(c).cast("double").alias("high")).alias(c) for c in columns))
+    each = ends.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(n ** len(columns) - 1))))
+    step = lambda i: F.pmod(F.floor(F.col("point") / n**i), F.lit(n))
+    return each.select(by, "point", *((F.col(f"{c}.low") + step(i) * (F.col(f"{c}.high") - F.col(f"{c}.low")) / (n - 1)).alias(c) for i, c in enumerate(columns)))
+
+
+def reference_set(points: DataFrame, critical: Column) -> DataFrame:
+    """The critical ones of grid points: what a search is held against."""
+    return points.filter(F.coalesce(critical, F.lit(False)))
+
+
 def tournament(rows: DataFrame, group: str, key: str, rank: str, crowding: str) -> DataFrame:
     """Neighbours in a keyed shuffle of each group meet in pairs; the better rank wins, then the larger crowding, then the lesser key."""
     order = Window.partitionBy(group).orderBy(features.keyed_uniform(F.lit("t"), F.col(key).cast("string")), key)
@@ -44,6 +66,28 @@ def tournament(rows: DataFrame, group: str, key: str, rank: str, crowding: str)
     return paired.groupBy(group, "match").agg(F.max_by(key, better).alias("winner"))
 
 
+def constrained_tournament(rows: DataFrame, group: str, key: str, violation: str, objectives: list[str], rank: str, crowding: str, how: str = "rank") -> DataFrame:
+    """group, match, winner: neighbours in a keyed shuffle meet in pairs; one without an opponent wins.
+
+    If either breaks a constraint, the smaller violation wins. Else by ``how``: rank (the lesser rank) or dominance (the one whose
+    objectives, all minimised, beat the other's); then the larger crowding; then, and between equal violations, a keyed draw.
+    """
+    if how not in ("rank", "dominance"):
+        raise ValueError(f"tournaments go by rank or dominance, not {how}")
+    draw = features.keyed_uniform(F.lit("t"), F.col(key).cast("string"))
+    paired = rows.withColumn("match", F.floor((F.row_number().over(Window.partitionBy(group).orderBy(draw, key)) - 1) / 2))
+    one = F.struct(features.keyed_uniform(F.lit("w"), F.col(key).cast("string")).alias("u"), F.col(key).alias("k"), F.col(violation).alias("v"), F.col(rank).alias("r"), F.col(crowding).alias("c"), F.array(*(F.col(o).cast("double") for o in objectives)).alias("f"))
+    # in order of their draws, so that a wins what nothing else decides
+    both = paired.groupBy(group, "match").agg(F.sort_array(F.collect_list(one)).alias("p")).withColumns({"a": F.get("p", F.lit(0)), "b": F.get("p", F.lit(1))})
+    a, b = F.col("a"), F.col("b")
+    beats = lambda x, y: F.forall(F.zip_with(x["f"], y["f"], lambda p, q: p <= q), lambda t: t) & F.exists(F.zip_with(x["f"], y["f"], lambda p, q: p < q), lambda t: t)
+    first = F.when(a["r"] < b["r"], a["k"]).when(b["r"] < a["r"], b["k"]) if how == "rank" else F.when(beats(a, b), a["k"]).when(beats(b, a), b["k"])
+    crowded = F.when(b["c"] > a["c"], b["k"]).otherwise(a["k"])
+    broken = (a["v"] > 0) | (b["v"] > 0)
+    winner = F.when(b.isNull(), a["k"]).when(broken, F.when(b["v"] < a["v"], b["k"]).otherwise(a["k"])).otherwise(F.coalesce(first, crowded))
+    return both.select(group, "match", winner.alias("winner"))
+
+
 def allowed_intents(turns: DataFrame, max_repeats: int = 2) -> Column:
     """Ordered rules on columns turn_idx, intent, before, repeats, confirmed; one label for the next intent."""
     return (

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from colloquy.functions import features
+from colloquy.operators import conversation as C
 from colloquy.operators import fronts, medoids, variables
+from colloquy.operators import history as H
+from colloquy.operators import search as S
 
-from .metrics import points, r6
+from .history import T, tests
+from .metrics import r6
 
 
 def table(spark, sf_dir, name):
@@ -108,7 +112,29 @@ def covering_pairs(spark, sf_dir):
     return rows.select("p_brand", "row", F.array_join("choice", "/").alias("choice"))
 
 
-QUERIES = {f.__name__: f for f in (cumulative_front, front_growth, global_front, hypervolume3, medoid_clusters, farthest_vectors, value_combinations, dependency_levels, covering_pairs)}
+def plus_distances(spark, sf_dir):
+    """Distances of each supplier's front to the front of all lines, of three objectives, counting only what is worse."""
+    rows = yearly(spark, sf_dir)
+    return r6(fronts.plus_distances(rows, "g", ["x", "y", "z"], fronts.front(rows, [], ["x", "y", "z"])), "gd_plus", "igd_plus")
+
+
+def constrained_tournament(spark, sf_dir):
+    """Winners among the parts of each brand: large ones break a constraint, others meet by dominance."""
+    size, price = F.col("p_size"), F.col("p_retailprice")
+    rows = table(spark, sf_dir, "part").withColumns({"over": F.greatest(size - 40, F.lit(0)), "crowd": price % 7, "x": size % 5, "y": F.floor(price / 200), "rank": size % 3})
+    return S.constrained_tournament(rows, "p_brand", "p_partkey", "over", ["x", "y"], "rank", "crowd", "dominance")
+
+
+def start_hours(spark, sf_dir):
+    """Hours since the first event of each event's run."""
+    return r6(H.since_start(tests(spark, sf_dir), "run", "ts").select("event_id", "hours"), "hours")
+
+
+def numbered_dialogues(spark, sf_dir):
+    return C.numbered_dialogue(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (cumulative_front, front_growth, global_front, hypervolume3, medoid_clusters, farthest_vectors, value_combinations, dependency_levels, covering_pairs, plus_distances, constrained_tournament, start_hours, numbered_dialogues)}
 
 L = "WITH l AS (SELECT l_suppkey AS g, year(CAST(l_shipdate AS DATE)) AS gen, l_orderkey AS id, l_linenumber AS line, l_quantity / 100 AS x, l_discount AS y, l_tax AS z FROM lineitem),\n"
 PRIOR = "(q.x <= p.x AND q.y <= p.y AND q.z <= p.z AND (q.x < p.x OR q.y < p.y OR q.z < p.z))"
@@ -143,6 +169,19 @@ d0 AS (SELECT v.*, {FAR.format(a="v", b="p0")} AS d FROM v JOIN p0 USING (label)
 d1 AS (SELECT d0.* REPLACE (least(d0.d, {FAR.format(a="d0", b="p1")}) AS d) FROM d0 JOIN p1 USING (label)), p2 AS (SELECT * FROM d1 QUALIFY row_number() OVER (PARTITION BY label ORDER BY d DESC, vec_id) = 1),
 d2 AS (SELECT d1.* REPLACE (least(d1.d, {FAR.format(a="d1", b="p2")}) AS d) FROM d1 JOIN p2 USING (label)), p3 AS (SELECT * FROM d2 QUALIFY row_number() OVER (PARTITION BY label ORDER BY d DESC, vec_id) = 1)
 SELECT label, 0 AS place, vec_id FROM p0 UNION ALL SELECT label, 1, vec_id FROM p1 WHERE d > 0 UNION ALL SELECT label, 2, vec_id FROM p2 WHERE d > 0 UNION ALL SELECT label, 3, vec_id FROM p3 WHERE d > 0""",
+    "plus_distances": L
+    + f"""d AS (SELECT DISTINCT g, x, y, z FROM l), f AS (SELECT * FROM d p WHERE NOT EXISTS (SELECT 1 FROM d q WHERE q.g = p.g AND {PRIOR})), a AS (SELECT DISTINCT x, y, z FROM f p WHERE NOT EXISTS (SELECT 1 FROM f q WHERE {PRIOR})),
+s AS (SELECT min(x) AS a, max(x) AS b, min(y) AS c, max(y) AS d, min(z) AS e, max(z) AS f FROM a),
+m AS (SELECT p.g, p.x, p.y, p.z, q.x AS qx, q.y AS qy, q.z AS qz, sqrt(greatest(p.x - q.x, 0) ** 2 / CASE WHEN b > a THEN (b - a) ** 2 ELSE 1 END + greatest(p.y - q.y, 0) ** 2 / CASE WHEN d > c THEN (d - c) ** 2 ELSE 1 END + greatest(p.z - q.z, 0) ** 2 / CASE WHEN s.f > e THEN (s.f - e) ** 2 ELSE 1 END) AS w FROM f p, a q, s),
+u AS (SELECT g, avg(w) AS gd FROM (SELECT g, min(w) AS w FROM m GROUP BY g, x, y, z) GROUP BY g), v AS (SELECT g, avg(w) AS igd FROM (SELECT g, min(w) AS w FROM m GROUP BY g, qx, qy, qz) GROUP BY g)
+SELECT g, round(gd, 6) AS gd_plus, round(igd, 6) AS igd_plus FROM u JOIN v USING (g)""",
+    "constrained_tournament": """
+WITH p AS (SELECT p_brand AS b, p_partkey AS k, greatest(p_size - 40, 0) AS v, p_retailprice % 7 AS c, p_size % 5 AS x, floor(p_retailprice / 200) AS y, ('0x' || substr(md5('t:' || p_partkey), 1, 8))::UBIGINT AS t, ('0x' || substr(md5('w:' || p_partkey), 1, 8))::UBIGINT AS u FROM part),
+o AS (SELECT *, (row_number() OVER (PARTITION BY b ORDER BY t, k) - 1) // 2 AS m FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY b, m ORDER BY u, k) AS i FROM o)
+SELECT a.b AS p_brand, a.m AS match, CASE WHEN z.k IS NULL THEN a.k WHEN a.v > 0 OR z.v > 0 THEN CASE WHEN z.v < a.v THEN z.k ELSE a.k END WHEN a.x <= z.x AND a.y <= z.y AND (a.x < z.x OR a.y < z.y) THEN a.k WHEN z.x <= a.x AND z.y <= a.y AND (z.x < a.x OR z.y < a.y) THEN z.k WHEN z.c > a.c THEN z.k ELSE a.k END AS winner
+FROM (SELECT * FROM r WHERE i = 1) a LEFT JOIN (SELECT * FROM r WHERE i = 2) z ON a.b = z.b AND a.m = z.m""",
+    "start_hours": T + "SELECT event_id, round((epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY run)) / 3.6e9, 6) AS hours FROM t",
+    "numbered_dialogues": "SELECT conv_id, string_agg(n || ' - ' || role || ' : ' || coalesce(text, ''), chr(10) ORDER BY n) AS dialogue FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) GROUP BY conv_id",
     "value_combinations": """
 WITH c AS (SELECT c_custkey, c_custkey AS n, ['small', 'medium', 'large'] AS s, ['olives', 'ham', 'onion', 'corn'] AS t, ['water', 'juice'] AS d FROM customer)
 SELECT c_custkey, s[CAST(n // 8 % 3 AS INTEGER) + 1] || '/' || t[CAST(n // 2 % 4 AS INTEGER) + 1] || '/' || d[CAST(n % 2 AS INTEGER) + 1] AS "order",

@@ -51,9 +51,9 @@ def utterance_distances(spark, sf_dir):
 
 
 def grid_points(spark, sf_dir):
-    """A grid of four points on each of three axes, and which of them are critical."""
-    grid = S.grid(spark, {"x": (0.0, 1.0), "y": (-1.0, 2.0), "z": (10.0, 40.0)}, 4)
-    return r6(grid.withColumn("critical", (F.col("x") > 0.3) & (F.col("y") <= 0.0)), "x", "y", "z")
+    """A grid of four sizes and prices between those of each brand's parts, and of it the points that are critical: large and cheap."""
+    grid = S.grid_between(table(spark, sf_dir, "part"), "p_brand", ["p_size", "p_retailprice"], 4)
+    return r6(S.reference_set(grid, (F.col("p_size") > 20) & (F.col("p_retailprice") < 1500)), "p_size", "p_retailprice")
 
 
 def algorithm_table(spark, sf_dir):
@@ -83,7 +83,10 @@ SELECT c_custkey, round(least(greatest(x + CASE WHEN u <= 0.5 THEN (2 * u + (1 -
     "utterance_distances": f"""
 WITH r AS (SELECT c_custkey, sqrt(((c_acctbal + 1000) / 11000 - {U.format("b")}) ** 2 + (0.5 - {U.format("d")}) ** 2) AS e, CAST(c_mktsegment <> 'BUILDING' AS INTEGER) AS m, CASE WHEN c_custkey % 3 = 0 THEN {U.format("q")} ELSE 0 END AS q FROM customer)
 SELECT c_custkey, round((1 - q) / 2, 6) AS question, 0.5::DOUBLE AS answer, round(e / 2, 6) AS ordinal, round(m / 2, 6) AS categorical, round((e + m) / 4, 6) AS combined FROM r""",
-    "grid_points": "SELECT round(i / 3, 6) AS x, round(-1 + j::DOUBLE, 6) AS y, round(10 + 10.0::DOUBLE * k, 6) AS z, i / 3 > 0.3 AND -1 + j <= 0 AS critical FROM range(0, 4) a(i), range(0, 4) b(j), range(0, 4) c(k)",
+    "grid_points": """
+WITH e AS (SELECT p_brand, min(p_size) AS a, max(p_size) AS b, min(p_retailprice) AS c, max(p_retailprice) AS d FROM part GROUP BY p_brand),
+g AS (SELECT p_brand, CAST(i AS INTEGER) AS point, a + (i % 4) * (b - a) / 3.0 AS p_size, c + (i // 4) * (d - c) / 3.0 AS p_retailprice FROM e, range(0, 16) r(i))
+SELECT p_brand, point, round(p_size, 6) AS p_size, round(p_retailprice, 6) AS p_retailprice FROM g WHERE p_size > 20 AND p_retailprice < 1500""",
     "algorithm_table": """
 WITH t AS (SELECT user_id % 6 AS run, event_type = 'error' OR value > 400 AS failed, event_type, user_id, day(ts) AS gen FROM events WHERE user_id % 6 <> 5),
 r AS (SELECT run % 2 AS algo, run, count(*) AS n, count_if(failed) AS f, count(DISTINCT (event_type, user_id, gen)) FILTER (failed) AS d FROM t GROUP BY run)

@@ -175,3 +175,33 @@ def rules(spark: SparkSession, path: str) -> list:
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.y*ml").load(path)
     return [file_rule(rule_fields(bytes(r.content).decode("utf-8", "replace"))) for r in files.select("path", "content").orderBy("path").collect()]
+
+
+def comparison_csv(spark: SparkSession, path: str, metric: str) -> DataFrame:
+    """algorithm, n, mean and sigma of a table of curves side by side, whose columns are <name>_n_evals, <name>_<metric> and <name>_<metric>_sigma."""
+    rows = spark.read.option("header", True).csv(path)
+    names = [c.removesuffix("_n_evals") for c in rows.columns if c.endswith("_n_evals")]
+    number = lambda c: F.col(f"`{c}`").try_cast("double")
+    each = [F.struct(F.lit(a).alias("algorithm"), number(f"{a}_n_evals").cast("long").alias("n"), number(f"{a}_{metric}").alias("mean"), number(f"{a}_{metric}_sigma").alias("sigma")) for a in names]
+    if not each:
+        raise ValueError(f"{path} has no <name>_n_evals columns")
+    return rows.select(F.inline(F.array(*each))).filter("n is not null")
+
+
+def majority_labels(spark: SparkSession, path: str, label: str) -> DataFrame:
+    """conversation (name of the file, without folders) and label of a CSV of majority votes; rows without either are left out, of a name that stands twice the larger label stays."""
+    rows = spark.read.option("header", True).csv(path)
+    name = F.element_at(F.split(F.translate("conversation_id", "\\", "/"), "/"), -1)
+    found = rows.select(name.alias("conversation"), F.col(label).try_cast("int").alias("label"))
+    return found.dropna().groupBy("conversation").agg(F.max("label").alias("label"))
+
+
+def utterance_corpus(spark: SparkSession, csv: str, column: str, seeds: str | None = None, most: int | None = None) -> DataFrame:
+    """text and source of the non-empty utterances of a CSV column (``most`` of them, in order of their hashes), and of a JSON file of seeds, a list of texts."""
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(csv).select(F.col(column).alias("text"), F.lit("corpus").alias("source")).filter("text is not null")
+    if most is not None:
+        rows = rows.orderBy(F.xxhash64("text"), "text").limit(most)
+    if seeds is None:
+        return rows
+    listed = spark.read.text(seeds, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("text"), F.lit("seed").alias("source"))
+    return rows.unionByName(listed.filter("text is not null"))

@@ -46,3 +46,31 @@ def without_nan(rows: DataFrame) -> DataFrame:
     """NaN and infinite doubles as null, for JSON."""
     bad = lambda c: F.isnan(c) | (F.abs(F.col(c)) == float("inf"))
     return rows.withColumns({c: F.when(~bad(c), F.col(c)) for c, t in rows.dtypes if t in ("double", "float")})
+
+
+def comparison_csv(curves: DataFrame, path: str, algorithm: str, metric: str) -> None:
+    """Curves of a handful of algorithms side by side: <name>_n_evals, <name>_<metric> and <name>_<metric>_sigma of each, a row a point of the grid."""
+    names = sorted(r[0] for r in curves.select(algorithm).distinct().collect())
+    wide = curves.groupBy("n").pivot(algorithm, names).agg(F.first("mean").alias("mean"), F.first("sigma").alias("sigma"))
+    columns = [c for a in names for c in (F.col("n").alias(f"{a}_n_evals"), F.col(f"`{a}_mean`").alias(f"{a}_{metric}"), F.col(f"`{a}_sigma`").alias(f"{a}_{metric}_sigma"))]
+    wide.orderBy("n").select(*columns).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def rule_csv(statistics: DataFrame, path: str) -> None:
+    """rule, checks, pass, fail, not_applicable and fail_rate of each rule (a row a rule)."""
+    names = {"passed": "pass", "failed": "fail", "na": "not_applicable"}
+    rows = statistics.withColumnsRenamed(names).select("rule", "checks", "pass", "fail", "not_applicable", "fail_rate")
+    rows.orderBy("rule").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def judge_report(scores: DataFrame, items: DataFrame, path: str, metadata: dict[str, str]) -> None:
+    """A report folder: the judged items as JSON lines (results), the aggregate rows (metrics) and what describes the run (metadata)."""
+    items.write.mode("overwrite").json(f"{path}/results")
+    scores.coalesce(1).write.mode("overwrite").json(f"{path}/metrics")
+    described = F.create_map(*(F.lit(x) for kv in sorted(metadata.items()) for x in kv)) if metadata else F.create_map().cast("map<string,string>")
+    scores.sparkSession.range(1).select(described.alias("metadata")).coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
+
+
+def round_trip(rows: DataFrame, value: str) -> DataFrame:
+    """``rows`` with the struct column ``value`` written as JSON and read again by its own type."""
+    return rows.withColumn(value, F.from_json(F.to_json(value), rows.schema[value].dataType))

@@ -210,3 +210,76 @@ def test_covering_query_and_sample(spark):
     many = variables.covering_sample(domains, "p_brand", "feature", "values", n=100, strength=1).groupBy("p_brand", "choice").count().groupBy("p_brand").agg(F.max("count").alias("a"), F.min("count").alias("b")).collect()
     assert all(r.a - r.b <= 1 for r in many)
     assert variables.least_strength([3, 3], 8) == 2 and variables.least_strength([3, 3], 2) == 1
+
+
+def test_plus_distances_and_bounds(spark):
+    df = spark.createDataFrame([(1, 0.0, 4.0), (1, 4.0, 0.0), (1, 4.0, 4.0), (2, 2.0, 4.0), (3, None, 1.0)], "g long, x double, y double")
+    ref = spark.createDataFrame([(0.0, 4.0), (2.0, 2.0), (4.0, 0.0), (3.0, 3.0)], "x double, y double")
+    got = {r.g: (r.gd_plus, r.igd_plus) for r in fronts.plus_distances(df, "g", ["x", "y"], ref).collect()}
+    assert got == {1: (0.0, pytest.approx(0.5 / 3)), 2: (0.5, pytest.approx((0.5 + 0.5 + 1.0) / 3))}
+    with pytest.raises(ValueError, match="different points"):
+        fronts.plus_distances(df, "g", ["x", "y"], ref, most=2)
+
+
+def test_ties_and_missing_labels_fail(spark):
+    from colloquy.operators import agreement as A
+
+    votes = spark.createDataFrame([(1, 0, 2), (1, 1, 2), (1, 2, 0), (2, 0, 1), (2, 1, 1)], "item int, rater int, label int")
+    assert sorted((r.item, r.label) for r in A.majority(votes, "error").collect()) == [(1, 2), (2, 1)]
+    tied = votes.unionByName(spark.createDataFrame([(3, 0, 1), (3, 1, 0)], votes.schema))
+    assert {r.item: r.label for r in A.majority(tied, "max").collect()}[3] == 1 and {r.item: r.label for r in A.majority(tied).collect()}[3] == 0
+    with pytest.raises(Exception, match="tie in the votes on item 3"):
+        A.majority(tied, "error").collect()
+    with pytest.raises(ValueError, match="min, max or error"):
+        A.majority(tied, "first")
+    rows, labels = spark.createDataFrame([(1,), (2,)], "item int"), spark.createDataFrame([(1, 5), (2, 6), (9, 7)], "item int, label int")
+    assert sorted(tuple(r) for r in A.with_label(rows, labels, "item", "label").collect()) == [(1, 5), (2, 6)]
+    with pytest.raises(Exception, match="no label for 2"):
+        A.with_label(rows, labels.filter("item <> 2"), "item", "label").collect()
+
+
+def test_tournament_by_rank_and_odd_one_out(spark):
+    from colloquy.operators import search as S
+
+    rows = spark.createDataFrame([("g", i, 0.0, 1.0, i % 2, 0.5) for i in range(5)], "g string, k long, v double, x double, r long, c double")
+    won = S.constrained_tournament(rows, "g", "k", "v", ["x"], "r", "c").collect()
+    assert len(won) == 3 and sum(r.winner % 2 == 0 for r in won) >= 2
+    with pytest.raises(ValueError, match="rank or dominance"):
+        S.constrained_tournament(rows, "g", "k", "v", ["x"], "r", "c", "luck")
+
+
+def test_uncovered_pairs_and_too_many_values(spark):
+    from colloquy.operators import search as S
+
+    df = spark.createDataFrame([("x", 1), ("x", 2), ("y", 1), ("z", None), (None, 3)], "a string, b int")
+    assert sorted(tuple(r) for r in S.uncovered_pairs(df, "a", "b").collect()) == [("x", 3), ("y", 2), ("y", 3), ("z", 1), ("z", 2), ("z", 3)]
+    assert S.uncovered_pairs(df.limit(0), "a", "b").count() == 0
+    with pytest.raises(Exception, match="over 2 values"):
+        S.uncovered_pairs(df, "a", "b", most=2).collect()
+
+
+def test_grid_between(spark):
+    from colloquy.operators import search as S
+
+    df = spark.createDataFrame([("g", 0.0, 5.0), ("g", 2.0, 5.0), ("h", 1.0, 1.0)], "g string, x double, y double")
+    rows = S.grid_between(df, "g", ["x", "y"], 3).collect()
+    assert sorted((r.x, r.y) for r in rows if r.g == "g") == [(x, 5.0) for x in (0.0, 1.0, 2.0) for _ in range(3)] and len(rows) == 18
+    assert {(r.x, r.y) for r in rows if r.g == "h"} == {(1.0, 1.0)}
+
+
+def test_existence_of_places(spark):
+    from colloquy.operators import poi
+
+    rng = np.random.default_rng(0)
+    rows = [(i, ("thai", "greek", "cafe")[i % 3], None if i % 11 == 0 else float(rng.integers(0, 4))) for i in range(300)]
+    pois = spark.createDataFrame([(i, c, "", r, "$", True, 0.0, 0.0, None, None) for i, c, r in rows], "id long, category string, name string, rating double, price_level string, parking boolean, lat double, lng double, opens string, closes string").repartition(5)
+    empty = (None,) * 7
+    wants = spark.createDataFrame([(1, ("thai", *empty)), (2, ("zz", *empty)), (3, (None, None, 3.0, *empty[:5]))], "want_id int, want struct<category:string,price_level:string,rating:double,parking:boolean,lat:double,lng:double,radius_km:double,now:string>")
+    got = {r.want_id: (r.n, r.poi_exists, r.ids) for r in poi.existence(pois, wants).collect()}
+
+    def best(match):
+        found = sorted((x for x in rows if match(x)), key=lambda x: (-(x[2] if x[2] is not None else -np.inf), x[0]))
+        return len(found), bool(found), ",".join(str(x[0]) for x in found[:5])
+
+    assert got[1] == best(lambda x: x[1] == "thai") and got[2] == (0, False, "")
+    assert got[3][2].split(",") and got[3][0] == sum(x[2] is not None and x[2] >= 3.0 for x in rows)
