@@ -49,7 +49,7 @@ BASE = 0x9E3779B97F4A7C15
 RANGE_BYTES, RANGE_SUFFIXES = 32 << 20, 3 << 20
 #: Ranges are resolved in so many turns, so that only a part of the requests is shuffled at a time.
 TURNS = 2
-#: Rows of 16 keys each that bound the ranges (at most about four times as many go to the driver).
+#: Rows of 16 keys each that bound the ranges: so many, or a quarter of the ranges if that is more (about four times as many go to the driver).
 BOUNDS = 2048
 #: Rows between steps: what a block keeps, its runs of bytes in play, its sample of keys, or (bucket 0 and on) requests or replies of a range.
 ROWS = "block long, bucket int, n long, data binary"
@@ -608,8 +608,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     discard(*old)
 
     in_play = play.agg(F.sum("n")).first()[0] or 0
-    some = grouped_rows([unpack(r.data)[0] for r in lowest(kept(play, SAMPLES).select("block", "data"), "block", k=BOUNDS)])
     ranges = max(n_partitions(spark), -(-in_play // RANGE_SUFFIXES))
+    some = grouped_rows([unpack(r.data)[0] for r in lowest(kept(play, SAMPLES).select("block", "data"), "block", k=max(BOUNDS, ranges // 4))])
     bounds = some[np.unique(np.arange(1, ranges) * len(some) // ranges)] if len(some) else some
     rows, old = stepped(play.filter(F.col("bucket") != SAMPLES), [], ask_words(bounds, length), ranked_keys)
     for level in range(1, len(reach(length))):

@@ -8,7 +8,8 @@ into paged M-trees: a page has a centre, a covering radius and its distance to t
 centre; leaf entries have theirs to the leaf's centre. Queries are packed in blocks of ``BLOCK``;
 each meets each tree. A query always opens its pending page of the least lower bound and ends when
 that is beyond its k-th distance; entries that |d(q, parent) - d(parent, entry)| already rules out
-are never compared. Its first k-th score comes from the bounded sample, so far trees end at the root.
+are never compared. Its first k-th score comes from the bounded sample, so far trees end at the root. A block of queries is some MB and
+searched ``STEP`` queries at a time, so the trees are sent once for ``BLOCK`` queries.
 
 Every score is an exact whole number; bounds leave room for rounding and never cut ties.
 
@@ -38,7 +39,7 @@ SAMPLE = 1024
 TREE = 8192
 PAGE = 512
 FANOUT = 16
-BLOCK = 1024
+BLOCK, STEP = 16384, 1024
 LEAST, NO_ID = -(2**63), 2**63 - 1
 
 
@@ -225,8 +226,10 @@ def pack_queries(sample_ids: np.ndarray, sample: np.ndarray, k: int):
         rows = [r for batch in batches for r in batch.to_pylist()]
         ids, queries = np.array([r["vec_id"] for r in rows], np.int64), matrix([r["vec"] for r in rows])
         floor = np.full(len(ids), LEAST, np.int64)
-        if len(sample_ids) > k and rows:
-            floor = np.partition(np.where(ids[:, None] != sample_ids, products(queries, sample), LEAST), -k, 1)[:, -k]
+        if len(sample_ids) > k:
+            for at in range(0, len(ids), STEP):
+                own = slice(at, at + STEP)
+                floor[own] = np.partition(np.where(ids[own, None] != sample_ids, products(queries[own], sample), LEAST), -k, 1)[:, -k]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([pack(ids, queries, floor)], pa.binary())], ["block", "queries"])
 
@@ -239,10 +242,12 @@ def search_pairs(k: int):
         for data in trees["tree"].to_pylist():
             (tree,) = unpack(data)
             for packed in blocks["queries"].to_pylist():
-                ids, queries, floor = unpack(packed)
-                scores, found, _ = tree.search(ids, queries, floor, k)
-                q, r = np.nonzero((found != NO_ID) & (scores >= floor[:, None]))
-                out.append((ids[q], found[q, r], scores[q, r]))
+                every = unpack(packed)
+                for at in range(0, len(every[0]), STEP):
+                    ids, queries, floor = (x[at : at + STEP] for x in every)
+                    scores, found, _ = tree.search(ids, queries, floor, k)
+                    q, r = np.nonzero((found != NO_ID) & (scores >= floor[:, None]))
+                    out.append((ids[q], found[q, r], scores[q, r]))
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
         return pa.table(dict(zip(("query_id", "vec_id", "score"), (pa.array(c, pa.int64()) for c in columns), strict=True)))
 
