@@ -45,7 +45,7 @@ def global_front(spark, sf_dir):
 
 def hypervolume3(spark, sf_dir):
     """Volume of three objectives that each supplier's front beats, scaled by the front's ends."""
-    return r6(fronts.normalised_hypervolume(yearly(spark, sf_dir), "g", ["x", "y", "z"]), "hypervolume")
+    return fronts.normalised_hypervolume(yearly(spark, sf_dir), "g", ["x", "y", "z"]).withColumn("hypervolume", F.round("hypervolume", 9))
 
 
 def profiles(spark, sf_dir):
@@ -161,7 +161,7 @@ ux AS (SELECT g, x, lead(x, 1, 1.01::DOUBLE) OVER (PARTITION BY g ORDER BY x) -
 uy AS (SELECT g, y, lead(y, 1, 1.01::DOUBLE) OVER (PARTITION BY g ORDER BY y) - y AS w FROM (SELECT DISTINCT g, y FROM u)),
 uz AS (SELECT g, z, lead(z, 1, 1.01::DOUBLE) OVER (PARTITION BY g ORDER BY z) - z AS w FROM (SELECT DISTINCT g, z FROM u)),
 v AS (SELECT ux.g, sum(ux.w * uy.w * uz.w) AS v FROM ux JOIN uy USING (g) JOIN uz USING (g) WHERE EXISTS (SELECT 1 FROM u WHERE u.g = ux.g AND u.x <= ux.x AND u.y <= uy.y AND u.z <= uz.z) GROUP BY ux.g)
-SELECT g, n, round(v, 6) AS hypervolume FROM c JOIN v USING (g)""",
+SELECT g, n, round(v, 9) AS hypervolume FROM c JOIN v USING (g)""",
     "farthest_vectors": f"""
 WITH v AS (SELECT label, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS vec FROM embeddings WHERE vec_id IS NOT NULL),
 p0 AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1),
