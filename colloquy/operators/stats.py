@@ -65,9 +65,10 @@ def signed_rank(pairs: DataFrame, by: list[str]) -> DataFrame:
         F.sum("t").alias("n"),
         F.sum(F.col("rank") * F.col("up")).alias("plus"),
         F.sum(F.col("rank") * (t - F.col("up"))).alias("minus"),
-        F.sum(t.cast("double") * (t * t - 1)).alias("ties"),
+        F.sum(t.cast("double") * (t.cast("double") * t - 1)).alias("ties"),
     )
-    n, w = F.col("n"), F.least("plus", "minus")
+    # as double: the third power of two million is no long any more
+    n, w = F.col("n").cast("double"), F.least("plus", "minus")
     z = (w - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
     return two_sided(out.select(*by, "n", w.alias("w"), z.alias("z")))
 

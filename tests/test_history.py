@@ -7,6 +7,8 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from colloquy.operators import history, stats
 
 START = datetime.datetime(2024, 1, 1)
@@ -74,3 +76,14 @@ def test_signed_rank_with_ties(spark):
         z = (w - n * (n + 1) / 4) / math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)
         assert (got[g].n, got[g].w) == (n, w)
         assert (got[g].z, got[g].p) == (pytest.approx(z), pytest.approx(math.erfc(abs(z) / math.sqrt(2))))
+
+
+def test_signed_rank_of_millions(spark):
+    # n * (n + 1) * (2 * n + 1) is no long from 1.7 million differences on
+    n = 1_800_000
+    pairs = spark.range(n).select(F.lit("a").alias("g"), F.when(F.col("id") % 3 == 0, -1.0).otherwise(2.0).alias("x"), F.lit(0.0).alias("y"))
+    (got,) = stats.signed_rank(pairs, ["g"]).collect()
+    low = n // 3
+    w, ties = low * (low + 1) / 2, low**3 - low + (n - low) ** 3 - (n - low)
+    assert (got.n, got.w) == (n, w)
+    assert got.z == pytest.approx((w - n * (n + 1) / 4) / math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48))
