@@ -6,7 +6,7 @@ read (``reduced``) and only rows of small fronts move. Equal rows stay; rows wit
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,8 @@ from pyspark.sql.window import Window
 
 #: Rows that are compared in one matrix.
 BLOCK = 256
+#: Groups of at most so many rows are compared pair by pair, those of a batch at once.
+SMALL = 64
 
 
 def beaten(points: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -32,19 +34,68 @@ def beaten(points: np.ndarray, others: np.ndarray) -> np.ndarray:
 
 
 def first_front(points: np.ndarray) -> np.ndarray:
-    """Mask of the points that none beats: in order of their sums, each block is held against the front so far."""
-    order = np.argsort(points.sum(1), kind="stable")
-    kept: list[np.ndarray] = []
+    """Mask of the points that none beats. Equal points are compared once, and in order of their coordinates only earlier ones beat a point."""
+    order = np.lexsort(points.T[::-1])
+    new = changes(points[order])
+    some = points[order[new]]
+    stay = np.zeros(len(some), bool)
+    if some.shape[1] <= 2:
+        stay[:1] = True
+        if some.shape[1] == 2:
+            stay[1:] = some[1:, 1] < np.minimum.accumulate(some[:, 1])[:-1]
+    else:
+        kept = some[:0]
+        for at in range(0, len(some), BLOCK):
+            block = np.arange(at, min(at + BLOCK, len(some)))
+            for others in (kept, some[block]):
+                block = block[~beaten(some[block], others)]
+            stay[block] = True
+            kept = np.concatenate([kept, some[block]])
     mask = np.zeros(len(points), bool)
-    for at in range(0, len(order), BLOCK):
-        block = order[at : at + BLOCK]
-        for others in (*kept, points[block]):
-            block = block[~beaten(points[block], others)]
-        mask[block] = True
-        kept = [np.concatenate([*kept, points[block]])]
-    # rounding may give a point the sum of one that it beats
-    found = np.flatnonzero(mask)
-    mask[found[beaten(points[found], points[found])]] = False
+    mask[order] = stay[np.cumsum(new) - 1]
+    return mask
+
+
+def changes(rows: np.ndarray) -> np.ndarray:
+    """Which rows differ from the one before them."""
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] != rows[:-1]).any(1)
+    return new
+
+
+def pairs(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows of each run (first and size given), those of one first row together."""
+    rows = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+    many = np.repeat(sizes, sizes)
+    at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    return np.repeat(rows, many), np.repeat(np.repeat(starts, sizes), many) + at
+
+
+def beats(points: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the points a beat those of b, place by place."""
+    all_, some = np.ones(len(a), bool), np.zeros(len(a), bool)
+    for column in points.T:
+        x, y = column[a], column[b]
+        all_ &= x <= y
+        some |= x < y
+    return all_ & some
+
+
+def first_fronts(points: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Mask of the points that none of their group beats; groups lie between ``cuts``. Small ones are compared all at once."""
+    group = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    # the point of the least sum beats most
+    best = np.lexsort((points.sum(1), group))[cuts[:-1]]
+    left = np.flatnonzero(~beats(points, best[group], np.arange(len(points))))
+    sizes = np.bincount(group[left], minlength=len(cuts) - 1)
+    starts, small = np.cumsum(sizes) - sizes, sizes <= SMALL
+    mask = np.zeros(len(points), bool)
+    mask[left] = True
+    row, other = pairs(starts[small], sizes[small])
+    mask[left[row[beats(points[left], other, row)]]] = False
+    for a, n in zip(starts[~small], sizes[~small], strict=True):
+        rows = left[a : a + n]
+        mask[rows] = first_front(points[rows])
     return mask
 
 
@@ -80,9 +131,8 @@ def reduced(rows: DataFrame, by: list[str], objectives: list[str]) -> DataFrame:
                 codes = np.unique(codes * (len(part.dictionary) + 1) + part.indices.to_numpy(), return_inverse=True)[1]
             points, order = points_of(table, objectives), np.argsort(codes, kind="stable")
             cuts = np.append(np.flatnonzero(np.diff(codes[order], prepend=-1)), len(order))
-            keep = [order[a:b][first_front(points[order[a:b]])] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            if keep:
-                yield batch.take(pa.array(np.sort(np.concatenate(keep))))
+            if len(order):
+                yield batch.take(pa.array(np.sort(order[first_fronts(points[order], cuts)])))
 
     return known(rows, objectives).mapInArrow(run, rows.schema)
 
@@ -99,79 +149,126 @@ def front(rows: DataFrame, by: list[str], objectives: list[str]) -> DataFrame:
 
 
 def fold_fronts(rows: DataFrame, by: list[str], objectives: list[str]) -> DataFrame:
-    """Fronts of rows that come group by group; only the front so far of the group is held."""
+    """Fronts of rows that come group by group; of the last group the front so far is held, and compared anew once as many rows have come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if held is None else pa.concat_tables([held, table])
-            if not table.num_rows:
-                continue
+        for table in gathered(batches, lambda: held):
             cuts, points = runs(table, by), points_of(table, objectives)
-            kept = [a + np.flatnonzero(first_front(points[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            if len(kept) > 1:
-                yield from table.take(pa.array(np.concatenate(kept[:-1]))).combine_chunks().to_batches()
-            held = table.take(pa.array(kept[-1])).combine_chunks()
+            stay, last = first_fronts(points, cuts), cuts[-2]
+            held = table.slice(last).filter(pa.array(stay[last:])).combine_chunks()
+            yield from table.slice(0, last).filter(pa.array(stay[:last])).combine_chunks().to_batches()
         if held is not None:
             yield from held.to_batches()
 
     return rows.mapInArrow(run, rows.schema)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], held: Callable[[], pa.Table | None]) -> Iterator[pa.Table]:
+    """What is held, with as many rows behind it at least as it has, so that holding rows takes no more work than reading them."""
+    fresh, n = [], 0
+    for batch in batches:
+        fresh.append(batch)
+        n += batch.num_rows
+        before = held()
+        if n and (before is None or n >= before.num_rows):
+            table = pa.Table.from_batches(fresh)
+            fresh, n = [], 0
+            yield (table if before is None else pa.concat_tables([before, table])).combine_chunks()
+    if n:
+        yield pa.concat_tables([held(), pa.Table.from_batches(fresh)]).combine_chunks()
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups, of rows that come group by group, and where in them groups start and end."""
+    held = None
+    for table in gathered(batches, lambda: held):
+        cuts = runs(table, [by])
+        held = table.slice(cuts[-2]).combine_chunks()
+        if len(cuts) > 2:
+            yield table.slice(0, cuts[-2]), cuts[:-1]
+    if held is not None:
+        yield held, np.array([0, held.num_rows])
+
+
 def cumulative_fronts(rows: DataFrame, by: str, generation: str, objectives: list[str]) -> DataFrame:
     """Rows that are ever on the front of all rows of their group up to a generation, with ``left``: the first generation that beats them (null: none).
 
     The front after generation g is made of the rows of a generation <= g whose ``left`` is null or > g, so all prefixes are in
-    one table as large as the rows that enter. The rows of a generation are reduced where they are read; then each
-    group's fronts come in order, and only the front so far is held.
+    one table as large as the rows that enter. The rows of a generation are reduced where they are read; then groups of few rows
+    are settled many at once, and of larger ones generations come in order and only the front so far is held.
     """
     schema = StructType([*rows.schema.fields, StructField("left", rows.schema[generation].dataType)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = front = None
 
-        def advance(fresh: pa.Table, front: pa.Table | None) -> tuple[list[pa.RecordBatch], pa.Table]:
-            """What leaves the front with a generation's rows, and the new front."""
-            new, gone = points_of(fresh, objectives), []
-            stay = first_front(new)
-            if front is not None:
-                old = points_of(front, objectives)
-                stay &= ~beaten(new, old)
-                lost = beaten(old, new[stay])
-                if lost.any():
-                    gone = left(front.filter(pa.array(lost)), fresh.column(generation)[0].as_py())
-                front = front.filter(pa.array(~lost))
-            fresh = fresh.filter(pa.array(stay))
-            return gone, (fresh if front is None else pa.concat_tables([front, fresh])).combine_chunks()
-
-        def left(table: pa.Table, at: object) -> list[pa.RecordBatch]:
-            column = pa.array([at] * table.num_rows, table.schema.field(generation).type)
-            return table.append_column("left", column).combine_chunks().to_batches()
-
-        of = lambda t: t.column(by)[0].as_py()
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if held is None else pa.concat_tables([held, table])
-            if not table.num_rows:
-                continue
-            cuts = runs(table, [by, generation])
-            # the last generation of a batch may go on in the next one
-            for a, b in zip(cuts[:-2], cuts[1:-1], strict=True):
-                fresh = table.slice(a, b - a)
-                if front is not None and of(front) != of(fresh):
-                    yield from left(front, None)
-                    front = None
-                gone, front = advance(fresh, front)
-                yield from gone
-            held = table.slice(cuts[-2]).combine_chunks()
-        if held is not None and held.num_rows:
-            if front is not None and of(front) != of(held):
-                yield from left(front, None)
+        def with_left(table: pa.Table, at: pa.Array) -> list[pa.RecordBatch]:
+            return table.append_column("left", at).combine_chunks().to_batches()
+
+        def ended(table: pa.Table) -> list[pa.RecordBatch]:
+            return with_left(table, pa.nulls(table.num_rows, table.schema.field(generation).type))
+
+        def advanced(group: pa.Table, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Carries the front over a group's generations, which lie between ``ends``."""
+            nonlocal front
+            for a, b in zip(ends[:-1], ends[1:], strict=True):
+                fresh = group.slice(a, b - a)
+                new = points_of(fresh, objectives)
+                stay = first_front(new)
+                if front is not None:
+                    old = points_of(front, objectives)
+                    stay &= ~beaten(new, np.unique(old, axis=0))
+                    lost = beaten(old, np.unique(new[stay], axis=0))
+                    if lost.any():
+                        gone = front.filter(pa.array(lost))
+                        at = fresh.column(generation)[0].as_py()
+                        yield from with_left(gone, pa.array([at] * gone.num_rows, gone.schema.field(generation).type))
+                    front = front.filter(pa.array(~lost))
+                fresh = fresh.filter(pa.array(stay))
+                front = (fresh if front is None else pa.concat_tables([front, fresh])).combine_chunks()
+
+        def settled(table: pa.Table, cuts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """What whole groups (between ``cuts``) give, the first of which may have a front so far."""
+            nonlocal front
+            sizes = np.diff(cuts)
+            small = sizes <= BLOCK
+            small[:1] &= front is None
+            for k in np.flatnonzero(~small):
+                yield from advanced(table.slice(cuts[k], sizes[k]), ends[np.searchsorted(ends, cuts[k]) : np.searchsorted(ends, cuts[k + 1]) + 1] - cuts[k])
+                yield from ended(front)
                 front = None
-            gone, front = advance(held, front)
-            yield from gone
-            yield from left(front, None)
+            # the first generation of the rows that beat a row; to all but its own and earlier ones the row is on the front
+            points, places = points_of(table, objectives), np.searchsorted(ends, np.arange(table.num_rows), "right") - 1
+            none = len(ends)
+            few = np.flatnonzero(small)
+            # so many groups at once that there are some 500,000 pairs
+            for part in np.split(few, np.searchsorted(np.cumsum(sizes[few] ** 2), np.arange(500_000, (sizes[few] ** 2).sum(), 500_000))):
+                if not len(part):
+                    continue
+                row, other = pairs(cuts[part], sizes[part])
+                first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+                cut = np.minimum.reduceat(np.where(beats(points, other, row), places[other], none), first)
+                enter = cut > places[row[first]]
+                at = pa.array(np.where(cut == none, 0, ends[np.minimum(cut, none - 1)])[enter], mask=(cut == none)[enter])
+                yield from with_left(table.take(pa.array(row[first][enter])), table.column(generation).take(at))
+
+        for table in gathered(batches, lambda: held):
+            # rows that their own generation beats never enter
+            table = table.filter(pa.array(first_fronts(points_of(table, objectives), runs(table, [by, generation])))).combine_chunks()
+            cuts, ends = runs(table, [by]), runs(table, [by, generation])
+            last = cuts[-2]
+            if last:
+                yield from settled(table.slice(0, last), cuts[:-1], ends[: np.searchsorted(ends, last) + 1])
+            held = table.slice(last)
+            if front is not None or held.num_rows > BLOCK:
+                # the last generation may go on
+                own = ends[np.searchsorted(ends, last) :] - last
+                yield from advanced(held, own[:-1])
+                held = held.slice(own[-2])
+            held = held.combine_chunks()
+        if held is not None:
+            yield from settled(held, np.array([0, held.num_rows]), runs(held, [by, generation]))
 
     ordered = reduced(rows, [by, generation], objectives).repartition(by).sortWithinPartitions(by, generation)
     return ordered.mapInArrow(run, schema)
@@ -197,6 +294,16 @@ def volume(points: np.ndarray, ref: np.ndarray) -> float:
         x, y = points[order, 0], np.minimum.accumulate(points[order, 1])
         return float(((np.append(x[1:], ref[0]) - x) * (ref[1] - y)).sum())
     points = points[np.argsort(points[:, -1], kind="stable")]
+    if points.shape[1] == 3:
+        # for each slice the area that the points up to it beat: by x, the least y so far
+        depth, order = np.diff(points[:, 2], append=ref[2]), np.argsort(points[:, 0], kind="stable")
+        width, y = np.diff(points[order, 0], append=ref[0]), points[order, 1]
+        total = 0.0
+        for at in range(0, len(points), BLOCK):
+            slices = np.arange(at, min(at + BLOCK, len(points)))
+            least = np.minimum.accumulate(np.where(order <= slices[:, None], y, ref[1]), 1)
+            total += float(depth[slices] @ ((ref[1] - least) @ width))
+        return total
     total, base = 0.0, points[:0, :-1]
     for i, p in enumerate(points):
         base = np.concatenate((base, points[i : i + 1, :-1]))
@@ -213,16 +320,26 @@ def normalised_hypervolume(rows: DataFrame, by: str, objectives: list[str], ref:
     An objective in which all of a front are equal counts as 0. A group's front is held in one task; its work grows with a power of the number of objectives.
     """
 
-    def run(table: pa.Table) -> pa.Table:
-        points = points_of(table, objectives)
-        points = points[first_front(points)]
-        low, high = points.min(0), points.max(0)
-        unit = (points - low) / np.where(high > low, high - low, 1.0)
-        size = volume(np.unique(unit, axis=0), np.full(len(objectives), ref))
-        return pa.table({by: table.column(by).slice(0, 1), "n": pa.array([len(points)], pa.int64()), "hypervolume": pa.array([size])})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cuts in whole_groups(batches, by):
+            points = points_of(table, objectives)
+            low, high = np.minimum.reduceat(points, cuts[:-1]), np.maximum.reduceat(points, cuts[:-1])
+            group = np.repeat(np.arange(len(low)), np.diff(cuts))
+            points = (points - low[group]) / np.where(high > low, high - low, 1.0)[group]
+            # equal points count once
+            order = np.lexsort((*points.T[::-1], group))
+            keep = order[changes(np.column_stack((group, points))[order])]
+            points, ends = points[keep], np.searchsorted(group[keep], np.arange(len(cuts)))
+            sizes = [volume(points[a:b], np.full(len(objectives), ref)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([column(table, by, cuts), pa.array(np.diff(cuts), pa.int64()), pa.array(sizes, pa.float64())], [by, "n", "hypervolume"])
+
+    # a group's front comes from one task, group by group
+    return front(rows, [by], objectives).mapInArrow(run, StructType([rows.schema[by], *StructType.fromDDL("n long, hypervolume double").fields]))
 
-    schema = StructType([rows.schema[by], *StructType.fromDDL("n long, hypervolume double").fields])
-    return front(rows, [by], objectives).groupBy(by).applyInArrow(run, schema)
+
+def column(table: pa.Table, by: str, cuts: np.ndarray) -> pa.Array:
+    """The groups' names."""
+    return table.column(by).take(pa.array(cuts[:-1])).combine_chunks()
 
 
 def plus_distances(rows: DataFrame, by: str, objectives: list[str], reference: DataFrame, most: int = 100_000) -> DataFrame:
@@ -239,14 +356,20 @@ def plus_distances(rows: DataFrame, by: str, objectives: list[str], reference: D
     size = np.where(high > low, high - low, 1.0)
     z = (z - low) / size
 
-    def run(table: pa.Table) -> pa.Table:
-        a = points_of(table, objectives)
-        a = (np.unique(a[first_front(a)], axis=0) - low) / size
-        nearest, back = np.full(len(a), np.inf), np.full(len(z), np.inf)
-        for at in range(0, len(z), BLOCK):
-            d = np.sqrt((np.maximum(a[:, None] - z[at : at + BLOCK], 0) ** 2).sum(2))
-            nearest, back[at : at + BLOCK] = np.minimum(nearest, d.min(1)), d.min(0)
-        return pa.table({by: table.column(by).slice(0, 1), "gd_plus": pa.array([nearest.mean()]), "igd_plus": pa.array([back.mean()])})
-
-    schema = StructType([rows.schema[by], *StructType.fromDDL("gd_plus double, igd_plus double").fields])
-    return front(rows, [by], objectives).groupBy(by).applyInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cuts in whole_groups(batches, by):
+            points, group = points_of(table, objectives), np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+            # equal points count once
+            order = np.lexsort((*points.T[::-1], group))
+            keep = order[changes(np.column_stack((group, points))[order])]
+            a, starts = (points[keep] - low) / size, np.searchsorted(group[keep], np.arange(len(cuts) - 1))
+            nearest, back = np.full(len(a), np.inf), np.zeros(len(starts))
+            step = max(1, 500_000 // len(a))
+            for at in range(0, len(z), step):
+                d = np.sqrt(sum(np.maximum(x[:, None] - y, 0) ** 2 for x, y in zip(a.T, z[at : at + step].T, strict=True)))
+                nearest = np.minimum(nearest, d.min(1))
+                back += np.minimum.reduceat(d, starts).sum(1)
+            gd = np.add.reduceat(nearest, starts) / np.diff(starts, append=len(a))
+            yield pa.RecordBatch.from_arrays([column(table, by, cuts), pa.array(gd), pa.array(back / len(z))], [by, "gd_plus", "igd_plus"])
+
+    return front(rows, [by], objectives).mapInArrow(run, StructType([rows.schema[by], *StructType.fromDDL("gd_plus double, igd_plus double").fields]))

@@ -283,3 +283,55 @@ def test_existence_of_places(spark):
 
     assert got[1] == best(lambda x: x[1] == "thai") and got[2] == (0, False, "")
     assert got[3][2].split(",") and got[3][0] == sum(x[2] is not None and x[2] >= 3.0 for x in rows)
+
+
+def test_equal_points_are_compared_once(monkeypatch):
+    pairs, plain = [], fronts.beaten
+    monkeypatch.setattr(fronts, "beaten", lambda p, q: pairs.append(len(p) * len(q)) or plain(p, q))
+    points = np.repeat([[1.0, 2.0, 3.0], [0.0, 5.0, 5.0], [2.0, 2.0, 3.0]], 20_000, 0)
+    assert (fronts.first_front(points) == np.repeat([True, True, False], 20_000)).all()
+    assert sum(pairs) < 100
+
+
+def test_fronts_of_groups_at_once():
+    rng = np.random.default_rng(2)
+    for d in (1, 2, 3):
+        cuts = np.append(0, np.cumsum(rng.choice([1, 2, 5, 70, 400], 60)))
+        points = rng.integers(0, 9, (cuts[-1], d)).astype(float)
+        want = [((p[:, None] <= p).all(2) & (p[:, None] < p).any(2)).any(0) for p in np.split(points, cuts[1:-1])]
+        assert (fronts.first_fronts(points, cuts) == ~np.concatenate(want)).all()
+
+
+@pytest.mark.parametrize("batch", [7, 300, 10_000])
+def test_cumulative_fronts_and_indicators_of_small_and_large_groups(spark, batch):
+    rng = np.random.default_rng(batch)
+    sizes = {0: 1, 1: 3, 2: 1500, 3: 40, 4: 2, 5: 900, 6: 30}
+    # on planes, so that fronts are large
+    flat = lambda n: np.round(np.column_stack((p := rng.random((n, 2)), 2 - p.sum(1) + rng.integers(0, 3, n) / 10)), 2)
+    rows = [(g, int(gen), i, *map(float, p)) for g, n in sizes.items() for i, (gen, p) in enumerate(zip(rng.integers(0, 6, n), flat(n), strict=True))]
+    df = spark.createDataFrame(rows, "g int, gen int, id int, x double, y double, z double").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = {(r.g, r.id): r.left for r in fronts.cumulative_fronts(df, "g", "gen", ["x", "y", "z"]).collect()}
+        volumes = fronts.normalised_hypervolume(df, "g", ["x", "y", "z"])
+        distances = fronts.plus_distances(df, "g", ["x", "y", "z"], fronts.front(df, [], ["x", "y", "z"]))
+        n, gd = {r.g: r.n for r in volumes.collect()}, {r.g: (r.gd_plus, r.igd_plus) for r in distances.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, best = {}, {}
+    for g in sizes:
+        p, gen, ids = (np.array([r[c] for r in rows if r[0] == g]) for c in (slice(3, 6), 1, 2))
+        beat = (p[:, None] <= p).all(2) & (p[:, None] < p).any(2)
+        cut = np.where(beat, gen[:, None], 99).min(0)
+        want |= {(g, int(i)): (None if c == 99 else int(c)) for i, c, own in zip(ids, cut, gen, strict=True) if c > own}
+        best[g] = p[cut == 99]
+    assert got == want
+    assert n == {g: len(p) for g, p in best.items()}
+    z = np.unique(np.concatenate(list(best.values())), axis=0)
+    z = z[~((z[:, None] <= z).all(2) & (z[:, None] < z).any(2)).any(0)]
+    for g, p in best.items():
+        d = np.sqrt((np.maximum(np.unique(p, axis=0)[:, None] - z, 0) ** 2 / (z.max(0) - z.min(0)) ** 2).sum(2))
+        assert gd[g] == (pytest.approx(d.min(1).mean()), pytest.approx(d.min(0).mean()))
+    # no call and no frame for each group
+    for frame in (volumes, distances):
+        assert "FlatMapGroups" not in frame._jdf.queryExecution().executedPlan().toString()
