@@ -103,3 +103,36 @@ def test_batches_are_written_once(spark, tmp_path):
     assert [i for i, _ in seen] == [0, 1, 1]
     got = sorted(tuple(r) for r in tables.running_table(table, spark).collect())
     assert got == [(r, b, 7 * (b + 1), 3 * (b + 1), 3 / 7) for r in (1, 2) for b in (0, 1)]
+
+
+@pytest.mark.parametrize("batch", [5, 64, 10_000])
+def test_rows_apart_and_near_in_small_and_large_groups(spark, batch):
+    rng = np.random.default_rng(batch)
+    sizes = [1, 2, 7, 40, 3, 500, 1, 16, 17, 4]
+    # on a grid whose steps meet the bounds, on both sides of 0
+    rows = [(g, 1000 * g + i, int(x) / 10, int(y) / 20) for g, n in enumerate(sizes) for i, (x, y) in enumerate(rng.integers(-30, 30, (n, 2)))]
+    odd = [(None, 90_000, 0.0, 0.0), (None, 90_001, 0.0, 0.0), (5, 90_002, float("inf"), 0.0), (5, 90_003, float("inf"), 0.0), (5, 90_004, None, 0.0)]
+    df = spark.createDataFrame([*rows, *odd], "g int, k long, x double, y double").repartition(3)
+    within, kept, links = {"x": 0.3, "y": 0.1}, [], set()
+    for g, k, x, y in rows:
+        links |= {(k, j) for h, j, u, v in rows if h == g and j < k and abs(u - x) < 0.3 and abs(v - y) < 0.1}
+        if not any(h == g and abs(u - x) < 0.3 and abs(v - y) < 0.1 for h, _, u, v in kept):
+            kept.append((g, k, x, y))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        assert sorted(r.k for r in dedup.keep_apart(df, ["g"], "k", within).collect()) == [*(r[1] for r in kept), *(r[1] for r in odd)]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = [(r.k, r.first) for r in dedup.near_links(df, ["g"], "k", within).collect()]
+    assert len(found) == len(set(found)) and set(found) == links
+    if batch == 64:
+        one = df.filter("g = 3")
+        assert sorted(r.k for r in dedup.keep_apart(one, [], "k", within).collect()) == [r[1] for r in kept if r[0] == 3]
+
+
+def test_near_links_send_few_rows_twice(spark):
+    df = spark.range(4000).select((F.col("id") % 100).alias("g"), "id", (F.col("id") / 4000).alias("x"), (F.col("id") % 63 / 63).alias("y"))
+    plan = dedup.near_links(df, ["g"], "id", {"x": 0.05, "y": 0.05})._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence" in plan and "array((" not in plan
+    # apart in order of keys within groups: no rounds of links
+    assert "Join" not in dedup.keep_apart(df, ["g"], "id", {"x": 0.05, "y": 0.05})._jdf.queryExecution().optimizedPlan().toString()
