@@ -52,18 +52,18 @@ def currency(text: Column) -> Column:
     """Code of the first sign in the text; without signs of the first code, without codes of the first name (whole words, names in any case)."""
 
     def first(pattern: str, known: dict[str, str]) -> Column:
-        found = F.lower(F.regexp_extract(text, pattern, 1))
-        out = F.lit(None).cast("string")
-        for word, code in known.items():
-            out = F.when(found == word.lower(), code).otherwise(out)
-        return out
+        # looked up in a map, as a chain of comparisons searches the text once for each
+        codes = F.create_map(*(F.lit(v) for word, code in known.items() for v in (word.lower(), code)))
+        return F.try_element_at(codes, F.lower(F.regexp_extract(text, pattern, 1)))
 
-    whole = "(?<![\\p{L}\\p{N}_])(%s)(?![\\p{L}\\p{N}_])"
+    # the first letters are looked at before what stands before them
+    whole = "(?=[%s])(?<![\\p{L}\\p{N}_])(%s)(?![\\p{L}\\p{N}_])"
+    words = lambda some: whole % ("".join(sorted({w[0] for w in some})), "|".join(some))
     signs, codes, names = zip(*CURRENCIES, strict=True)
     return F.coalesce(
         first(f"([{''.join(signs)}])", dict(zip(signs, codes, strict=True))),
-        first(whole % "|".join(codes), dict(zip(codes, codes, strict=True))),
-        first("(?i)" + whole % "|".join(names), dict(zip(names, codes, strict=True))),
+        first(words(codes), dict(zip(codes, codes, strict=True))),
+        first("(?i)" + words(names), dict(zip(names, codes, strict=True))),
     )
 
 

@@ -95,3 +95,10 @@ def test_crowding_of_equal_points_is_that_of_its_sql(spark, tmp_path):
             want = con.sql(metrics.SQL["crowding"])
             got = metrics.crowding(spark, str(tmp_path / f"{seed}"))
             assert plain_rows(got.columns, got.collect()) == plain_rows(want.columns, want.fetchall())
+
+
+def test_currency_searches_a_text_once_for_each_kind(spark, saved):
+    rows = [(1, "xUSD EURO eur"), (2, "DOLLARS, then GBP"), (3, "a yen"), (4, "5 € in USD"), (5, "Rupees_ pounds."), (6, "éeuros")]
+    found = content.document_numbers(spark, saved("documents", rows, "doc_id long, text string"))
+    assert {r.doc_id: r.currency for r in found.collect()} == {1: None, 2: "GBP", 3: "JPY", 4: "EUR", 5: "GBP", 6: None}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 4
