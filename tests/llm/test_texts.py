@@ -298,6 +298,19 @@ def test_repeats_equal_brute_force(spark, size):
     assert substrings.remove_repeats(docs(spark, []), size).count() == 0
 
 
+def test_repeats_are_judged_by_bytes_not_words(spark):
+    """A passage of over 50 words that two documents share stays at 399 bytes and goes at 400; one document's own repeat goes, too."""
+    rng = random.Random(4)
+    own = lambda: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(100))
+    passages = [" ".join("".join(rng.choices("klmnop", k=k)) for k in [5] * 60 + [last])[-size:] for last, size in ((39, 399), (40, 400))]
+    assert all(len(p.split()) > 50 for p in passages)
+    texts = [f"{own()}<{p}>{own()}" if i % 2 else f"{own()}[{p}]{own()}" for p in passages for i in range(2)]
+    texts.append(f"{own()}({passages[1][::-1]}){own()}{{{passages[1][::-1]}}}")
+    got = substrings.remove_repeats(docs(spark, list(enumerate(texts)))).orderBy("doc_id").collect()
+    assert [r.n_removed for r in got] == [0, 0, 400, 400, 800]
+    assert [tuple(r)[1:5] for r in got] == brute.repeats(texts, 400)
+
+
 def test_difference_cover_covers():
     for length in (400, 100, 30, 9):
         v, cover = substrings.difference_cover(length)
